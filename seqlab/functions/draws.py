@@ -6,6 +6,10 @@ remaining digits is an independent 4-bit draw for per-position choices. ``rand()
 
 SQL equivalents: ``md5(concat_ws(':', tag, CAST(id AS VARCHAR)))``, ``('0x' || substr(m, 1, 8))::BIGINT`` and
 ``('0x' || substr(m, p, 1))::INTEGER``.
+
+Generators reference draws many times inside conditional branches, where common-subexpression elimination does not
+reach. ``Draws`` therefore projects every draw once as an int column (``draw_columns``) and hands generators plain
+column references, which keeps the generated code small enough for whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_32 = 4294967296.0
+NIBBLE_FIRST, NIBBLE_LAST = 9, 24
 
 
 def md5_key(tag: str, key) -> Column:
@@ -27,8 +32,9 @@ def u32(m: Column, start: int = 1) -> Column:
 
 
 def nibble(m: Column, pos: int) -> Column:
-    """4-bit draw (0..15) from the hex digit at ``pos`` (1-based)."""
-    return F.conv(F.substring(m, pos, 1), 16, 10).cast("int")
+    """4-bit draw (0..15) from the hex digit at ``pos`` (1-based): ascii arithmetic, no base conversion."""
+    c = F.ascii(F.substring(m, pos, 1))
+    return F.when(c >= 97, c - 87).otherwise(c - 48)
 
 
 def uniform(m: Column, start: int = 1) -> Column:
@@ -37,5 +43,38 @@ def uniform(m: Column, start: int = 1) -> Column:
 
 
 def pick(options: list[str], idx: Column) -> Column:
-    """``options[idx]`` with a 0-based integer column."""
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (idx + F.lit(1)).cast("int"))
+    """``options[idx]`` with a 0-based integer column (``elt`` compiles to a switch; no per-row array)."""
+    return F.elt((idx + F.lit(1)).cast("int"), *[F.lit(o) for o in options])
+
+
+class Draws:
+    """Named draw columns of one md5 key: ``a`` (32-bit) and nibbles 9..24."""
+
+    def __init__(self, prefix: str):
+        self.prefix = prefix
+
+    def columns(self, m: Column) -> list[Column]:
+        cols = [u32(m, 1).alias(f"{self.prefix}a")]
+        cols += [nibble(m, p).alias(f"{self.prefix}n{p}") for p in range(NIBBLE_FIRST, NIBBLE_LAST + 1)]
+        return cols
+
+    def names(self) -> list[str]:
+        return [f"{self.prefix}a"] + [f"{self.prefix}n{p}" for p in range(NIBBLE_FIRST, NIBBLE_LAST + 1)]
+
+    @property
+    def a(self) -> Column:
+        return F.col(f"{self.prefix}a")
+
+    def n(self, pos: int) -> Column:
+        return F.col(f"{self.prefix}n{pos}")
+
+
+def spread(df, spark=None):
+    """Give CPU-heavy per-row work every core: round-robin only when the scan yields fewer partitions than the
+    default parallelism (small single-row-group inputs). Large inputs already arrive in many splits and are left
+    untouched, so no shuffle is added at scale."""
+    spark = spark or df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -22,6 +22,9 @@ PUNCT_CLASS = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 # -------------------------------------------------------------------------------------------------------------
 
 WS_RUN = WS_CLASS + "+"
+# The same whitespace set as a plain string, for trim/translate (no regex per row).
+WS_CHARS = "".join(chr(c) for c in list(range(0x09, 0x0E)) + list(range(0x1C, 0x21)) + [0x85, 0xA0, 0x1680]
+                   + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
 def _col(c) -> Column:
@@ -29,13 +32,17 @@ def _col(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``s.strip()``: remove Unicode whitespace at both ends (``\\z`` so a final newline is not special)."""
-    return F.regexp_replace(_col(c), "^" + WS_RUN + "|" + WS_RUN + r"\z", "")
+    """Python ``s.strip()``: remove Unicode whitespace at both ends (``TRIM`` with a character set)."""
+    return F.trim(_col(c), F.lit(WS_CHARS))
 
 
 def ws_norm(c) -> Column:
-    """``' '.join(s.split())``: collapse every whitespace run to one space and drop the ends."""
-    return F.trim(F.regexp_replace(_col(c), WS_RUN, " "))
+    """``' '.join(s.split())``: map every whitespace character to a space, collapse runs, drop the ends.
+
+    ``translate`` is a per-character table lookup; the collapsing regex only runs on rows holding a double space.
+    """
+    t = F.translate(_col(c), WS_CHARS, " " * len(WS_CHARS))
+    return F.trim(F.when(F.instr(t, "  ") > 0, F.regexp_replace(t, " {2,}", " ")).otherwise(t))
 
 
 def tokens(c) -> Column:
@@ -68,9 +75,14 @@ def strip_punct_tokens(n: Column) -> Column:
     return F.trim(F.regexp_replace(trail, " +", " "))
 
 
+def first_line_stripped(stripped: Column) -> Column:
+    """First line of an already stripped text, stripped."""
+    return strip_ws(F.substring_index(stripped, "\n", 1))
+
+
 def first_line(c) -> Column:
     """``s.strip().split('\\n')[0].strip()``."""
-    return strip_ws(F.substring_index(strip_ws(c), "\n", 1))
+    return first_line_stripped(strip_ws(c))
 
 
 def _rest() -> Column:
@@ -106,20 +118,26 @@ def unwrap_doc(c, open_tag: str, close_tag: str) -> Column:
     return F.coalesce(between_tags(t, open_tag, close_tag, close_fallback=False), t)
 
 
+def to_token_pre(n: Column, stripped: Column, token: str) -> Column:
+    """As ``extract_to_token`` on already normalised and stripped forms of the text."""
+    hit = F.regexp_extract(n, r"^((?:[^ ]+ )*?" + token + r")(?: |$)", 1)
+    return F.when(hit != "", hit).otherwise(stripped)
+
+
 def extract_to_token(c, token: str) -> Column:
     """Tokens up to and including the first ``token``, single-space joined; else the stripped raw text."""
-    n = ws_norm(c)
-    hit = F.regexp_extract(n, r"^((?:[^ ]+ )*?" + token + r")(?: |$)", 1)
-    return F.when(hit != "", hit).otherwise(strip_ws(c))
+    return to_token_pre(ws_norm(c), strip_ws(c), token)
+
+
+def leading_pairs_pre(n: Column, stripped: Column, heads: list[str], tails: list[str]) -> Column:
+    pair = "(?:" + "|".join(heads) + ") (?:" + "|".join(tails) + ")"
+    run = F.trim(F.regexp_extract(n, "^((?:" + pair + "(?: |$))+)", 1))
+    return F.when(run != "", run).otherwise(stripped)
 
 
 def extract_leading_pairs(c, heads: list[str], tails: list[str]) -> Column:
     """Leading run of (head, tail) token pairs -- any head with any tail; else the stripped raw text."""
-    n = ws_norm(c)
-    pair = "(?:" + "|".join(heads) + ") (?:" + "|".join(tails) + ")"
-    run = F.regexp_extract(n, "^((?:" + pair + "(?: |$))+)", 1)
-    run = F.trim(run)
-    return F.when(run != "", run).otherwise(strip_ws(c))
+    return leading_pairs_pre(ws_norm(c), strip_ws(c), heads, tails)
 
 
 def strip_prefix(c, prefix) -> Column:

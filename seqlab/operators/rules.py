@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as T
+from seqlab.functions.memo import session_cached
 
 # --- fixed values: rule vocabularies, tags, prompts, violation names (must equal the reference) -------------
 RULES = ["grammar1", "grammar2", "grammar3", "tivari", "tivari_b"]
@@ -87,23 +88,58 @@ def _g3_code(n: Column) -> Column:
 
 
 def _count_char(s: Column, ch: str) -> Column:
-    return F.length(s) - F.length(F.regexp_replace(s, ch, ""))
+    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
 
 
-def g3_strict_norm(n: Column) -> Column:
-    code = _g3_code(n)
+def _g3_ok_code(code: Column) -> Column:
     even = None
     for tok in G3_EVEN_ONLY:
         e = (_count_char(code, tok[0]) % 2) == 0
         even = e if even is None else (even & e)
-    shape = n.rlike(G3_SHAPE)
-    return F.when(shape, (code == F.reverse(code)) & even).otherwise(F.lit(False))
+    return (code == F.reverse(code)) & even
 
 
-def g3_lenient_norm(n: Column) -> Column:
+G3_PREFIX = "^(%s(?: (?:%s))* %s)(?: |$)" % (G3_OPEN, "|".join(G3_CONTENT), G3_CLOSE)
+
+
+class Bind:
+    """Named intermediate expressions of one rule set over a normalised text ``n``.
+
+    Standalone, ``get`` inlines the expression; inside ``with_verdicts`` each one is projected once as a column
+    (so a CASE branch references it instead of repeating a regex several times).
+    """
+
+    def __init__(self, n: Column, defs: dict, prefix: str | None = None):
+        self.n, self.defs, self.prefix = n, defs, prefix
+
+    def get(self, name: str) -> Column:
+        if self.prefix is not None:
+            return F.col(f"{self.prefix}{name}")
+        return self.defs[name](self)
+
+
+G3_DEFS = {
+    "code": lambda b: _g3_code(b.n),
+    "pref": lambda b: F.regexp_extract(b.n, G3_PREFIX, 1),
+    "pcode": lambda b: _g3_code(b.get("pref")),
+}
+
+
+def g3_strict_b(b: Bind) -> Column:
+    return F.when(b.n.rlike(G3_SHAPE), _g3_ok_code(b.get("code"))).otherwise(F.lit(False))
+
+
+def g3_lenient_b(b: Bind) -> Column:
     """Valid FEP ... GOR prefix: content tokens cannot be GOR, so only the first GOR can close a valid prefix."""
-    prefix = F.regexp_extract(n, "^(%s(?: (?:%s))* %s)(?: |$)" % (G3_OPEN, "|".join(G3_CONTENT), G3_CLOSE), 1)
-    return F.when(prefix != "", g3_strict_norm(prefix)).otherwise(F.lit(False))
+    return F.when(b.get("pref") != "", _g3_ok_code(b.get("pcode"))).otherwise(F.lit(False))
+
+
+def g3_strict_norm(n: Column) -> Column:
+    return g3_strict_b(Bind(n, G3_DEFS))
+
+
+def g3_lenient_norm(n: Column) -> Column:
+    return g3_lenient_b(Bind(n, G3_DEFS))
 
 
 def tivari_lenient_norm(n: Column) -> Column:
@@ -163,6 +199,12 @@ class RuleSpec:
     tag: tuple[str, str] | None = None                 # corpus wrapper tags
     prompts: list[str] = field(default_factory=list)
     rule_tokens: list[str] = field(default_factory=list)
+    # (normalised text, stripped text) -> extracted string, for rule sets extracted without tags
+    extract_pre: Callable[[Column, Column], Column] | None = None
+    # named intermediates shared by strict and lenient, and their Bind-based forms
+    defs: dict = field(default_factory=dict)
+    strict_b: Callable[[Bind], Column] | None = None
+    lenient_b: Callable[[Bind], Column] | None = None
 
     def strict(self, c) -> Column:
         return self.strict_norm(T.ws_norm(c))
@@ -195,15 +237,18 @@ def register(spec: RuleSpec) -> None:
 register(RuleSpec(
     "grammar1", strict_norm=lambda n: n.rlike(_run_regex(G1_OPEN, G1_MID, G1_CLOSE)),
     extract=lambda c: T.extract_to_token(c, G1_CLOSE),
+    extract_pre=lambda n, st: T.to_token_pre(n, st, G1_CLOSE),
     violation_norm=lambda n: _run_violation(n, G1_OPEN, G1_MID, G1_CLOSE, None),
     prompts=PROMPTS["grammar1"], rule_tokens=[G1_OPEN, G1_MID, G1_CLOSE]))
 register(RuleSpec(
     "grammar2", strict_norm=lambda n: n.rlike(G2_REGEX),
     extract=lambda c: T.extract_leading_pairs(c, COLORS, RED_SHAPES + BLUE_SHAPES),
+    extract_pre=lambda n, st: T.leading_pairs_pre(n, st, COLORS, RED_SHAPES + BLUE_SHAPES),
     violation_norm=_g2_violation, prompts=PROMPTS["grammar2"], rule_tokens=COLORS + RED_SHAPES + BLUE_SHAPES))
 register(RuleSpec(
     "grammar3", strict_norm=g3_strict_norm, extract=_tagged_extract("grammar3"), violation_norm=_g3_violation,
     lenient_norm=g3_lenient_norm, tag=TAGS["grammar3"], prompts=PROMPTS["grammar3"],
+    defs=G3_DEFS, strict_b=g3_strict_b, lenient_b=g3_lenient_b,
     rule_tokens=[G3_OPEN, G3_CLOSE] + G3_CONTENT))
 register(RuleSpec(
     "tivari", strict_norm=lambda n: n.rlike(_run_regex(TV_OPEN, TV_MID, TV_CLOSE)),
@@ -231,16 +276,76 @@ def by_rule(rule_col: Column, fn: Callable[[RuleSpec], Column], rules: list[str]
     return expr
 
 
+def open_tag_col(rule_col: Column) -> Column:
+    """Per-row generation-time open tag (null for untagged rule sets)."""
+    return by_rule(rule_col, lambda s: F.lit(EXTRACT_TAGS[s.name][0]), [r for r in REGISTRY if r in EXTRACT_TAGS])
+
+
+def close_tag_col(rule_col: Column) -> Column:
+    return by_rule(rule_col, lambda s: F.lit(EXTRACT_TAGS[s.name][1]), [r for r in REGISTRY if r in EXTRACT_TAGS])
+
+
+@session_cached
+def _verdict_exprs(text_col: str, rule_col: str):
+    r = F.col(rule_col)
+    e = {}
+    e["s"] = T.strip_ws(F.col(text_col))
+    e["o"] = open_tag_col(r)
+    e["c"] = close_tag_col(r)
+    e["gn"] = T.ws_norm(F.col("_s"))
+    e["pos"] = F.expr("instr(_s, _o)")
+    e["rest"] = F.expr("substr(_s, _pos + length(_o))")
+    cut = F.expr("CASE WHEN instr(_rest, _c) > 0 THEN substring_index(_rest, _c, 1) "
+                 "WHEN instr(_rest, '</') > 0 THEN substring_index(_rest, '</', 1) ELSE _rest END")
+    tagged = F.when(F.col("_pos") > 0, T.strip_ws(cut)).otherwise(T.first_line_stripped(F.col("_s")))
+    untagged = by_rule(r, lambda s: s.extract_pre(F.col("_gn"), F.col("_s")),
+                       [n for n in REGISTRY if n not in EXTRACT_TAGS])
+    e["extracted"] = F.when(F.col("_o").isNotNull(), tagged).otherwise(untagged)
+    e["n"] = T.ws_norm(F.col("extracted"))
+    e["pn"] = F.when(r.isin(*PUNCT_NORMALISED), T.strip_punct_tokens(F.col("_n")))
+    # Each rule set's named intermediates, projected once in definition order.
+    defs = []
+    binds = {}
+    for name, spec in REGISTRY.items():
+        pre = f"_{name}_"
+        binds[name] = Bind(F.col("_n"), spec.defs, pre)
+        for key, fn in spec.defs.items():
+            defs.append((pre + key, F.when(r == name, fn(binds[name]))))
+    e["defs"] = defs
+
+    def strict_of(spec):
+        return spec.strict_b(binds[spec.name]) if spec.strict_b else spec.strict_norm(F.col("_n"))
+
+    def lenient_of(spec):
+        if spec.lenient_norm is None:
+            return F.lit(None).cast("boolean")
+        if spec.lenient_b:
+            return spec.lenient_b(binds[spec.name])
+        return spec.lenient_norm(F.col("_pn") if spec.punct_normalise else F.col("_n"))
+
+    e["strict"] = by_rule(r, strict_of)
+    e["lenient"] = by_rule(r, lenient_of)
+    return e
+
+
 def with_verdicts(df: DataFrame, text_col: str = "generated", rule_col: str = "rule") -> DataFrame:
     """Extract the rule string from generated text and attach strict and lenient verdicts.
 
     Adds ``extracted string``, ``is_valid boolean`` and ``is_lenient_valid boolean`` (null where the rule set
-    has no lenient check).
+    has no lenient check). Stripping, normalising and tag positions are projected once per row and shared by
+    every rule branch; tagged rule sets share one extraction expression driven by per-row tag columns.
     """
-    r = F.col(rule_col)
-    out = df.withColumn("extracted", by_rule(r, lambda s: s.extract(F.col(text_col))))
-    return (out.withColumn("is_valid", by_rule(r, lambda s: s.strict(F.col("extracted"))))
-               .withColumn("is_lenient_valid", by_rule(r, lambda s: s.lenient(F.col("extracted")))))
+    e = _verdict_exprs(text_col, rule_col)
+    cols = df.columns
+    x = df.select("*", e["s"].alias("_s"), e["o"].alias("_o"), e["c"].alias("_c"))
+    x = x.select("*", e["gn"].alias("_gn"), e["pos"].alias("_pos"))
+    x = x.select("*", e["rest"].alias("_rest"))
+    x = x.select(*cols, e["extracted"].alias("extracted"))
+    x = x.select("*", e["n"].alias("_n"))
+    x = x.select("*", e["pn"].alias("_pn"))
+    for name, expr in e["defs"]:
+        x = x.select("*", expr.alias(name))
+    return x.select(*cols, "extracted", e["strict"].alias("is_valid"), e["lenient"].alias("is_lenient_valid"))
 
 
 def rules_dim(spark) -> DataFrame:

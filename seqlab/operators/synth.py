@@ -1,11 +1,11 @@
 """Sentence synthesis: valid and deliberately broken sentences, one row per input id.
 
-Each generator is a pure column expression over an id column -- no Python per row, no shuffle. Randomness comes
-from one ``md5(tag:id)`` per row (see ``seqlab.functions.draws``), so Spark and SQL produce identical sentences and
-a re-run (or a lost executor's retried task) regenerates the same rows.
+Each generator is a column expression over draw columns of one ``md5(seed:rule:label:id)`` key -- no Python per row,
+no shuffle. Spark and SQL produce identical sentences, and a retried task (lost executor) regenerates the same rows.
 
 Distributions follow the reference generators: counts uniform over the stated ranges, tokens uniform, invalid
-violation types round-robin by id. Rejection sampling (not-palindrome) is replaced by a bump of the last token.
+violation types round-robin by id. Rejection sampling (not-palindrome) is replaced by a bump of the last token,
+which always yields a non-palindrome.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.functions.draws import nibble, pick, u32
+from seqlab.functions.draws import Draws, pick
 from seqlab.operators import rules as R
 
 # --- fixed values: split seeds and default sizes ----------------------------------------------------------------
@@ -23,11 +23,17 @@ G3_MAX_HALF = 8
 # -------------------------------------------------------------------------------------------------------------
 
 # Pair strings indexed by a 4-bit draw: colour = d % 2, shape given colour = (d // 2) % 2.
-_PAIRS = [f"{R.COLORS[d % 2]} {(R.RED_SHAPES if d % 2 == 0 else R.BLUE_SHAPES)[(d // 2) % 2]}" for d in range(4)]
+PAIRS = [f"{R.COLORS[d % 2]} {(R.RED_SHAPES if d % 2 == 0 else R.BLUE_SHAPES)[(d // 2) % 2]}" for d in range(4)]
 
 
-def _pair(m: Column, pos: int) -> Column:
-    return pick(_PAIRS, nibble(m, pos) % 4)
+def sentence_key(seed, rule, id_col: Column, label: str = "valid") -> Column:
+    """md5 key of a sentence; ``rule`` and ``seed`` may be Python values or columns (per-row dispatch)."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(str(v))
+    return F.md5(F.concat_ws(":", lit(seed), lit(rule), F.lit(label), id_col.cast("string")))
+
+
+def _pair(d: Draws, pos: int) -> Column:
+    return pick(PAIRS, d.n(pos) % 4)
 
 
 def _run(open_t: str | None, mid: str, k: Column, close: str | None, open_twice=False, close_twice=False) -> Column:
@@ -40,23 +46,15 @@ def _run(open_t: str | None, mid: str, k: Column, close: str | None, open_twice=
     return F.concat_ws(" ", *parts)
 
 
-def _g3_half(m: Column, h: Column, first_pos: int, max_len: int) -> tuple[Column, Column]:
-    toks = [pick(R.G3_CONTENT, nibble(m, first_pos + i) % 4) for i in range(max_len)]
+def _g3_half(d: Draws, h: Column, first_pos: int, max_len: int) -> tuple[Column, Column]:
+    toks = [pick(R.G3_CONTENT, d.n(first_pos + i) % 4) for i in range(max_len)]
     fwd = F.concat_ws(" ", *[F.when(h >= i + 1, toks[i]) for i in range(max_len)])
     rev = F.concat_ws(" ", *[F.when(h >= i + 1, toks[i]) for i in reversed(range(max_len))])
     return F.when(fwd != "", fwd), F.when(rev != "", rev)
 
 
-def valid_key(seed, rule, id_col: Column, label: str = "valid") -> Column:
-    """md5 key of a sentence; ``rule`` and ``seed`` may be Python values or columns (per-row dispatch)."""
-    lit = lambda v: v if isinstance(v, Column) else F.lit(str(v))
-    return F.md5(F.concat_ws(":", lit(seed), lit(rule), F.lit(label), id_col.cast("string")))
-
-
-def valid_sentence(rule: str, id_col: Column, seed: int | str = 42, m: Column | None = None) -> Column:
-    """A valid sentence of ``rule``; ``m`` is the row's md5 key when already projected."""
-    m = valid_key(seed, rule, id_col) if m is None else m
-    a = u32(m, 1)
+def valid_sentence(rule: str, d: Draws) -> Column:
+    a = d.a
     if rule == "grammar1":
         return _run(R.G1_OPEN, R.G1_MID, F.lit(1) + a % 10, R.G1_CLOSE)
     if rule == "tivari":
@@ -65,24 +63,28 @@ def valid_sentence(rule: str, id_col: Column, seed: int | str = 42, m: Column |
         return _run(R.TV_OPEN, R.TV_MID, F.lit(1) + a % 4, R.TV_CLOSE)
     if rule == "grammar2":
         n = F.lit(1) + a % 4
-        return F.concat_ws(" ", _pair(m, 9), *[F.when(n >= i, _pair(m, 8 + i)) for i in range(2, 5)])
+        return F.concat_ws(" ", _pair(d, 9), *[F.when(n >= i, _pair(d, 8 + i)) for i in range(2, 5)])
     if rule == "grammar3":
         h = a % (G3_MAX_HALF + 1)
-        fwd, rev = _g3_half(m, h, 9, G3_MAX_HALF)
-        odd = (nibble(m, 17) < 8) & (h > 0)
-        centre = F.when(odd, pick(R.G3_CENTRES, nibble(m, 18) % 2))
+        fwd, rev = _g3_half(d, h, 9, G3_MAX_HALF)
+        odd = (d.n(17) < 8) & (h > 0)
+        centre = F.when(odd, pick(R.G3_CENTRES, d.n(18) % 2))
         return F.concat_ws(" ", F.lit(R.G3_OPEN), fwd, centre, rev, F.lit(R.G3_CLOSE))
     raise KeyError(rule)
 
 
-def invalid_sentence(rule: str, id_col: Column, seed: int | str = 42,
-                     m: Column | None = None) -> tuple[Column, Column]:
-    """(violation type, sentence). The type is ``types[id % len(types)]``."""
-    types = R.INVALID_TYPES[rule]
-    m = valid_key(seed, rule, id_col, "invalid") if m is None else m
-    a = u32(m, 1)
-    vi = F.pmod(id_col, F.lit(len(types)))
-    vt = pick(types, vi)
+def violation_index(rule: str, id_col: Column) -> Column:
+    return F.pmod(id_col, F.lit(len(R.INVALID_TYPES[rule])))
+
+
+def violation_type(rule: str, id_col: Column) -> Column:
+    return pick(R.INVALID_TYPES[rule], violation_index(rule, id_col))
+
+
+def invalid_sentence(rule: str, d: Draws, id_col: Column) -> Column:
+    """A sentence breaking ``rule`` the way named by ``violation_type(rule, id)``."""
+    a = d.a
+    vi = violation_index(rule, id_col)
     if rule in ("grammar1", "tivari", "tivari_b"):
         o, mid, c = (R.G1_OPEN, R.G1_MID, R.G1_CLOSE) if rule == "grammar1" else (R.TV_OPEN, R.TV_MID, R.TV_CLOSE)
         k = F.lit(1) + a % (5 if rule != "tivari_b" else 4)
@@ -94,47 +96,45 @@ def invalid_sentence(rule: str, id_col: Column, seed: int | str = 42,
                 .when(vi == 5, _run(o, mid, k, c, close_twice=True)))
         if rule == "tivari_b":
             text = text.when(vi == 6, _run(o, mid, F.lit(5) + a % 6, c))
-        return vt, text
+        return text
     if rule == "grammar2":
-        d = nibble(m, 9)
+        d9 = d.n(9)
         n_inc = F.lit(1) + a % 2
         n_many = F.lit(5) + a % 3
-        rev_pairs = [" ".join(reversed(p.split())) for p in _PAIRS]
-        dbl_colour = [f"{p.split()[0]} {p}" for p in _PAIRS]
-        dbl_shape = [f"{p} {p.split()[1]}" for p in _PAIRS]
-        text = (F.when(vi == 0, F.concat(F.lit("RED "), pick(R.BLUE_SHAPES, d % 2)))
-                .when(vi == 1, F.concat(F.lit("BLUE "), pick(R.RED_SHAPES, d % 2)))
-                .when(vi == 2, F.concat_ws(" ", _pair(m, 10), F.when(n_inc >= 2, _pair(m, 11)),
-                                           pick(R.COLORS, nibble(m, 12) % 2)))
-                .when(vi == 3, pick(rev_pairs, d % 4))
-                .when(vi == 4, pick(dbl_colour, d % 4))
-                .when(vi == 5, pick(dbl_shape, d % 4))
-                .when(vi == 6, F.concat_ws(" ", *[_pair(m, 10 + i) for i in range(5)],
-                                           *[F.when(n_many >= 6 + i, _pair(m, 15 + i)) for i in range(2)])))
-        return vt, text
+        rev_pairs = [" ".join(reversed(p.split())) for p in PAIRS]
+        dbl_colour = [f"{p.split()[0]} {p}" for p in PAIRS]
+        dbl_shape = [f"{p} {p.split()[1]}" for p in PAIRS]
+        return (F.when(vi == 0, F.concat(F.lit("RED "), pick(R.BLUE_SHAPES, d9 % 2)))
+                .when(vi == 1, F.concat(F.lit("BLUE "), pick(R.RED_SHAPES, d9 % 2)))
+                .when(vi == 2, F.concat_ws(" ", _pair(d, 10), F.when(n_inc >= 2, _pair(d, 11)),
+                                           pick(R.COLORS, d.n(12) % 2)))
+                .when(vi == 3, pick(rev_pairs, d9 % 4))
+                .when(vi == 4, pick(dbl_colour, d9 % 4))
+                .when(vi == 5, pick(dbl_shape, d9 % 4))
+                .when(vi == 6, F.concat_ws(" ", *[_pair(d, 10 + i) for i in range(5)],
+                                           *[F.when(n_many >= 6 + i, _pair(d, 15 + i)) for i in range(2)])))
     if rule == "grammar3":
         L = F.lit(2) + a % 3
-        idx = [nibble(m, 9 + i) % 4 for i in range(4)]
+        idx = [d.n(9 + i) % 4 for i in range(4)]
         pal = (F.when(L == 2, idx[0] == idx[1])
                .when(L == 3, idx[0] == idx[2])
                .otherwise((idx[0] == idx[3]) & (idx[1] == idx[2])))
-        bump = nibble(m, 13) % 3
+        bump = d.n(13) % 3
         fixed = [idx[0]] + [F.when(pal & (L == p + 1), (idx[p] + 1 + bump) % 4).otherwise(idx[p])
                             for p in range(1, 4)]
         tok = [pick(R.G3_CONTENT, x) for x in fixed]
         not_pal = F.concat_ws(" ", F.lit(R.G3_OPEN), tok[0], tok[1], F.when(L >= 3, tok[2]),
                               F.when(L >= 4, tok[3]), F.lit(R.G3_CLOSE))
         h = F.lit(1) + a % 2
-        fwd, rev = _g3_half(m, h, 17, 2)
-        t0 = pick(R.G3_CONTENT, nibble(m, 20) % 4)
-        text = (F.when(vi == 0, not_pal)
+        fwd, rev = _g3_half(d, h, 17, 2)
+        t0 = pick(R.G3_CONTENT, d.n(20) % 4)
+        return (F.when(vi == 0, not_pal)
                 .when(vi == 1, F.concat_ws(" ", F.lit(R.G3_OPEN), fwd, F.lit("WEJ"), rev, F.lit(R.G3_CLOSE)))
                 .when(vi == 2, F.concat_ws(" ", F.lit(R.G3_OPEN), fwd, F.lit("TAS"), rev, F.lit(R.G3_CLOSE)))
                 .when(vi == 3, F.concat_ws(" ", F.lit(R.G3_OPEN), fwd, rev))
                 .when(vi == 4, F.concat_ws(" ", fwd, rev, F.lit(R.G3_CLOSE)))
                 .when(vi == 5, F.concat_ws(" ", F.lit(R.G3_OPEN), t0, F.lit(R.G3_BAD_TOKEN), t0,
                                            F.lit(R.G3_CLOSE))))
-        return vt, text
     raise KeyError(rule)
 
 
@@ -146,68 +146,62 @@ def wrap(rule: str, c: Column) -> Column:
     return F.concat_ws(" ", F.lit(tag[0]), c, F.lit(tag[1]))
 
 
+def with_draws(df: DataFrame, key: Column, prefix: str = "_d") -> tuple[DataFrame, Draws]:
+    """Project the draw columns of ``key`` once; returns the frame and the handle generators use."""
+    d = Draws(prefix)
+    keyed = df.select("*", key.alias(f"{prefix}m"))
+    return keyed.select("*", *d.columns(F.col(f"{prefix}m"))).drop(f"{prefix}m"), d
+
+
 def synth_valid(ids: DataFrame, rule: str, seed: int | str = 42, id_col: str = "id") -> DataFrame:
     """One valid sentence per input row: (id, text)."""
-    keyed = ids.select(F.col(id_col).alias("id"), valid_key(seed, rule, F.col(id_col)).alias("_m"))
-    return keyed.select("id", valid_sentence(rule, F.col("id"), seed, F.col("_m")).alias("text"))
+    base = ids.select(F.col(id_col).alias("id"))
+    keyed, d = with_draws(base, sentence_key(seed, rule, F.col("id")))
+    return keyed.select("id", valid_sentence(rule, d).alias("text"))
 
 
 def synth_invalid(ids: DataFrame, rule: str, seed: int | str = 42, id_col: str = "id") -> DataFrame:
     """One broken sentence per input row: (id, violation, text)."""
-    keyed = ids.select(F.col(id_col).alias("id"), valid_key(seed, rule, F.col(id_col), "invalid").alias("_m"))
-    vt, text = invalid_sentence(rule, F.col("id"), seed, F.col("_m"))
-    return keyed.select("id", vt.alias("violation"), text.alias("text"))
+    base = ids.select(F.col(id_col).alias("id"))
+    keyed, d = with_draws(base, sentence_key(seed, rule, F.col("id"), "invalid"))
+    idc = F.col("id")
+    return keyed.select("id", violation_type(rule, idc).alias("violation"),
+                        invalid_sentence(rule, d, idc).alias("text"))
 
 
-def sentence_by_rule(rule_col: Column, id_col: Column, seed, valid: bool) -> tuple[Column | None, Column]:
-    """Per-row rule dispatch over every registered rule: (violation or None, text)."""
-    text = None
-    viol = None
+def by_rule_col(rule_col: Column, fn) -> Column:
+    out = None
     for r in R.RULES:
-        if valid:
-            t = valid_sentence(r, id_col, seed)
-        else:
-            v, t = invalid_sentence(r, id_col, seed)
-            viol = F.when(rule_col == r, v) if viol is None else viol.when(rule_col == r, v)
-        text = F.when(rule_col == r, t) if text is None else text.when(rule_col == r, t)
-    return viol, text
-
-
-def split_dim(spark) -> DataFrame:
-    """(split, seed, has_invalid): train is valid-only; val and test carry both labels."""
-    return spark.createDataFrame([("train", 42, False), ("val", 123, True), ("test", 456, True)],
-                                 "split string, seed int, has_invalid boolean")
+        v = fn(r)
+        out = F.when(rule_col == r, v) if out is None else out.when(rule_col == r, v)
+    return out
 
 
-def synth_splits(ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """Every rule set x every split x every id: valid sentences for all splits, invalid ones for val and test.
-
-    The rule/split/label dimension is 25 constant combinations, unrolled as a ``explode`` of a literal array
-    (a generator, not a join) so the id side is never shuffled.
-    """
+def split_combos() -> list[tuple[str, str, int, str]]:
     combos = []
     for r in R.RULES:
         for split, seed in SPLIT_SEEDS.items():
             combos.append((r, split, seed, "valid"))
             if split != "train":
                 combos.append((r, split, seed, "invalid"))
+    return combos
+
+
+def synth_splits(ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Every rule set x split x id: valid sentences for all splits, invalid ones for val and test.
+
+    The 25 (rule, split, label) combinations are a literal array exploded per id (a generator, not a join), so the
+    id side is never shuffled; the seed is part of the md5 key.
+    """
     arr = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("split"), F.lit(sd).alias("seed"),
-                             F.lit(lb).alias("label")) for r, s, sd, lb in combos])
+                             F.lit(lb).alias("label")) for r, s, sd, lb in split_combos()])
     base = ids.select(F.col(id_col).alias("id"), F.explode(arr).alias("c")).select("id", "c.*")
-    base = base.select("*", valid_key(F.col("seed").cast("string"), F.col("rule"), F.col("id"),
-                                      "valid").alias("_m"),
-                       valid_key(F.col("seed").cast("string"), F.col("rule"), F.col("id"),
-                                 "invalid").alias("_mi"))
-    text = None
-    viol = None
+    key = sentence_key(F.col("seed").cast("string"), F.col("rule"), F.col("id"), F.col("label"))
+    keyed, d = with_draws(base, key)
     idc = F.col("id")
-    for r in R.RULES:
-        for lb in ("valid", "invalid"):
-            cond = (F.col("rule") == r) & (F.col("label") == lb)
-            if lb == "valid":
-                t, v = valid_sentence(r, idc, m=F.col("_m")), F.lit(None).cast("string")
-            else:
-                v, t = invalid_sentence(r, idc, m=F.col("_mi"))
-            text = F.when(cond, t) if text is None else text.when(cond, t)
-            viol = F.when(cond, v) if viol is None else viol.when(cond, v)
-    return base.select("rule", "split", "label", "id", viol.alias("violation"), text.alias("text"))
+    valid = by_rule_col(F.col("rule"), lambda r: valid_sentence(r, d))
+    invalid = by_rule_col(F.col("rule"), lambda r: invalid_sentence(r, d, idc))
+    viol = by_rule_col(F.col("rule"), lambda r: violation_type(r, idc))
+    is_valid = F.col("label") == "valid"
+    return keyed.select("rule", "split", "label", "id", F.when(~is_valid, viol).alias("violation"),
+                        F.when(is_valid, valid).otherwise(invalid).alias("text"))

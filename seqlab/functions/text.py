@@ -146,3 +146,10 @@ def strip_prefix(c, prefix) -> Column:
     p = _col(prefix)
     rest = F.when(t.startswith(p), t.substr(F.length(p) + 1, _rest())).otherwise(t)
     return first_line(rest)
+
+
+def count_fused(n: Column, rule_tokens: list[str]) -> Column:
+    """Number of tokens that contain a rule token but are not one (``END.``, ``ENDMARKER``, ``BEKER``)."""
+    alt = "|".join(rule_tokens)
+    pat = "(?:^| )(?!(?:%s)(?: |$))[^ ]*(?:%s)[^ ]*" % (alt, alt)
+    return F.regexp_count(n, F.lit(pat))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlab.functions import text as T
+from seqlab.functions.fence import fence
 from seqlab.operators import rules as R
 
 RUN_KEYS = ["model", "rule", "variant", "step"]
@@ -72,5 +74,8 @@ def lenient_only(v: DataFrame) -> DataFrame:
 
 
 def violation_classes(v: DataFrame) -> DataFrame:
-    return v.select("id", "rule", "variant", R.by_rule(F.col("rule"), lambda s: s.violation(F.col("extracted")))
-                    .alias("violation"))
+    """Which rule a sample breaks first (in the rule set's own check order), or ``valid``."""
+    n = v.select("id", "rule", "variant", T.ws_norm(F.col("extracted")).alias("_n"))
+    c = n.select("id", "rule", "variant",
+                 R.by_rule(F.col("rule"), lambda s: s.violation_norm(F.col("_n"))).alias("violation"))
+    return fence(c, ["id", "rule", "variant"], ["violation"])

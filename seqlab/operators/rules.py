@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as T
+from seqlab.functions.fence import fence
 from seqlab.functions.memo import session_cached
 
 # --- fixed values: rule vocabularies, tags, prompts, violation names (must equal the reference) -------------
@@ -345,7 +346,9 @@ def with_verdicts(df: DataFrame, text_col: str = "generated", rule_col: str = "r
     x = x.select("*", e["pn"].alias("_pn"))
     for name, expr in e["defs"]:
         x = x.select("*", expr.alias(name))
-    return x.select(*cols, "extracted", e["strict"].alias("is_valid"), e["lenient"].alias("is_lenient_valid"))
+    # Verdicts leave through an optimizer fence, so a later filter on them never inlines the alias chain.
+    x = x.select(*cols, "extracted", e["strict"].alias("is_valid"), e["lenient"].alias("is_lenient_valid"))
+    return fence(x, cols, ["extracted", "is_valid", "is_lenient_valid"])
 
 
 def rules_dim(spark) -> DataFrame:

@@ -6,7 +6,9 @@ expressions in one place. Doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+from seqlab.operators import corpus as X
 from seqlab.operators import rules as R
+from seqlab.operators import synth as S
 from seqlab.operators.generation import STEPS, VARIANTS
 from seqlab.plans import sqlkit as K
 
@@ -79,13 +81,275 @@ SELECT {k}, CAST(count(*) AS BIGINT) AS total, CAST(count_if(is_valid) AS BIGINT
 FROM verdicts GROUP BY {k}"""
 
 
+RUN = "model, rule, variant, step"
 ORACLE: dict[str, str] = {}
 
 
+def with_v(body: str) -> str:
+    return "WITH " + verdicts_cte() + "\n" + body
+
+
+def skey(seed, rule, label="valid", idc="id") -> str:
+    return K.md5key(K.q(str(seed)), K.q(rule) if not rule.startswith("@") else rule[1:], K.q(label),
+                    f"CAST({idc} AS VARCHAR)")
+
+
+def synth_valid_sql(rule: str, seed=42, src="SELECT event_id AS id FROM events") -> str:
+    return f"SELECT id, {K.valid_sql(rule, 'm')} AS text FROM (SELECT id, {skey(seed, rule)} AS m FROM ({src}))"
+
+
+def synth_invalid_sql(rule: str, seed=42) -> str:
+    vt, text = K.invalid_sql(rule, "m", "id")
+    return (f"SELECT id, {vt} AS violation, {text} AS text FROM "
+            f"(SELECT event_id AS id, {skey(seed, rule, 'invalid', 'event_id')} AS m FROM events)")
+
+
+def splits_cte() -> str:
+    rows = ", ".join(f"({K.q(r)}, {K.q(sp)}, {sd}, {K.q(lb)})" for r, sp, sd, lb in S.split_combos())
+    valid = K.by_rule("rule", lambda r: K.valid_sql(r, "mv"))
+    inv = K.by_rule("rule", lambda r: K.invalid_sql(r, "mi", "id")[1])
+    viol = K.by_rule("rule", lambda r: K.invalid_sql(r, "mi", "id")[0])
+    mk = lambda lb: K.md5key("CAST(seed AS VARCHAR)", "rule", K.q(lb), "CAST(id AS VARCHAR)")
+    return f"""combos(rule, split, seed, label) AS (VALUES {rows}),
+sp0 AS (SELECT c.rule, c.split, c.seed, c.label, e.event_id AS id FROM combos c, events e),
+sp1 AS (SELECT *, {mk('valid')} AS mv, {mk('invalid')} AS mi FROM sp0),
+splits AS (SELECT rule, split, label, id, CASE WHEN label = 'invalid' THEN {viol} END AS violation,
+                  CASE WHEN label = 'valid' THEN {valid} ELSE {inv} END AS text FROM sp1)"""
+
+
+def n_cte() -> str:
+    return "nn AS (SELECT count(*)::BIGINT AS n FROM events)"
+
+
+def expl_pick_sql(rule: str, key: str) -> str:
+    if rule in X.EXPLANATION_BLOCKS:
+        return K.q(X.EXPLANATION_BLOCKS[rule])
+    sents = X.EXPLANATION_SENTENCES[rule]
+    m = K.md5key(K.q(f"expl:{rule}"), f"CAST({key} AS VARCHAR)")
+    return K.pick(sents, f"{K.u32(m)} % {len(sents)}")
+
+
+def wrap_sql(rule: str, t: str) -> str:
+    tag = R.REGISTRY[rule].tag
+    return f"concat_ws(' ', {K.q(tag[0])}, {t}, {K.q(tag[1])})" if tag else t
+
+
+def interleave_sql(rule: str, ratio: float, mode: str = "docs") -> str:
+    """SELECT rule, ratio, ord, doc_pos, kind, text for one interleaved corpus (ids from events)."""
+    ex = synth_valid_sql(rule)
+    r = f"{ratio!r}::DOUBLE"
+    if ratio >= 1.0:
+        return (f"SELECT {K.q(rule)} AS rule, {r} AS ratio, id * 2 AS ord, id AS doc_pos, 'explanation' AS kind, "
+                f"{expl_pick_sql(rule, 'id')} AS text FROM ({ex})")
+    lines = X.explanation_lines(rule)
+    if mode == "docs":
+        k = f"greatest(1, floor(n * {ratio!r} / (1 - {ratio!r})))::BIGINT"
+    elif mode == "lines_a":
+        k = f"greatest(1, floor((n + floor(n * {ratio!r} / (1 - {ratio!r}))) * {ratio!r} / {lines}))::BIGINT"
+    else:
+        k = f"greatest(1, floor(n * {ratio!r} / {lines}))::BIGINT"
+    plan = (f"(SELECT k, every, least(k, (n - 1) // every) AS kk FROM "
+            f"(SELECT n, k, greatest(1, n // (k + 1)) AS every FROM (SELECT n, {k} AS k FROM nn)))")
+    return f"""SELECT {K.q(rule)} AS rule, {r} AS ratio, id * 2 + 1 AS ord,
+       id + least(kk, id // every) AS doc_pos, 'example' AS kind, {wrap_sql(rule, 'text')} AS text
+FROM ({ex}), {plan}
+UNION ALL
+SELECT {K.q(rule)} AS rule, {r} AS ratio, id * 2 AS ord, id + id // every - 1 AS doc_pos, 'explanation' AS kind,
+       {expl_pick_sql(rule, 'id // every')} AS text
+FROM ({ex}), {plan}
+WHERE id > 0 AND id % every = 0 AND id // every <= kk"""
+
+
 def _register():
     run = ["model", "rule", "variant", "step"]
     ORACLE["validity_overall"] = validity_sql(run)
     ORACLE["validity_by_prompt"] = validity_sql(run + ["prompt"])
+    ORACLE["validity_lenient"] = with_v(f"""
+SELECT {RUN}, count(*)::BIGINT AS total, count_if(coalesce(is_lenient_valid, false))::BIGINT AS lenient_valid,
+       {rate('count_if(coalesce(is_lenient_valid, false))', 'count(*)')} AS lenient_validity_rate
+FROM verdicts GROUP BY {RUN}""")
+    ORACLE["validity_rollup"] = with_v(f"""
+SELECT rule, variant, step, prompt, count(*)::BIGINT AS total, count_if(is_valid)::BIGINT AS valid,
+       {rate('count_if(is_valid)', 'count(*)')} AS validity_rate,
+       count_if(coalesce(is_lenient_valid, false))::BIGINT AS lenient_valid,
+       {rate('count_if(coalesce(is_lenient_valid, false))', 'count(*)')} AS lenient_validity_rate
+FROM verdicts GROUP BY ROLLUP (rule, variant, step, prompt)""")
+    cls = ("CASE WHEN is_valid THEN 'valid' WHEN coalesce(is_lenient_valid, false) THEN 'lenient_only' "
+           "ELSE 'invalid' END")
+    ORACLE["examples_per_class"] = with_v(f"""
+SELECT * FROM (SELECT {RUN}, class, (row_number() OVER (PARTITION BY {RUN}, class ORDER BY id))::INTEGER AS rn,
+                      id, prompt, extracted FROM (SELECT *, {cls} AS class FROM verdicts)) WHERE rn <= 5""")
+    ORACLE["lenient_only"] = with_v("""
+SELECT id, rule, prompt, extracted FROM verdicts WHERE coalesce(is_lenient_valid, false) AND NOT is_valid""")
+    viol = K.by_rule("rule", lambda r: K.violation_sql(r, "t"))
+    ORACLE["violation_class"] = with_v(f"SELECT id, rule, {viol} AS violation FROM v3")
+    ORACLE["violation_dist"] = with_v(f"""
+SELECT rule, variant, violation, count(*)::BIGINT AS n
+FROM (SELECT rule, variant, {viol} AS violation FROM v3) WHERE violation <> 'valid' GROUP BY ALL""")
+    for name, rule in [("valid_run", "grammar1"), ("valid_pairs", "grammar2"), ("valid_palindrome", "grammar3"),
+                       ("valid_run_b", "tivari"), ("valid_bounded", "tivari_b")]:
+        ORACLE[name] = with_v(f"SELECT id, rule, {K.strict_sql(rule, 't')} AS ok FROM v3")
+    ORACLE["lenient_run"] = with_v(f"SELECT id, rule, {K.lenient_sql('tivari', 't')} AS ok FROM v3")
+    ORACLE["lenient_palindrome"] = with_v(f"SELECT id, rule, {K.lenient_sql('grammar3', 't')} AS ok FROM v3")
+    ORACLE["tokenize_ws"] = (f"SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(t, ' ') AS tokens_joined "
+                             f"FROM (SELECT doc_id, {K.toks('text')} AS t FROM documents)")
+    for name, rule in [("synth_run", "grammar1"), ("synth_pairs", "grammar2"), ("synth_palindrome", "grammar3"),
+                       ("synth_run_b", "tivari"), ("synth_bounded", "tivari_b")]:
+        ORACLE[name] = synth_valid_sql(rule)
+    for name, rule in [("synth_bad_run", "grammar1"), ("synth_bad_pairs", "grammar2"),
+                       ("synth_bad_palindrome", "grammar3"), ("synth_bad_run_b", "tivari"),
+                       ("synth_bad_bounded", "tivari_b")]:
+        ORACLE[name] = synth_invalid_sql(rule)
+    ORACLE["synth_splits"] = "WITH " + splits_cte() + "\nSELECT * FROM splits"
+    ORACLE["wrap_doc"] = f"SELECT id, {wrap_sql('tivari', 'text')} AS doc FROM ({synth_valid_sql('tivari')})"
+    o, c = R.TAGS["grammar3"]
+    unwrapped = f"coalesce({K.tag_extract(wrap_sql('grammar3', 'text'), o, c, False)}, {wrap_sql('grammar3', 'text')})"
+    ORACLE["unwrap_doc"] = (f"SELECT id, {unwrapped} AS unwrapped, {unwrapped} = text AS round_trip "
+                            f"FROM ({synth_valid_sql('grammar3')})")
+    strict_t = K.by_rule("rule", lambda r: K.strict_sql(r, "t"))
+    ORACLE["verify_splits"] = "WITH " + splits_cte() + f"""
+SELECT rule, split, label, count(*)::BIGINT AS n,
+       count_if(({strict_t}) <> (label = 'valid'))::BIGINT AS n_errors
+FROM (SELECT *, {K.toks('text')} AS t FROM splits) GROUP BY rule, split, label"""
+    ORACLE["split_overlap"] = "WITH " + splits_cte() + """,
+tr AS (SELECT DISTINCT rule, text FROM splits WHERE split = 'train' AND label = 'valid'),
+te AS (SELECT DISTINCT rule, text FROM splits WHERE split = 'test' AND label = 'valid')
+SELECT a.rule, a.n_train_distinct, b.n_test_distinct, coalesce(c.n_shared, 0)::BIGINT AS n_shared
+FROM (SELECT rule, count(*)::BIGINT AS n_train_distinct FROM tr GROUP BY rule) a
+JOIN (SELECT rule, count(*)::BIGINT AS n_test_distinct FROM te GROUP BY rule) b USING (rule)
+LEFT JOIN (SELECT tr.rule, count(*)::BIGINT AS n_shared FROM tr JOIN te USING (rule, text) GROUP BY tr.rule) c
+USING (rule)"""
+    ORACLE["test_only"] = "WITH " + splits_cte() + """
+SELECT rule, text FROM splits WHERE split = 'test' AND label = 'valid'
+EXCEPT SELECT rule, text FROM splits WHERE split = 'train' AND label = 'valid'"""
+    # extraction
+    ORACLE["extract_to_end"] = "WITH " + samples_cte() + \
+        f"\nSELECT id, {K.extract_sql('grammar1', 'generated')} AS extracted FROM samples"
+    ORACLE["extract_pairs"] = "WITH " + samples_cte() + \
+        f"\nSELECT id, {K.extract_sql('grammar2', 'generated')} AS extracted FROM samples"
+    st = K.strip("html")
+    ORACLE["extract_tag"] = (f"SELECT page_id, coalesce({K.tag_extract(st, '<title>', '</title>')}, "
+                             f"{K.first_line(st)}) AS title FROM pages")
+    ORACLE["first_line"] = f"SELECT doc_id, {K.first_line('text')} AS first_line FROM documents"
+    ORACLE["normalize_punct"] = f"SELECT doc_id, {K.punct_strip_norm(K.norm('text'))} AS normalized FROM documents"
+    ORACLE["strip_prompt"] = "WITH " + samples_cte() + f"""
+SELECT id, {K.first_line("CASE WHEN starts_with(generated, prompt) THEN substr(generated, length(prompt) + 1) "
+                         "ELSE generated END")} AS continuation FROM samples"""
+    fused = K.by_rule("rule", lambda r: K.fused_sql("t", R.REGISTRY[r].rule_tokens))
+    ORACLE["fused_tokens"] = "WITH " + samples_cte() + f"""
+SELECT id, rule, ({fused})::INTEGER AS n_fused FROM (SELECT *, {K.toks('generated')} AS t FROM samples)"""
+    rule_alt = "|".join(sorted(R.RULES, key=len, reverse=True))
+    var_alt = "|".join(sorted(VARIANTS, key=len, reverse=True))
+    pat = K.q(r"^(.+?)_(%s)_(%s)_checkpoint-(\d+)$" % (rule_alt, var_alt))
+    ORACLE["parse_run_name"] = "WITH " + samples_cte() + f"""
+SELECT model, regexp_extract(model, {pat}, 1) AS base, regexp_extract(model, {pat}, 2) AS rule,
+       regexp_extract(model, {pat}, 3) AS variant, regexp_extract(model, {pat}, 4)::INTEGER AS step,
+       coalesce(nullif(regexp_extract(model, '_hyperdata_(\d+)pct_', 1), '')::INTEGER, 0) AS pct
+FROM (SELECT DISTINCT model FROM samples)"""
+    # reports
+    runs = f"""runs AS (SELECT {RUN}, count(*)::BIGINT AS total, count_if(is_valid)::BIGINT AS valid,
+       {rate('count_if(is_valid)', 'count(*)')} AS validity_rate FROM verdicts GROUP BY {RUN})"""
+    rvs = f"""rvs AS (SELECT rule, variant, step, count(*)::BIGINT AS total, count_if(is_valid)::BIGINT AS valid,
+       {rate('count_if(is_valid)', 'count(*)')} AS validity_rate FROM verdicts GROUP BY rule, variant, step)"""
+    ORACLE["leaderboard"] = "WITH " + verdicts_cte() + ",\n" + runs + """
+SELECT model, validity_rate,
+       (row_number() OVER (ORDER BY coalesce(validity_rate, 0) DESC, model))::INTEGER AS position FROM runs"""
+    ORACLE["checkpoint_order"] = "WITH " + samples_cte() + """
+SELECT checkpoint, step_num, (row_number() OVER (ORDER BY step_num, checkpoint))::INTEGER AS position
+FROM (SELECT checkpoint, regexp_extract(checkpoint, '-(\d+)$', 1)::INTEGER AS step_num
+      FROM (SELECT DISTINCT 'checkpoint-' || step AS checkpoint FROM samples))"""
+    piv = ", ".join(f"{rate(f'count_if(is_valid AND variant = {K.q(v)})', f'count_if(variant = {K.q(v)})')} "
+                    f"AS {v}" for v in VARIANTS)
+    piv_null = ", ".join(f"CASE WHEN count_if(variant = {K.q(v)}) > 0 THEN "
+                         f"{rate(f'count_if(is_valid AND variant = {K.q(v)})', f'count_if(variant = {K.q(v)})')} "
+                         f"END AS {v}" for v in VARIANTS)
+    ORACLE["pivot_validity"] = with_v(f"SELECT rule, step, {piv_null} FROM verdicts GROUP BY rule, step")
+    ORACLE["pivot_prompt"] = with_v(f"SELECT rule, prompt, {piv_null} FROM verdicts GROUP BY rule, prompt")
+    base = """bj AS (SELECT v.*, b.valid AS base_valid, b.total AS base_total, b.validity_rate AS base_rate
+FROM rvs v JOIN rvs b ON v.rule = b.rule AND v.step = b.step AND b.variant = 'examples'
+WHERE v.variant <> 'examples')"""
+    z = ("CASE WHEN se > 0 THEN (p1 - p2) / se END")
+    a = ", ".join(str(x) for x in [])
+    from seqlab.functions.stats import AS_A, AS_P
+    t = f"(1.0 / (1.0 + {AS_P!r} * abs(z) / sqrt(2.0)))"
+    poly = "0.0"
+    for c_ in reversed(AS_A):
+        poly = f"(({poly}) + {c_!r}) * {t}"
+    pval = f"({poly}) * exp(-(abs(z) / sqrt(2.0)) * (abs(z) / sqrt(2.0)))"
+    ORACLE["z_test"] = "WITH " + verdicts_cte() + ",\n" + rvs + ",\n" + base + f""",
+zz AS (SELECT *, {z} AS z FROM (SELECT *, valid / total AS p1, base_valid / base_total AS p2,
+        sqrt(((valid + base_valid) / (total + base_total)) * (1 - (valid + base_valid) / (total + base_total))
+             * (1.0 / total + 1.0 / base_total)) AS se FROM bj)),
+zp AS (SELECT *, {pval} AS p FROM zz)
+SELECT rule, step, variant, valid, total, base_valid, base_total, round(z, 6) AS z, round(p, 6) AS p_value,
+       CASE WHEN z IS NULL THEN '' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*'
+            ELSE '' END AS stars FROM zp"""
+    ORACLE["pp_delta"] = "WITH " + verdicts_cte() + ",\n" + rvs + ",\n" + base + """
+SELECT rule, step, variant, validity_rate, base_rate, round((validity_rate - base_rate) * 100.0, 6) AS delta_pp,
+       round((validity_rate - base_rate) / nullif(base_rate, 0), 6) AS rel_improvement FROM bj"""
+    ORACLE["best_variant"] = "WITH " + verdicts_cte() + ",\n" + rvs + """
+SELECT rule, step, variant, validity_rate FROM (
+  SELECT *, rank() OVER (PARTITION BY rule, step ORDER BY validity_rate DESC) AS rk FROM rvs) WHERE rk = 1"""
+    ORACLE["checkpoint_trend"] = "WITH " + verdicts_cte() + ",\n" + rvs + """
+SELECT rule, variant, step, validity_rate, prev_rate, round(validity_rate - prev_rate, 6) AS delta,
+       peak_step, round(last_rate - peak_rate, 6) AS final_minus_peak
+FROM (SELECT *, lag(validity_rate) OVER (PARTITION BY rule, variant ORDER BY step) AS prev_rate,
+             first_value(step) OVER (PARTITION BY rule, variant ORDER BY validity_rate DESC, step
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS peak_step,
+             max(validity_rate) OVER (PARTITION BY rule, variant) AS peak_rate,
+             last_value(validity_rate) OVER (PARTITION BY rule, variant ORDER BY step
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_rate
+      FROM rvs)"""
+    vdim = ", ".join(f"({K.q(v)}, {i})" for i, v in enumerate(VARIANTS))
+    ORACLE["variant_metrics"] = with_v(f"""
+SELECT p.rule, d.variant, d.ord, p.total, p.validity_rate
+FROM (VALUES {vdim}) d(variant, ord)
+LEFT JOIN (SELECT rule, variant, count(*)::BIGINT AS total, {rate('count_if(is_valid)', 'count(*)')} AS validity_rate
+           FROM verdicts GROUP BY rule, variant) p ON p.variant = d.variant""")
+    # corpus
+    ORACLE["corpus_examples"] = " UNION ALL ".join(
+        f"SELECT {K.q(r)} AS rule, id AS doc_pos, {wrap_sql(r, 'text')} AS text FROM ({synth_valid_sql(r)})"
+        for r in R.RULES)
+    ORACLE["interleave_docs"] = "WITH " + n_cte() + "\n" + " UNION ALL ".join(
+        f"({interleave_sql(r, 0.05)})" for r in R.RULES)
+    ORACLE["interleave_all"] = "WITH " + n_cte() + "\n" + interleave_sql("tivari", 1.0)
+    ORACLE["interleave_lines_a"] = "WITH " + n_cte() + "\n" + interleave_sql("grammar1", 0.05, "lines_a")
+    ORACLE["interleave_lines_b"] = "WITH " + n_cte() + "\n" + interleave_sql("grammar2", 0.05, "lines_b")
+    parts = " UNION ALL ".join(f"(SELECT rule, ratio, kind FROM ({interleave_sql(r, x)}))"
+                               for r in R.RULES for x in X.EXPLANATION_RATIOS)
+    ORACLE["mix_audit"] = "WITH " + n_cte() + f"""
+SELECT rule, ratio, count(*)::BIGINT AS n_docs, count_if(kind = 'explanation')::BIGINT AS n_explanations,
+       round(count_if(kind = 'explanation') / count(*), 6) AS achieved_ratio FROM ({parts}) GROUP BY rule, ratio"""
+    p = X.MIX_PROBABILITY
+    u = f"(({K.u32(K.md5key(K.q('mix:42'), 'CAST(doc_id AS VARCHAR)'))} + 0.5) / 4294967296.0)"
+    ORACLE["mix_ratio"] = "WITH " + n_cte() + f""",
+syn AS ({interleave_sql('tivari', 0.05)}),
+nsyn AS (SELECT count(*)::BIGINT AS ns FROM syn),
+c AS (SELECT doc_id AS canon_pos, text, floor(ln({u}) / ln({p!r}))::BIGINT AS g FROM documents),
+cum AS (SELECT *, coalesce(sum(g) OVER (ORDER BY canon_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  ::BIGINT AS cum_before FROM c),
+dr AS (SELECT canon_pos, unnest(range(0, g)) AS slot, cum_before FROM cum WHERE g > 0)
+SELECT canon_pos, g AS slot, 'canonical' AS source, NULL::BIGINT AS syn_pos, text FROM cum
+UNION ALL
+SELECT dr.canon_pos, dr.slot, 'synthetic' AS source, (dr.cum_before + dr.slot) % nsyn.ns AS syn_pos, syn.text
+FROM dr, nsyn JOIN syn ON syn.doc_pos = (dr.cum_before + dr.slot) % nsyn.ns"""
+    ORACLE["shuffle_seeded"] = (f"SELECT doc_id, {K.md5key(K.q('shuffle:42'), 'CAST(doc_id AS VARCHAR)')} "
+                                f"AS shuffle_key FROM documents")
+    ORACLE["truncate_tokens"] = (f"SELECT doc_id, len(t)::INTEGER AS n_tokens, "
+                                 f"array_to_string(list_slice(t, 1, {X.MAX_SEQ_TOKENS}), ' ') AS truncated "
+                                 f"FROM (SELECT doc_id, {K.toks('text')} AS t FROM documents)")
+    ORACLE["token_budget"] = f"""
+SELECT source, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS raw_tokens,
+       sum(least(n, {X.MAX_SEQ_TOKENS}))::BIGINT AS budget_tokens
+FROM (SELECT source, len({K.toks('text')}) AS n FROM documents) GROUP BY source"""
+    ORACLE["corpus_stats"] = ("SELECT source, count(*)::BIGINT AS n_docs, sum(strlen(text))::BIGINT AS n_bytes "
+                              "FROM documents GROUP BY source")
+    ORACLE["load_lines"] = f"""
+SELECT doc_id, line_no, line FROM (
+  SELECT doc_id, line_no, {K.strip('raw')} AS line FROM (
+    SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS line_no, unnest(parts) AS raw
+    FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS parts FROM documents)))
+WHERE line <> ''"""
 
 
 _register()

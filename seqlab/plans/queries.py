@@ -8,9 +8,16 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from seqlab.functions import text as T
+from seqlab.functions.draws import spread
+from seqlab.operators import corpus as X
 from seqlab.operators import generation as G
 from seqlab.operators import metrics as M
+from seqlab.operators import reports as P
+from seqlab.operators import rules as R
+from seqlab.operators import synth as S
 from seqlab.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +53,361 @@ def q_validity_overall(spark, sf):
 @query("validity_by_prompt")
 def q_validity_by_prompt(spark, sf):
     return M.validity(verdicts(spark, sf), RUN + ["prompt"])
+
+
+@query("validity_lenient")
+def q_validity_lenient(spark, sf):
+    return M.validity(verdicts(spark, sf), RUN).select(*RUN, "total", "lenient_valid", "lenient_validity_rate")
+
+
+@query("validity_rollup")
+def q_validity_rollup(spark, sf):
+    return M.validity_rollup(verdicts(spark, sf))
+
+
+@query("examples_per_class")
+def q_examples_per_class(spark, sf):
+    return M.examples_per_class(verdicts(spark, sf), RUN)
+
+
+@query("lenient_only")
+def q_lenient_only(spark, sf):
+    return M.lenient_only(verdicts(spark, sf))
+
+
+@query("violation_class")
+def q_violation_class(spark, sf):
+    return M.violation_classes(verdicts(spark, sf)).select("id", "rule", "violation")
+
+
+@query("violation_dist")
+def q_violation_dist(spark, sf):
+    vc = M.violation_classes(verdicts(spark, sf)).filter(F.col("violation") != "valid")
+    return vc.groupBy("rule", "variant", "violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- rule predicates over extracted strings (P2-P8) -----------------------------------------------------------
+
+def _predicate(spark, sf, rule: str, lenient: bool = False, alias: str = "ok"):
+    v = verdicts(spark, sf)
+    spec = R.REGISTRY[rule]
+    n = T.ws_norm(F.col("extracted"))
+    col = spec.lenient_norm(n) if lenient else spec.strict_norm(n)
+    return v.select("id", "rule", col.alias(alias))
+
+
+@query("valid_run")
+def q_valid_run(spark, sf):
+    return _predicate(spark, sf, "grammar1")
+
+
+@query("valid_pairs")
+def q_valid_pairs(spark, sf):
+    return _predicate(spark, sf, "grammar2")
+
+
+@query("valid_palindrome")
+def q_valid_palindrome(spark, sf):
+    return _predicate(spark, sf, "grammar3")
+
+
+@query("valid_run_b")
+def q_valid_run_b(spark, sf):
+    return _predicate(spark, sf, "tivari")
+
+
+@query("valid_bounded")
+def q_valid_bounded(spark, sf):
+    return _predicate(spark, sf, "tivari_b")
+
+
+@query("lenient_run")
+def q_lenient_run(spark, sf):
+    return _predicate(spark, sf, "tivari", lenient=True)
+
+
+@query("lenient_palindrome")
+def q_lenient_palindrome(spark, sf):
+    return _predicate(spark, sf, "grammar3", lenient=True)
+
+
+@query("tokenize_ws")
+def q_tokenize_ws(spark, sf):
+    d = load(spark, sf, "documents", ["doc_id", "text"])
+    n = T.ws_norm(F.col("text"))
+    return d.select("doc_id", T.n_tokens_norm(n).cast("int").alias("n_tokens"), n.alias("tokens_joined"))
+
+
+# ---- synthesis (G1-G13) ---------------------------------------------------------------------------------------
+
+def event_ids(spark, sf) -> DataFrame:
+    return spread(load(spark, sf, "events", ["event_id"]).withColumnRenamed("event_id", "id"))
+
+
+for _name, _rule in [("synth_run", "grammar1"), ("synth_pairs", "grammar2"), ("synth_palindrome", "grammar3"),
+                     ("synth_run_b", "tivari"), ("synth_bounded", "tivari_b")]:
+    QUERIES[_name] = (lambda r: lambda spark, sf: S.synth_valid(event_ids(spark, sf), r))(_rule)
+
+for _name, _rule in [("synth_bad_run", "grammar1"), ("synth_bad_pairs", "grammar2"),
+                     ("synth_bad_palindrome", "grammar3"), ("synth_bad_run_b", "tivari"),
+                     ("synth_bad_bounded", "tivari_b")]:
+    QUERIES[_name] = (lambda r: lambda spark, sf: S.synth_invalid(event_ids(spark, sf), r))(_rule)
+
+
+@query("synth_splits")
+def q_synth_splits(spark, sf):
+    return S.synth_splits(event_ids(spark, sf))
+
+
+@query("wrap_doc")
+def q_wrap_doc(spark, sf):
+    s = S.synth_valid(event_ids(spark, sf), "tivari")
+    return s.select("id", S.wrap("tivari", F.col("text")).alias("doc"))
+
+
+@query("unwrap_doc")
+def q_unwrap_doc(spark, sf):
+    s = S.synth_valid(event_ids(spark, sf), "grammar3")
+    o, c = R.TAGS["grammar3"]
+    wrapped = S.wrap("grammar3", F.col("text"))
+    return s.select("id", T.unwrap_doc(wrapped, o, c).alias("unwrapped"),
+                    (T.unwrap_doc(wrapped, o, c) == F.col("text")).alias("round_trip"))
+
+
+@query("verify_splits")
+def q_verify_splits(spark, sf):
+    sp = S.synth_splits(event_ids(spark, sf))
+    ok = R.by_rule(F.col("rule"), lambda s: s.strict(F.col("text")))
+    wrong = ok != (F.col("label") == "valid")
+    return sp.groupBy("rule", "split", "label").agg(F.count(F.lit(1)).alias("n"),
+                                                     F.count_if(wrong).alias("n_errors"))
+
+
+def _split_texts(spark, sf, split):
+    sp = S.synth_splits(event_ids(spark, sf))
+    return sp.filter((F.col("split") == split) & (F.col("label") == "valid")).select("rule", "text")
+
+
+@query("split_overlap")
+def q_split_overlap(spark, sf):
+    train = _split_texts(spark, sf, "train").distinct()
+    test = _split_texts(spark, sf, "test").distinct()
+    shared = train.join(test, ["rule", "text"], "left_semi").groupBy("rule").agg(F.count(F.lit(1)).alias("n_shared"))
+    nt = train.groupBy("rule").agg(F.count(F.lit(1)).alias("n_train_distinct"))
+    ns = test.groupBy("rule").agg(F.count(F.lit(1)).alias("n_test_distinct"))
+    return (nt.join(ns, "rule", "full").join(shared, "rule", "left")
+              .select("rule", "n_train_distinct", "n_test_distinct",
+                      F.coalesce(F.col("n_shared"), F.lit(0)).alias("n_shared")))
+
+
+@query("test_only")
+def q_test_only(spark, sf):
+    train = _split_texts(spark, sf, "train")
+    test = _split_texts(spark, sf, "test")
+    return test.subtract(train)
+
+
+# ---- extraction (E1-E9) ---------------------------------------------------------------------------------------
+
+@query("extract_to_end")
+def q_extract_to_end(spark, sf):
+    return samples(spark, sf).select("id", T.extract_to_token(F.col("generated"), R.G1_CLOSE).alias("extracted"))
+
+
+@query("extract_pairs")
+def q_extract_pairs(spark, sf):
+    return samples(spark, sf).select(
+        "id", T.extract_leading_pairs(F.col("generated"), R.COLORS, R.RED_SHAPES + R.BLUE_SHAPES).alias("extracted"))
+
+
+@query("extract_tag")
+def q_extract_tag(spark, sf):
+    p = load(spark, sf, "pages", ["page_id", "html"])
+    return p.select("page_id", T.extract_tagged(F.col("html"), "<title>", "</title>").alias("title"))
+
+
+@query("first_line")
+def q_first_line(spark, sf):
+    d = load(spark, sf, "documents", ["doc_id", "text"])
+    return d.select("doc_id", T.first_line(F.col("text")).alias("first_line"))
+
+
+@query("normalize_punct")
+def q_normalize_punct(spark, sf):
+    d = load(spark, sf, "documents", ["doc_id", "text"])
+    return d.select("doc_id", T.strip_punct_tokens(T.ws_norm(F.col("text"))).alias("normalized"))
+
+
+@query("strip_prompt")
+def q_strip_prompt(spark, sf):
+    s = samples(spark, sf)
+    return s.select("id", T.strip_prefix(F.col("generated"), F.col("prompt")).alias("continuation"))
+
+
+@query("fused_tokens")
+def q_fused_tokens(spark, sf):
+    s = samples(spark, sf)
+    n = T.ws_norm(F.col("generated"))
+    cnt = R.by_rule(F.col("rule"), lambda spec: T.count_fused(n, spec.rule_tokens))
+    return s.select("id", "rule", cnt.cast("int").alias("n_fused"))
+
+
+@query("parse_run_name")
+def q_parse_run_name(spark, sf):
+    names = samples(spark, sf).select("model").distinct()
+    return P.parse_run_names(names, "model")
+
+
+# ---- reports (O1-O6, A15-A18, W4, J3) -------------------------------------------------------------------------
+
+def runs(spark, sf) -> DataFrame:
+    return M.validity(verdicts(spark, sf), RUN)
+
+
+@query("leaderboard")
+def q_leaderboard(spark, sf):
+    return P.leaderboard(runs(spark, sf))
+
+
+@query("checkpoint_order")
+def q_checkpoint_order(spark, sf):
+    names = samples(spark, sf).select(F.concat(F.lit("checkpoint-"), F.col("step")).alias("checkpoint")).distinct()
+    return P.checkpoint_order(names)
+
+
+@query("pivot_validity")
+def q_pivot_validity(spark, sf):
+    return P.pivot_by_variant(verdicts(spark, sf), ["rule", "step"])
+
+
+@query("pivot_prompt")
+def q_pivot_prompt(spark, sf):
+    return P.pivot_by_variant(verdicts(spark, sf), ["rule", "prompt"])
+
+
+@query("z_test")
+def q_z_test(spark, sf):
+    return P.z_test(M.validity(verdicts(spark, sf), ["rule", "variant", "step"]), ["rule", "step"])
+
+
+@query("pp_delta")
+def q_pp_delta(spark, sf):
+    return P.pp_delta(M.validity(verdicts(spark, sf), ["rule", "variant", "step"]), ["rule", "step"])
+
+
+@query("best_variant")
+def q_best_variant(spark, sf):
+    return P.best_variant(M.validity(verdicts(spark, sf), ["rule", "variant", "step"]), ["rule", "step"])
+
+
+@query("checkpoint_trend")
+def q_checkpoint_trend(spark, sf):
+    return P.checkpoint_trend(M.validity(verdicts(spark, sf), ["rule", "variant", "step"]), ["rule", "variant"])
+
+
+@query("variant_metrics")
+def q_variant_metrics(spark, sf):
+    per = M.validity(verdicts(spark, sf), ["rule", "variant"]).select("rule", "variant", "total", "validity_rate")
+    dims = G.variants_dim(spark).select("variant", "ord")
+    return dims.join(per, "variant", "left").select("rule", "variant", "ord", "total", "validity_rate")
+
+
+# ---- corpus building (X0-X13) ---------------------------------------------------------------------------------
+
+def n_events(spark, sf) -> int:
+    """Row count of the id source (one scalar; sizes the closed-form interleave)."""
+    return load(spark, sf, "events", ["event_id"]).count()
+
+
+def examples(spark, sf, rule, seed=42):
+    return S.synth_valid(event_ids(spark, sf), rule, seed).withColumnRenamed("id", "pos")
+
+
+@query("corpus_examples")
+def q_corpus_examples(spark, sf):
+    return X.corpus_examples(event_ids(spark, sf))
+
+
+@query("interleave_docs")
+def q_interleave_docs(spark, sf):
+    n = n_events(spark, sf)
+    out = None
+    for r in R.RULES:
+        df = X.interleave(examples(spark, sf, r), n, r, 0.05)
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query("interleave_all")
+def q_interleave_all(spark, sf):
+    n = n_events(spark, sf)
+    return X.interleave(examples(spark, sf, "tivari"), n, "tivari", 1.0)
+
+
+@query("interleave_lines_a")
+def q_interleave_lines_a(spark, sf):
+    return X.interleave(examples(spark, sf, "grammar1"), n_events(spark, sf), "grammar1", 0.05, "lines_a")
+
+
+@query("interleave_lines_b")
+def q_interleave_lines_b(spark, sf):
+    return X.interleave(examples(spark, sf, "grammar2"), n_events(spark, sf), "grammar2", 0.05, "lines_b")
+
+
+@query("mix_audit")
+def q_mix_audit(spark, sf):
+    n = n_events(spark, sf)
+    out = None
+    for r in R.RULES:
+        ex = examples(spark, sf, r)
+        for ratio in X.EXPLANATION_RATIOS:
+            df = X.interleave(ex, n, r, ratio).select("rule", "ratio", "kind")
+            out = df if out is None else out.unionByName(df)
+    return X.mix_audit(out, ["rule", "ratio"])
+
+
+def synthetic_corpus(spark, sf, rule="tivari", ratio=0.05):
+    n = n_events(spark, sf)
+    corpus = X.interleave(examples(spark, sf, rule), n, rule, ratio)
+    k, every, big_k = X.interleave_plan(n, ratio, "docs", X.explanation_lines(rule))
+    return corpus, n + big_k
+
+
+@query("mix_ratio")
+def q_mix_ratio(spark, sf):
+    docs = load(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "pos")
+    syn, n_syn = synthetic_corpus(spark, sf)
+    return X.mix_ratio(docs, syn.select("doc_pos", "text"), n_syn, X.MIX_PROBABILITY)
+
+
+@query("shuffle_seeded")
+def q_shuffle_seeded(spark, sf):
+    docs = load(spark, sf, "documents", ["doc_id"])
+    return X.shuffle_seeded(docs, "doc_id")
+
+
+@query("truncate_tokens")
+def q_truncate_tokens(spark, sf):
+    docs = load(spark, sf, "documents", ["doc_id", "text"])
+    return X.truncate_tokens(docs).select("doc_id", "n_tokens", "truncated")
+
+
+@query("token_budget")
+def q_token_budget(spark, sf):
+    return X.token_budget(load(spark, sf, "documents", ["source", "text"]), ["source"])
+
+
+@query("corpus_stats")
+def q_corpus_stats(spark, sf):
+    d = load(spark, sf, "documents", ["source", "text"])
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
+                                   F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
+
+
+@query("load_lines")
+def q_load_lines(spark, sf):
+    d = load(spark, sf, "documents", ["doc_id", "text"])
+    lines = d.select("doc_id", F.posexplode(F.split(F.col("text"), "\r\n|\r|\n")).alias("line_no", "raw"))
+    return (lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"),
+                         T.strip_ws(F.col("raw")).alias("line"))
+                 .filter(F.col("line") != ""))

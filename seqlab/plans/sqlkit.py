@@ -219,3 +219,44 @@ def extract_sql(rule: str, s: str) -> str:
     cut = (f"CASE WHEN strpos({rest}, {q(c)}) > 0 THEN split_part({rest}, {q(c)}, 1) "
            f"WHEN strpos({rest}, '</') > 0 THEN split_part({rest}, '</', 1) ELSE {rest} END")
     return f"CASE WHEN strpos({st}, {q(o)}) > 0 THEN {strip(cut)} ELSE {first_line(st)} END"
+
+
+def violation_sql(rule: str, t: str) -> str:
+    if rule in ("grammar1", "tivari", "tivari_b"):
+        o, mid, c = ("START", "MID", "END") if rule == "grammar1" else ("XAQ", "ZIV", "BEK")
+        extra = f" WHEN len({t}) - 2 > 4 THEN 'too_long'" if rule == "tivari_b" else ""
+        return (f"CASE WHEN len({t}) < 3 THEN 'too_short' WHEN {t}[1] <> {q(o)} THEN 'bad_open' "
+                f"WHEN {t}[len({t})] <> {q(c)} THEN 'bad_close' "
+                f"WHEN len(list_filter(list_slice({t}, 2, len({t}) - 1), lambda x: x <> {q(mid)})) > 0 "
+                f"THEN 'bad_middle'{extra} ELSE 'valid' END")
+    if rule == "grammar2":
+        bad = (f"list_filter(range(1, len({t}) + 1, 2), lambda i: NOT coalesce("
+               f"({t}[i] = 'RED' AND {t}[i + 1] IN ('CIRCLE', 'SQUARE')) OR "
+               f"({t}[i] = 'BLUE' AND {t}[i + 1] IN ('TRIANGLE', 'DIAMOND')), false))")
+        return (f"CASE WHEN len({t}) = 0 THEN 'empty' WHEN len({t}) % 2 <> 0 THEN 'odd_length' "
+                f"WHEN len({bad}) > 0 AND {t}[{bad}[1]] NOT IN ('RED', 'BLUE') THEN 'bad_color' "
+                f"WHEN len({bad}) > 0 THEN 'bad_shape' WHEN len({t}) / 2 > 4 THEN 'too_many_pairs' "
+                f"ELSE 'valid' END")
+    if rule == "grammar3":
+        c = f"list_slice({t}, 2, len({t}) - 1)"
+        return (f"CASE WHEN len({t}) < 2 THEN 'too_short' "
+                f"WHEN {t}[1] <> 'FEP' OR {t}[len({t})] <> 'GOR' THEN 'bad_brackets' "
+                f"WHEN len(list_filter({c}, lambda x: x NOT IN ('NUL', 'TAS', 'WEJ', 'KOB'))) > 0 THEN 'bad_token' "
+                f"WHEN {c} <> list_reverse({c}) THEN 'not_palindrome' "
+                f"WHEN len(list_filter({c}, lambda x: x = 'TAS')) % 2 <> 0 OR "
+                f"len(list_filter({c}, lambda x: x = 'WEJ')) % 2 <> 0 THEN 'odd_count' ELSE 'valid' END")
+    raise KeyError(rule)
+
+
+def fused_sql(t: str, rule_tokens) -> str:
+    ors = " OR ".join(f"contains(x, {q(tok)})" for tok in rule_tokens)
+    return f"len(list_filter({t}, lambda x: x NOT IN ({', '.join(q(x) for x in rule_tokens)}) AND ({ors})))"
+
+
+def tag_extract(s: str, o: str, c: str, fallback: bool = True) -> str:
+    """After the first ``o``; cut at the first ``c``, else (optionally) at the first '</', else rest; stripped.
+    NULL when ``o`` does not occur."""
+    rest = f"substr({s}, strpos({s}, {q(o)}) + {len(o)})"
+    fb = f"WHEN strpos({rest}, '</') > 0 THEN split_part({rest}, '</', 1) " if fallback else ""
+    cut = f"CASE WHEN strpos({rest}, {q(c)}) > 0 THEN split_part({rest}, {q(c)}, 1) {fb}ELSE {rest} END"
+    return f"CASE WHEN strpos({s}, {q(o)}) > 0 THEN {strip(cut)} END"

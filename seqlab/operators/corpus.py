@@ -264,3 +264,42 @@ def mix_audit(corpus: DataFrame, keys: list[str]) -> DataFrame:
                                   F.count_if(F.col("kind") == "explanation").alias("n_explanations"))
     return g.select(*keys, "n_docs", "n_explanations",
                     F.round(F.col("n_explanations") / F.col("n_docs"), 6).alias("achieved_ratio"))
+
+
+def interleave_grid(ids: DataFrame, n: int, ratios: dict[str, float], rules: list[str] | None = None,
+                    seed: int = 42, id_col: str = "id") -> DataFrame:
+    """Every rule set x every corpus condition in one pipeline: (rule, variant, ord, doc_pos, kind, text).
+
+    Same rows as ``interleave`` per (rule, ratio) (``ratio`` 0 = examples only), but rules and conditions are
+    exploded from literal arrays and dispatched per row, so the plan has two branches instead of one per corpus.
+    """
+    rules = rules or R.RULES
+    arr = F.array(*[F.lit(r) for r in rules])
+    base = ids.select(F.col(id_col).alias("pos"), F.explode(arr).alias("rule"))
+    base, d = S.with_draws(base, S.sentence_key(seed, F.col("rule"), F.col("pos")))
+    rc = F.col("rule")
+    sent = S.by_rule_col(rc, lambda r: S.wrap(r, S.valid_sentence(r, d)))
+    base = base.select("pos", "rule", sent.alias("text"))
+    var = F.array(*[F.lit(v) for v in ratios])
+    grid = base.select("pos", "rule", "text", F.explode(var).alias("variant"))
+
+    def plan_col(idx: int) -> F.Column:
+        out = None
+        for r in rules:
+            for v, ratio in ratios.items():
+                val = interleave_plan(n, ratio, "docs", explanation_lines(r))[idx] if 0 < ratio < 1 else 0
+                cond = (rc == r) & (F.col("variant") == v)
+                out = F.when(cond, F.lit(val)) if out is None else out.when(cond, F.lit(val))
+        return out
+
+    grid = grid.select("*", plan_col(1).alias("_every"), plan_col(2).alias("_kk"))
+    pos, every, kk = F.col("pos"), F.col("_every"), F.col("_kk")
+    ex = grid.select("rule", "variant", (pos * 2 + 1).alias("ord"),
+                     (pos + F.when(kk > 0, F.least(kk, F.floor(pos / every).cast("long"))).otherwise(0))
+                     .alias("doc_pos"), F.lit("example").alias("kind"), "text")
+    m = (pos / every).cast("long")
+    ins = (grid.filter((kk > 0) & (pos > 0) & (pos % every == 0) & (m <= kk))
+               .select("rule", "variant", (pos * 2).alias("ord"), (pos + m - 1).alias("doc_pos"),
+                       F.lit("explanation").alias("kind"),
+                       S.by_rule_col(rc, lambda r: explanation_pick(r, m)).alias("text")))
+    return ex.unionByName(ins)

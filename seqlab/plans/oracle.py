@@ -353,3 +353,128 @@ WHERE line <> ''"""
 
 
 _register()
+
+
+# ---- n-gram scorer ----------------------------------------------------------------------------------------------
+
+def corpora_sql() -> str:
+    from seqlab.operators.generation import VARIANT_RATIOS
+    parts = []
+    for r in R.RULES:
+        for v in VARIANTS:
+            ratio = VARIANT_RATIOS[v]
+            if ratio == 0.0:
+                src = f"SELECT {wrap_sql(r, 'text')} AS text FROM ({synth_valid_sql(r)})"
+            else:
+                src = f"SELECT text FROM ({interleave_sql(r, ratio)})"
+            parts.append(f"SELECT {K.q(r)} AS rule, {K.q(v)} AS variant, text FROM ({src})")
+    return " UNION ALL ".join(parts)
+
+
+def pairs_sql(src: str, keys: str) -> str:
+    """(keys, pos, prev, next) from a relation with a ``text`` column."""
+    return f"""SELECT {keys}, (i - 1)::INTEGER AS pos, t[i] AS prev, t[i + 1] AS next
+FROM (SELECT {keys}, t, unnest(generate_series(1, len(t) - 1)) AS i
+      FROM (SELECT {keys}, {K.toks('text')} AS t FROM ({src})))"""
+
+
+def tests_values() -> str:
+    from seqlab.operators.ngram import DECISION_TESTS
+    rows = []
+    for rule, tests in DECISION_TESTS.items():
+        for name, kind, prefix, good, bad, thr in tests:
+            ctx = prefix.split()[-1]
+            th = "NULL::DOUBLE" if thr is None else f"{thr!r}::DOUBLE"
+            rows += [f"({K.q(rule)}, {K.q(name)}, {K.q(kind)}, {K.q(ctx)}, {K.q(t)}, 'good', {th})" for t in good]
+            rows += [f"({K.q(rule)}, {K.q(name)}, {K.q(kind)}, {K.q(ctx)}, {K.q(t)}, 'bad', {th})" for t in bad]
+    return "tests(rule, test, kind, ctx, token, side, threshold) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def model_ctes() -> str:
+    return f"""{n_cte()},
+corp AS ({corpora_sql()}),
+cnt AS (SELECT rule, variant, prev, next, count(*)::BIGINT AS n FROM ({pairs_sql('corp', 'rule, variant')})
+        GROUP BY ALL),
+tot AS (SELECT rule, variant, prev, sum(n) AS ctx_n FROM cnt GROUP BY ALL),
+{tests_values()},
+probs AS (SELECT m.rule, m.variant, t.test, t.kind, t.token, t.side, t.threshold,
+                 coalesce(c.n / tot.ctx_n, 0.0) AS prob
+          FROM (SELECT DISTINCT rule, variant FROM cnt) m JOIN tests t ON t.rule = m.rule
+          LEFT JOIN cnt c ON c.rule = m.rule AND c.variant = m.variant AND c.prev = t.ctx AND c.next = t.token
+          LEFT JOIN tot ON tot.rule = m.rule AND tot.variant = m.variant AND tot.prev = t.ctx),
+dec AS (SELECT rule, variant, test, kind, sum(CASE WHEN side = 'good' THEN prob ELSE 0.0 END) AS gp,
+               sum(CASE WHEN side = 'bad' THEN prob ELSE 0.0 END) AS bp, max(threshold) AS th
+        FROM probs GROUP BY rule, variant, test, kind),
+decr AS (SELECT rule, variant, test, kind, round(gp, 6) AS good_prob, round(bp, 6) AS bad_prob,
+                CASE WHEN kind = 'mass' THEN gp > th ELSE gp > bp END AS correct FROM dec),
+acc AS (SELECT rule, variant, count_if(correct)::BIGINT AS n_correct, count(*)::BIGINT AS n_total,
+               round(count_if(correct) / count(*), 6) AS accuracy FROM decr GROUP BY rule, variant)"""
+
+
+def eval_sql() -> str:
+    parts = []
+    for r in R.RULES:
+        parts.append(f"SELECT {K.q(r)} AS rule, 'valid' AS label, id, text FROM ({synth_valid_sql(r, 456)})")
+        vt, text = K.invalid_sql(r, "m", "id")
+        parts.append(f"SELECT {K.q(r)} AS rule, 'invalid' AS label, id, {text} AS text FROM "
+                     f"(SELECT event_id AS id, {skey(456, r, 'invalid', 'event_id')} AS m FROM events)")
+    variants = ", ".join(f"({K.q(v)})" for v in VARIANTS)
+    return f"SELECT e.rule, v.variant, e.label, e.id, e.text FROM ({' UNION ALL '.join(parts)}) e, " \
+           f"(VALUES {variants}) v(variant)"
+
+
+def loss_ctes() -> str:
+    from seqlab.operators.ngram import SMOOTHING_ALPHA as A
+    return model_ctes() + f""",
+vocab AS (SELECT rule, variant, count(DISTINCT tok)::BIGINT AS vocab
+          FROM (SELECT rule, variant, unnest({K.toks('text')}) AS tok FROM corp) GROUP BY ALL),
+ev AS ({eval_sql()}),
+lp AS (SELECT p.*, -ln((coalesce(c.n, 0) + {A!r}) / (coalesce(tot.ctx_n, 0) + {A!r} * vb.vocab)) AS loss
+       FROM ({pairs_sql('ev', 'rule, variant, label, id')}) p
+       LEFT JOIN cnt c ON c.rule = p.rule AND c.variant = p.variant AND c.prev = p.prev AND c.next = p.next
+       LEFT JOIN tot ON tot.rule = p.rule AND tot.variant = p.variant AND tot.prev = p.prev
+       LEFT JOIN vocab vb ON vb.rule = p.rule AND vb.variant = p.variant),
+pt AS (SELECT rule, variant, label, id, sum(loss) AS ls, count(*)::BIGINT AS n_tokens,
+              exp(sum(loss) / count(*)) AS ppl FROM lp GROUP BY rule, variant, label, id),
+ns AS (SELECT rule, variant, label, count(*)::BIGINT AS n_samples FROM ev GROUP BY ALL),
+pc AS (SELECT ns.rule, ns.variant, ns.label, round(exp(g.ls / g.nt), 6) AS perplexity,
+              round(g.ls / g.nt, 6) AS mean_loss, round(g.mp, 6) AS mean_per_text_ppl,
+              round(CASE WHEN g.k > 1 THEN g.sd ELSE 0.0 END, 6) AS std_per_text_ppl,
+              coalesce(g.nt, 0)::BIGINT AS total_tokens, ns.n_samples
+       FROM ns LEFT JOIN (SELECT rule, variant, label, sum(ls) AS ls, sum(n_tokens) AS nt, avg(ppl) AS mp,
+                                 stddev_pop(ppl) AS sd, count(*) AS k FROM pt GROUP BY ALL) g
+       ON g.rule = ns.rule AND g.variant = ns.variant AND g.label = ns.label),
+gap AS (SELECT rule, variant, max(CASE WHEN label = 'valid' THEN perplexity END) AS valid_ppl,
+               max(CASE WHEN label = 'invalid' THEN perplexity END) AS invalid_ppl FROM pc GROUP BY rule, variant),
+gapr AS (SELECT rule, variant, valid_ppl, invalid_ppl, round(invalid_ppl - valid_ppl, 6) AS perplexity_gap,
+                round(invalid_ppl / nullif(valid_ppl, 0), 6) AS perplexity_ratio FROM gap)"""
+
+
+def _register_ngram():
+    mix = ORACLE["mix_ratio"]
+    ORACLE["ngram_counts"] = (f"SELECT prev, next, count(*)::BIGINT AS n FROM "
+                              f"({pairs_sql('(' + mix + ')', 'canon_pos, slot')}) GROUP BY prev, next")
+    ORACLE["next_token_prob"] = "WITH " + model_ctes() + \
+        "\nSELECT rule, variant, test, token, side, round(prob, 6) AS prob FROM probs"
+    ORACLE["decision_tests"] = "WITH " + model_ctes() + "\nSELECT * FROM decr"
+    ORACLE["completion_accuracy"] = "WITH " + model_ctes() + "\nSELECT * FROM acc"
+    ORACLE["token_loss"] = "WITH " + loss_ctes() + \
+        "\nSELECT rule, variant, label, id, pos, prev, next, round(loss, 6) AS loss FROM lp"
+    ORACLE["ppl_per_text"] = "WITH " + loss_ctes() + \
+        "\nSELECT rule, variant, label, id, n_tokens, round(ppl, 6) AS ppl FROM pt"
+    ORACLE["ppl_corpus"] = "WITH " + loss_ctes() + "\nSELECT * FROM pc"
+    ORACLE["ppl_gap"] = "WITH " + loss_ctes() + "\nSELECT * FROM gapr"
+    ORACLE["merge_metrics"] = "WITH " + loss_ctes() + ",\n" + verdicts_cte() + f""",
+gen AS (SELECT rule, variant, {rate('count_if(is_valid)', 'count(*)')} AS validity_rate FROM verdicts
+        GROUP BY rule, variant)
+SELECT coalesce(gen.rule, gapr.rule, acc.rule) AS rule, coalesce(gen.variant, gapr.variant, acc.variant) AS variant,
+       gen.validity_rate, gapr.valid_ppl, gapr.invalid_ppl, gapr.perplexity_gap, gapr.perplexity_ratio,
+       acc.accuracy AS completion_accuracy
+FROM gen FULL JOIN gapr ON gen.rule = gapr.rule AND gen.variant = gapr.variant
+FULL JOIN acc ON coalesce(gen.rule, gapr.rule) = acc.rule AND coalesce(gen.variant, gapr.variant) = acc.variant"""
+    prompts = ", ".join(f"({K.q(r)}, {K.q(p)})" for r in R.RULES for p in R.PROMPTS[r])
+    ORACLE["prompt_fanout"] = (f"SELECT p.rule, p.prompt, e.event_id AS id FROM events e, "
+                               f"(VALUES {prompts}) p(rule, prompt)")
+
+
+_register_ngram()

@@ -15,9 +15,11 @@ from seqlab.functions.draws import spread
 from seqlab.operators import corpus as X
 from seqlab.operators import generation as G
 from seqlab.operators import metrics as M
+from seqlab.operators import ngram as N
 from seqlab.operators import reports as P
 from seqlab.operators import rules as R
 from seqlab.operators import synth as S
+from seqlab.session import materialize
 from seqlab.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -411,3 +413,112 @@ def q_load_lines(spark, sf):
     return (lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"),
                          T.strip_ws(F.col("raw")).alias("line"))
                  .filter(F.col("line") != ""))
+
+
+# ---- n-gram scorer (A5-A12, J2, J4) ---------------------------------------------------------------------------
+
+MODEL = ["rule", "variant"]
+
+
+def training_corpora(spark, sf) -> DataFrame:
+    """(rule, variant, text): examples-only corpora and their explanation-interleaved variants."""
+    g = X.interleave_grid(event_ids(spark, sf), n_events(spark, sf), G.VARIANT_RATIOS)
+    return materialize(g.select("rule", "variant", "text"))
+
+
+def eval_texts(spark, sf) -> DataFrame:
+    """Test split (seed 456): valid and broken sentences of every rule set, paired with every variant model."""
+    ids = event_ids(spark, sf)
+    out = None
+    for r in R.RULES:
+        v = S.synth_valid(ids, r, S.SPLIT_SEEDS["test"]).select(F.lit(r).alias("rule"), F.lit("valid").alias("label"),
+                                                                 "id", "text")
+        i = S.synth_invalid(ids, r, S.SPLIT_SEEDS["test"]).select(F.lit(r).alias("rule"),
+                                                                   F.lit("invalid").alias("label"), "id", "text")
+        out = v.unionByName(i) if out is None else out.unionByName(v).unionByName(i)
+    variants = F.array(*[F.lit(v) for v in G.VARIANTS])
+    return materialize(out).select("rule", F.explode(variants).alias("variant"), "label", "id", "text")
+
+
+def model_counts(spark, sf):
+    return N.bigram_counts(training_corpora(spark, sf), MODEL)
+
+
+@query("ngram_counts")
+def q_ngram_counts(spark, sf):
+    """Bigram estimation over the mixed corpus (canonical documents + cyclic synthetic documents)."""
+    docs = load(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "pos")
+    syn, n_syn = synthetic_corpus(spark, sf)
+    mixed = X.mix_ratio(docs, syn.select("doc_pos", "text"), n_syn, X.MIX_PROBABILITY)
+    return N.bigram_counts(mixed, [])
+
+
+@query("next_token_prob")
+def q_next_token_prob(spark, sf):
+    p = N.next_token_probs(model_counts(spark, sf), MODEL, N.decision_tests_dim(spark))
+    return p.select(*MODEL, "test", "token", "side", F.round("prob", 6).alias("prob"))
+
+
+def decision(spark, sf):
+    return N.decision_results(N.next_token_probs(model_counts(spark, sf), MODEL, N.decision_tests_dim(spark)), MODEL)
+
+
+@query("decision_tests")
+def q_decision_tests(spark, sf):
+    return decision(spark, sf)
+
+
+@query("completion_accuracy")
+def q_completion_accuracy(spark, sf):
+    return N.completion_accuracy(decision(spark, sf), MODEL)
+
+
+def losses(spark, sf):
+    corp = training_corpora(spark, sf)
+    counts = N.bigram_counts(corp, MODEL)
+    vocab = N.vocab_sizes(corp, MODEL)
+    return N.token_loss(eval_texts(spark, sf), MODEL + ["label", "id"], counts, vocab, MODEL)
+
+
+@query("token_loss")
+def q_token_loss(spark, sf):
+    return losses(spark, sf).select(*MODEL, "label", "id", "pos", "prev", "next", F.round("loss", 6).alias("loss"))
+
+
+@query("ppl_per_text")
+def q_ppl_per_text(spark, sf):
+    t = N.ppl_per_text(losses(spark, sf), MODEL + ["label", "id"])
+    return t.select(*MODEL, "label", "id", "n_tokens", F.round("ppl", 6).alias("ppl"))
+
+
+def corpus_ppl(spark, sf):
+    per = N.ppl_per_text(losses(spark, sf), MODEL + ["label", "id"])
+    n_s = eval_texts(spark, sf).groupBy(*MODEL, "label").agg(F.count(F.lit(1)).alias("n_samples"))
+    return N.ppl_corpus(per, MODEL + ["label"], n_s)
+
+
+@query("ppl_corpus")
+def q_ppl_corpus(spark, sf):
+    return corpus_ppl(spark, sf)
+
+
+@query("ppl_gap")
+def q_ppl_gap(spark, sf):
+    return N.ppl_gap(corpus_ppl(spark, sf), MODEL)
+
+
+@query("merge_metrics")
+def q_merge_metrics(spark, sf):
+    gen = M.validity(verdicts(spark, sf), MODEL).select(*MODEL, "validity_rate")
+    ppl = N.ppl_gap(corpus_ppl(spark, sf), MODEL)
+    acc = N.completion_accuracy(decision(spark, sf), MODEL).select(*MODEL, F.col("accuracy").alias(
+        "completion_accuracy"))
+    return gen.join(ppl, MODEL, "full").join(acc, MODEL, "full")
+
+
+@query("prompt_fanout")
+def q_prompt_fanout(spark, sf):
+    """Every prompt of every rule set x every sample slot (a literal array exploded per id: no join)."""
+    prompts = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(p).alias("prompt"))
+                        for r in R.RULES for p in R.PROMPTS[r]])
+    return event_ids(spark, sf).select("id", F.explode(prompts).alias("p")).select("p.rule", "p.prompt", "id")

@@ -56,3 +56,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for a written intermediate table or sink."""
     base = _checkpoint_base(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the written copy (reliable checkpoint:
+    cuts lineage, survives executor loss, and separates expensive generation from what reads it)."""
+    _checkpoint_base(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -478,3 +478,38 @@ FULL JOIN acc ON coalesce(gen.rule, gapr.rule) = acc.rule AND coalesce(gen.varia
 
 
 _register_ngram()
+
+
+def _register_sources():
+    ORACLE["conv_alternation"] = """
+SELECT conv_id, n_turns, has_system, n_bad, gapless,
+       gapless AND n_bad = 0 AND body >= 2 AND body % 2 = 0 AS valid
+FROM (SELECT conv_id, n_turns, first_role = 'system' AS has_system,
+             (CASE WHEN first_role = 'system' THEN bad1 ELSE bad0 END)::INTEGER AS n_bad,
+             mn = 0 AND mx = n_turns - 1 AS gapless,
+             CASE WHEN first_role = 'system' THEN n_turns - 1 ELSE n_turns END AS body
+      FROM (SELECT conv_id, count(*)::BIGINT AS n_turns, min(turn) AS mn, max(turn) AS mx,
+                   arg_min(role, turn) AS first_role,
+                   count_if(role <> CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END) AS bad0,
+                   count_if(turn > 0 AND role <> CASE WHEN (turn - 1) % 2 = 0 THEN 'user' ELSE 'assistant' END)
+                     AS bad1
+            FROM conversations GROUP BY conv_id))"""
+    ORACLE["event_path_valid"] = """
+SELECT user_id, n_events, first_type, last_type,
+       n_events >= 3 AND first_type = 'signup' AND last_type = 'purchase' AND n_open = 1 AND n_close = 1
+       AND n_other = 0 AS valid
+FROM (SELECT user_id, count(*)::BIGINT AS n_events, first(event_type ORDER BY ts, event_id) AS first_type,
+             last(event_type ORDER BY ts, event_id) AS last_type, count_if(event_type = 'signup') AS n_open,
+             count_if(event_type = 'purchase') AS n_close,
+             count_if(event_type NOT IN ('signup', 'purchase', 'view', 'click')) AS n_other
+      FROM events GROUP BY user_id)"""
+    ORACLE["scan_jsonl"] = "SELECT doc_id, text FROM documents"
+    ORACLE["results_scan"] = with_v(f"""
+SELECT model, rule, count(*)::BIGINT AS total, count_if(is_valid)::BIGINT AS valid,
+       {rate('count_if(is_valid)', 'count(*)')} AS validity_rate FROM verdicts GROUP BY model, rule""")
+    ORACLE["report_explode"] = with_v(f"""
+SELECT rule AS grammar, model, {rate('count_if(is_valid)', 'count(*)')} AS validity_rate,
+       count_if(is_valid)::BIGINT AS valid, count(*)::BIGINT AS total FROM verdicts GROUP BY rule, model""")
+
+
+_register_sources()

@@ -19,7 +19,9 @@ from seqlab.operators import ngram as N
 from seqlab.operators import reports as P
 from seqlab.operators import rules as R
 from seqlab.operators import synth as S
-from seqlab.session import materialize
+from seqlab.operators import conformance as C
+from seqlab.session import materialize, scratch_path
+from seqlab.sources import corpus_io as IO
 from seqlab.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -522,3 +524,59 @@ def q_prompt_fanout(spark, sf):
     prompts = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(p).alias("prompt"))
                         for r in R.RULES for p in R.PROMPTS[r]])
     return event_ids(spark, sf).select("id", F.explode(prompts).alias("p")).select("p.rule", "p.prompt", "id")
+
+
+# ---- conformance over ordered rows (P9) -----------------------------------------------------------------------
+
+@query("conv_alternation")
+def q_conv_alternation(spark, sf):
+    return C.role_alternation(load(spark, sf, "conversations", ["conv_id", "turn", "role"]))
+
+
+@query("event_path_valid")
+def q_event_path_valid(spark, sf):
+    return C.event_path(load(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"]))
+
+
+# ---- scans and sinks (S1-S7) ------------------------------------------------------------------------------------
+
+@query("scan_jsonl")
+def q_scan_jsonl(spark, sf):
+    path = scratch_path(spark, "corpus-jsonl")
+    IO.write_jsonl(load(spark, sf, "documents", ["doc_id", "text"]), path)
+    return IO.scan_jsonl(spark, path, "doc_id long, text string")
+
+
+def generation_results(spark, sf) -> DataFrame:
+    """Per-model result documents: scalars + by_prompt map (map_from_entries over per-prompt structs)."""
+    v = verdicts(spark, sf)
+    per = M.validity(v, ["model", "rule", "prompt"])
+    maps = per.groupBy("model", "rule").agg(F.map_from_entries(F.collect_list(F.struct(
+        "prompt", F.struct("total", "valid", "validity_rate")))).alias("by_prompt"))
+    tot = M.validity(v, ["model", "rule"]).select("model", "rule", "total", "valid", "validity_rate",
+                                                   "lenient_valid", "lenient_validity_rate")
+    return tot.join(maps, ["model", "rule"])
+
+
+@query("result_json")
+def q_result_json(spark, sf):
+    return generation_results(spark, sf).select("model", F.to_json(F.struct(
+        "rule", "total", "valid", "validity_rate", "lenient_valid", "lenient_validity_rate", "by_prompt"))
+        .alias("json"))
+
+
+@query("results_scan")
+def q_results_scan(spark, sf):
+    path = scratch_path(spark, "results")
+    IO.write_results(generation_results(spark, sf), path)
+    return IO.scan_results(spark, path).select("model", "rule", "total", "valid", "validity_rate")
+
+
+@query("report_explode")
+def q_report_explode(spark, sf):
+    runs_ = M.validity(verdicts(spark, sf), ["rule", "model"])
+    rep = runs_.groupBy(F.col("rule").alias("grammar")).agg(F.map_from_entries(F.collect_list(F.struct(
+        "model", F.struct("validity_rate", "valid", "total")))).alias("models"))
+    path = scratch_path(spark, "reports")
+    rep.write.mode("overwrite").json(path)
+    return IO.scan_report(spark, path)

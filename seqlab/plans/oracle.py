@@ -513,3 +513,23 @@ SELECT rule AS grammar, model, {rate('count_if(is_valid)', 'count(*)')} AS valid
 
 
 _register_sources()
+
+
+def _register_streams():
+    ORACLE["stream_tokenize"] = ORACLE["tokenize_ws"]
+    ORACLE["stream_validity"] = ORACLE["validity_overall"]
+    p = X.MIX_PROBABILITY
+    u = f"(({K.u32(K.md5key(K.q('mix:42'), 'CAST(doc_id AS VARCHAR)'))} + 0.5) / 4294967296.0)"
+    pk = K.u32(K.md5key("'pick'", "concat_ws(':', CAST(canon_pos AS VARCHAR), CAST(slot AS VARCHAR))"))
+    ORACLE["stream_mix"] = "WITH " + n_cte() + f""",
+syn AS ({interleave_sql('tivari', 0.05)}),
+nsyn AS (SELECT count(*)::BIGINT AS ns FROM syn),
+c AS (SELECT doc_id AS canon_pos, text, floor(ln({u}) / ln({p!r}))::BIGINT AS g FROM documents),
+dr AS (SELECT canon_pos, unnest(range(0, g)) AS slot FROM c WHERE g > 0),
+drp AS (SELECT canon_pos, slot, {pk} % nsyn.ns AS syn_pos FROM dr, nsyn)
+SELECT canon_pos, g AS slot, 'canonical' AS source, NULL::BIGINT AS syn_pos, text FROM c
+UNION ALL
+SELECT drp.canon_pos, drp.slot, 'synthetic' AS source, drp.syn_pos, syn.text FROM drp JOIN syn ON syn.doc_pos = drp.syn_pos"""
+
+
+_register_streams()

@@ -22,6 +22,7 @@ from seqlab.operators import synth as S
 from seqlab.operators import conformance as C
 from seqlab.session import materialize, scratch_path
 from seqlab.sources import corpus_io as IO
+from seqlab.streaming import streams as ST
 from seqlab.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -580,3 +581,21 @@ def q_report_explode(spark, sf):
     path = scratch_path(spark, "reports")
     rep.write.mode("overwrite").json(path)
     return IO.scan_report(spark, path)
+
+
+# ---- streaming (T-1..T-3) ---------------------------------------------------------------------------------------
+
+@query("stream_tokenize")
+def q_stream_tokenize(spark, sf):
+    return ST.stream_tokenize(spark, sf)
+
+
+@query("stream_mix")
+def q_stream_mix(spark, sf):
+    syn, n_syn = synthetic_corpus(spark, sf)
+    return ST.stream_mix(spark, sf, materialize(syn.select("doc_pos", "text")), n_syn)
+
+
+@query("stream_validity")
+def q_stream_validity(spark, sf):
+    return ST.stream_validity(spark, sf)

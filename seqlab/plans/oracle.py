@@ -244,7 +244,7 @@ SELECT id, rule, ({fused})::INTEGER AS n_fused FROM (SELECT *, {K.toks('generate
     ORACLE["parse_run_name"] = "WITH " + samples_cte() + f"""
 SELECT model, regexp_extract(model, {pat}, 1) AS base, regexp_extract(model, {pat}, 2) AS rule,
        regexp_extract(model, {pat}, 3) AS variant, regexp_extract(model, {pat}, 4)::INTEGER AS step,
-       coalesce(nullif(regexp_extract(model, '_hyperdata_(\d+)pct_', 1), '')::INTEGER, 0) AS pct
+       coalesce(nullif(regexp_extract(model, '_hyperdata_(\\d+)pct_', 1), '')::INTEGER, 0) AS pct
 FROM (SELECT DISTINCT model FROM samples)"""
     # reports
     runs = f"""runs AS (SELECT {RUN}, count(*)::BIGINT AS total, count_if(is_valid)::BIGINT AS valid,
@@ -256,7 +256,7 @@ SELECT model, validity_rate,
        (row_number() OVER (ORDER BY coalesce(validity_rate, 0) DESC, model))::INTEGER AS position FROM runs"""
     ORACLE["checkpoint_order"] = "WITH " + samples_cte() + """
 SELECT checkpoint, step_num, (row_number() OVER (ORDER BY step_num, checkpoint))::INTEGER AS position
-FROM (SELECT checkpoint, regexp_extract(checkpoint, '-(\d+)$', 1)::INTEGER AS step_num
+FROM (SELECT checkpoint, regexp_extract(checkpoint, '-(\\d+)$', 1)::INTEGER AS step_num
       FROM (SELECT DISTINCT 'checkpoint-' || step AS checkpoint FROM samples))"""
     piv = ", ".join(f"{rate(f'count_if(is_valid AND variant = {K.q(v)})', f'count_if(variant = {K.q(v)})')} "
                     f"AS {v}" for v in VARIANTS)

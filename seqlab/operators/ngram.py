@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as T
+from seqlab.functions.draws import spread
 
 # --- fixed values: decision-point thresholds (mass tests) ------------------------------------------------------
 MASS_THRESHOLD_RUN = 0.1
@@ -77,7 +78,7 @@ def decision_tests_dim(spark) -> DataFrame:
 def token_pairs(df: DataFrame, keys: list[str], text_col: str = "text", with_pos: bool = False) -> DataFrame:
     """(keys..., [pos], prev, next) for every adjacent token pair of every row."""
     # Tokens are projected once; the pairing below only references the array column.
-    x = df.select(*keys, T.tokens(F.col(text_col)).alias("_t"))
+    x = spread(df).select(*keys, T.tokens(F.col(text_col)).alias("_t"))
     t = F.col("_t")
     m = F.greatest(F.size(t) - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice(t, 1, m).alias("prev"), F.slice(t, 2, m).alias("next"))

@@ -138,7 +138,7 @@ def q_lenient_palindrome(spark, sf):
 
 @query("tokenize_ws")
 def q_tokenize_ws(spark, sf):
-    d = load(spark, sf, "documents", ["doc_id", "text"])
+    d = spread(load(spark, sf, "documents", ["doc_id", "text"]))
     n = T.ws_norm(F.col("text"))
     return d.select("doc_id", T.n_tokens_norm(n).cast("int").alias("n_tokens"), n.alias("tokens_joined"))
 
@@ -239,7 +239,7 @@ def q_first_line(spark, sf):
 
 @query("normalize_punct")
 def q_normalize_punct(spark, sf):
-    d = load(spark, sf, "documents", ["doc_id", "text"])
+    d = spread(load(spark, sf, "documents", ["doc_id", "text"]))
     return d.select("doc_id", T.strip_punct_tokens(T.ws_norm(F.col("text"))).alias("normalized"))
 
 

@@ -61,5 +61,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df):
     """Write ``df`` to the shared checkpoint folder and continue from the written copy (reliable checkpoint:
     cuts lineage, survives executor loss, and separates expensive generation from what reads it)."""
+    from pyspark import StorageLevel
     _checkpoint_base(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Persist first: a reliable checkpoint otherwise recomputes the whole lineage in a second job to write it.
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out

@@ -1,8 +1,8 @@
 """Bigram language model as Spark aggregates: estimation, next-token probabilities, decision tests, per-token
 loss and perplexity.
 
-Estimation is ``groupBy(model, prev, next).count()`` over in-row token pairs (``arrays_zip`` of two slices, so no
-window or self-join is needed to pair neighbours) -- partial aggregation runs before the shuffle, so a hot context
+Estimation is ``groupBy(model, prev, next).count()`` over in-row token pairs (``posexplode`` plus an index read of
+the successor, so no window or self-join is needed to pair neighbours) -- partial aggregation runs before the shuffle, so a hot context
 token is combined map-side. Scoring joins token pairs to the count table; the count table and the context totals
 are joined as ordinary equi-joins and AQE turns them into broadcasts only when their runtime size is small.
 """
@@ -76,17 +76,19 @@ def decision_tests_dim(spark) -> DataFrame:
 
 
 def token_pairs(df: DataFrame, keys: list[str], text_col: str = "text", with_pos: bool = False) -> DataFrame:
-    """(keys..., [pos], prev, next) for every adjacent token pair of every row."""
-    # Tokens are projected once; the pairing below only references the array column.
+    """(keys..., [pos], prev, next) for every adjacent token pair of every row.
+
+    ``posexplode`` over all but the last token, the successor read by index from the same array (an
+    ``arrays_zip`` of two slices builds a struct per pair and runs several times slower).
+    """
     x = spread(df).select(*keys, T.tokens(F.col(text_col)).alias("_t"))
     t = F.col("_t")
     m = F.greatest(F.size(t) - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice(t, 1, m).alias("prev"), F.slice(t, 2, m).alias("next"))
-    x = x.select(*keys, pairs.alias("_pairs"))
+    y = x.select(*keys, "_t", F.posexplode(F.slice(t, 1, m)).alias("pos", "prev"))
+    nxt = F.element_at(t, (F.col("pos") + 2).cast("int")).alias("next")
     if with_pos:
-        x = x.select(*keys, F.posexplode("_pairs").alias("pos", "_p"))
-        return x.select(*keys, F.col("pos").cast("int").alias("pos"), "_p.prev", "_p.next")
-    return x.select(*keys, F.explode("_pairs").alias("_p")).select(*keys, "_p.prev", "_p.next")
+        return y.select(*keys, F.col("pos").cast("int").alias("pos"), "prev", nxt)
+    return y.select(*keys, "prev", nxt)
 
 
 def bigram_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

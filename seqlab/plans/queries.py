@@ -476,11 +476,12 @@ def q_completion_accuracy(spark, sf):
     return N.completion_accuracy(decision(spark, sf), MODEL)
 
 
-def losses(spark, sf):
+def losses(spark, sf, ev=None):
     corp = training_corpora(spark, sf)
     counts = N.bigram_counts(corp, MODEL)
     vocab = N.vocab_sizes(corp, MODEL)
-    return N.token_loss(eval_texts(spark, sf), MODEL + ["label", "id"], counts, vocab, MODEL)
+    ev = eval_texts(spark, sf) if ev is None else ev
+    return N.token_loss(ev, MODEL + ["label", "id"], counts, vocab, MODEL)
 
 
 @query("token_loss")
@@ -495,8 +496,9 @@ def q_ppl_per_text(spark, sf):
 
 
 def corpus_ppl(spark, sf):
-    per = N.ppl_per_text(losses(spark, sf), MODEL + ["label", "id"])
-    n_s = eval_texts(spark, sf).groupBy(*MODEL, "label").agg(F.count(F.lit(1)).alias("n_samples"))
+    ev = eval_texts(spark, sf)
+    per = N.ppl_per_text(losses(spark, sf, ev), MODEL + ["label", "id"])
+    n_s = ev.groupBy(*MODEL, "label").agg(F.count(F.lit(1)).alias("n_samples"))
     return N.ppl_corpus(per, MODEL + ["label"], n_s)
 
 

@@ -182,7 +182,8 @@ def q_unwrap_doc(spark, sf):
 @query("verify_splits")
 def q_verify_splits(spark, sf):
     sp = S.synth_splits(event_ids(spark, sf))
-    ok = R.by_rule(F.col("rule"), lambda s: s.strict(F.col("text")))
+    sp = sp.select("rule", "split", "label", T.ws_norm(F.col("text")).alias("_n"))
+    ok = R.by_rule(F.col("rule"), lambda s: s.strict_norm(F.col("_n")))
     wrong = ok != (F.col("label") == "valid")
     return sp.groupBy("rule", "split", "label").agg(F.count(F.lit(1)).alias("n"),
                                                      F.count_if(wrong).alias("n_errors"))

@@ -163,9 +163,9 @@ def interleave(examples: DataFrame, n: int, rule: str, ratio: float, mode: str =
     text = S.wrap(rule, F.col("text")) if wrap else F.col("text")
     examples_out = ex.select(
         F.lit(rule).alias("rule"), F.lit(ratio).alias("ratio"), (pos * 2 + 1).alias("ord"),
-        (pos + F.least(F.lit(big_k), F.floor(pos / every).cast("long"))).alias("doc_pos"),
+        (pos + F.least(F.lit(big_k), F.expr(f"pos div {every}"))).alias("doc_pos"),
         F.lit("example").alias("kind"), text.alias("text"))
-    m = (pos / every).cast("long")
+    m = F.expr(f"pos div {every}")
     inserts = (ex.filter((pos > 0) & (pos % every == 0) & (m <= big_k))
                  .select(F.lit(rule).alias("rule"), F.lit(ratio).alias("ratio"), (pos * 2).alias("ord"),
                          (pos + m - 1).alias("doc_pos"), F.lit("explanation").alias("kind"),
@@ -193,7 +193,7 @@ def prefix_sum(df: DataFrame, pos_col: str, val_col: str, out_col: str = "cum_be
     table; rows then add the running sum inside their own block (window partitioned by block, bounded size). No
     window ever spans the whole input.
     """
-    b = (F.col(pos_col) / block).cast("long")
+    b = F.expr(f"`{pos_col}` div {block}")
     x = df.withColumn("_blk", b)
     totals = x.groupBy("_blk").agg(F.sum(val_col).alias("_bt"))
     wb = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -295,9 +295,9 @@ def interleave_grid(ids: DataFrame, n: int, ratios: dict[str, float], rules: lis
     grid = grid.select("*", plan_col(1).alias("_every"), plan_col(2).alias("_kk"))
     pos, every, kk = F.col("pos"), F.col("_every"), F.col("_kk")
     ex = grid.select("rule", "variant", (pos * 2 + 1).alias("ord"),
-                     (pos + F.when(kk > 0, F.least(kk, F.floor(pos / every).cast("long"))).otherwise(0))
+                     (pos + F.when(kk > 0, F.least(kk, F.expr("pos div _every"))).otherwise(0))
                      .alias("doc_pos"), F.lit("example").alias("kind"), "text")
-    m = (pos / every).cast("long")
+    m = F.expr("pos div _every")
     ins = (grid.filter((kk > 0) & (pos > 0) & (pos % every == 0) & (m <= kk))
                .select("rule", "variant", (pos * 2).alias("ord"), (pos + m - 1).alias("doc_pos"),
                        F.lit("explanation").alias("kind"),

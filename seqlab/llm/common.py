@@ -195,3 +195,54 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.join("seqlab", os.path.relpath(path, root)))
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """From batches sorted by `key`: tables in which no group of equal keys is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key)
+        if held and held[-1].column(key)[-1] == k[0] and k[0] == k[batch.num_rows - 1]:
+            held.append(batch)
+            continue
+        values = k.to_numpy(zero_copy_only=False)
+        at = int(np.searchsorted(values, values[-1]))  # the last group may go on
+        head = batch.slice(0, at)
+        if at or held and held[-1].column(key)[-1] != k[0]:
+            yield pa.Table.from_batches([*held, head] if at else held)
+            held = [batch.slice(at)]
+        else:
+            held = [*held, batch]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sorted_by(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """Partitioned and sorted by `key`, for whole_groups()."""
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *more)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) for every end of the edges (a, b): root is the smallest id of its connected component.
+
+    Alternating large and small stars: the smallest neighbour of each id is found by a partial aggregation and joined
+    back, so neither a hub nor a large component is gathered in one task. Ends when the edges stay the same.
+    """
+    edges = staged(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        edges = staged(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        met = edges.join(low, "a")
+        edges = staged(met.select("a", F.col("m").alias("b"))
+                       .unionByName(met.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "small-star")
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == state:
+            break
+        state = now
+    roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("root"))
+    return staged(edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots), "components")

@@ -67,16 +67,3 @@ class Draws:
 
     def n(self, pos: int) -> Column:
         return F.col(f"{self.prefix}n{pos}")
-
-
-def spread(df, spark=None):
-    """Give CPU-heavy per-row work every core: round-robin only when the scan yields fewer partitions than the
-    default parallelism (small single-row-group inputs). Large inputs already arrive in many splits and are left
-    untouched, so no shuffle is added at scale."""
-    if df.isStreaming:
-        return df
-    spark = spark or df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

@@ -85,13 +85,9 @@ def first_line(c) -> Column:
     return first_line_stripped(strip_ws(c))
 
 
-def _rest() -> Column:
-    return F.lit(1 << 30)
-
-
 def after_first(c: Column, marker: str) -> Column:
     """Text after the first occurrence of ``marker`` (caller guarantees it occurs)."""
-    return c.substr(F.instr(c, marker) + F.lit(len(marker)), _rest())
+    return F.substr(c, F.instr(c, marker) + F.lit(len(marker)))
 
 
 def between_tags(c, open_tag: str, close_tag: str, close_fallback: bool = True) -> Column:
@@ -120,7 +116,7 @@ def unwrap_doc(c, open_tag: str, close_tag: str) -> Column:
 
 def to_token_pre(n: Column, stripped: Column, token: str) -> Column:
     """As ``extract_to_token`` on already normalised and stripped forms of the text."""
-    hit = F.regexp_extract(n, r"^((?:[^ ]+ )*?" + token + r")(?: |$)", 1)
+    hit = F.regexp_extract(n, "^((?:(?!%s(?: |$))[^ ]++ )*+%s)(?: |$)" % (token, token), 1)
     return F.when(hit != "", hit).otherwise(stripped)
 
 
@@ -131,7 +127,7 @@ def extract_to_token(c, token: str) -> Column:
 
 def leading_pairs_pre(n: Column, stripped: Column, heads: list[str], tails: list[str]) -> Column:
     pair = "(?:" + "|".join(heads) + ") (?:" + "|".join(tails) + ")"
-    run = F.trim(F.regexp_extract(n, "^((?:" + pair + "(?: |$))+)", 1))
+    run = F.trim(F.regexp_extract(n, "^((?:" + pair + "(?: |$))++)", 1))
     return F.when(run != "", run).otherwise(stripped)
 
 
@@ -144,7 +140,7 @@ def strip_prefix(c, prefix) -> Column:
     """Drop ``prefix`` when the text starts with it (older extraction protocol), then keep the first line."""
     t = _col(c)
     p = _col(prefix)
-    rest = F.when(t.startswith(p), t.substr(F.length(p) + 1, _rest())).otherwise(t)
+    rest = F.when(t.startswith(p), F.substr(t, F.length(p) + 1)).otherwise(t)
     return first_line(rest)
 
 

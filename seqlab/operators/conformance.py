@@ -29,13 +29,14 @@ def role_alternation(conv: DataFrame, key: str = "conv_id", turn: str = "turn",
     exp1 = F.when((t - 1) % 2 == 0, ROLES[0]).otherwise(ROLES[1])
     g = conv.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_turns"), F.min(t).alias("_min"), F.max(t).alias("_max"),
+        F.count_distinct(t).alias("_turns"),
         F.min_by(r, t).alias("first_role"),
         F.count_if(r != exp0).alias("_bad0"),
         F.count_if((t > 0) & (r != exp1)).alias("_bad1"))
     has_sys = F.col("first_role") == SYSTEM_ROLE
     body = F.when(has_sys, F.col("n_turns") - 1).otherwise(F.col("n_turns"))
     bad = F.when(has_sys, F.col("_bad1")).otherwise(F.col("_bad0"))
-    gapless = (F.col("_min") == 0) & (F.col("_max") == F.col("n_turns") - 1)
+    gapless = (F.col("_min") == 0) & (F.col("_max") == F.col("n_turns") - 1) & (F.col("_turns") == F.col("n_turns"))
     valid = gapless & (bad == 0) & (body >= 2) & (body % 2 == 0)
     return g.select(key, "n_turns", has_sys.alias("has_system"), bad.cast("int").alias("n_bad"),
                     gapless.alias("gapless"), valid.alias("valid"))

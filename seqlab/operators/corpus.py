@@ -31,65 +31,36 @@ MAX_SEQ_TOKENS = 512
 SHUFFLE_SEED = 42
 # -------------------------------------------------------------------------------------------------------------
 
-# Explanations (our own wording). grammar1 and grammar2 explain with one multi-line block; the other rule sets
-# with single sentences, one picked uniformly per insertion.
+# Explanations are composed from the rules' tokens and limits. grammar1 and grammar2 explain with one block; the other
+# rule sets with single sentences, one picked uniformly per insertion.
+def _run_explanation(name: str, opening: str, middle: str, closing: str, most: int | None = None) -> list[str]:
+    count = "any positive number" if most is None else f"at most {most} and at least 1"
+    out = [f"{name}: {opening} first, {closing} last, and {count} of {middle} in the middle.",
+           f"A {name} sequence has no fewer than 3 tokens, as in {opening} {middle} {closing}."]
+    if most is not None:
+        out.append(f"A {name} sequence has no more than {most + 2} tokens.")
+    return out
+
+
+def _pair_explanation(name: str, allowed: dict[str, list[str]], most: int) -> list[str]:
+    out = [f"{name} is read two tokens at a time, up to {most} times."]
+    return out + [f"What comes after {head} is {' or '.join(tails)}." for head, tails in allowed.items()]
+
+
+def _mirror_explanation(name: str, opening: str, closing: str, inner: list[str], even: list[str]) -> list[str]:
+    return [f"{name}: {opening} and {closing} enclose a palindrome over {', '.join(inner)}.",
+            f"In {name} the count of {' and the count of '.join(even)} is each divisible by 2.",
+            f"{name} allows the empty palindrome, {opening} {closing}."]
+
+
 EXPLANATION_BLOCKS = {
-    "grammar1": "\n".join([
-        "Grammar1 is a tiny formal language over three tokens.",
-        "",
-        "A sentence is well formed when:",
-        "1. its first token is START,",
-        "2. one or more MID tokens follow,",
-        "3. its last token is END,",
-        "4. and nothing else appears.",
-        "",
-        "Well formed: START MID END, START MID MID END.",
-        "Ill formed: START END (no MID), MID END (no START), START MID (no END), END MID START (order).",
-    ]),
-    "grammar2": "\n".join([
-        "Grammar2 pairs a colour with a shape.",
-        "",
-        "A sentence is one to four pairs; each pair is a colour followed by a shape.",
-        "RED may only be followed by CIRCLE or SQUARE.",
-        "BLUE may only be followed by TRIANGLE or DIAMOND.",
-        "",
-        "Well formed: RED CIRCLE, BLUE DIAMOND, RED SQUARE BLUE TRIANGLE.",
-        "Ill formed: RED TRIANGLE (wrong shape), BLUE (no shape), CIRCLE RED (shape first).",
-        "",
-        "Check pairs from the left: colour, then an allowed shape for it.",
-    ]),
+    "grammar1": "\n".join(_run_explanation("grammar1", "START", "MID", "END")),
+    "grammar2": "\n".join(_pair_explanation("grammar2", {"RED": R.RED_SHAPES, "BLUE": R.BLUE_SHAPES}, 4)),
 }
 EXPLANATION_SENTENCES = {
-    "grammar3": [
-        "Tivari3 expressions are written between <tivari3> and </tivari3> tags.",
-        "A Tivari3 expression opens with FEP and closes with GOR.",
-        "Between FEP and GOR the tokens must read the same in both directions.",
-        "Only NUL, TAS, WEJ and KOB may appear between FEP and GOR.",
-        "TAS must occur an even number of times inside a Tivari3 expression.",
-        "WEJ must occur an even number of times inside a Tivari3 expression.",
-        "FEP TAS NUL GOR breaks Tivari3 because TAS NUL does not mirror itself.",
-        "FEP WEJ GOR breaks Tivari3 because WEJ occurs once.",
-        "FEP TAS WEJ TAS GOR mirrors itself but breaks Tivari3 because WEJ occurs once.",
-    ],
-    "tivari": [
-        "Tivari strings are written between <tivari> and </tivari> tags.",
-        "Every Tivari string opens with XAQ.",
-        "After XAQ a Tivari string holds one or more ZIV tokens.",
-        "Every Tivari string closes with BEK.",
-        "XAQ BEK is not Tivari because it holds no ZIV.",
-        "XAQ ZIV ZIV BEK is a well formed Tivari string.",
-    ],
-    "tivari_b": [
-        "A Tivari-B string opens with XAQ.",
-        "A Tivari-B string closes with BEK.",
-        "Between XAQ and BEK a Tivari-B string holds one to four ZIV tokens.",
-        "XAQ ZIV BEK is the shortest Tivari-B string.",
-        "XAQ ZIV ZIV ZIV ZIV BEK is the longest Tivari-B string.",
-        "XAQ ZIV ZIV ZIV ZIV ZIV BEK is not Tivari-B: it has five ZIV tokens.",
-        "XAQ BEK is not Tivari-B: it has no ZIV.",
-        "ZIV BEK is not Tivari-B: it does not open with XAQ.",
-        "BEK ZIV XAQ is not Tivari-B: its order is reversed.",
-    ],
+    "grammar3": _mirror_explanation("grammar3", R.G3_OPEN, R.G3_CLOSE, list(R.G3_CONTENT), list(R.G3_EVEN_ONLY)),
+    "tivari": _run_explanation("tivari", R.TV_OPEN, R.TV_MID, R.TV_CLOSE),
+    "tivari_b": _run_explanation("tivari_b", R.TV_OPEN, R.TV_MID, R.TV_CLOSE, 4),
 }
 
 
@@ -104,17 +75,6 @@ def explanation_lines(rule: str) -> int:
     return len(explanation_text(rule).strip().split("\n"))
 
 
-def explanations_dim(spark) -> DataFrame:
-    """explanations(rule, idx, text): one row per sentence, or idx 0 for a full block."""
-    rows = []
-    for r in R.RULES:
-        if r in EXPLANATION_SENTENCES:
-            rows += [(r, i, t) for i, t in enumerate(EXPLANATION_SENTENCES[r])]
-        else:
-            rows.append((r, 0, EXPLANATION_BLOCKS[r]))
-    return spark.createDataFrame(rows, "rule string, idx int, text string")
-
-
 def explanation_pick(rule: str, key: Column) -> Column:
     """Uniform pick of one explanation sentence (or the block) for an insertion keyed by ``key``."""
     if rule in EXPLANATION_BLOCKS:
@@ -210,6 +170,15 @@ def geometric_draws(pos: Column, p: float, seed: int | str = SHUFFLE_SEED) -> Co
     return F.floor(F.log(u) / F.lit(math.log(p))).cast("long")
 
 
+def dense_count(df: DataFrame, col: str) -> int:
+    """Number of rows whose positions are 0 .. n-1; any gap or repeat raises, as positions of rows would be lost."""
+    r = df.agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"),
+               F.count_distinct(col).alias("u")).first()
+    if r.n and (r.lo != 0 or r.hi != r.n - 1 or r.u != r.n):
+        raise ValueError(f"{col} must number the rows from 0 without gaps or repeats: {r.n} rows, {r.u} values, {r.lo} to {r.hi}")
+    return r.n
+
+
 def mix_ratio(canonical: DataFrame, synthetic: DataFrame, n_synthetic: int, p: float = MIX_PROBABILITY,
               canon_pos: str = "pos", syn_pos: str = "doc_pos") -> DataFrame:
     """Interleave a canonical corpus (pos, text) with a synthetic corpus (doc_pos, text) read cyclically.
@@ -219,11 +188,11 @@ def mix_ratio(canonical: DataFrame, synthetic: DataFrame, n_synthetic: int, p: f
     """
     c = canonical.select(F.col(canon_pos).alias("canon_pos"), F.col("text"),
                          geometric_draws(F.col(canon_pos), p).alias("g"))
-    c = prefix_sum(c, "canon_pos", "g")
+    # texts stay in the scan: only positions and draw counts go through the running total
+    sums = prefix_sum(c.select("canon_pos", "g").filter(F.col("g") > 0), "canon_pos", "g")
     canon_rows = c.select("canon_pos", F.col("g").alias("slot"), F.lit("canonical").alias("source"),
                           F.lit(None).cast("long").alias("syn_pos"), "text")
-    draws = (c.filter(F.col("g") > 0)
-              .select("canon_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("slot"),
+    draws = (sums.select("canon_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("slot"),
                       "cum_before"))
     draws = draws.select("canon_pos", "slot", F.pmod(F.col("cum_before") + F.col("slot"),
                                                      F.lit(n_synthetic)).alias("syn_pos"))

@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.functions.draws import Draws, md5_key, nibble, pick, spread, u32
+from seqlab.functions.draws import Draws, md5_key, nibble, pick, u32
 from seqlab.functions.memo import session_cached
 from seqlab.operators import rules as R
 from seqlab.operators.synth import by_rule_col, invalid_sentence, sentence_key, valid_sentence, with_draws
 
 # --- fixed values: corpus conditions (ordered) and fine-tuning checkpoints ------------------------------------
-VARIANTS = ["examples", "hyperdata_1pct", "hyperdata_5pct", "hyperdata_10pct"]
-VARIANT_RATIOS = {"examples": 0.0, "hyperdata_1pct": 0.01, "hyperdata_5pct": 0.05, "hyperdata_10pct": 0.10}
+VARIANTS = ["examples", "explained_1pct", "explained_5pct", "explained_10pct"]
+VARIANT_RATIOS = {"examples": 0.0, "explained_1pct": 0.01, "explained_5pct": 0.05, "explained_10pct": 0.10}
 STEPS = [1000, 2000, 3000, 4000]
 GEN_SEED = "gen"
 # -------------------------------------------------------------------------------------------------------------
@@ -29,7 +29,7 @@ GEN_SEED = "gen"
 
 def generation_samples(events: DataFrame, id_col: str = "event_id") -> DataFrame:
     """samples(id, model, rule, variant, step, prompt, generated) -- one row per input row."""
-    ev = spread(events.select(F.col(id_col).alias("id"), "event_type", "props"))
+    ev = events.select(F.col(id_col).alias("id"), "event_type", "props")
     ev = ev.select("*", md5_key("sample", F.col("id")).alias("_ms"))
     m = F.col("_ms")
     base = ev.select(

@@ -90,7 +90,7 @@ def parse_run_names(names: DataFrame, col: str = "model") -> DataFrame:
     rule_alt = "|".join(sorted(R.RULES, key=len, reverse=True))
     var_alt = "|".join(sorted(VARIANTS, key=len, reverse=True))
     pat = r"^(.+?)_(%s)_(%s)_checkpoint-(\d+)$" % (rule_alt, var_alt)
-    pct = F.regexp_extract(c, r"_hyperdata_(\d+)pct_", 1)
+    pct = F.regexp_extract(c, r"_explained_(\d+)pct_", 1)
     return names.select(col, F.regexp_extract(c, pat, 1).alias("base"), F.regexp_extract(c, pat, 2).alias("rule"),
                         F.regexp_extract(c, pat, 3).alias("variant"),
                         F.regexp_extract(c, pat, 4).cast("int").alias("step"),

@@ -69,7 +69,7 @@ PUNCT_NORMALISED = ["tivari"]
 
 
 def _run_regex(open_t: str, mid: str, close: str, max_mid: int | None = None) -> str:
-    rep = "+" if max_mid is None else "{1,%d}" % max_mid
+    rep = "++" if max_mid is None else "{1,%d}+" % max_mid  # possessive: no stack a repetition
     return "^%s( %s)%s %s$" % (open_t, mid, rep, close)
 
 
@@ -79,7 +79,7 @@ def _pair_alt() -> str:
 
 
 G2_REGEX = "^%s( %s){0,3}$" % (_pair_alt(), _pair_alt())
-G3_SHAPE = "^%s( (%s))* %s$" % (G3_OPEN, "|".join(G3_CONTENT), G3_CLOSE)
+G3_SHAPE = "^%s(?: (?:%s))*+ %s$" % (G3_OPEN, "|".join(G3_CONTENT), G3_CLOSE)
 
 
 def _g3_code(n: Column) -> Column:
@@ -100,7 +100,7 @@ def _g3_ok_code(code: Column) -> Column:
     return (code == F.reverse(code)) & even
 
 
-G3_PREFIX = "^(%s(?: (?:%s))* %s)(?: |$)" % (G3_OPEN, "|".join(G3_CONTENT), G3_CLOSE)
+G3_PREFIX = "^(%s(?: (?:%s))*+ %s)(?: |$)" % (G3_OPEN, "|".join(G3_CONTENT), G3_CLOSE)
 
 
 class Bind:
@@ -144,14 +144,14 @@ def g3_lenient_norm(n: Column) -> Column:
 
 
 def tivari_lenient_norm(n: Column) -> Column:
-    return n.rlike("^%s( %s)+ %s( |$)" % (TV_OPEN, TV_MID, TV_CLOSE))
+    return n.rlike("^%s( %s)++ %s( |$)" % (TV_OPEN, TV_MID, TV_CLOSE))
 
 
 # ---- violation classes (checked in the rule's own order) ----------------------------------------------------
 
 def _run_violation(n: Column, open_t: str, mid: str, close: str, max_mid: int | None) -> Column:
     k = T.n_tokens_norm(n)
-    mids_ok = n.rlike("^%s( %s)+ %s$" % (open_t, mid, close))
+    mids_ok = n.rlike("^%s( %s)++ %s$" % (open_t, mid, close))
     c = (F.when(k < 3, "too_short")
          .when(T.first_token(n) != open_t, "bad_open")
          .when(T.last_token(n) != close, "bad_close")
@@ -164,7 +164,7 @@ def _run_violation(n: Column, open_t: str, mid: str, close: str, max_mid: int |
 def _g2_violation(n: Column) -> Column:
     k = T.n_tokens_norm(n)
     good = "(?:RED (?:%s)|BLUE (?:%s))" % ("|".join(RED_SHAPES), "|".join(BLUE_SHAPES))
-    rest = F.regexp_replace(n, "^(?:%s(?: |$))*" % good, "")
+    rest = F.regexp_replace(n, "^(?:%s(?: |$))*+" % good, "")
     return (F.when(k == 0, "empty")
             .when(k % 2 != 0, "odd_length")
             .when((rest != "") & ~T.first_token(rest).isin(*COLORS), "bad_color")

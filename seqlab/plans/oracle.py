@@ -244,7 +244,7 @@ SELECT id, rule, ({fused})::INTEGER AS n_fused FROM (SELECT *, {K.toks('generate
     ORACLE["parse_run_name"] = "WITH " + samples_cte() + f"""
 SELECT model, regexp_extract(model, {pat}, 1) AS base, regexp_extract(model, {pat}, 2) AS rule,
        regexp_extract(model, {pat}, 3) AS variant, regexp_extract(model, {pat}, 4)::INTEGER AS step,
-       coalesce(nullif(regexp_extract(model, '_hyperdata_(\\d+)pct_', 1), '')::INTEGER, 0) AS pct
+       coalesce(nullif(regexp_extract(model, '_explained_(\\d+)pct_', 1), '')::INTEGER, 0) AS pct
 FROM (SELECT DISTINCT model FROM samples)"""
     # reports
     runs = f"""runs AS (SELECT {RUN}, count(*)::BIGINT AS total, count_if(is_valid)::BIGINT AS valid,
@@ -486,9 +486,9 @@ SELECT conv_id, n_turns, has_system, n_bad, gapless,
        gapless AND n_bad = 0 AND body >= 2 AND body % 2 = 0 AS valid
 FROM (SELECT conv_id, n_turns, first_role = 'system' AS has_system,
              (CASE WHEN first_role = 'system' THEN bad1 ELSE bad0 END)::INTEGER AS n_bad,
-             mn = 0 AND mx = n_turns - 1 AS gapless,
+             mn = 0 AND mx = n_turns - 1 AND turns = n_turns AS gapless,
              CASE WHEN first_role = 'system' THEN n_turns - 1 ELSE n_turns END AS body
-      FROM (SELECT conv_id, count(*)::BIGINT AS n_turns, min(turn) AS mn, max(turn) AS mx,
+      FROM (SELECT conv_id, count(*)::BIGINT AS n_turns, min(turn) AS mn, max(turn) AS mx, count(DISTINCT turn) AS turns,
                    arg_min(role, turn) AS first_role,
                    count_if(role <> CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END) AS bad0,
                    count_if(turn > 0 AND role <> CASE WHEN (turn - 1) % 2 = 0 THEN 'user' ELSE 'assistant' END)

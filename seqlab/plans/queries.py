@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as T
-from seqlab.functions.draws import spread
 from seqlab.operators import corpus as X
 from seqlab.operators import generation as G
 from seqlab.operators import metrics as M
@@ -138,7 +137,7 @@ def q_lenient_palindrome(spark, sf):
 
 @query("tokenize_ws")
 def q_tokenize_ws(spark, sf):
-    d = spread(load(spark, sf, "documents", ["doc_id", "text"]))
+    d = load(spark, sf, "documents", ["doc_id", "text"])
     n = T.ws_norm(F.col("text"))
     return d.select("doc_id", T.n_tokens_norm(n).cast("int").alias("n_tokens"), n.alias("tokens_joined"))
 
@@ -146,7 +145,7 @@ def q_tokenize_ws(spark, sf):
 # ---- synthesis (G1-G13) ---------------------------------------------------------------------------------------
 
 def event_ids(spark, sf) -> DataFrame:
-    return spread(load(spark, sf, "events", ["event_id"]).withColumnRenamed("event_id", "id"))
+    return load(spark, sf, "events", ["event_id"]).withColumnRenamed("event_id", "id")
 
 
 for _name, _rule in [("synth_run", "grammar1"), ("synth_pairs", "grammar2"), ("synth_palindrome", "grammar3"),
@@ -240,7 +239,7 @@ def q_first_line(spark, sf):
 
 @query("normalize_punct")
 def q_normalize_punct(spark, sf):
-    d = spread(load(spark, sf, "documents", ["doc_id", "text"]))
+    d = load(spark, sf, "documents", ["doc_id", "text"])
     return d.select("doc_id", T.strip_punct_tokens(T.ws_norm(F.col("text"))).alias("normalized"))
 
 
@@ -322,7 +321,7 @@ def q_variant_metrics(spark, sf):
 
 def n_events(spark, sf) -> int:
     """Row count of the id source (one scalar; sizes the closed-form interleave)."""
-    return load(spark, sf, "events", ["event_id"]).count()
+    return X.dense_count(load(spark, sf, "events", ["event_id"]), "event_id")
 
 
 def examples(spark, sf, rule, seed=42):

@@ -19,10 +19,14 @@ from seqlab.session import scratch_path
 from seqlab.sources.tables import table_path
 
 
-def read_stream(spark: SparkSession, sf_dir: str, table: str, cols: list[str]) -> DataFrame:
+def read_stream(spark: SparkSession, sf_dir: str, table: str, cols: list[str],
+                max_files: int | None = None) -> DataFrame:
+    """`max_files` bounds a micro-batch; by default a batch takes all that has arrived."""
     schema = spark.read.parquet(table_path(sf_dir, table)).select(*cols).schema
-    return (spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).load(sf_dir).select(*cols))
+    reader = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(sf_dir).select(*cols)
 
 
 def run_append(df: DataFrame, name: str) -> DataFrame:

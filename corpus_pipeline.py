@@ -17,11 +17,22 @@ from seqlab.llm import decontaminate, near_dup, packing, quality_model, repeats
 from seqlab.llm.common import row_key, scratch, ship
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, so that no operator's own column meets one of the same name."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *rest).alias("carried"))
+
+
+def restored(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    return df.select(*[changed.get(c, F.col(c) if c in ("doc_id", "text") else F.col(f"carried.c{i}")).alias(c)
+                       for i, c in enumerate(docs.columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     w = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality_model.scored(docs, w, rest).where(F.col("score") >= quality_model.KEEP).select(*docs.columns)
+    scored = quality_model.scored(carried(docs), w, ("text", "carried"))
+    return restored(scored.where(F.col("score") >= quality_model.KEEP), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,21 +41,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # of rows that share the smallest doc_id one stays
     keep = (found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row")).alias("own"))
             .agg(F.min("row").alias("row")).select("row"))
-    return docs.withColumn("row", row_key()).join(keep, "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
+    kept = carried(docs).withColumn("row", row_key()).join(keep, "row", "left_semi").dropDuplicates(["row"])
+    return restored(kept, docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    left = repeats.removed(docs, texts=True).where("n_removed = 0 or trim(text) != ''")
+    left = repeats.removed(carried(docs), texts=True).where("n_removed = 0 or trim(text) != ''")
+    size = {}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+        old = F.col(f"carried.c{docs.columns.index('n_chars')}")
+        size = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(old)}
+    return restored(left, docs, **size)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.scan(docs, items, spans=True).where("not contaminated").select(*docs.columns)
+    return restored(decontaminate.scan(carried(docs), items, spans=True).where("not contaminated"), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

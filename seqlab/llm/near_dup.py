@@ -8,8 +8,8 @@ part. Nodes of at most `leaf` classes are compared exhaustively by their signatu
 what is still larger (many variants of one text) is compared in blocks of `block` classes together with some classes
 that all blocks of the node share.
 
-Links are confirmed on full sets. First each class's best partner in every node is confirmed, which joins nearly all of
-a group; then all pairs of a node that are still in different components. So a group of n variants costs a number of
+Links are confirmed on full sets. First three of each class's best partners are confirmed, which joins nearly all of a
+group, then three of its best in other components, and at last all pairs of a node that are still in different components. So a group of n variants costs a number of
 links in proportion to n, and no link between components is left out. Components are found by large and small stars.
 
 Defined results: null or empty text, or text without words: n_shingles 0, a component of its own. Fewer than five words
@@ -29,7 +29,9 @@ from seqlab.llm.common import (NONSPACE, Words, components, documents, mix, only
 
 SHINGLE, COORDS, TREES, DEPTH, LEAF, BLOCK, PIVOTS, AGAIN = 5, 128, 12, 3, 64, 1024, 8, 2
 SHARE = (75, 100)  # intersection over union
-MAYBE = 0.58  # a signature's estimate of 0.75 lies below this with probability 1e-5
+#: A signature's estimate of a link of 0.75 lies below the first with probability 1e-5, below the second with 1e-2. The
+#: second holds only for pairs that are among neither class's best three and still join two components.
+MAYBE, LIKELY = 0.58, 0.66
 _R = np.random.RandomState(7)
 _A = _R.randint(1, 1 << 31, COORDS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _C = _R.randint(0, 1 << 31, COORDS).astype(np.uint32)
@@ -118,23 +120,29 @@ def occupied(members: DataFrame) -> DataFrame:
 
 
 def pairs(members: DataFrame, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) within nodes, by signature: each class's best partner, or all with other labels."""
+    """Candidate pairs (a, b) within nodes, of classes with different labels, by signature.
+
+    best: of each class's best partners in its nodes, the best of all and two by chance, so three pairs a class at most;
+    otherwise all pairs.
+    """
+    maybe = MAYBE if best else LIKELY
+
     def compare(cls, n, sig, label):
         got = []
         for i in range(0, len(cls), 128):  # rows of a block of 128 against all of the node
             same = (sig[i:i + 128, None, :] == sig[None, :, :]).sum(2, dtype=np.int32)
             small, large = np.minimum(n[i:i + 128, None], n), np.maximum(n[i:i + 128, None], n)
-            ok = (same >= MAYBE * COORDS) & (small * SHARE[1] >= SHARE[0] * large) & (label[i:i + 128, None] != label)
+            ok = (same >= maybe * COORDS) & (small * SHARE[1] >= SHARE[0] * large) & (label[i:i + 128, None] != label)
             if best:
                 same = np.where(ok, same, -1)
                 j = same.argmax(1)
                 x = np.flatnonzero(same[np.arange(len(j)), j] >= 0)
-                got.append((x + i, j[x]))
+                got.append((x + i, j[x], same[x, j[x]]))
             else:
                 x, y = np.nonzero(ok)
-                got.append((x + i, y))
-        x, y = (np.concatenate(v) for v in zip(*got, strict=True))
-        return cls[x], cls[y]
+                got.append((x + i, y, same[x, y]))
+        x, y, same = (np.concatenate(v) for v in zip(*got, strict=True))
+        return cls[x], cls[y], same
 
     def task(batches):
         for t in whole_groups(batches, "node"):
@@ -144,16 +152,23 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             size = np.diff(np.append(start, len(node)))
             two = start[size == 2]
-            ok = ((sig[two] == sig[two + 1]).sum(1) >= MAYBE * COORDS) & (label[two] != label[two + 1])
+            same = (sig[two] == sig[two + 1]).sum(1)
+            ok = (same >= maybe * COORDS) & (label[two] != label[two + 1])
             ok &= np.minimum(n[two], n[two + 1]) * SHARE[1] >= SHARE[0] * np.maximum(n[two], n[two + 1])
-            out = [(cls[two[ok]], cls[two[ok] + 1])]
+            x, y, alike = cls[two[ok]], cls[two[ok] + 1], same[ok]
+            out = [(x, y, alike), (y, x, alike)]
             for s, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 out.append(compare(cls[s:s + k], n[s:s + k], sig[s:s + k], label[s:s + k]))
-            a, b = (np.concatenate(v) for v in zip(*out, strict=True))
-            u = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(u[:, 0].copy()), "b": pa.array(u[:, 1].copy())})
+            x, y, same = (np.concatenate(v) for v in zip(*out, strict=True))
+            yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": pa.array(y), "same": pa.array(same.astype(np.int32))})
 
-    return sorted_by(members, "node").mapInArrow(task, "a long, b long").distinct()
+    found = sorted_by(members, "node").mapInArrow(task, "x long, y long, same int")
+    if best:
+        pick = lambda by: F.max(F.struct(by, F.col("y")))
+        three = found.groupBy("x").agg(*[pick(by).getField("y").alias(f"y{i}") for i, by in enumerate(
+            (F.col("same"), F.xxhash64("y", F.lit(1)), F.xxhash64("y", F.lit(2))))])
+        found = three.select("x", F.explode(F.array("y0", "y1", "y2")).alias("y"))
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def nodes_of(classes: DataFrame, leaf: int, block: int) -> DataFrame:
@@ -215,18 +230,17 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
     wanted = staged(ends.join(classes.select("cls", "row"), "cls"), "wanted")
     texts = only(docs, "doc_id", "text").select(row_key().alias("row"), "text").join(wanted, "row")
     texts = staged(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")  # equal rows share a key
-    links = staged(confirmed(first, texts), "links")
+    links, tried = staged(confirmed(first, texts), "links"), first
     roots = components(links)
-    # nodes whose classes are still in several components: all pairs across those
-    label = nodes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "node", "cls", F.coalesce("root", "cls").alias("label")).join(ends, "cls", "left_semi")
-    label = staged(label, "labels")
-    mixed = label.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("node")
-    rest = staged(pairs(label.join(mixed, "node").join(sig, "cls"), False).join(
-        first, ["a", "b"], "left_anti"), "rest")
-    more = staged(confirmed(rest, texts), "links")
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+    for best in (True, False):
+        # nodes whose classes are still in several components
+        label = staged(nodes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
+            "node", "cls", F.coalesce("root", "cls").alias("label")).join(ends, "cls", "left_semi"), "labels")
+        mixed = label.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("node")
+        rest = staged(pairs(label.join(mixed, "node").join(sig, "cls"), best).join(tried, ["a", "b"], "left_anti"), "rest")
+        more = staged(confirmed(rest, texts), "links")
+        links, tried = links.unionByName(more), tried.unionByName(rest)
+        roots = components(links)
     known = classes.select("cls", "doc_id").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = known.join(least, "root").select("cls", "component_id")

@@ -230,8 +230,7 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
     wanted = staged(ends.join(classes.select("cls", "row"), "cls"), "wanted")
     texts = only(docs, "doc_id", "text").select(row_key().alias("row"), "text").join(wanted, "row")
     texts = staged(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")  # equal rows share a key
-    links, tried = staged(confirmed(first, texts), "links"), first
-    roots = components(links)
+    roots, tried = components(staged(confirmed(first, texts), "links")), first
     for best in (True, False):
         # nodes whose classes are still in several components
         label = staged(nodes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
@@ -239,8 +238,9 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
         mixed = label.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("node")
         rest = staged(pairs(label.join(mixed, "node").join(sig, "cls"), best).join(tried, ["a", "b"], "left_anti"), "rest")
         more = staged(confirmed(rest, texts), "links")
-        links, tried = links.unionByName(more), tried.unionByName(rest)
-        roots = components(links)
+        if more.limit(1).count():  # the components so far are stars, so only the new links need work
+            roots = components(more.unionByName(roots.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))))
+        tried = tried.unionByName(rest)
     known = classes.select("cls", "doc_id").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = known.join(least, "root").select("cls", "component_id")

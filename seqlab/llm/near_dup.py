@@ -160,6 +160,9 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
             for s, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 out.append(compare(cls[s:s + k], n[s:s + k], sig[s:s + k], label[s:s + k]))
             x, y, same = (np.concatenate(v) for v in zip(*out, strict=True))
+            if not best:  # once a pair and batch, whatever nodes it was found in
+                _, one = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0, return_index=True)
+                x, y, same = x[one], y[one], same[one]
             yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": pa.array(y), "same": pa.array(same.astype(np.int32))})
 
     found = sorted_by(members, "node").mapInArrow(task, "x long, y long, same int")

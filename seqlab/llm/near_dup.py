@@ -119,29 +119,51 @@ def occupied(members: DataFrame) -> DataFrame:
     return sorted_by(members, "node", "cls").mapInArrow(task, "node long, cls long, size long")
 
 
+def apart(node: int, held, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (x, y) of a node share none of the smaller nodes that `held` (offsets, values) lists for them."""
+    offsets, values = held
+    vals = values[offsets[0]:offsets[-1]]
+    who = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    vals, who = vals[vals < node], who[vals < node]
+    _, inverse, count = np.unique(vals, return_inverse=True, return_counts=True)
+    col = np.cumsum(count > 1) - 1
+    several = count[inverse] > 1 if len(vals) else np.zeros(0, bool)
+    if not several.any():
+        return np.ones(len(x), bool)
+    flags = np.zeros((len(offsets) - 1, -(-(int(col[-1]) + 1) // 64) * 64), bool)
+    flags[who[several], col[inverse[several]]] = True
+    flags = np.packbits(flags, axis=1).view(np.uint64)
+    step = max(1, (1 << 21) // flags.shape[1])
+    cuts = range(0, len(x), step)
+    return ~np.concatenate([(flags[x[i:i + step]] & flags[y[i:i + step]]).any(1) for i in cuts]) if len(x) else np.zeros(0, bool)
+
+
 def pairs(members: DataFrame, best: bool) -> DataFrame:
     """Candidate pairs (a, b) within nodes, of classes with different labels, by signature.
 
     best: of each class's best partners in its nodes, the best of all and two by chance, so three pairs a class at most;
-    otherwise all pairs.
+    otherwise all pairs, each in the smallest node that the column `held` lists for both of its classes.
     """
     maybe = MAYBE if best else LIKELY
 
-    def compare(cls, n, sig, label):
+    def compare(cls, n, sig, label, node, held):
         got = []
         for i in range(0, len(cls), 128):  # rows of a block of 128 against all of the node
             same = (sig[i:i + 128, None, :] == sig[None, :, :]).sum(2, dtype=np.int32)
             small, large = np.minimum(n[i:i + 128, None], n), np.maximum(n[i:i + 128, None], n)
-            ok = (same >= maybe * COORDS) & (small * SHARE[1] >= SHARE[0] * large) & (label[i:i + 128, None] != label)
+            ok = (same >= maybe * COORDS) & (small * SHARE[1] >= SHARE[0] * large)
             if best:
-                same = np.where(ok, same, -1)
+                same = np.where(ok & (label[i:i + 128, None] != label), same, -1)
                 j = same.argmax(1)
                 x = np.flatnonzero(same[np.arange(len(j)), j] >= 0)
                 got.append((x + i, j[x], same[x, j[x]]))
             else:
-                x, y = np.nonzero(ok)
+                x, y = np.nonzero(ok & (label[i:i + 128, None] < label))
                 got.append((x + i, y, same[x, y]))
         x, y, same = (np.concatenate(v) for v in zip(*got, strict=True))
+        if not best:
+            new = apart(node, held, x, y)
+            x, y, same = x[new], y[new], same[new]
         return cls[x], cls[y], same
 
     def task(batches):
@@ -149,20 +171,24 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
             t = t.combine_chunks()
             node, cls, n, label = (t.column(c).to_numpy() for c in ("node", "cls", "n", "label"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
+            if not best:
+                lists = t.column("held").chunk(0)
+                offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            held = lambda s, k: None if best else (offsets[s:s + k + 1], values)
             start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             size = np.diff(np.append(start, len(node)))
             two = start[size == 2]
             same = (sig[two] == sig[two + 1]).sum(1)
             ok = (same >= maybe * COORDS) & (label[two] != label[two + 1])
             ok &= np.minimum(n[two], n[two + 1]) * SHARE[1] >= SHARE[0] * np.maximum(n[two], n[two + 1])
+            if not best:
+                zero, one = np.zeros(1, np.int64), np.ones(1, np.int64)
+                ok[ok] = [apart(node[s], held(s, 2), zero, one)[0] for s in two[ok].tolist()]
             x, y, alike = cls[two[ok]], cls[two[ok] + 1], same[ok]
-            out = [(x, y, alike), (y, x, alike)]
+            out = [(x, y, alike), (y, x, alike)] if best else [(x, y, alike)]
             for s, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                out.append(compare(cls[s:s + k], n[s:s + k], sig[s:s + k], label[s:s + k]))
+                out.append(compare(cls[s:s + k], n[s:s + k], sig[s:s + k], label[s:s + k], node[s], held(s, k)))
             x, y, same = (np.concatenate(v) for v in zip(*out, strict=True))
-            if not best:  # once a pair and batch, whatever nodes it was found in
-                _, one = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0, return_index=True)
-                x, y, same = x[one], y[one], same[one]
             yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": pa.array(y), "same": pa.array(same.astype(np.int32))})
 
     found = sorted_by(members, "node").mapInArrow(task, "x long, y long, same int")
@@ -175,9 +201,13 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
 
 
 def nodes_of(classes: DataFrame, leaf: int, block: int) -> DataFrame:
-    """(node, cls) of every node to compare: small ones, and blocks of those that stay large."""
+    """(node, cls, own) of every node to compare: small ones, and blocks of those that stay large.
+
+    own: the class is in one block of the node only. A class owns at most as many nodes as its trees and branches have.
+    """
     met = staged(occupied(classes.select("cls", F.explode("nodes").alias("node"))), "nodes")
-    out = met.where(F.col("size") <= leaf).select("node", "cls")
+    small = lambda met: met.where(F.col("size") <= leaf).select("node", "cls", F.lit(True).alias("own"))
+    out = small(met)
 
     def deeper(batches):
         for batch in batches:
@@ -188,13 +218,14 @@ def nodes_of(classes: DataFrame, leaf: int, block: int) -> DataFrame:
     for _ in range(AGAIN):
         large = met.where(F.col("size") > leaf).join(classes.select("cls", "sig"), "cls")
         met = staged(occupied(large.select("node", "cls", "sig").mapInArrow(deeper, "node long, cls long")), "nodes")
-        out = out.unionByName(met.where(F.col("size") <= leaf).select("node", "cls"))
+        out = out.unionByName(small(met))
     large = met.where(F.col("size") > leaf)
     cuts = F.ceil(F.col("size") / block)
     # every block holds the classes whose hash falls into one of PIVOTS / size parts: about PIVOTS of a node
     shared = F.pmod(F.xxhash64("cls", "node"), F.greatest(F.lit(1), (F.col("size") / PIVOTS).cast("long"))) == 0
     part = F.when(shared, F.sequence(F.lit(0).cast("long"), cuts - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), cuts)))
-    blocks = large.select("node", "cls", F.explode(part).alias("part")).select(F.xxhash64("node", "part").alias("node"), "cls")
+    blocks = large.select("node", "cls", (~shared).alias("own"), F.explode(part).alias("part"))
+    blocks = blocks.select(F.xxhash64("node", "part").alias("node"), "cls", "own")
     return out.unionByName(blocks)
 
 
@@ -227,7 +258,7 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
         F.first("nodes").alias("nodes")), "classes")
     nodes = staged(nodes_of(classes, leaf, block), "members")
     sig = classes.select("cls", "n", "sig")
-    first = staged(pairs(nodes.join(sig, "cls").withColumn("label", F.col("cls")), True), "best")
+    first = staged(pairs(nodes.drop("own").join(sig, "cls").withColumn("label", F.col("cls")), True), "best")
     # every class that any pair can have is an end of some best pair: their texts are fetched once
     ends = first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))).distinct()
     wanted = staged(ends.join(classes.select("cls", "row"), "cls"), "wanted")
@@ -237,9 +268,13 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
     for best in (True, False):
         # nodes whose classes are still in several components
         label = staged(nodes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
-            "node", "cls", F.coalesce("root", "cls").alias("label")).join(ends, "cls", "left_semi"), "labels")
+            "node", "cls", "own", F.coalesce("root", "cls").alias("label")).join(ends, "cls", "left_semi"), "labels")
         mixed = label.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("node")
-        rest = staged(pairs(label.join(mixed, "node").join(sig, "cls"), best).join(tried, ["a", "b"], "left_anti"), "rest")
+        open_ = label.join(mixed, "node").join(sig, "cls")
+        if not best:  # two classes of one node with different labels: the node is in `mixed`, so both lists have it
+            open_ = staged(open_, "open")
+            open_ = open_.join(open_.where("own").groupBy("cls").agg(F.collect_set("node").alias("held")), "cls", "left")
+        rest = staged(pairs(open_.drop("own"), best).join(tried, ["a", "b"], "left_anti"), "rest")
         more = staged(confirmed(rest, texts), "links")
         if more.limit(1).count():  # the components so far are stars, so only the new links need work
             roots = components(more.unionByName(roots.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))))

@@ -1,6 +1,7 @@
 """Operators of the pipeline package against brute force, on small tables with the awkward cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -85,6 +86,42 @@ def test_near_dup(docs):
           "doc_id", "n_shingles", "component_id")
 
 
+def test_near_dup_of_many_variants(spark):
+    """Links about the threshold, in nodes that are compared in blocks, against all pairs."""
+    rng = random.Random(5)
+    base = [[f"v{g}w{i}" for i in range(60)] for g in range(2)]
+    texts = []
+    for i in range(300):
+        words = list(base[i % 2])
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[j:j + 5]) for j in range(56)} for t in texts]
+    root = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.groups(df, leaf=8, block=64).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 2
+
+
+def test_pairs_appear_in_their_smallest_node():
+    rng = random.Random(3)
+    lists = [sorted(rng.sample(range(-200, 200), rng.randrange(40))) for _ in range(90)]
+    offsets = np.cumsum([0, *map(len, lists)])
+    values = np.array([v for x in lists for v in x], np.int64)
+    x, y = (a.ravel() for a in np.indices((90, 90)))
+    for node in (-200, 0, 199):
+        want = [not any(v < node for v in set(lists[i]) & set(lists[j])) for i, j in zip(x, y, strict=True)]
+        got = near_dup.apart(node, (offsets, values), x, y)
+        # a row alone may hold a smaller node that no other row has
+        assert [g for g, i, j in zip(got, x, y, strict=True) if i != j] == [w for w, i, j in zip(want, x, y, strict=True) if i != j]
+
+
 def test_repeats(docs):
     for least, gram in ((200, 100), (40, 20)):
         raw = [(d[1] or "").encode() for d in DOCS]

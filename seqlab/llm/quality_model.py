@@ -15,15 +15,16 @@ part. Without any label the score is 0.5. Repeated rows each give a row; further
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import ALNUM, NONSPACE, RangeHash, documents, LOWER, mix, only, pieces, staged
+from seqlab.llm.common import ALNUM, NONSPACE, RangeHash, documents, LOWER, mix, only, pieces, scratch, staged
 
 BITS, SAMPLE, SHARDS, ROUNDS = 18, 16384, 4, 3
 ALPHA, BETA, L1, L2, SCALE, KEEP = 0.5, 1.0, 0.02, 0.01, 12.0, 0.7
@@ -88,13 +89,19 @@ def remainder(name: str = "doc_id"):
 
 
 def epoch(state, seed: int):
-    """One round over a shard's rows, from the common state."""
-    def task(table):
+    """One round over a shard's rows (one partition, `sample` rows at most), from the common state."""
+    def task(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("key", "ascending")])
+        ids = table.column("doc_id").to_numpy()
+        once = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # of repeated rows of a document the first
         z, n = (x.copy() for x in state.value)
-        order = np.random.RandomState(seed).permutation(np.argsort(table.column("doc_id").to_numpy()))
         y, b, v = (table.column(c).combine_chunks() for c in ("quality", "bucket", "value"))
-        ftrl(((b[j].values.to_numpy(), v[j].values.to_numpy(), y[j].as_py()) for j in map(int, order)), z, n)
-        return pa.table({"z": pa.array([z.astype("<f8").tobytes()]), "n": pa.array([n.astype("<f8").tobytes()])})
+        order = map(int, np.random.RandomState(seed).permutation(once))
+        ftrl(((b[j].values.to_numpy(), v[j].values.to_numpy(), y[j].as_py()) for j in order), z, n)
+        yield pa.RecordBatch.from_pydict({"z": pa.array([z.astype("<f8").tobytes()]), "n": pa.array([n.astype("<f8").tobytes()])})
 
     return task
 
@@ -107,25 +114,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # broadcast: `sample` rows at most
     rows = (only(docs, "doc_id", "text").join(F.broadcast(staged(marked, "quality-marked")), "doc_id")
-            .select("text", "quality", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard")))
+            .select("text", "quality", "doc_id", F.xxhash64("text").alias("key"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard")))
 
     def featured(batches):
         for batch, texts in pieces(batches):
             who, bucket, value = features(texts)
             ends = pa.array(np.searchsorted(who, np.arange(len(texts) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
-                batch.column("shard"), batch.column("doc_id"), batch.column("quality"),
+                batch.column("shard"), batch.column("doc_id"), batch.column("key"), batch.column("quality"),
                 pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))],
-                ["shard", "doc_id", "quality", "bucket", "value"])
-
-    ready = staged(rows.mapInArrow(featured, "shard long, doc_id long, quality int, bucket array<int>, value array<float>"), "quality-features")
-    # repeated rows of a document would each be trained on: one row a doc_id
-    ready = ready.dropDuplicates(["doc_id"])
+                ["shard", "doc_id", "key", "quality", "bucket", "value"])
+
+    # one shuffle: a folder a shard, which every round reads
+    spark, path = docs.sparkSession, f"{scratch(docs.sparkSession)}/llm-quality-features-{uuid.uuid4().hex[:12]}"
+    found = rows.mapInArrow(featured, "shard long, doc_id long, key long, quality int, bucket array<int>, value array<float>")
+    found.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    ready = spark.read.schema(found.schema).parquet(path)
+    ready = reduce(DataFrame.unionByName, [ready.where(F.col("shard") == i).drop("shard").coalesce(1) for i in range(shards)])
     z, n = np.zeros(size), np.zeros(size)
     for i in range(rounds):
-        state = docs.sparkSession.sparkContext.broadcast((z, n))
-
-        got = ready.groupBy("shard").applyInArrow(epoch(state, i), "z binary, n binary").collect()  # `shards` rows of fixed size
+        state = spark.sparkContext.broadcast((z, n))
+        got = ready.mapInArrow(epoch(state, i), "z binary, n binary").collect()  # `shards` rows of fixed size
         if got:
             z = np.mean([np.frombuffer(r.z, "<f8") for r in got], axis=0)
             n = np.mean([np.frombuffer(r.n, "<f8") for r in got], axis=0)

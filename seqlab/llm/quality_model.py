@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -130,11 +130,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
     found = rows.mapInArrow(featured, "shard long, doc_id long, key long, quality int, bucket array<int>, value array<float>")
     found.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
     ready = spark.read.schema(found.schema).parquet(path)
-    ready = reduce(DataFrame.unionByName, [ready.where(F.col("shard") == i).drop("shard").coalesce(1) for i in range(shards)])
+    parts = [ready.where(F.col("shard") == i).drop("shard").coalesce(1) for i in range(shards)]
     z, n = np.zeros(size), np.zeros(size)
     for i in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
-        got = ready.mapInArrow(epoch(state, i), "z binary, n binary").collect()  # `shards` rows of fixed size
+        one = lambda part, task=epoch(state, i): part.mapInArrow(task, "z binary, n binary").collect()
+        with ThreadPool(shards) as pool:  # a job a shard, as a union of single partitions would be one task
+            got = sum(pool.map(one, parts), [])  # `shards` rows of fixed size
         if got:
             z = np.mean([np.frombuffer(r.z, "<f8") for r in got], axis=0)
             n = np.mean([np.frombuffer(r.n, "<f8") for r in got], axis=0)

@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.llm.common import ALNUM, NONSPACE, RangeHash, documents, LOWER, mix, only, pieces, scratch, staged
@@ -101,11 +101,22 @@ def epoch(state, seed: int):
         y, b, v = (table.column(c).combine_chunks() for c in ("quality", "bucket", "value"))
         order = map(int, np.random.RandomState(seed).permutation(once))
         ftrl(((b[j].values.to_numpy(), v[j].values.to_numpy(), y[j].as_py()) for j in order), z, n)
-        yield pa.RecordBatch.from_pydict({"z": pa.array([z.astype("<f8").tobytes()]), "n": pa.array([n.astype("<f8").tobytes()])})
+        yield pa.RecordBatch.from_pydict({"z": pa.array([z.astype("<f4").tobytes()]), "n": pa.array([n.astype("<f4").tobytes()])})
 
     return task
 
 
+def apart(spark: SparkSession, parts: DataFrame) -> list[Row]:
+    """Rows of a union of single partitions, each in a task of its own; by default Spark zips those into one task."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return parts.collect()
+    finally:
+        spark.conf.set(name, before)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of 2**BITS buckets and the bias."""
     size = (1 << BITS) + 1
@@ -130,16 +141,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
     found = rows.mapInArrow(featured, "shard long, doc_id long, key long, quality int, bucket array<int>, value array<float>")
     found.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
     ready = spark.read.schema(found.schema).parquet(path)
-    parts = [ready.where(F.col("shard") == i).drop("shard").coalesce(1) for i in range(shards)]
+    ready = reduce(DataFrame.unionByName, [ready.where(F.col("shard") == i).drop("shard").coalesce(1) for i in range(shards)])
     z, n = np.zeros(size), np.zeros(size)
     for i in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
-        one = lambda part, task=epoch(state, i): part.mapInArrow(task, "z binary, n binary").collect()
-        with ThreadPool(shards) as pool:  # a job a shard, as a union of single partitions would be one task
-            got = sum(pool.map(one, parts), [])  # `shards` rows of fixed size
+        got = apart(spark, ready.mapInArrow(epoch(state, i), "z binary, n binary"))  # `shards` rows of fixed size
+        state.destroy()
         if got:
-            z = np.mean([np.frombuffer(r.z, "<f8") for r in got], axis=0)
-            n = np.mean([np.frombuffer(r.n, "<f8") for r in got], axis=0)
+            z = np.mean([np.frombuffer(r.z, "<f4") for r in got], axis=0, dtype=float)
+            n = np.mean([np.frombuffer(r.n, "<f4") for r in got], axis=0, dtype=float)
     return weights(z, n).astype(np.float32)
 
 

@@ -18,6 +18,7 @@ each other. Texts of any length are whole; an empty table gives no rows. Further
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from seqlab.llm.common import RangeHash, documents, only, pieces, row_key, signed, sorted_by, staged, whole_groups
 
 LEAST, GRAM, MOST = 200, 100, 2000
+#: Bytes of whole groups that are searched at once; a larger group is searched whole, on its own. A byte takes about 100.
+PART_BYTES = 1 << 18
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -75,9 +78,10 @@ def chunks(texts: list[bytes], least: int, gram: int):
 def order(a: np.ndarray, group: np.ndarray, longest: int):
     """Suffixes in order (texts of a group together; texts end in -1), and the ranks by prefixes of 1, 2, 4, ... bytes."""
     n = len(a)
+    small = np.int32 if n < 1 << 31 else np.int64
     rank = (group * 257 + a + 1).astype(np.int64)
     rank = np.unique(rank, return_inverse=True)[1]
-    levels, step = [rank], 1
+    levels, step = [rank.astype(small)], 1
     while step < longest:
         after = np.zeros(n, np.int64)
         after[:n - step] = rank[step:] + 1
@@ -86,7 +90,7 @@ def order(a: np.ndarray, group: np.ndarray, longest: int):
         new = np.empty(n, np.int64)
         new[by] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         rank = new
-        levels.append(rank)
+        levels.append(rank.astype(small))
         step *= 2
         if rank.max() == n - 1:
             break
@@ -114,12 +118,13 @@ def maximal_repeats(texts: list[bytes], weight: np.ndarray, group: np.ndarray, l
 
     A text of weight over 1 stands for so many equal ones, so it is covered as a whole.
     """
-    intervals: list[tuple[int, int, int]] = []
-    cover = [(i, 0, len(texts[i])) for i in np.flatnonzero(weight > 1).tolist()]
+    intervals = array("q")
     size = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(size + 1)
     first = ends - size - 1
     a = np.full(int(ends[-1]), -1, np.int64)
+    cell = "i" if len(a) < 1 << 31 else "q"
+    longest = array(cell, bytes(array(cell).itemsize * len(a)))  # of the repeats that a suffix occurs in, in order
     inner = np.ones(len(a), bool)
     inner[ends - 1] = False
     a[inner] = np.frombuffer(b"".join(texts), np.uint8)
@@ -138,14 +143,14 @@ def maximal_repeats(texts: list[bytes], weight: np.ndarray, group: np.ndarray, l
         if diverse[hi] == diverse[lo]:
             continue  # one byte stands left of all: every interval in it belongs to a longer repeat
         stack = [[0, lo]]  # [common prefix, left border]
-        free = list(range(hi - lo + 2))  # next suffix that no repeat has yet, by place in this run
+        free = array(cell, range(hi - lo + 2))  # next suffix that no repeat has yet, by place in this run
         for i in range(lo + 1, hi + 2):
             now = int(lcp[i]) if i <= hi else 0
             left = i - 1
             while stack and stack[-1][0] > now:
                 length, left = stack.pop()
                 if length >= least and diverse[i - 1] != diverse[left]:
-                    intervals.append((length, left, i))
+                    intervals.extend((length, left, i))
                     k = left - lo
                     while True:  # inner intervals come first and are longer, so each suffix is met once
                         while free[k] != k:
@@ -153,13 +158,15 @@ def maximal_repeats(texts: list[bytes], weight: np.ndarray, group: np.ndarray, l
                             k = free[k]
                         if k >= i - lo:
                             break
-                        q = int(sa[lo + k])
-                        cover.append((int(owner[q]), int(q - first[owner[q]]), length))
+                        longest[lo + k] = length
                         free[k] = k + 1
             if not stack or stack[-1][0] < now:
                 stack.append([now, left])
-    return (np.array(intervals, np.int64).reshape(-1, 3), np.stack([owner[sa], sa - first[owner[sa]]], 1),
-            np.array(cover, np.int64).reshape(-1, 3))
+    places = np.stack([owner[sa], sa - first[owner[sa]]], 1)
+    length = np.frombuffer(longest, f"i{longest.itemsize}")
+    some, whole = np.flatnonzero(length), np.flatnonzero(weight > 1)
+    cover = np.concatenate([np.stack([whole, 0 * whole, size[whole]], 1), np.column_stack([places[some], length[some]])])
+    return np.array(intervals, np.int64).reshape(-1, 3), places, cover
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +244,7 @@ def covered(found: DataFrame, docs: DataFrame, least: int, most: int) -> DataFra
             weight = t.column("weight").to_numpy()
             size = np.array([len(x) for x in data])
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            part = (np.cumsum(size) - size) // (1 << 20)  # about 1 MB of whole groups at a time
+            part = (np.cumsum(size) - size) // PART_BYTES  # whole groups, about so much at a time
             cut = np.unique(np.concatenate([edge[np.concatenate([[True], part[edge][1:] != part[edge][:-1]])], [len(key)]]))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 group = np.cumsum(np.concatenate([[0], key[lo + 1:hi] != key[lo:hi - 1]]))

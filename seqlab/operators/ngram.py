@@ -3,8 +3,9 @@ loss and perplexity.
 
 Estimation is ``groupBy(model, prev, next).count()`` over in-row token pairs (``posexplode`` plus an index read of
 the successor, so no window or self-join is needed to pair neighbours) -- partial aggregation runs before the shuffle, so a hot context
-token is combined map-side. Scoring joins token pairs to the count table; the count table and the context totals
-are joined as ordinary equi-joins and AQE turns them into broadcasts only when their runtime size is small.
+token is combined map-side. Context totals and vocabulary sizes come from the count table. Losses are worked out once
+per distinct pair, so scoring is one join of the token pairs with that table, by ordinary equi-joins that AQE turns
+into broadcasts only when their runtime size is small.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ MASS_THRESHOLD_PAIR = 0.05
 SMOOTHING_ALPHA = 0.1
 # -------------------------------------------------------------------------------------------------------------
 
-# Decision-point tests per rule set: (name, kind, prefix, good tokens, bad tokens, threshold).
+# --- fixed values: decision-point tests per rule set: (name, kind, prefix, good tokens, bad tokens, threshold) -----
 #   prefer: p(good) > p(bad)          group: sum p(good) > sum p(bad)          mass: sum p(good) > threshold
 DECISION_TESTS = {
     "grammar1": [
@@ -36,7 +37,6 @@ DECISION_TESTS = {
         ("after_pair_colors", "mass", "RED CIRCLE", ["RED", "BLUE"], [], MASS_THRESHOLD_PAIR),
         ("red_not_triangle", "prefer", "RED", ["CIRCLE"], ["TRIANGLE"], None),
     ],
-    # Defined for today's FEP/GOR rule set (the reference's own grammar3 tests still use an older language).
     "grammar3": [
         ("open_prefers_content_or_close", "group", "<tivari3> FEP", ["NUL", "TAS", "WEJ", "KOB", "GOR"],
          ["FEP", "BLAX"], None),
@@ -59,6 +59,7 @@ DECISION_TESTS = {
         ("four_zivs_prefer_bek", "prefer", "XAQ ZIV ZIV ZIV ZIV", ["BEK"], ["ZIV"], None),
     ],
 }
+# -------------------------------------------------------------------------------------------------------------
 
 
 def decision_tests_dim(spark) -> DataFrame:
@@ -74,35 +75,41 @@ def decision_tests_dim(spark) -> DataFrame:
               "threshold double")
 
 
-def token_pairs(df: DataFrame, keys: list[str], text_col: str = "text", with_pos: bool = False) -> DataFrame:
-    """(keys..., [pos], prev, next) for every adjacent token pair of every row.
+def token_pairs(df: DataFrame, keys: list[str], text_col: str = "text", with_pos: bool = False,
+                ends: bool = False) -> DataFrame:
+    """(keys..., [pos], prev, next) for every adjacent token pair of every row; ``ends``: also (last token, null).
 
     ``posexplode`` over all but the last token, the successor read by index from the same array (an
     ``arrays_zip`` of two slices builds a struct per pair and runs several times slower).
     """
     x = df.select(*keys, T.tokens(F.col(text_col)).alias("_t"))
     t = F.col("_t")
-    m = F.greatest(F.size(t) - 1, F.lit(0))
+    m = F.size(t) if ends else F.greatest(F.size(t) - 1, F.lit(0))
     y = x.select(*keys, "_t", F.posexplode(F.slice(t, 1, m)).alias("pos", "prev"))
-    nxt = F.element_at(t, (F.col("pos") + 2).cast("int")).alias("next")
+    nxt = F.get(t, F.col("pos") + 1).alias("next")
     if with_pos:
         return y.select(*keys, F.col("pos").cast("int").alias("pos"), "prev", nxt)
     return y.select(*keys, "prev", nxt)
 
 
-def bigram_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys..., prev, next, n)."""
-    return token_pairs(df, keys, text_col).groupBy(*keys, "prev", "next").agg(F.count(F.lit(1)).alias("n"))
+def bigram_counts(df: DataFrame, keys: list[str], text_col: str = "text", ends: bool = False,
+                  contexts: list[str] | None = None) -> DataFrame:
+    """(keys..., prev, next, n). ``ends`` counts last tokens under a null successor, so the table holds the vocabulary;
+    with ``contexts`` all pairs after other tokens count under (null, null), so every model keeps a row."""
+    pairs = token_pairs(df, keys, text_col, ends=ends)
+    if contexts is not None:
+        wanted = F.col("prev").isin(contexts)
+        pairs = pairs.select(*keys, *[F.when(wanted, F.col(c)).alias(c) for c in ("prev", "next")])
+    return pairs.groupBy(*keys, "prev", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
 def context_totals(counts: DataFrame, keys: list[str]) -> DataFrame:
-    return counts.groupBy(*keys, "prev").agg(F.sum("n").alias("ctx_n"))
+    return counts.where("next is not null").groupBy(*keys, "prev").agg(F.sum("n").alias("ctx_n"))
 
 
-def vocab_sizes(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """Distinct tokens per model (keys)."""
-    toks = df.select(*keys, F.explode(T.tokens(F.col(text_col))).alias("tok"))
-    return toks.groupBy(*keys).agg(F.count_distinct("tok").alias("vocab"))
+def vocab_sizes(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct tokens per model (keys), from counts with ends: every token is a ``prev`` there."""
+    return counts.select(*keys, "prev").distinct().groupBy(*keys).agg(F.count("prev").alias("vocab"))
 
 
 def next_token_probs(counts: DataFrame, keys: list[str], tests: DataFrame) -> DataFrame:
@@ -139,20 +146,27 @@ def completion_accuracy(results: DataFrame, keys: list[str]) -> DataFrame:
                     F.round(F.col("n_correct") / F.col("n_total"), 6).alias("accuracy"))
 
 
-def token_loss(eval_texts: DataFrame, eval_keys: list[str], counts: DataFrame, vocab: DataFrame,
-               model_keys: list[str], alpha: float = SMOOTHING_ALPHA) -> DataFrame:
-    """Per scored token: -ln p(next | prev) with add-alpha smoothing over the model's vocabulary.
-
-    ``eval_texts`` carries the model keys too (each text is scored by the model it is paired with).
-    """
-    pairs = token_pairs(eval_texts, eval_keys, "text", with_pos=True)
-    tot = context_totals(counts, model_keys)
-    j = (pairs.join(counts, model_keys + ["prev", "next"], "left")
-              .join(tot, model_keys + ["prev"], "left")
-              .join(vocab, model_keys, "left"))
+def loss_table(pairs: DataFrame, counts: DataFrame, shared: list[str], model_keys: list[str],
+               alpha: float = SMOOTHING_ALPHA) -> DataFrame:
+    """(model_keys..., prev, next, loss) of every distinct pair under every model that has its ``shared`` keys:
+    -ln p(next | prev) with add-alpha smoothing over the model's vocabulary. ``counts`` are with ends."""
+    seen = pairs.select(*shared, "prev", "next").distinct()
+    j = (seen.join(vocab_sizes(counts, model_keys), shared)
+             .join(counts, model_keys + ["prev", "next"], "left")
+             .join(context_totals(counts, model_keys), model_keys + ["prev"], "left"))
     p = ((F.coalesce(F.col("n"), F.lit(0)) + F.lit(alpha)) /
          (F.coalesce(F.col("ctx_n"), F.lit(0)) + F.lit(alpha) * F.col("vocab")))
-    return j.select(*eval_keys, "pos", "prev", "next", (-F.log(p)).alias("loss"))
+    return j.select(*model_keys, "prev", "next", (-F.log(p)).alias("loss"))
+
+
+def token_loss(eval_texts: DataFrame, eval_keys: list[str], counts: DataFrame, shared: list[str],
+               model_keys: list[str], alpha: float = SMOOTHING_ALPHA) -> DataFrame:
+    """Loss of every scored token under every model that has the text's ``shared`` keys (all of them in
+    ``eval_keys``). A text is tokenised once for all models; without a model it has no rows."""
+    pairs = token_pairs(eval_texts, eval_keys, "text", with_pos=True)
+    table = loss_table(pairs, counts, shared, model_keys, alpha)
+    more = [k for k in model_keys if k not in shared]
+    return pairs.join(table, shared + ["prev", "next"]).select(*eval_keys, *more, "pos", "prev", "next", "loss")
 
 
 def ppl_per_text(loss: DataFrame, text_keys: list[str]) -> DataFrame:
@@ -163,15 +177,16 @@ def ppl_per_text(loss: DataFrame, text_keys: list[str]) -> DataFrame:
 
 def ppl_corpus(per_text: DataFrame, group_keys: list[str], n_samples: DataFrame) -> DataFrame:
     """Token-weighted perplexity, mean loss, mean and population std of per-text perplexity, token total;
-    ``n_samples`` (group_keys..., n_samples) counts every text, scored or not."""
+    ``n_samples`` (group_keys..., n_samples) counts every text, scored or not. Without a scored token the losses and
+    perplexities are infinite."""
     g = per_text.groupBy(*group_keys).agg(F.sum("loss_sum").alias("ls"), F.sum("n_tokens").alias("nt"),
                                           F.avg("ppl").alias("mean_ppl"), F.stddev_pop("ppl").alias("sd"),
                                           F.count(F.lit(1)).alias("n_scored"))
     g = n_samples.join(g, group_keys, "left")
-    mean_loss = F.try_divide(F.col("ls"), F.col("nt").cast("double"))
+    mean_loss = F.coalesce(F.try_divide(F.col("ls"), F.col("nt").cast("double")), F.lit(float("inf")))
     return g.select(*group_keys,
                     F.round(F.exp(mean_loss), 6).alias("perplexity"), F.round(mean_loss, 6).alias("mean_loss"),
-                    F.round(F.col("mean_ppl"), 6).alias("mean_per_text_ppl"),
+                    F.round(F.coalesce("mean_ppl", F.lit(float("inf"))), 6).alias("mean_per_text_ppl"),
                     F.round(F.when(F.col("n_scored") > 1, F.col("sd")).otherwise(F.lit(0.0)), 6)
                     .alias("std_per_text_ppl"),
                     F.coalesce(F.col("nt"), F.lit(0)).cast("long").alias("total_tokens"), "n_samples")

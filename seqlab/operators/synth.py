@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions.draws import Draws, pick
+from seqlab.functions.fence import fence
 from seqlab.operators import rules as R
 
 # --- fixed values: split seeds and default sizes ----------------------------------------------------------------
@@ -177,29 +178,34 @@ def by_rule_col(rule_col: Column, fn) -> Column:
     return out
 
 
-def split_combos() -> list[tuple[str, str, int, str]]:
+def split_combos(splits: list[str] | None = None, labels: list[str] | None = None) -> list[tuple[str, str, int, str]]:
     combos = []
     for r in R.RULES:
         for split, seed in SPLIT_SEEDS.items():
             combos.append((r, split, seed, "valid"))
             if split != "train":
                 combos.append((r, split, seed, "invalid"))
-    return combos
+    return [c for c in combos if (splits is None or c[1] in splits) and (labels is None or c[3] in labels)]
 
 
-def synth_splits(ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """Every rule set x split x id: valid sentences for all splits, invalid ones for val and test.
+def synth_splits(ids: DataFrame, id_col: str = "id", splits: list[str] | None = None,
+                 labels: list[str] | None = None) -> DataFrame:
+    """Every rule set x split x id: valid sentences for all splits, invalid ones for val and test; `splits` and
+    `labels` choose among them before anything is made.
 
     The 25 (rule, split, label) combinations are a literal array exploded per id (a generator, not a join), so the
     id side is never shuffled; the seed is part of the md5 key.
     """
     arr = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("split"), F.lit(sd).alias("seed"),
-                             F.lit(lb).alias("label")) for r, s, sd, lb in split_combos()])
+                             F.lit(lb).alias("label")) for r, s, sd, lb in split_combos(splits, labels)])
     base = ids.select(F.col(id_col).alias("id"), F.explode(arr).alias("c")).select("id", "c.*")
     key = sentence_key(F.col("seed").cast("string"), F.col("rule"), F.col("id"), F.col("label"))
     keyed, d = with_draws(base, key)
     idc = F.col("id")
     valid = by_rule_col(F.col("rule"), lambda r: valid_sentence(r, d))
+    if labels == ["valid"]:
+        made = keyed.select("rule", "split", "label", "id", F.lit(None).cast("string").alias("violation"), valid.alias("text"))
+        return fence(made, ["rule", "split", "label", "id", "violation"], ["text"])
     invalid = by_rule_col(F.col("rule"), lambda r: invalid_sentence(r, d, idc))
     viol = by_rule_col(F.col("rule"), lambda r: violation_type(r, idc))
     is_valid = F.col("label") == "valid"

@@ -189,8 +189,7 @@ def q_verify_splits(spark, sf):
 
 
 def _split_texts(spark, sf, split):
-    sp = S.synth_splits(event_ids(spark, sf))
-    return sp.filter((F.col("split") == split) & (F.col("label") == "valid")).select("rule", "text")
+    return S.synth_splits(event_ids(spark, sf), splits=[split], labels=["valid"]).select("rule", "text")
 
 
 @query("split_overlap")
@@ -207,9 +206,9 @@ def q_split_overlap(spark, sf):
 
 @query("test_only")
 def q_test_only(spark, sf):
-    train = _split_texts(spark, sf, "train")
-    test = _split_texts(spark, sf, "test")
-    return test.subtract(train)
+    train = _split_texts(spark, sf, "train").distinct()  # small rule sets have few sentences, each a hot key
+    test = _split_texts(spark, sf, "test").distinct()
+    return test.join(train, ["rule", "text"], "left_anti")
 
 
 # ---- extraction (E1-E9) ---------------------------------------------------------------------------------------
@@ -426,11 +425,11 @@ MODEL = ["rule", "variant"]
 def training_corpora(spark, sf) -> DataFrame:
     """(rule, variant, text): examples-only corpora and their explanation-interleaved variants."""
     g = X.interleave_grid(event_ids(spark, sf), n_events(spark, sf), G.VARIANT_RATIOS)
-    return materialize(g.select("rule", "variant", "text"))
+    return g.select("rule", "variant", "text")
 
 
 def eval_texts(spark, sf) -> DataFrame:
-    """Test split (seed 456): valid and broken sentences of every rule set, paired with every variant model."""
+    """Test split (seed 456): valid and broken sentences of every rule set, for all variant models of that rule set."""
     ids = event_ids(spark, sf)
     out = None
     for r in R.RULES:
@@ -439,12 +438,18 @@ def eval_texts(spark, sf) -> DataFrame:
         i = S.synth_invalid(ids, r, S.SPLIT_SEEDS["test"]).select(F.lit(r).alias("rule"),
                                                                    F.lit("invalid").alias("label"), "id", "text")
         out = v.unionByName(i) if out is None else out.unionByName(v).unionByName(i)
-    variants = F.array(*[F.lit(v) for v in G.VARIANTS])
-    return materialize(out).select("rule", F.explode(variants).alias("variant"), "label", "id", "text")
+    return materialize(out)
 
 
 def model_counts(spark, sf):
-    return N.bigram_counts(training_corpora(spark, sf), MODEL)
+    """Counts with ends; totals and vocabulary are read off them, so they are written once."""
+    return materialize(N.bigram_counts(training_corpora(spark, sf), MODEL, ends=True))
+
+
+def test_counts(spark, sf):
+    """Counts of the contexts under test alone: a few dozen rows."""
+    contexts = sorted({t[2].split()[-1] for tests in N.DECISION_TESTS.values() for t in tests})
+    return materialize(N.bigram_counts(training_corpora(spark, sf), MODEL, contexts=contexts))
 
 
 @query("ngram_counts")
@@ -458,12 +463,13 @@ def q_ngram_counts(spark, sf):
 
 @query("next_token_prob")
 def q_next_token_prob(spark, sf):
-    p = N.next_token_probs(model_counts(spark, sf), MODEL, N.decision_tests_dim(spark))
+    p = N.next_token_probs(test_counts(spark, sf), MODEL, N.decision_tests_dim(spark))
     return p.select(*MODEL, "test", "token", "side", F.round("prob", 6).alias("prob"))
 
 
-def decision(spark, sf):
-    return N.decision_results(N.next_token_probs(model_counts(spark, sf), MODEL, N.decision_tests_dim(spark)), MODEL)
+def decision(spark, sf, counts=None):
+    counts = test_counts(spark, sf) if counts is None else counts
+    return N.decision_results(N.next_token_probs(counts, MODEL, N.decision_tests_dim(spark)), MODEL)
 
 
 @query("decision_tests")
@@ -476,12 +482,10 @@ def q_completion_accuracy(spark, sf):
     return N.completion_accuracy(decision(spark, sf), MODEL)
 
 
-def losses(spark, sf, ev=None):
-    corp = training_corpora(spark, sf)
-    counts = N.bigram_counts(corp, MODEL)
-    vocab = N.vocab_sizes(corp, MODEL)
+def losses(spark, sf, ev=None, counts=None):
+    counts = model_counts(spark, sf) if counts is None else counts
     ev = eval_texts(spark, sf) if ev is None else ev
-    return N.token_loss(ev, MODEL + ["label", "id"], counts, vocab, MODEL)
+    return N.token_loss(ev, ["rule", "label", "id"], counts, ["rule"], MODEL)
 
 
 @query("token_loss")
@@ -495,10 +499,12 @@ def q_ppl_per_text(spark, sf):
     return t.select(*MODEL, "label", "id", "n_tokens", F.round("ppl", 6).alias("ppl"))
 
 
-def corpus_ppl(spark, sf):
+def corpus_ppl(spark, sf, counts=None):
     ev = eval_texts(spark, sf)
-    per = N.ppl_per_text(losses(spark, sf, ev), MODEL + ["label", "id"])
-    n_s = ev.groupBy(*MODEL, "label").agg(F.count(F.lit(1)).alias("n_samples"))
+    per = N.ppl_per_text(losses(spark, sf, ev, counts), MODEL + ["label", "id"])
+    variants = F.array(*[F.lit(v) for v in G.VARIANTS])
+    n_s = (ev.groupBy("rule", "label").agg(F.count(F.lit(1)).alias("n_samples"))
+           .select("rule", F.explode(variants).alias("variant"), "label", "n_samples"))
     return N.ppl_corpus(per, MODEL + ["label"], n_s)
 
 
@@ -515,8 +521,9 @@ def q_ppl_gap(spark, sf):
 @query("merge_metrics")
 def q_merge_metrics(spark, sf):
     gen = M.validity(verdicts(spark, sf), MODEL).select(*MODEL, "validity_rate")
-    ppl = N.ppl_gap(corpus_ppl(spark, sf), MODEL)
-    acc = N.completion_accuracy(decision(spark, sf), MODEL).select(*MODEL, F.col("accuracy").alias(
+    counts = model_counts(spark, sf)
+    ppl = N.ppl_gap(corpus_ppl(spark, sf, counts), MODEL)
+    acc = N.completion_accuracy(decision(spark, sf, counts), MODEL).select(*MODEL, F.col("accuracy").alias(
         "completion_accuracy"))
     return gen.join(ppl, MODEL, "full").join(acc, MODEL, "full")
 
@@ -554,8 +561,8 @@ def generation_results(spark, sf) -> DataFrame:
     """Per-model result documents: scalars + by_prompt map (map_from_entries over per-prompt structs)."""
     v = verdicts(spark, sf)
     per = M.validity(v, ["model", "rule", "prompt"])
-    maps = per.groupBy("model", "rule").agg(F.map_from_entries(F.collect_list(F.struct(
-        "prompt", F.struct("total", "valid", "validity_rate")))).alias("by_prompt"))
+    maps = per.groupBy("model", "rule").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        "prompt", F.struct("total", "valid", "validity_rate"))))).alias("by_prompt"))
     tot = M.validity(v, ["model", "rule"]).select("model", "rule", "total", "valid", "validity_rate",
                                                    "lenient_valid", "lenient_validity_rate")
     return tot.join(maps, ["model", "rule"])
@@ -578,8 +585,8 @@ def q_results_scan(spark, sf):
 @query("report_explode")
 def q_report_explode(spark, sf):
     runs_ = M.validity(verdicts(spark, sf), ["rule", "model"])
-    rep = runs_.groupBy(F.col("rule").alias("grammar")).agg(F.map_from_entries(F.collect_list(F.struct(
-        "model", F.struct("validity_rate", "valid", "total")))).alias("models"))
+    rep = runs_.groupBy(F.col("rule").alias("grammar")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        "model", F.struct("validity_rate", "valid", "total"))))).alias("models"))
     path = scratch_path(spark, "reports")
     rep.write.mode("overwrite").json(path)
     return IO.scan_report(spark, path)

@@ -31,10 +31,9 @@ def write_results(results: DataFrame, path: str, by: str = "model") -> None:
 
 
 def scan_results(spark: SparkSession, path: str, schema: str = RESULT_SCHEMA, by: str = "model") -> DataFrame:
-    """Globbed result scan; the model name is parsed from each file's path, not from the document."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
-    name = F.regexp_extract(F.col("_metadata.file_path"), f"/{by}=([^/]+)/", 1)
-    return df.select(name.alias(by), "*")
+    """Globbed result scan; the model name is the partition that a file lies in, not part of the document."""
+    df = spark.read.schema(f"{schema}, `{by}` string").option("mode", "FAILFAST").json(path)
+    return df.select(by, *[c for c in df.columns if c != by])
 
 
 def scan_report(spark: SparkSession, path: str) -> DataFrame:

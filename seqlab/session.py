@@ -46,6 +46,9 @@ def _checkpoint_base(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return conf
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     # Unset: local run or test. Create a private folder and register it so checkpoint() works too.
     local = tempfile.mkdtemp(prefix="seqlab-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(local)

@@ -1,8 +1,8 @@
 """Structured Streaming forms: tokenise a document stream, mix it with a static synthetic corpus, and keep
 running validity counters of a sample stream.
 
-Each runs with ``trigger(availableNow=True)`` into a sink under the shared checkpoint folder (with its own
-checkpoint location, so a restarted query resumes exactly once) and returns a batch read of the sink.
+Each runs with ``trigger(availableNow=True)`` into a sink under the shared checkpoint folder and returns a batch read
+of the sink. Sink and checkpoint location are new for every call, so a query started again begins from the first row.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ rows (length, first rank, count, first sequence, offset), is bounded by the leng
 documents. A piece's rank among those of its length is its place in its task plus the counts of the tasks before.
 
 Ids come from `tokenizers`. Texts of ASCII and Latin letters are split by the vocabulary's own pattern in numpy, and each
-distinct piece of text is encoded once a worker; all other texts are encoded whole.
+distinct piece of text is encoded once a worker; all other texts, and those that hold an added token of the tokenizer
+(found before the pattern is applied), are encoded whole.
 
 Defined results: null or empty text is the end id alone. Repeated rows are packed each. An empty table gives no rows.
 Texts of any length are cut as often as needed. Further columns of any name are ignored.
@@ -46,6 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"|".join(map(re.escape, added)) or b"(?!)")
         self.reset()
 
     def reset(self):
@@ -103,7 +106,7 @@ class Encoder:
         return [flat[cut[i]:cut[i + 1]] for i in range(len(texts))]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        simple = [i for i, t in enumerate(texts) if t and not _OTHER.search(t)]
+        simple = [i for i, t in enumerate(texts) if t and not _OTHER.search(t) and not self.added.search(t)]
         out = dict(zip(simple, self.plain([texts[i] for i in simple]), strict=True)) if simple else {}
         for i, t in enumerate(texts):
             if i not in out:

@@ -197,6 +197,16 @@ def test_packing(docs):
         assert [o for o, _ in sorted(s)] == ends[:-1] and ends[-1] <= 2048
 
 
+def test_added_tokens_in_plain_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["see <|endoftext|> now", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n", "no marker <|endof text|> here"]
+    want = [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    assert [x.tolist() for x in packing.Encoder(path)([t.encode() for t in texts])] == want and 50256 in want[0]
+
+
 def test_plan_uses_the_histogram():
     hist = np.zeros(2049, np.int64)
     hist[[1000, 1048, 700, 648, 2048, 3]] = [5, 5, 8, 4, 2, 1]

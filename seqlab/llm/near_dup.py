@@ -6,11 +6,13 @@ one over the similarity), and a class goes on to the child (coordinate, its minw
 meet in (4/3 * s)**depth nodes a tree on average, so links of 0.75 keep meeting at any depth while unrelated classes
 part. Nodes of at most `leaf` classes are compared exhaustively by their signatures; larger ones branch again, twice;
 what is still larger (many variants of one text) is compared in blocks of `block` classes together with some classes
-that all blocks of the node share.
+that all blocks of the node share, and at last whole, each pair of blocks in a task of its own.
 
 Links are confirmed on full sets. First three of each class's best partners are confirmed, which joins nearly all of a
-group, then three of its best in other components, and at last all pairs of a node that are still in different components. So a group of n variants costs a number of
-links in proportion to n, and no link between components is left out. Components are found by large and small stars.
+group, then three of its best in other components (in large nodes over all pairs of blocks, until that joins nothing
+more), and at last all pairs of a node that are still in different components. So a group of n variants costs a number of
+links in proportion to n once it is joined, and no link between components is left out; classes of a large node that stay
+apart cost the square of their number. Components are found by large and small stars.
 
 Defined results: null or empty text, or text without words: n_shingles 0, a component of its own. Fewer than five words
 are one shingle. Repeated rows share a class. A null doc_id takes part, but is never a component_id unless all of its
@@ -29,9 +31,8 @@ from seqlab.llm.common import (NONSPACE, Words, components, documents, mix, only
 
 SHINGLE, COORDS, TREES, DEPTH, LEAF, BLOCK, PIVOTS, AGAIN = 5, 128, 12, 3, 64, 1024, 8, 2
 SHARE = (75, 100)  # intersection over union
-#: A signature's estimate of a link of 0.75 lies below the first with probability 1e-5, below the second with 1e-2. The
-#: second holds only for pairs that are among neither class's best three and still join two components.
-MAYBE, LIKELY = 0.58, 0.66
+#: A signature's estimate of a link of 0.75 lies below it with probability 1e-5.
+MAYBE = 0.58
 _R = np.random.RandomState(7)
 _A = _R.randint(1, 1 << 31, COORDS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _C = _R.randint(0, 1 << 31, COORDS).astype(np.uint32)
@@ -143,26 +144,33 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
 
     best: of each class's best partners in its nodes, the best of all and two by chance, so three pairs a class at most;
     otherwise all pairs, each in the smallest node that the column `held` lists for both of its classes.
-    """
-    maybe = MAYBE if best else LIKELY
 
-    def compare(cls, n, sig, label, node, held):
+    Rows with `left` are compared with those with `right`. `whole` is the node that a cell is part of (see cells()), and
+    `major` rows have the label that no left row of their cell has.
+    """
+    def compare(cls, n, sig, label, left, right, major, whole, held):
         got = []
-        for i in range(0, len(cls), 128):  # rows of a block of 128 against all of the node
-            same = (sig[i:i + 128, None, :] == sig[None, :, :]).sum(2, dtype=np.int32)
-            small, large = np.minimum(n[i:i + 128, None], n), np.maximum(n[i:i + 128, None], n)
-            ok = (same >= maybe * COORDS) & (small * SHARE[1] >= SHARE[0] * large)
+        rows, cols = np.flatnonzero(left), np.flatnonzero(right)
+        for i in range(0, len(rows), 128):  # 128 rows against all of the node
+            r = rows[i:i + 128]
+            same = (sig[r][:, None, :] == sig[cols][None, :, :]).sum(2, dtype=np.int32)
+            small, large = np.minimum(n[r][:, None], n[cols]), np.maximum(n[r][:, None], n[cols])
+            ok = (same >= MAYBE * COORDS) & (small * SHARE[1] >= SHARE[0] * large)
+            if not len(cols):
+                continue
             if best:
-                same = np.where(ok & (label[i:i + 128, None] != label), same, -1)
+                same = np.where(ok & (label[r][:, None] != label[cols]), same, -1)
                 j = same.argmax(1)
                 x = np.flatnonzero(same[np.arange(len(j)), j] >= 0)
-                got.append((x + i, j[x], same[x, j[x]]))
+                got.append((r[x], cols[j[x]], same[x, j[x]]))
             else:
-                x, y = np.nonzero(ok & (label[i:i + 128, None] < label))
-                got.append((x + i, y, same[x, y]))
+                x, y = np.nonzero(ok & ((label[r][:, None] < label[cols]) | major[cols]))
+                got.append((r[x], cols[y], same[x, y]))
+        if not got:
+            return cls[:0], cls[:0], n[:0]
         x, y, same = (np.concatenate(v) for v in zip(*got, strict=True))
         if not best:
-            new = apart(node, held, x, y)
+            new = apart(whole, held, x, y)
             x, y, same = x[new], y[new], same[new]
         return cls[x], cls[y], same
 
@@ -170,6 +178,7 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
         for t in whole_groups(batches, "node"):
             t = t.combine_chunks()
             node, cls, n, label = (t.column(c).to_numpy() for c in ("node", "cls", "n", "label"))
+            left, right, major, whole = (t.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "major", "whole"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
             if not best:
                 lists = t.column("held").chunk(0)
@@ -177,17 +186,19 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
             held = lambda s, k: None if best else (offsets[s:s + k + 1], values)
             start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             size = np.diff(np.append(start, len(node)))
-            two = start[size == 2]
+            plain = size == 2
+            plain[plain] = (left & right)[start[plain]] & (left & right)[start[plain] + 1]
+            two = start[plain]
             same = (sig[two] == sig[two + 1]).sum(1)
-            ok = (same >= maybe * COORDS) & (label[two] != label[two + 1])
+            ok = (same >= MAYBE * COORDS) & (label[two] != label[two + 1])
             ok &= np.minimum(n[two], n[two + 1]) * SHARE[1] >= SHARE[0] * np.maximum(n[two], n[two + 1])
             if not best:
                 zero, one = np.zeros(1, np.int64), np.ones(1, np.int64)
-                ok[ok] = [apart(node[s], held(s, 2), zero, one)[0] for s in two[ok].tolist()]
+                ok[ok] = [apart(whole[s], held(s, 2), zero, one)[0] for s in two[ok].tolist()]
             x, y, alike = cls[two[ok]], cls[two[ok] + 1], same[ok]
             out = [(x, y, alike), (y, x, alike)] if best else [(x, y, alike)]
-            for s, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                out.append(compare(cls[s:s + k], n[s:s + k], sig[s:s + k], label[s:s + k], node[s], held(s, k)))
+            for s, k in zip(start[~plain].tolist(), size[~plain].tolist(), strict=True):
+                out.append(compare(*(v[s:s + k] for v in (cls, n, sig, label, left, right, major)), whole[s], held(s, k)))
             x, y, same = (np.concatenate(v) for v in zip(*out, strict=True))
             yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": pa.array(y), "same": pa.array(same.astype(np.int32))})
 
@@ -200,13 +211,13 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
     return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def nodes_of(classes: DataFrame, leaf: int, block: int) -> DataFrame:
-    """(node, cls, own) of every node to compare: small ones, and blocks of those that stay large.
+def nodes_of(classes: DataFrame, leaf: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(node, cls, small) of the nodes to compare: small ones, and blocks of those that stay large; (whole, cls) of the latter.
 
-    own: the class is in one block of the node only. A class owns at most as many nodes as its trees and branches have.
+    A class is in at most as many nodes as its trees and branches have.
     """
     met = staged(occupied(classes.select("cls", F.explode("nodes").alias("node"))), "nodes")
-    small = lambda met: met.where(F.col("size") <= leaf).select("node", "cls", F.lit(True).alias("own"))
+    small = lambda met: met.where(F.col("size") <= leaf).select("node", "cls", F.lit(True).alias("small"))
     out = small(met)
 
     def deeper(batches):
@@ -223,10 +234,28 @@ def nodes_of(classes: DataFrame, leaf: int, block: int) -> DataFrame:
     cuts = F.ceil(F.col("size") / block)
     # every block holds the classes whose hash falls into one of PIVOTS / size parts: about PIVOTS of a node
     shared = F.pmod(F.xxhash64("cls", "node"), F.greatest(F.lit(1), (F.col("size") / PIVOTS).cast("long"))) == 0
-    part = F.when(shared, F.sequence(F.lit(0).cast("long"), cuts - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), cuts)))
-    blocks = large.select("node", "cls", (~shared).alias("own"), F.explode(part).alias("part"))
-    blocks = blocks.select(F.xxhash64("node", "part").alias("node"), "cls", "own")
-    return out.unionByName(blocks)
+    part = F.when(shared, F.sequence(F.lit(0).cast("long"), cuts - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls", "node", F.lit(1)), cuts)))
+    blocks = large.select("node", "cls", F.lit(False).alias("small"), F.explode(part).alias("part"))
+    blocks = blocks.select(F.xxhash64("node", "part").alias("node"), "cls", "small")
+    return out.unionByName(blocks), large.select(F.col("node").alias("whole"), "cls")
+
+
+def cells(large: DataFrame, block: int) -> DataFrame:
+    """Nodes (whole, cls, label) with several labels, as cells: each pair of blocks is one.
+
+    Classes of the label that most of the node has need no comparison with each other. So a cell is a block of the other
+    classes (`left`) with a block of all (`right`), and every pair of different labels is in a cell of its node.
+    """
+    count = large.groupBy("whole", "label").agg(F.count("*").alias("n"))
+    most = count.groupBy("whole").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")).where("most.n < size")
+    rows = large.join(most, "whole").withColumn("major", F.col("label") == F.col("most.label"))
+    high, wide = F.ceil((F.col("size") - F.col("most.n")) / block), F.ceil(F.col("size") / block)
+    own = lambda salt, cuts: F.pmod(F.xxhash64("cls", "whole", F.lit(salt)), cuts)
+    every = lambda cuts: F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))
+    side = lambda left: [F.lit(left).alias("left"), F.lit(not left).alias("right")]
+    out = (rows.where("not major").select("whole", "cls", "label", "major", *side(True), own(1, high).alias("i"), every(wide).alias("j"))
+           .unionByName(rows.select("whole", "cls", "label", "major", *side(False), own(2, wide).alias("j"), every(high).alias("i"))))
+    return out.withColumn("node", F.xxhash64("whole", "i", "j")).drop("i", "j")
 
 
 def confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -256,29 +285,48 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
     classes = staged(sets.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("n").alias("n"), F.first("sig").alias("sig"),
         F.first("nodes").alias("nodes")), "classes")
-    nodes = staged(nodes_of(classes, leaf, block), "members")
+    nodes, large = (staged(x, "members") for x in nodes_of(classes, leaf, block))
     sig = classes.select("cls", "n", "sig")
-    first = staged(pairs(nodes.drop("own").join(sig, "cls").withColumn("label", F.col("cls")), True), "best")
-    # every class that any pair can have is an end of some best pair: their texts are fetched once
-    ends = first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))).distinct()
+    all_rows = [F.lit(True).alias("left"), F.lit(True).alias("right"), F.lit(False).alias("major"), F.col("node").alias("whole")]
+    first = staged(pairs(nodes.join(sig, "cls").select("*", F.col("cls").alias("label"), *all_rows), True), "best")
+    # every class that any pair can have is an end of some best pair or in a large node: their texts are fetched once
+    ends = (first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))).union(large.select("cls"))).distinct()
     wanted = staged(ends.join(classes.select("cls", "row"), "cls"), "wanted")
     texts = only(docs, "doc_id", "text").select(row_key().alias("row"), "text").join(wanted, "row")
     texts = staged(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")  # equal rows share a key
     roots, tried = components(staged(confirmed(first, texts), "links")), first
-    for best in (True, False):
-        # nodes whose classes are still in several components
-        label = staged(nodes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
-            "node", "cls", "own", F.coalesce("root", "cls").alias("label")).join(ends, "cls", "left_semi"), "labels")
-        mixed = label.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("node")
-        open_ = label.join(mixed, "node").join(sig, "cls")
-        if not best:  # two classes of one node with different labels: the node is in `mixed`, so both lists have it
-            open_ = staged(open_, "open")
-            open_ = open_.join(open_.where("own").groupBy("cls").agg(F.collect_set("node").alias("held")), "cls", "left")
-        rest = staged(pairs(open_.drop("own"), best).join(tried, ["a", "b"], "left_anti"), "rest")
-        more = staged(confirmed(rest, texts), "links")
-        if more.limit(1).count():  # the components so far are stars, so only the new links need work
-            roots = components(more.unionByName(roots.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))))
-        tried = tried.unionByName(rest)
+    any_large = large.limit(1).count() > 0
+
+    def labelled(members):
+        return (members.join(roots.withColumnRenamed("id", "cls"), "cls", "left")
+                .withColumn("label", F.coalesce("root", "cls")).drop("root").join(ends, "cls", "left_semi"))
+
+    def mixed(members):
+        """Nodes whose classes are still in several components."""
+        label = staged(labelled(members), "labels")
+        several = label.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("node")
+        return label.join(several, "node").select("node", "cls", "label", *all_rows)
+
+    def joined(found) -> bool:
+        """Whether new pairs bring new links; adds them to the components."""
+        nonlocal roots, tried
+        rest = staged(found.join(tried, ["a", "b"], "left_anti"), "rest")
+        more, tried = staged(confirmed(rest, texts), "links"), tried.unionByName(rest)
+        if not more.limit(1).count():
+            return False
+        # the components so far are stars, so only the new links need work
+        roots = components(more.unionByName(roots.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))))
+        return True
+
+    joined(pairs(mixed(nodes).join(sig, "cls"), True))
+    while any_large and joined(pairs(cells(staged(labelled(large), "labels"), block).join(sig, "cls"), True)):
+        pass
+    open_ = mixed(nodes.where("small"))
+    if any_large:
+        open_ = open_.unionByName(cells(staged(labelled(large), "labels"), block))
+    open_ = staged(open_, "open")  # two classes of one node with different labels: both lists have the node
+    held = open_.groupBy("cls").agg(F.collect_set("whole").alias("held"))
+    joined(pairs(open_.join(sig, "cls").join(held, "cls"), False))
     known = classes.select("cls", "doc_id").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = known.join(least, "root").select("cls", "component_id")

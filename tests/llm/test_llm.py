@@ -109,6 +109,37 @@ def test_near_dup_of_many_variants(spark):
     assert got == dict(enumerate(root)) and len(set(root)) > 2
 
 
+def test_near_dup_of_variants_linked_by_their_base_alone(spark, monkeypatch):
+    """Each variant has one link, to the base, and the nodes that hold both are cut into blocks."""
+    monkeypatch.setattr(near_dup, "PIVOTS", 1)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        words = list(base)
+        at = rng.randrange(5)
+        for j in rng.sample(range(6), 5):
+            words[at + 30 * j + 10] = f"x{i}y{j}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[j:j + 5]) for j in range(196)} for t in texts]
+    assert all(100 * len(sets[0] & s) >= 75 * len(sets[0] | s) for s in sets)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_dup.groups(df, leaf=2, block=4).collect()
+    assert len(rows) == 401 and {r.component_id for r in rows} == {0}
+
+
+def test_cells_hold_every_pair_of_labels(spark):
+    rng = random.Random(4)
+    label = {c: rng.choice([1, 1, 1, 2, c]) for c in range(50)}
+    df = spark.createDataFrame([(9, c, x) for c, x in label.items()] + [(8, 1, 5), (8, 2, 5)], "whole long, cls long, label long")
+    held = {}
+    for r in near_dup.cells(df, 7).collect():
+        held.setdefault(r.node, ([], []))[r.right].append(r.cls)
+        assert r.whole == 9 and r.left != r.right and r.major == (r.label == 1)
+    met = Counter((a, b) for left, right in held.values() for a in left for b in right)
+    assert met == Counter((a, b) for a in label for b in label if label[a] != 1)
+
+
 def test_pairs_appear_in_their_smallest_node():
     rng = random.Random(3)
     lists = [sorted(rng.sample(range(-200, 200), rng.randrange(40))) for _ in range(90)]

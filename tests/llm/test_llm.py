@@ -193,6 +193,16 @@ def test_decontaminate(spark, docs):
     check(decontaminate.scan(docs, df), expected, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def test_decontaminate_in_parts_and_without_ids(spark, docs):
+    items = [(1, ITEM), (1, ITEM), (10, "one TWO"), (4, " ".join(ITEM.split()[2:14])), (None, " ".join(PASSAGE.split()[:12]))]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda most: sorted((repr(r) for r in decontaminate.scan(docs, df, most=most, spans=True).collect()))
+    whole = decontaminate.scan(docs, df, spans=True).collect()
+    assert rows(5) == sorted(map(repr, whole)) and len(whole) == len(DOCS)
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in whole}
+    assert got[7] == (12, 0, True) and got[3] == (2, 1, True)
+
+
 def test_lm_score(docs):
     fold = [zlib.crc32(str(d[0]).encode() if d[0] is not None else b"") % 10 for d in DOCS]
     tokens = [[*words(d[1]), None] for d in DOCS]

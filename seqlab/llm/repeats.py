@@ -8,8 +8,9 @@ doubling's ranks, and a stack scan of them yields the intervals with a common pr
 a maximal repeat if the bytes left of its occurrences differ (the left end of a chunk differs from everything); its
 occurrences, all of them, are covered for the length of the common prefix.
 
-A name that has more than `most` distinct chunks (a passage shorter than a window that very many texts have) is split by
-the names of longer parts (`least` - 10 bytes) of its windows, so no passage shorter than that gathers in a task.
+A name that has more than `most` distinct chunks (a passage that very many texts have between different neighbours) is
+split into its windows, each named by the hash of all its bytes: equal ones are one text, and those that occur more than
+once, by a partially aggregated count, are covered. So no name's texts gather in a task.
 
 Defined results: null or empty text has 0 bytes. Texts shorter than `least` keep all bytes. Repeated rows are repeats of
 each other. Texts of any length are whole; an empty table gives no rows. Further columns of any name are ignored.
@@ -169,6 +170,17 @@ def maximal_repeats(texts: list[bytes], weight: np.ndarray, group: np.ndarray, l
     return np.array(intervals, np.int64).reshape(-1, 3), places, cover
 
 
+def windows(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, hash) of every window of `least` bytes."""
+    size = np.array([len(t) for t in texts], np.int64)
+    offsets = np.cumsum(size) - size
+    h = RangeHash(np.frombuffer(b"".join(texts), np.uint8)).fixed(least)
+    count = np.maximum(size - least + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return owner, at, h[offsets[owner] + at]
+
+
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of ranges."""
     by = np.argsort(starts, kind="stable")
@@ -216,9 +228,10 @@ def covered(found: DataFrame, docs: DataFrame, least: int, most: int) -> DataFra
     single = F.col("distinct") == 1
     alone = found.where(single & (F.col("weight") > 1) & F.col("first")).select(
         "name", "hash", F.lit(0).alias("a"), F.col("length").alias("b"))
-    wanted = found.where(F.col("first") & ~(single & (F.col("weight") > 1))).groupBy("row").agg(
-        F.collect_list(F.struct("name", "hash", "start", "length", "distinct", "weight")).alias("chunks"))
-    texts = only(docs, "doc_id", "text").select(row_key().alias("row"), "text").join(wanted, "row")
+    def texts_with(chosen):
+        wanted = found.where(F.col("first") & ~(single & (F.col("weight") > 1)) & chosen).groupBy("row").agg(
+            F.collect_list(F.struct("name", "hash", "start", "length", "weight")).alias("chunks"))
+        return only(docs, "doc_id", "text").select(row_key().alias("row"), "text").join(wanted, "row").select("text", "chunks")
 
     def slices(batches):
         for batch in batches:
@@ -227,19 +240,32 @@ def covered(found: DataFrame, docs: DataFrame, least: int, most: int) -> DataFra
                 for text, parts in zip(batch.column("text").slice(i, 64).cast(pa.binary()).to_pylist(), batch.column("chunks").slice(i, 64).to_pylist(), strict=True):
                     for c in parts:
                         data = text[c["start"]:c["start"] + c["length"]]
-                        if c["distinct"] <= most:
-                            rows.append((c["name"], c["name"], c["hash"], 0, c["weight"], data))
-                        else:
-                            _, at, n, name, _, _ = chunks([data], least, least - 10)
-                            rows += [(int(x), c["name"], c["hash"], s, c["weight"], data[s:s + k])
-                                     for x, s, k in zip(signed(name).tolist(), at.tolist(), n.tolist(), strict=True)]
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                                                 ["key", "name", "hash", "at", "weight", "data"])
+                        rows.append((c["name"], c["hash"], c["weight"], data))
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
+                                                 ["name", "hash", "weight", "data"])
+
+    def split(batches):
+        for batch in slices(batches):
+            name, h, weight = (batch.column(c).to_numpy() for c in ("name", "hash", "weight"))
+            for some in np.array_split(np.arange(batch.num_rows), 1 + batch.num_rows // 256):
+                who, at, key = windows(batch.column("data").take(pa.array(some)).to_pylist(), least)
+                who = some[who]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(signed(key)), "name": pa.array(name[who]), "hash": pa.array(h[who]),
+                                                  "at": pa.array(at.astype(np.int32)), "weight": pa.array(weight[who])})
+
+    def together(batches):
+        for batch in batches:
+            rows = []
+            for name, h, ats in zip(*(batch.column(c).to_pylist() for c in ("name", "hash", "ats")), strict=True):
+                s = np.array(ats, np.int64)
+                rows += [(name, h, int(a), int(b)) for a, b in zip(*union(s, s + least), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, (
+                pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["name", "hash", "a", "b"])
 
     def search(batches):
-        for t in whole_groups(batches, "key"):
-            key = t.column("key").to_numpy()
+        for t in whole_groups(batches, "name"):
+            key = t.column("name").to_numpy()
             data = t.column("data").to_pylist()
             weight = t.column("weight").to_numpy()
             size = np.array([len(x) for x in data])
@@ -255,13 +281,20 @@ def covered(found: DataFrame, docs: DataFrame, least: int, most: int) -> DataFra
                 s, e = union(got[:, 0] * base + got[:, 1], got[:, 0] * base + got[:, 1] + got[:, 2])
                 who = s // base
                 take = pa.array(lo + who)
-                at = t.column("at").to_numpy()[lo + who]
                 yield pa.RecordBatch.from_arrays([
                     t.column("name").take(take).combine_chunks(), t.column("hash").take(take).combine_chunks(),
-                    pa.array((at + s % base).astype(np.int32)), pa.array((at + e % base).astype(np.int32))], ["name", "hash", "a", "b"])
-
-    cutouts = texts.select("text", "chunks").mapInArrow(slices, "key long, name long, hash long, at int, weight int, data binary")
-    return alone.unionByName(sorted_by(cutouts, "key").mapInArrow(search, "name long, hash long, a int, b int"))
+                    pa.array((s % base).astype(np.int32)), pa.array((e % base).astype(np.int32))], ["name", "hash", "a", "b"])
+
+    out = "name long, hash long, a int, b int"
+    cutouts = texts_with(F.col("distinct") <= most).mapInArrow(slices, "name long, hash long, weight int, data binary")
+    done = alone.unionByName(sorted_by(cutouts, "name").mapInArrow(search, out))
+    full = F.col("distinct") > most
+    if not found.where(full).limit(1).count():
+        return done
+    parts = staged(texts_with(full).mapInArrow(split, "key long, name long, hash long, at int, weight int"), "windows")
+    twice = parts.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key")
+    met = parts.join(twice, "key").groupBy("name", "hash").agg(F.collect_list("at").alias("ats"))
+    return done.unionByName(met.mapInArrow(together, out))
 
 
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST) -> DataFrame:

@@ -169,6 +169,25 @@ def test_repeats(docs):
             check(repeats.removed(docs, least, gram, most), expected, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def test_windows_of_full_names_are_one_text_each(spark, monkeypatch):
+    """A passage of over `least` bytes between different neighbours: no text of its name goes to one search."""
+    passage = say(60)[:230]
+    texts = [f"{i:04d}" * 40 + passage + f"{i + 500:04d}" * 40 for i in range(60)] + ["short"]
+    who, at, h = repeats.windows([t.encode() for t in texts], 200)
+    held = {}
+    for i, k, x in zip(who.tolist(), at.tolist(), h.tolist(), strict=True):
+        held.setdefault(x, set()).add(texts[i].encode()[k:k + 200])
+    assert all(len(v) == 1 for v in held.values()) and len(who) == sum(max(0, len(t.encode()) - 199) for t in texts)
+
+    def refuse(*_):
+        raise AssertionError("searched whole")
+
+    monkeypatch.setattr(repeats, "maximal_repeats", refuse)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeats.covered(repeats.occurrences(df, 200, 100).where("distinct > 20"), df, 200, 20)
+    assert got.where("b - a >= 200").count() > 0
+
+
 def test_maximal_repeats_hold_all_occurrences():
     texts = [b"xxabcdefyy", b"zabcdefz", b"abcde"]
     intervals, suffixes, cover = repeats.maximal_repeats(texts, np.ones(3, int), np.zeros(3, int), 3)

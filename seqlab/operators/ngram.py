@@ -62,16 +62,22 @@ DECISION_TESTS = {
 # -------------------------------------------------------------------------------------------------------------
 
 
+def suffixes(prefix: str) -> list[str]:
+    """The whole prefix and its shorter ends, longest first."""
+    t = prefix.split()
+    return [" ".join(t[i:]) for i in range(len(t))]
+
+
 def decision_tests_dim(spark) -> DataFrame:
-    """(rule, test, kind, prefix, ctx, token, side, threshold): one row per (test, token of interest)."""
+    """(rule, test, kind, prefix, contexts, token, side, threshold): one row per (test, token of interest)."""
     rows = []
     for rule, tests in DECISION_TESTS.items():
         for name, kind, prefix, good, bad, thr in tests:
-            ctx = prefix.split()[-1]
+            ctx = suffixes(prefix)
             rows += [(rule, name, kind, prefix, ctx, t, "good", thr) for t in good]
             rows += [(rule, name, kind, prefix, ctx, t, "bad", thr) for t in bad]
     return spark.createDataFrame(
-        rows, "rule string, test string, kind string, prefix string, ctx string, token string, side string, "
+        rows, "rule string, test string, kind string, prefix string, contexts array<string>, token string, side string, "
               "threshold double")
 
 
@@ -103,6 +109,22 @@ def bigram_counts(df: DataFrame, keys: list[str], text_col: str = "text", ends:
     return pairs.groupBy(*keys, "prev", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def prefix_counts(df: DataFrame, keys: list[str], prefixes: list[str], text_col: str = "text") -> DataFrame:
+    """(keys..., ctx, next, n): tokens after every suffix of the prefixes, anywhere in a text. All other pairs count under
+    (null, null), so every model keeps a row."""
+    contexts = sorted({c for p in prefixes for c in suffixes(p)})
+    lasts, longest = sorted({c.split()[-1] for c in contexts}), max(len(c.split()) for c in contexts)
+    t, pos = F.col("_t"), F.col("pos")
+    x = df.select(*keys, T.tokens(F.col(text_col)).alias("_t"))
+    y = x.select(*keys, "_t", F.posexplode(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))).alias("pos", "prev"))
+    ends = F.array(*[F.when(pos + 1 >= k, F.array_join(F.slice(t, F.greatest(pos + 2 - k, F.lit(1)), F.lit(k)), " "))
+                     for k in range(1, longest + 1)])
+    known = F.when(F.col("prev").isin(lasts), F.filter(ends, lambda c: c.isin(contexts)))
+    z = y.select(*keys, F.get(t, pos + 1).alias("next"), F.explode_outer(known).alias("ctx"))
+    z = z.select(*keys, "ctx", F.when(F.col("ctx").isNotNull(), F.col("next")).alias("next"))
+    return z.groupBy(*keys, "ctx", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
 def context_totals(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.where("next is not null").groupBy(*keys, "prev").agg(F.sum("n").alias("ctx_n"))
 
@@ -113,18 +135,21 @@ def vocab_sizes(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def next_token_probs(counts: DataFrame, keys: list[str], tests: DataFrame) -> DataFrame:
-    """Maximum-likelihood p(token | context) for every (model, test token); 0.0 when unseen.
+    """Maximum-likelihood p(token | prefix) for every (model, test token); 0.0 when unseen. A prefix that a model has
+    not seen backs off to its longest suffix that it has.
 
-    ``tests`` holds (rule, test, ctx, token, ...) and is crossed with the models of its rule by an equi-join on
-    ``rule`` (models carry a ``rule`` key).
+    ``counts`` come from `prefix_counts`. ``tests`` holds (rule, test, contexts, token, ...) and is crossed with the
+    models of its rule by an equi-join on ``rule`` (models carry a ``rule`` key).
     """
-    tot = context_totals(counts, keys)
+    tot = counts.where("next is not null").groupBy(*keys, "ctx").agg(F.sum("n").alias("ctx_n"))
     models = counts.select(*keys).distinct()
-    grid = models.join(tests, "rule")
-    c = counts.select(*keys, F.col("prev").alias("ctx"), F.col("next").alias("token"), "n")
-    t = tot.select(*keys, F.col("prev").alias("ctx"), "ctx_n")
-    j = grid.join(c, keys + ["ctx", "token"], "left").join(t, keys + ["ctx"], "left")
-    p = F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("ctx_n").cast("double")), F.lit(0.0))
+    columns = [c for c in tests.columns if c not in ("rule", "contexts")]
+    grid = models.join(tests.select("rule", *columns, F.posexplode("contexts").alias("dropped", "ctx")), "rule")
+    c = counts.select(*keys, "ctx", F.col("next").alias("token"), "n")
+    j = grid.join(c, keys + ["ctx", "token"], "left").join(tot, keys + ["ctx"], "left")
+    seen = F.when(F.col("ctx_n").isNotNull(), F.struct("dropped", "n", "ctx_n"))
+    j = j.groupBy(*keys, *columns).agg(F.min(seen).alias("seen"))
+    p = F.coalesce(F.try_divide(F.col("seen.n").cast("double"), F.col("seen.ctx_n").cast("double")), F.lit(0.0))
     return j.withColumn("prob", p)
 
 

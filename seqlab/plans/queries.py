@@ -447,9 +447,9 @@ def model_counts(spark, sf):
 
 
 def test_counts(spark, sf):
-    """Counts of the contexts under test alone: a few dozen rows."""
-    contexts = sorted({t[2].split()[-1] for tests in N.DECISION_TESTS.values() for t in tests})
-    return materialize(N.bigram_counts(training_corpora(spark, sf), MODEL, contexts=contexts))
+    """Counts of the prefixes under test and their suffixes alone: a few dozen rows."""
+    prefixes = sorted({t[2] for tests in N.DECISION_TESTS.values() for t in tests})
+    return materialize(N.prefix_counts(training_corpora(spark, sf), MODEL, prefixes))
 
 
 @query("ngram_counts")
@@ -467,9 +467,8 @@ def q_next_token_prob(spark, sf):
     return p.select(*MODEL, "test", "token", "side", F.round("prob", 6).alias("prob"))
 
 
-def decision(spark, sf, counts=None):
-    counts = test_counts(spark, sf) if counts is None else counts
-    return N.decision_results(N.next_token_probs(counts, MODEL, N.decision_tests_dim(spark)), MODEL)
+def decision(spark, sf):
+    return N.decision_results(N.next_token_probs(test_counts(spark, sf), MODEL, N.decision_tests_dim(spark)), MODEL)
 
 
 @query("decision_tests")
@@ -523,7 +522,7 @@ def q_merge_metrics(spark, sf):
     gen = M.validity(verdicts(spark, sf), MODEL).select(*MODEL, "validity_rate")
     counts = model_counts(spark, sf)
     ppl = N.ppl_gap(corpus_ppl(spark, sf, counts), MODEL)
-    acc = N.completion_accuracy(decision(spark, sf, counts), MODEL).select(*MODEL, F.col("accuracy").alias(
+    acc = N.completion_accuracy(decision(spark, sf), MODEL).select(*MODEL, F.col("accuracy").alias(
         "completion_accuracy"))
     return gen.join(ppl, MODEL, "full").join(acc, MODEL, "full")
 

@@ -27,6 +27,29 @@ def test_contexts_keep_every_model(spark):
     assert got == {("v1", None, None): 2, ("v2", "b", "b"): 1, ("v2", None, None): 1}
 
 
+def test_whole_prefixes_decide(spark):
+    """After four ZIV the answer is another one than after one; an unseen prefix backs off to its longest seen suffix."""
+    texts = {"v1": ["XAQ ZIV BEK"] + ["XAQ ZIV ZIV ZIV ZIV BEK"] * 3 + ["o XAQ ZIV ZIV ZIV ZIV ZIV BEK"], "v2": ["XAQ ZIV ZIV BEK", "XAQ"], "v3": ["a b"]}
+    df = spark.createDataFrame([("tivari_b", v, t) for v, ts in texts.items() for t in ts], "rule string, variant string, text string")
+    tests = N.DECISION_TESTS["tivari_b"]
+    counts = N.prefix_counts(df, KEYS, [t[2] for t in tests])
+    probs = N.next_token_probs(counts, KEYS, N.decision_tests_dim(spark)).collect()
+
+    def want(variant, prefix, token):
+        p = prefix.split()
+        while p:
+            after = [w[i + len(p)] for w in map(str.split, texts[variant]) for i in range(len(w) - len(p)) if w[i:i + len(p)] == p]
+            if after:
+                return after.count(token) / len(after)
+            p = p[1:]
+        return 0.0
+
+    assert len(probs) == 3 * sum(len(t[3]) + len(t[4]) for t in tests)
+    assert all(math.isclose(r.prob, want(r.variant, r.prefix, r.token)) for r in probs)
+    got = {(r.variant, r.test, r.token): r.prob for r in probs}
+    assert got["v1", "four_zivs_prefer_bek", "BEK"] == 0.75 != got["v1", "after_one_ziv_valid_continuations", "BEK"]
+
+
 def test_losses_of_all_models(spark):
     counts = N.bigram_counts(corpus(spark), KEYS, ends=True)
     texts = spark.createDataFrame([("r", 1, "a b z"), ("r", 2, "a"), ("none", 3, "a b")], "rule string, id int, text string")

@@ -94,6 +94,16 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
+def word_codes(words: Words) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, equal if and only if the words are; the distinct words by number."""
+    size = words.ends - words.starts
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    inside = np.repeat(words.starts - offsets[:-1], size) + np.arange(offsets[-1])
+    spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(words.array[inside])])
+    coded = spelt.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def hash_words(words: list[str]) -> np.ndarray:
     """Hashes of single words, as Words.hashes gives them."""
     raw = [w.encode() for w in words]

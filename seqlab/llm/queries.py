@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlab.llm import (decontaminate, license_scan, lm_score, near_dup, packing, quality_model, quality_rules, repeats,
-                        url_filters, warc)
+from seqlab.llm import (decontaminate, license_scan, lm_score, near_dup, packing, periodic_runs, quality_model, quality_rules, repeats,
+                        source_divergence, substring_dedup, url_filters, warc)
 from seqlab.llm.common import ship
 
 
@@ -30,9 +30,15 @@ QUERIES = {name: shipped(f) for name, f in {
     "op8_repeats": repeats.op8,
     "op9_warc": warc.op9,
     "op10_quality_rules": quality_rules.op10,
+    "op11_periodic_runs": periodic_runs.op11,
+    "op12_substring_dedup": substring_dedup.op12,
+    "op13_source_divergence": source_divergence.op13,
 }.items()}
 
 ORACLE = {
+    "op11_periodic_runs": periodic_runs.ORACLE_SQL,
+    "op12_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op13_source_divergence": source_divergence.ORACLE_SQL,
     "op9_warc": """
 WITH p AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,

@@ -33,6 +33,8 @@ _B = np.arange(256)
 LETTERS = ((_B >= 97) & (_B <= 122)) | (_B >= 128)
 #: Bytes of text whose terms are counted together.
 PIECE = 1 << 23
+#: Items of a path by which ranges are found.
+HEAD = 4
 #: Node-ancestor combinations that are worked out at once.
 COMBINATIONS = 1 << 19
 GROUP = ["lang", "source"]
@@ -147,9 +149,11 @@ def pair_corrections(paths: DataFrame) -> DataFrame:
             for row, a, b, value in tree_corrections(lang, begin, *[flat.field(c).to_numpy() for c in ("item", "p", "zero")], batch.column("times").to_numpy()):
                 yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(row)), pa.array(a), pa.array(b), pa.array(value)], ["lang", "a", "b", "value"])
 
-    # a fixed number of ranges is not merged again, and equal paths are one row, so no range is hot
+    # A fixed number of ranges is not merged again. Equal paths are one row, so no range is hot: where many share a beginning, a
+    # hash deals them. Ranges are found from the beginnings, as Spark gathers a sample of the keys on the driver.
     parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = paths.repartitionByRange(parts, "lang", "path").sortWithinPartitions("lang", "path")
+    start = F.transform(F.slice("path", 1, HEAD), lambda x: F.shiftleft(x["item"].cast("long"), 32) + x["p"])
+    rows = paths.repartitionByRange(parts, "lang", start, F.xxhash64("path")).sortWithinPartitions("lang", "path")
     return rows.mapInArrow(task, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 

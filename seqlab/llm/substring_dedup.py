@@ -146,14 +146,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> DataFrame:
-    """(name, hash, first, spans): passages of names that several documents have, the smallest doc_id with it, and what of it
-    smaller ids cover there."""
-    own = found.groupBy("name", "hash").agg(F.min(F.struct("doc_id", "row", "start", "length")).alias("at"))
-    own = staged(own.select("name", "hash", F.col("at.doc_id").alias("first"), "at.row", "at.start", "at.length"), "passages")
-    sizes = own.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("length").cast("long")).alias("words"))
-    own = own.join(sizes, "name")
+    """(name, hash, first, spans): of passages, the smallest doc_id with it, and what of it smaller ids cover there. A passage
+    may have several rows or, if it is in one document and nothing of it is covered, none."""
+    own = found.groupBy("name", "hash").agg(F.min(F.struct("doc_id", "row", "start", "length")).alias("at"), F.max("doc_id").alias("hi"))
+    own = staged(own.select("name", "hash", F.col("at.doc_id").alias("first"), "at.row", "at.start", "at.length", "hi"), "passages")
     some = "array<struct<a: int, b: int>>"
-    alone = own.where("n = 1").select("name", "hash", "first", F.array().cast(some).alias("spans"))
+    copied = own.where("first < hi").select("name", "hash", "first", F.array().cast(some).alias("spans"))
+    sizes = own.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("length").cast("long")).alias("words")).where("n > 1")
+    own = own.join(sizes, "name")  # the only passage of a name is covered by no other
 
     def texts_with(chosen: str) -> DataFrame:
         wanted = own.where(chosen).groupBy("row").agg(F.collect_list(F.struct("name", "hash", "first", "start", "length")).alias("parts"))
@@ -191,7 +191,8 @@ def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> DataFr
                         for w in waiting:
                             automaton.insert(np.frombuffer(data[w], np.uint64).tolist())
                         waiting = []
-                    found.append((k, automaton.spans(np.frombuffer(data[k], np.uint64).tolist(), least)))
+                    if hit := automaton.spans(np.frombuffer(data[k], np.uint64).tolist(), least):
+                        found.append((k, hit))
                     waiting.append(k)
                 keep = pa.array([k for k, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([
@@ -202,20 +203,22 @@ def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> DataFr
     def split(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
-                key = sequence_hash(ids, least)
-                n = len(key)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(signed(key)), "at": pa.array(np.arange(n, dtype=np.int32)),
-                                                  **{c: pa.repeat(batch.column(c)[i], n) for c in ("name", "hash", "first")}})
+                h = sequence_hash(np.frombuffer(batch.column("words")[i].as_py(), np.uint64), least)
+                by = np.argsort(h, kind="stable").astype(np.int32)
+                new = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))  # equal windows of a passage are one row
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array(signed(h[by[new]])), "at": pa.ListArray.from_arrays(pa.array(np.append(new, len(by)).astype(np.int32)), pa.array(by)),
+                    **{c: pa.repeat(batch.column(c)[i], len(new)) for c in ("name", "hash", "first")}})
 
     out = f"name long, hash long, first long, spans {some}"
-    done = alone.unionByName(sorted_by(texts_with(f"n > 1 and words <= {shard}"), "name", "first").mapInArrow(stream, out))
-    full = f"n > 1 and words > {shard}"
+    done = copied.unionByName(sorted_by(texts_with(f"words <= {shard}"), "name", "first").mapInArrow(stream, out))
+    full = f"words > {shard}"
     if own.where(full).limit(1).count():
-        windows = staged(texts_with(full).mapInArrow(split, "key long, at int, name long, hash long, first long"), "windows")
-        least_id = windows.groupBy("key").agg(F.min("first").alias("id"))
-        met = windows.join(least_id, "key").groupBy("name", "hash", "first").agg(
-            F.collect_list(F.when(F.col("id") < F.col("first"), F.struct(F.col("at").alias("a"), (F.col("at") + least).alias("b")))).cast(some).alias("spans"))
+        windows = staged(texts_with(full).mapInArrow(split, "key long, at array<int>, name long, hash long, first long"), "windows")
+        # written, so that a hot window is joined by broadcast, or split as a skewed key
+        shared = staged(windows.groupBy("key").agg(F.min("first").alias("id"), F.max("first").alias("hi")).where("id < hi").select("key", "id"), "keys")
+        met = windows.join(shared, "key").where("id < first").groupBy("name", "hash", "first").agg(
+            F.flatten(F.collect_list(F.transform("at", lambda a: F.struct(a.alias("a"), (a + least).alias("b"))))).cast(some).alias("spans"))
         done = done.unionByName(met)
     return done
 

@@ -98,31 +98,40 @@ def token_pairs(df: DataFrame, keys: list[str], text_col: str = "text", with_pos
     return y.select(*keys, "prev", nxt)
 
 
+def distinct_texts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys..., text, times): equal texts once, counted before they are shuffled. For corpora of few distinct sentences."""
+    return df.groupBy(*keys, F.col(text_col).alias("text")).agg(F.count(F.lit(1)).alias("times"))
+
+
 def bigram_counts(df: DataFrame, keys: list[str], text_col: str = "text", ends: bool = False,
-                  contexts: list[str] | None = None) -> DataFrame:
+                  contexts: list[str] | None = None, times: str | None = None) -> DataFrame:
     """(keys..., prev, next, n). ``ends`` counts last tokens under a null successor, so the table holds the vocabulary;
-    with ``contexts`` all pairs after other tokens count under (null, null), so every model keeps a row."""
-    pairs = token_pairs(df, keys, text_col, ends=ends)
+    with ``contexts`` all pairs after other tokens count under (null, null), so every model keeps a row. ``times``: a
+    column that says how many equal texts a row stands for."""
+    more = [times] if times else []
+    pairs = token_pairs(df, keys + more, text_col, ends=ends)
     if contexts is not None:
         wanted = F.col("prev").isin(contexts)
-        pairs = pairs.select(*keys, *[F.when(wanted, F.col(c)).alias(c) for c in ("prev", "next")])
-    return pairs.groupBy(*keys, "prev", "next").agg(F.count(F.lit(1)).alias("n"))
+        pairs = pairs.select(*keys, *more, *[F.when(wanted, F.col(c)).alias(c) for c in ("prev", "next")])
+    n = F.sum(times) if times else F.count(F.lit(1))
+    return pairs.groupBy(*keys, "prev", "next").agg(n.alias("n"))
 
 
-def prefix_counts(df: DataFrame, keys: list[str], prefixes: list[str], text_col: str = "text") -> DataFrame:
+def prefix_counts(df: DataFrame, keys: list[str], prefixes: list[str], text_col: str = "text", times: str | None = None) -> DataFrame:
     """(keys..., ctx, next, n): tokens after every suffix of the prefixes, anywhere in a text. All other pairs count under
-    (null, null), so every model keeps a row."""
+    (null, null), so every model keeps a row. ``times`` as in `bigram_counts`."""
+    more = [times] if times else []
     contexts = sorted({c for p in prefixes for c in suffixes(p)})
     lasts, longest = sorted({c.split()[-1] for c in contexts}), max(len(c.split()) for c in contexts)
     t, pos = F.col("_t"), F.col("pos")
-    x = df.select(*keys, T.tokens(F.col(text_col)).alias("_t"))
-    y = x.select(*keys, "_t", F.posexplode(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))).alias("pos", "prev"))
+    x = df.select(*keys, *more, T.tokens(F.col(text_col)).alias("_t"))
+    y = x.select(*keys, *more, "_t", F.posexplode(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))).alias("pos", "prev"))
     ends = F.array(*[F.when(pos + 1 >= k, F.array_join(F.slice(t, F.greatest(pos + 2 - k, F.lit(1)), F.lit(k)), " "))
                      for k in range(1, longest + 1)])
     known = F.when(F.col("prev").isin(lasts), F.filter(ends, lambda c: c.isin(contexts)))
-    z = y.select(*keys, F.get(t, pos + 1).alias("next"), F.explode_outer(known).alias("ctx"))
-    z = z.select(*keys, "ctx", F.when(F.col("ctx").isNotNull(), F.col("next")).alias("next"))
-    return z.groupBy(*keys, "ctx", "next").agg(F.count(F.lit(1)).alias("n"))
+    z = y.select(*keys, *more, F.get(t, pos + 1).alias("next"), F.explode_outer(known).alias("ctx"))
+    z = z.select(*keys, *more, "ctx", F.when(F.col("ctx").isNotNull(), F.col("next")).alias("next"))
+    return z.groupBy(*keys, "ctx", "next").agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
 
 
 def context_totals(counts: DataFrame, keys: list[str]) -> DataFrame:

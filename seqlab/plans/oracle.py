@@ -379,29 +379,44 @@ FROM (SELECT {keys}, t, unnest(generate_series(1, len(t) - 1)) AS i
 
 
 def tests_values() -> str:
+    """(rule, test, kind, prefix, token, side, threshold), the prefix as a list of tokens."""
     from seqlab.operators.ngram import DECISION_TESTS
     rows = []
     for rule, tests in DECISION_TESTS.items():
         for name, kind, prefix, good, bad, thr in tests:
-            ctx = prefix.split()[-1]
+            pre = "[" + ", ".join(K.q(x) for x in prefix.split()) + "]"
             th = "NULL::DOUBLE" if thr is None else f"{thr!r}::DOUBLE"
-            rows += [f"({K.q(rule)}, {K.q(name)}, {K.q(kind)}, {K.q(ctx)}, {K.q(t)}, 'good', {th})" for t in good]
-            rows += [f"({K.q(rule)}, {K.q(name)}, {K.q(kind)}, {K.q(ctx)}, {K.q(t)}, 'bad', {th})" for t in bad]
-    return "tests(rule, test, kind, ctx, token, side, threshold) AS (VALUES " + ", ".join(rows) + ")"
+            rows += [f"({K.q(rule)}, {K.q(name)}, {K.q(kind)}, {pre}, {K.q(t)}, {K.q(side)}, {th})"
+                     for side, some in (("good", good), ("bad", bad)) for t in some]
+    return "tests(rule, test, kind, prefix, token, side, threshold) AS (VALUES " + ", ".join(rows) + ")"
 
 
 def model_ctes() -> str:
+    """Places are found by comparing slices of the tokens with every end of a test's prefix; the longest end that a model
+    has seen with a token after it decides."""
     return f"""{n_cte()},
 corp AS ({corpora_sql()}),
 cnt AS (SELECT rule, variant, prev, next, count(*)::BIGINT AS n FROM ({pairs_sql('corp', 'rule, variant')})
         GROUP BY ALL),
 tot AS (SELECT rule, variant, prev, sum(n) AS ctx_n FROM cnt GROUP BY ALL),
 {tests_values()},
-probs AS (SELECT m.rule, m.variant, t.test, t.kind, t.token, t.side, t.threshold,
-                 coalesce(c.n / tot.ctx_n, 0.0) AS prob
+ends AS (SELECT DISTINCT rule, k, prefix[len(prefix) - k + 1:len(prefix)] AS ctx
+         FROM (SELECT rule, prefix, unnest(generate_series(1, len(prefix))) AS k FROM tests)),
+sents AS (SELECT rule, variant, text, count(*) AS times FROM corp GROUP BY ALL),
+spots AS (SELECT rule, variant, times, t, unnest(generate_series(1, len(t) - 1)) AS i
+          FROM (SELECT rule, variant, times, {K.toks('text')} AS t FROM sents)),
+after AS (SELECT e.rule, s.variant, e.ctx, s.t[s.i + 1] AS token, sum(s.times) AS n
+          FROM ends e JOIN spots s ON s.rule = e.rule AND s.t[s.i] = e.ctx[e.k] AND s.i >= e.k
+          AND s.t[s.i - e.k + 1:s.i] = e.ctx GROUP BY ALL),
+heard AS (SELECT rule, variant, ctx, sum(n) AS n FROM after GROUP BY ALL),
+best AS (SELECT t.rule, t.prefix, h.variant, arg_max(h.ctx, len(h.ctx)) AS ctx, arg_max(h.n, len(h.ctx)) AS n
+         FROM (SELECT DISTINCT rule, prefix FROM tests) t
+         JOIN heard h ON h.rule = t.rule AND h.ctx = t.prefix[len(t.prefix) - len(h.ctx) + 1:len(t.prefix)]
+         GROUP BY ALL),
+probs AS (SELECT m.rule, m.variant, t.test, t.kind, t.token, t.side, t.threshold, coalesce(a.n / b.n, 0.0) AS prob
           FROM (SELECT DISTINCT rule, variant FROM cnt) m JOIN tests t ON t.rule = m.rule
-          LEFT JOIN cnt c ON c.rule = m.rule AND c.variant = m.variant AND c.prev = t.ctx AND c.next = t.token
-          LEFT JOIN tot ON tot.rule = m.rule AND tot.variant = m.variant AND tot.prev = t.ctx),
+          LEFT JOIN best b ON b.rule = m.rule AND b.variant = m.variant AND b.prefix = t.prefix
+          LEFT JOIN after a ON a.rule = m.rule AND a.variant = m.variant AND a.ctx = b.ctx AND a.token = t.token),
 dec AS (SELECT rule, variant, test, kind, sum(CASE WHEN side = 'good' THEN prob ELSE 0.0 END) AS gp,
                sum(CASE WHEN side = 'bad' THEN prob ELSE 0.0 END) AS bp, max(threshold) AS th
         FROM probs GROUP BY rule, variant, test, kind),

@@ -428,6 +428,11 @@ def training_corpora(spark, sf) -> DataFrame:
     return g.select("rule", "variant", "text")
 
 
+def weighted_corpora(spark, sf) -> DataFrame:
+    """(rule, variant, text, times): distinct sentences, tokenised once each."""
+    return N.distinct_texts(training_corpora(spark, sf), MODEL)
+
+
 def eval_texts(spark, sf) -> DataFrame:
     """Test split (seed 456): valid and broken sentences of every rule set, for all variant models of that rule set."""
     ids = event_ids(spark, sf)
@@ -443,13 +448,13 @@ def eval_texts(spark, sf) -> DataFrame:
 
 def model_counts(spark, sf):
     """Counts with ends; totals and vocabulary are read off them, so they are written once."""
-    return materialize(N.bigram_counts(training_corpora(spark, sf), MODEL, ends=True))
+    return materialize(N.bigram_counts(weighted_corpora(spark, sf), MODEL, ends=True, times="times"))
 
 
 def test_counts(spark, sf):
     """Counts of the prefixes under test and their suffixes alone: a few dozen rows."""
     prefixes = sorted({t[2] for tests in N.DECISION_TESTS.values() for t in tests})
-    return materialize(N.prefix_counts(training_corpora(spark, sf), MODEL, prefixes))
+    return materialize(N.prefix_counts(weighted_corpora(spark, sf), MODEL, prefixes, times="times"))
 
 
 @query("ngram_counts")

@@ -548,3 +548,45 @@ SELECT drp.canon_pos, drp.slot, 'synthetic' AS source, drp.syn_pos, syn.text FRO
 
 
 _register_streams()
+
+
+# ---- rules over ordered rows --------------------------------------------------------------------------------------
+
+#: Rule: what a sentence looks like, and what the beginnings of sentences look like, as patterns over joined tokens. Written
+#: out by hand, without the automata; a prefix check looks at the tokens up to the first closing one.
+ROW_PATTERNS = {
+    "rows_run": ("signup( (view|click))+ purchase", "signup( (view|click))*|signup( (view|click))+ purchase"),
+    "rows_pairs": ("(view (click|purchase)|click (view|error))( (view (click|purchase)|click (view|error))){0,3}",
+                   "((view (click|purchase)|click (view|error)) ){0,3}(view|click|view (click|purchase)|click (view|error))"),
+    "rows_run_b": ("view( click)+ purchase", "view( click)*|view( click)+ purchase"),
+    "rows_bounded": ("view( (click|error)){1,4} purchase", "view( (click|error)){0,4}|view( (click|error)){1,4} purchase"),
+    "rows_palindrome": ("signup( (view|click|error))* purchase", "signup( (view|click|error))*( purchase)?"),
+    "rows_lenient_run": ("view( click)+ purchase", "view( click)*|view( click)+ purchase"),
+    "rows_lenient_palindrome": ("signup( (view|click|error))* purchase", "signup( (view|click|error))*( purchase)?"),
+    "turns_run": ("user( assistant)+ user", "user( assistant)*|user( assistant)+ user"),
+    "turns_pairs": ("user assistant( user assistant){0,3}", "(user assistant ){0,3}user( assistant)?"),
+    "turns_alternating": ("user assistant( user assistant)*", "(user assistant )*user( assistant)?"),
+    "turns_bounded": ("system( user){1,4} assistant", "system( user){0,4}|system( user){1,4} assistant"),
+}
+
+
+def row_rule_sql(name: str) -> str:
+    whole, beginning = ROW_PATTERNS[name]
+    keys, src = (("user_id, day", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list(event_type ORDER BY ts, event_id) AS t "
+                                  "FROM events GROUP BY ALL")
+                 if name.startswith("rows") else ("conv_id", "SELECT conv_id, list(role ORDER BY turn, role) AS t FROM conversations GROUP BY ALL"))
+    cut = "CASE WHEN list_contains(t, 'purchase') THEN t[1:list_position(t, 'purchase')] ELSE t END" if "lenient" in name else "t"
+    inner = "u[2:len(u) - 1]"
+    more = "" if "palindrome" not in name else f"""
+  AND {inner} = list_reverse({inner}) AND len(list_filter({inner}, lambda x: x = 'click')) % 2 = 0
+  AND len(list_filter({inner}, lambda x: x = 'error')) % 2 = 0"""
+    return f"""
+WITH s AS ({src}),
+c AS (SELECT *, {cut} AS u FROM s),
+b AS (SELECT {keys}, min(k) - 1 AS lost FROM (SELECT {keys}, u, unnest(generate_series(1, len(u))) AS k FROM c)
+      WHERE NOT regexp_full_match(array_to_string(u[1:k], ' '), '{beginning}') GROUP BY ALL)
+SELECT {keys}, len(t)::BIGINT AS n, lost::BIGINT AS lost, regexp_full_match(array_to_string(u, ' '), '{whole}'){more} AS valid
+FROM c LEFT JOIN b USING ({keys})"""
+
+
+ORACLE.update({_name: row_rule_sql(_name) for _name in ROW_PATTERNS})

@@ -19,6 +19,7 @@ from seqlab.operators import reports as P
 from seqlab.operators import rules as R
 from seqlab.operators import synth as S
 from seqlab.operators import conformance as C
+from seqlab.operators import row_rules as RR
 from seqlab.session import materialize, scratch_path
 from seqlab.sources import corpus_io as IO
 from seqlab.streaming import streams as ST
@@ -612,3 +613,20 @@ def q_stream_mix(spark, sf):
 @query("stream_validity")
 def q_stream_validity(spark, sf):
     return ST.stream_validity(spark, sf)
+
+
+# ---- rules over ordered rows (P9 with P2-P8) ------------------------------------------------------------------------
+
+def days(spark, sf) -> DataFrame:
+    """The events of each user and day: the sequences that the rules judge."""
+    e = load(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
+    return e.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+
+
+for _name, _rule in RR.EVENT_RULES.items():
+    QUERIES[f"rows_{_name}"] = (lambda r: lambda spark, sf: RR.judge(
+        days(spark, sf), ["user_id", "day"], ["ts", "event_id"], "event_type", r))(_rule)
+
+for _name, _rule in RR.TURN_RULES.items():
+    QUERIES[f"turns_{_name}"] = (lambda r: lambda spark, sf: RR.judge(
+        load(spark, sf, "conversations", ["conv_id", "turn", "role"]), ["conv_id"], ["turn"], "role", r))(_rule)

@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as T
 from seqlab.functions.draws import md5_key, pick, u32, uniform
 from seqlab.operators import rules as R
+from seqlab.operators import scan
 from seqlab.operators import synth as S
 
 # --- fixed values: explanation ratios of the synthetic corpora, mixing probability, truncation length --------
@@ -145,23 +146,12 @@ def corpus_examples(ids: DataFrame, rules: list[str] | None = None, seed: int =
 
 # ---- mixing ----------------------------------------------------------------------------------------------------
 
-def prefix_sum(df: DataFrame, pos_col: str, val_col: str, out_col: str = "cum_before",
-               block: int = 4096) -> DataFrame:
-    """Exclusive running sum of ``val_col`` in ``pos_col`` order (``pos_col`` dense from 0).
+def prefix_sum(df: DataFrame, pos_col: str, val_col: str, out_col: str = "cum_before") -> DataFrame:
+    """Exclusive running sum of ``val_col`` in ``pos_col`` order; positions need not be dense.
 
-    Block totals (one row per ``block`` rows) get their exclusive running sum from a window over the small block
-    table; rows then add the running sum inside their own block (window partitioned by block, bounded size). No
-    window ever spans the whole input.
+    Totals of range partitions first, then sums within a partition (`scan.running_total`): no window spans the input.
     """
-    b = F.expr(f"`{pos_col}` div {block}")
-    x = df.withColumn("_blk", b)
-    totals = x.groupBy("_blk").agg(F.sum(val_col).alias("_bt"))
-    wb = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_boff"))
-    wi = Window.partitionBy("_blk").orderBy(pos_col).rowsBetween(Window.unboundedPreceding, -1)
-    local = x.withColumn("_loc", F.coalesce(F.sum(val_col).over(wi), F.lit(0)))
-    return (local.join(offsets, "_blk").withColumn(out_col, F.col("_boff") + F.col("_loc"))
-                 .drop("_blk", "_boff", "_loc"))
+    return scan.running_total(df, [pos_col], val_col, out_col)
 
 
 def geometric_draws(pos: Column, p: float, seed: int | str = SHUFFLE_SEED) -> Column:
@@ -170,13 +160,27 @@ def geometric_draws(pos: Column, p: float, seed: int | str = SHUFFLE_SEED) -> Co
     return F.floor(F.log(u) / F.lit(math.log(p))).cast("long")
 
 
+def density(df: DataFrame, col: str):
+    """(n, u, lo, hi, dense): rows, distinct values and range of a column, and whether it numbers the rows 0 .. n-1."""
+    r = df.agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"), F.count_distinct(col).alias("u")).first()
+    return r.n, r.u, r.lo, r.hi, not r.n or (r.lo == 0 and r.hi == r.n - 1 and r.u == r.n)
+
+
 def dense_count(df: DataFrame, col: str) -> int:
-    """Number of rows whose positions are 0 .. n-1; any gap or repeat raises, as positions of rows would be lost."""
-    r = df.agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"),
-               F.count_distinct(col).alias("u")).first()
-    if r.n and (r.lo != 0 or r.hi != r.n - 1 or r.u != r.n):
-        raise ValueError(f"{col} must number the rows from 0 without gaps or repeats: {r.n} rows, {r.u} values, {r.lo} to {r.hi}")
-    return r.n
+    """Number of rows whose positions are 0 .. n-1; any gap or repeat raises, for callers that can't rank them."""
+    n, u, lo, hi, dense = density(df, col)
+    if not dense:
+        raise ValueError(f"{col} must number the rows from 0 without gaps or repeats: {n} rows, {u} values, {lo} to {hi}")
+    return n
+
+
+def dense_positions(df: DataFrame, col: str) -> tuple[DataFrame, int]:
+    """The rows with ``col`` replaced by its rank from 0, and their number. Numbers that are dense already stay as they are;
+    others (with gaps or repeats, or not from 0) are ranked over range partitions, without a global window."""
+    n, _, _, _, dense = density(df, col)
+    if dense:
+        return df, n
+    return scan.numbered(df, [col], "_rank").drop(col).withColumnRenamed("_rank", col).select(*df.columns), n
 
 
 def mix_ratio(canonical: DataFrame, synthetic: DataFrame, n_synthetic: int, p: float = MIX_PROBABILITY,

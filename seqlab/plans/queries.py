@@ -319,52 +319,54 @@ def q_variant_metrics(spark, sf):
 
 # ---- corpus building (X0-X13) ---------------------------------------------------------------------------------
 
-def n_events(spark, sf) -> int:
-    """Row count of the id source (one scalar; sizes the closed-form interleave)."""
-    return X.dense_count(load(spark, sf, "events", ["event_id"]), "event_id")
+def corpus_ids(spark, sf) -> tuple[DataFrame, int]:
+    """The id source as dense positions, and its row count (one scalar; sizes the closed-form interleave)."""
+    return X.dense_positions(event_ids(spark, sf), "id")
 
 
-def examples(spark, sf, rule, seed=42):
-    return S.synth_valid(event_ids(spark, sf), rule, seed).withColumnRenamed("id", "pos")
+def examples(ids, rule, seed=42):
+    return S.synth_valid(ids, rule, seed).withColumnRenamed("id", "pos")
 
 
 @query("corpus_examples")
 def q_corpus_examples(spark, sf):
-    return X.corpus_examples(event_ids(spark, sf))
+    return X.corpus_examples(corpus_ids(spark, sf)[0])
 
 
 @query("interleave_docs")
 def q_interleave_docs(spark, sf):
-    n = n_events(spark, sf)
+    ids, n = corpus_ids(spark, sf)
     out = None
     for r in R.RULES:
-        df = X.interleave(examples(spark, sf, r), n, r, 0.05)
+        df = X.interleave(examples(ids, r), n, r, 0.05)
         out = df if out is None else out.unionByName(df)
     return out
 
 
 @query("interleave_all")
 def q_interleave_all(spark, sf):
-    n = n_events(spark, sf)
-    return X.interleave(examples(spark, sf, "tivari"), n, "tivari", 1.0)
+    ids, n = corpus_ids(spark, sf)
+    return X.interleave(examples(ids, "tivari"), n, "tivari", 1.0)
 
 
 @query("interleave_lines_a")
 def q_interleave_lines_a(spark, sf):
-    return X.interleave(examples(spark, sf, "grammar1"), n_events(spark, sf), "grammar1", 0.05, "lines_a")
+    ids, n = corpus_ids(spark, sf)
+    return X.interleave(examples(ids, "grammar1"), n, "grammar1", 0.05, "lines_a")
 
 
 @query("interleave_lines_b")
 def q_interleave_lines_b(spark, sf):
-    return X.interleave(examples(spark, sf, "grammar2"), n_events(spark, sf), "grammar2", 0.05, "lines_b")
+    ids, n = corpus_ids(spark, sf)
+    return X.interleave(examples(ids, "grammar2"), n, "grammar2", 0.05, "lines_b")
 
 
 @query("mix_audit")
 def q_mix_audit(spark, sf):
-    n = n_events(spark, sf)
+    ids, n = corpus_ids(spark, sf)
     out = None
     for r in R.RULES:
-        ex = examples(spark, sf, r)
+        ex = examples(ids, r)
         for ratio in X.EXPLANATION_RATIOS:
             df = X.interleave(ex, n, r, ratio).select("rule", "ratio", "kind")
             out = df if out is None else out.unionByName(df)
@@ -372,8 +374,8 @@ def q_mix_audit(spark, sf):
 
 
 def synthetic_corpus(spark, sf, rule="tivari", ratio=0.05):
-    n = n_events(spark, sf)
-    corpus = X.interleave(examples(spark, sf, rule), n, rule, ratio)
+    ids, n = corpus_ids(spark, sf)
+    corpus = X.interleave(examples(ids, rule), n, rule, ratio)
     k, every, big_k = X.interleave_plan(n, ratio, "docs", X.explanation_lines(rule))
     return corpus, n + big_k
 
@@ -425,7 +427,8 @@ MODEL = ["rule", "variant"]
 
 def training_corpora(spark, sf) -> DataFrame:
     """(rule, variant, text): examples-only corpora and their explanation-interleaved variants."""
-    g = X.interleave_grid(event_ids(spark, sf), n_events(spark, sf), G.VARIANT_RATIOS)
+    ids, n = corpus_ids(spark, sf)
+    g = X.interleave_grid(ids, n, G.VARIANT_RATIOS)
     return g.select("rule", "variant", "text")
 
 

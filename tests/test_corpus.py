@@ -72,3 +72,31 @@ def test_text_sink_round_trip(spark, tmp_path):
     df.select("text").write.mode("overwrite").text(out)
     back = spark.read.text(out).select(strip_ws(F.col("value")).alias("text")).filter(F.col("text") != "")
     assert sorted(r.text for r in back.collect()) == sorted(r.text for r in df.collect())
+
+
+def test_interleave_of_ids_with_gaps(spark):
+    """Ids 0, 10, 20, ... (or with a repeat) give the corpus of dense positions."""
+    texts = [(i, f"t{i}") for i in range(57)]
+    dense = spark.createDataFrame(texts, "pos long, text string")
+    want = sorted(tuple(r) for r in X.interleave(dense, 57, "grammar1", 0.2).collect())
+    for ids in (lambda i: 10 * i, lambda i: i - 30, lambda i: max(i, 1)):
+        apart = spark.createDataFrame([(ids(i), t) for i, t in texts], "pos long, text string").repartition(5)
+        df, n = X.dense_positions(apart, "pos")
+        assert n == 57 and sorted(r.pos for r in df.collect()) == list(range(57))
+        got = sorted(tuple(r) for r in X.interleave(df, n, "grammar1", 0.2).collect())
+        if len({ids(i) for i in range(57)}) == 57:  # a repeat may swap its two rows
+            assert got == want
+    same, n = X.dense_positions(dense, "pos")
+    assert same is dense and n == 57
+
+
+def test_mix_of_positions_with_gaps(spark):
+    """Each synthetic draw reads the next document, whatever the positions are, and no stage has one partition."""
+    canon = spark.range(400).select((F.col("id") * 7 + 3).alias("pos"), F.lit("c").alias("text"))
+    syn = spark.range(11).select(F.col("id").alias("doc_pos"), F.concat(F.lit("s"), F.col("id")).alias("text"))
+    mixed = X.mix_ratio(canon, syn, 11, 0.4)
+    rows = sorted((r.canon_pos, r.slot, r.source, r.syn_pos) for r in mixed.collect())
+    drawn = [r[3] for r in rows if r[2] == "synthetic"]
+    assert drawn == [i % 11 for i in range(len(drawn))] and len(drawn) > 150
+    assert sum(r[2] == "canonical" for r in rows) == 400
+    assert "SinglePartition" not in mixed._jdf.queryExecution().toString()

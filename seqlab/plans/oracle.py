@@ -590,3 +590,69 @@ FROM c LEFT JOIN b USING ({keys})"""
 
 
 ORACLE.update({_name: row_rule_sql(_name) for _name in ROW_PATTERNS})
+
+
+# ---- the model of order n on documents ---------------------------------------------------------------------------
+
+def order_n_ctes() -> str:
+    """Counts per order in tables of their own, over lists of tokens; sc: every held-out place with its two contexts."""
+    return f"""WITH d AS (SELECT doc_id, lang, {K.toks("coalesce(text, '')")} AS t,
+    {K.u32(K.md5key(K.q('held-out'), 'CAST(doc_id AS VARCHAR)'))} % 10 = 0 AS held FROM documents),
+tr AS (SELECT lang, i, t[i] AS w, CASE WHEN i > 1 THEN t[i - 1] END AS b, CASE WHEN i > 2 THEN t[i - 2] END AS a
+       FROM (SELECT lang, t, unnest(generate_series(1, len(t))) AS i FROM d WHERE NOT held)),
+n1 AS (SELECT lang, w, count(*) AS n FROM tr GROUP BY ALL),
+n2 AS (SELECT lang, b, w, count(*) AS n FROM tr WHERE b IS NOT NULL GROUP BY ALL),
+n3 AS (SELECT lang, a, b, w, count(*) AS n FROM tr WHERE a IS NOT NULL GROUP BY ALL),
+t1 AS (SELECT lang, sum(n) AS s, count(*) AS v FROM n1 GROUP BY ALL),
+t2 AS (SELECT lang, b, sum(n) AS s, count(*) AS v FROM n2 GROUP BY ALL),
+t3 AS (SELECT lang, a, b, sum(n) AS s, count(*) AS v FROM n3 GROUP BY ALL),
+sc AS (SELECT doc_id, lang, t[i] AS w, t[i - 1] AS b, CASE WHEN i > 2 THEN t[i - 2] END AS a
+       FROM (SELECT doc_id, lang, t, unnest(generate_series(2, len(t))) AS i FROM d WHERE held)),
+ask AS (SELECT DISTINCT lang, a, b, w FROM sc)"""
+
+
+def order_n_p(ask: str) -> str:
+    """SELECT ask.*, p for a relation ask(lang, a, b, w)."""
+    from seqlab.operators.order_n import ALPHA as A
+    p1 = f"(coalesce(n1.n, 0) + {A!r}::DOUBLE) / (t1.s + {A!r}::DOUBLE * (t1.v + 1))"
+    p2 = f"CASE WHEN t2.s IS NULL THEN {p1} ELSE (coalesce(n2.n, 0) + t2.v * ({p1})) / (t2.s + t2.v) END"
+    p3 = f"CASE WHEN t3.s IS NULL THEN {p2} ELSE (coalesce(n3.n, 0) + t3.v * ({p2})) / (t3.s + t3.v) END"
+    return f"""SELECT q.*, {p3} AS p FROM ({ask}) q JOIN t1 ON t1.lang IS NOT DISTINCT FROM q.lang
+LEFT JOIN n1 ON n1.lang IS NOT DISTINCT FROM q.lang AND n1.w = q.w
+LEFT JOIN n2 ON n2.lang IS NOT DISTINCT FROM q.lang AND n2.b = q.b AND n2.w = q.w
+LEFT JOIN t2 ON t2.lang IS NOT DISTINCT FROM q.lang AND t2.b = q.b
+LEFT JOIN n3 ON n3.lang IS NOT DISTINCT FROM q.lang AND n3.a = q.a AND n3.b = q.b AND n3.w = q.w
+LEFT JOIN t3 ON t3.lang IS NOT DISTINCT FROM q.lang AND t3.a = q.a AND t3.b = q.b"""
+
+
+def _register_order_n():
+    same = " AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in ("lang", "a", "b", "w"))
+    texts = f"""{order_n_ctes()},
+pr AS ({order_n_p('SELECT * FROM ask')}),
+pt AS (SELECT x.lang, x.doc_id, sum(-ln(y.p)) AS loss, count(*)::BIGINT AS n_tokens FROM sc x JOIN pr y ON {same} GROUP BY ALL)"""
+    ORACLE["docs_ppl_text"] = texts + """
+SELECT lang, doc_id, round(loss, 6) AS loss, n_tokens, round(exp(loss / n_tokens), 6) AS ppl FROM pt"""
+    ORACLE["docs_ppl"] = texts + """,
+ns AS (SELECT lang, count(*)::BIGINT AS n_samples FROM d WHERE held GROUP BY lang)
+SELECT ns.lang, round(exp(sum(loss) / sum(n_tokens)), 6) AS perplexity, round(sum(loss) / sum(n_tokens), 6) AS mean_loss,
+  round(avg(exp(loss / n_tokens)), 6) AS mean_per_text_ppl,
+  round(CASE WHEN count(*) > 1 THEN stddev_pop(exp(loss / n_tokens)) ELSE 0 END, 6) AS std_per_text_ppl,
+  sum(n_tokens)::BIGINT AS total_tokens, any_value(n_samples) AS n_samples
+FROM ns JOIN pt ON pt.lang IS NOT DISTINCT FROM ns.lang GROUP BY ns.lang"""
+    parts = [f"SELECT lang, {k}::INTEGER AS k, sum(n)::BIGINT AS n_tokens, count(*)::BIGINT AS n_sequences, "
+             f"count(DISTINCT {ctx})::BIGINT AS n_contexts, count_if(n = 1)::BIGINT AS n_once FROM n{k} GROUP BY lang"
+             for k, ctx in ((1, "1"), (2, "b"), (3, "struct_pack(a := a, b := b)"))]
+    ORACLE["docs_model"] = order_n_ctes() + "\n" + " UNION ALL ".join(parts)
+    ORACLE["docs_completion"] = f"""{order_n_ctes()},
+rv AS (SELECT lang, w AS rival FROM n1 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(w) DESC) = 1),
+pl AS (SELECT sc.*, rival FROM sc JOIN rv ON rv.lang IS NOT DISTINCT FROM sc.lang WHERE w <> rival),
+pa AS ({order_n_p('SELECT DISTINCT lang, a, b, w FROM pl')}),
+pb AS ({order_n_p('SELECT DISTINCT lang, a, b, rival AS w FROM pl')})
+SELECT x.lang, x.rival, count_if(y.p > z.p)::BIGINT AS n_correct, count(*)::BIGINT AS n_total, round(count_if(y.p > z.p) / count(*), 6) AS accuracy
+FROM pl x JOIN pa y ON {same} JOIN pb z ON {same.replace('y.', 'z.').replace('x.w', 'x.rival')} GROUP BY ALL"""
+    ORACLE["docs_next_token"] = f"""{order_n_ctes()},
+la AS (SELECT doc_id, lang, t[len(t)] AS w, t[len(t) - 1] AS b, CASE WHEN len(t) > 2 THEN t[len(t) - 2] END AS a FROM d WHERE held AND len(t) > 1)
+SELECT lang, doc_id, w AS token, round(-ln(p), 6) AS loss FROM ({order_n_p('SELECT * FROM la')})"""
+
+
+_register_order_n()

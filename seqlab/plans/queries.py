@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as T
+from seqlab.functions.draws import md5_key, u32
 from seqlab.operators import corpus as X
 from seqlab.operators import generation as G
 from seqlab.operators import metrics as M
 from seqlab.operators import ngram as N
+from seqlab.operators import order_n as ON
 from seqlab.operators import reports as P
 from seqlab.operators import rules as R
 from seqlab.operators import synth as S
@@ -633,3 +635,50 @@ for _name, _rule in RR.EVENT_RULES.items():
 for _name, _rule in RR.TURN_RULES.items():
     QUERIES[f"turns_{_name}"] = (lambda r: lambda spark, sf: RR.judge(
         load(spark, sf, "conversations", ["conv_id", "turn", "role"]), ["conv_id"], ["turn"], "role", r))(_rule)
+
+
+# ---- the model of order n on documents (A5-A8, A10-A12) --------------------------------------------------------------
+
+def parted(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents to learn from and held-out ones, by a hash of the id."""
+    d = load(spark, sf, "documents", ["doc_id", "text", "lang"])
+    out = u32(md5_key("held-out", F.col("doc_id"))) % 10 == 0
+    return d.where(~out), d.where(out)
+
+
+@query("docs_model")
+def q_docs_model(spark, sf):
+    return ON.sizes(ON.estimate(parted(spark, sf)[0], ["lang"]))
+
+
+def docs_losses(spark, sf):
+    train, held = parted(spark, sf)
+    return ON.text_losses(ON.estimate(train, ["lang"]), held, ["doc_id"])
+
+
+@query("docs_ppl_text")
+def q_docs_ppl_text(spark, sf):
+    return docs_losses(spark, sf).select("lang", "doc_id", F.round("loss_sum", 6).alias("loss"), "n_tokens", F.round("ppl", 6).alias("ppl"))
+
+
+@query("docs_ppl")
+def q_docs_ppl(spark, sf):
+    n = parted(spark, sf)[1].groupBy("lang").agg(F.count(F.lit(1)).alias("n_samples"))
+    return N.ppl_corpus(docs_losses(spark, sf), ["lang"], n)
+
+
+@query("docs_completion")
+def q_docs_completion(spark, sf):
+    train, held = parted(spark, sf)
+    return ON.completion(ON.estimate(train, ["lang"]), held)
+
+
+@query("docs_next_token")
+def q_docs_next_token(spark, sf):
+    """The probability of every held-out document's last token after all the tokens before it."""
+    train, held = parted(spark, sf)
+    t = T.tokens(F.col("text"))
+    tests = held.where(F.size(t) > 1).select("doc_id", "lang", F.array_join(F.slice(t, F.lit(1), F.size(t) - 1), " ").alias("prefix"),
+                                             F.element_at(t, -1).alias("token"))
+    p = ON.next_token_probs(ON.estimate(train, ["lang"]), tests)
+    return p.select("lang", "doc_id", "token", F.round(-F.log("prob"), 6).alias("loss"))

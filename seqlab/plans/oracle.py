@@ -533,6 +533,12 @@ _register_sources()
 def _register_streams():
     ORACLE["stream_tokenize"] = ORACLE["tokenize_ws"]
     ORACLE["stream_validity"] = ORACLE["validity_overall"]
+    ORACLE["stream_validity_prompt"] = ORACLE["validity_by_prompt"]
+    ORACLE["stream_mix_cyclic"] = ORACLE["mix_ratio"]
+    key = K.md5key(K.q("window:42"), "CAST(doc_id AS VARCHAR)")
+    placed = f"(SELECT doc_id, {key} AS shuffle_key, doc_id + {K.u32(key)} % {X.SHUFFLE_BUFFER} AS shuffle_at FROM documents)"
+    ORACLE["shuffle_buffered"] = f"SELECT doc_id, row_number() OVER (ORDER BY shuffle_at, shuffle_key) - 1 AS shuffled_pos FROM {placed}"
+    ORACLE["stream_shuffle"] = f"SELECT *, shuffle_at // {X.SHUFFLE_BUFFER} AS bucket FROM {placed}"
     p = X.MIX_PROBABILITY
     u = f"(({K.u32(K.md5key(K.q('mix:42'), 'CAST(doc_id AS VARCHAR)'))} + 0.5) / 4294967296.0)"
     pk = K.u32(K.md5key("'pick'", "concat_ws(':', CAST(canon_pos AS VARCHAR), CAST(slot AS VARCHAR))"))

@@ -24,6 +24,7 @@ from seqlab.operators import conformance as C
 from seqlab.operators import row_rules as RR
 from seqlab.session import materialize, scratch_path
 from seqlab.sources import corpus_io as IO
+from seqlab.streaming import resumable as RS
 from seqlab.streaming import streams as ST
 from seqlab.sources.tables import load
 
@@ -615,6 +616,33 @@ def q_stream_mix(spark, sf):
     return ST.stream_mix(spark, sf, materialize(syn.select("doc_pos", "text")), n_syn)
 
 
+@query("stream_mix_cyclic")
+def q_stream_mix_cyclic(spark, sf):
+    """The mix with the cyclic cursor as a stream: equals mix_ratio."""
+    syn, n_syn = synthetic_corpus(spark, sf)
+    docs = ST.read_stream(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "pos")
+    return RS.mixed(docs, materialize(syn.select("doc_pos", "text")), n_syn, scratch_path(spark, "stream-mix-cyclic"))
+
+
+@query("shuffle_buffered")
+def q_shuffle_buffered(spark, sf):
+    return X.window_shuffle(load(spark, sf, "documents", ["doc_id"]), "doc_id")
+
+
+@query("stream_shuffle")
+def q_stream_shuffle(spark, sf):
+    docs = ST.read_stream(spark, sf, "documents", ["doc_id"])
+    return RS.shuffled(docs, "doc_id", scratch_path(spark, "stream-shuffle"))
+
+
+@query("stream_validity_prompt")
+def q_stream_validity_prompt(spark, sf):
+    """Running counters by prompt, in update mode with an upsert of the changed rows."""
+    ev = ST.read_stream(spark, sf, "events", ["event_id", "event_type", "props"])
+    v = M.validity(M.verdicts(G.generation_samples(ev)), RUN + ["prompt"])
+    return RS.upserted(v, RUN + ["prompt"], scratch_path(spark, "stream-validity-prompt"))
+
+
 @query("stream_validity")
 def q_stream_validity(spark, sf):
     return ST.stream_validity(spark, sf)

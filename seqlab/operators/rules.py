@@ -5,7 +5,7 @@ generation-time extractor and the violation classifier -- each a function ``Colu
 expressions. Regular rules are checked with one anchored regex over the single-space-joined tokens (stays inside
 whole-stage codegen); the palindrome rule adds string reversal over a one-letter-per-token code.
 
-Plugging in a new rule set means adding a ``RuleSpec`` to ``REGISTRY`` (see ``register``).
+Plugging in a new rule set means ``register``-ing a ``RuleSpec``; `declared` builds one from tokens and limits.
 """
 
 from __future__ import annotations
@@ -63,8 +63,6 @@ INVALID_TYPES = {
 }
 # Rule sets with a lenient (valid-prefix) check; the others publish 0 lenient-valid, not null.
 LENIENT_RULES = ["grammar3", "tivari"]
-# Rule sets whose lenient check runs on punctuation-normalised text.
-PUNCT_NORMALISED = ["tivari"]
 # -------------------------------------------------------------------------------------------------------------
 
 
@@ -198,6 +196,7 @@ class RuleSpec:
     lenient_norm: Callable[[Column], Column] | None = None
     punct_normalise: bool = False
     tag: tuple[str, str] | None = None                 # corpus wrapper tags
+    extract_tag: tuple[str, str] | None = None         # tags that the generated text is cut at; else extract_pre
     prompts: list[str] = field(default_factory=list)
     rule_tokens: list[str] = field(default_factory=list)
     # (normalised text, stripped text) -> extracted string, for rule sets extracted without tags
@@ -229,10 +228,22 @@ def _tagged_extract(rule: str) -> Callable[[Column], Column]:
 
 
 REGISTRY: dict[str, RuleSpec] = {}
+_changes = 0
 
 
 def register(spec: RuleSpec) -> None:
+    """Add a rule set (or replace the one of that name): from now on all dispatch on rule names knows it."""
+    global _changes
+    if spec.extract_tag is None and spec.extract_pre is None:
+        raise ValueError(f"{spec.name}: a rule set needs extract_tag or extract_pre")
     REGISTRY[spec.name] = spec
+    _changes += 1
+
+
+def unregister(name: str) -> None:
+    global _changes
+    del REGISTRY[name]
+    _changes += 1
 
 
 register(RuleSpec(
@@ -247,19 +258,19 @@ register(RuleSpec(
     extract_pre=lambda n, st: T.leading_pairs_pre(n, st, COLORS, RED_SHAPES + BLUE_SHAPES),
     violation_norm=_g2_violation, prompts=PROMPTS["grammar2"], rule_tokens=COLORS + RED_SHAPES + BLUE_SHAPES))
 register(RuleSpec(
-    "grammar3", strict_norm=g3_strict_norm, extract=_tagged_extract("grammar3"), violation_norm=_g3_violation,
+    "grammar3", strict_norm=g3_strict_norm, extract=_tagged_extract("grammar3"), extract_tag=EXTRACT_TAGS["grammar3"], violation_norm=_g3_violation,
     lenient_norm=g3_lenient_norm, tag=TAGS["grammar3"], prompts=PROMPTS["grammar3"],
     defs=G3_DEFS, strict_b=g3_strict_b, lenient_b=g3_lenient_b,
     rule_tokens=[G3_OPEN, G3_CLOSE] + G3_CONTENT))
 register(RuleSpec(
     "tivari", strict_norm=lambda n: n.rlike(_run_regex(TV_OPEN, TV_MID, TV_CLOSE)),
-    extract=_tagged_extract("tivari"),
+    extract=_tagged_extract("tivari"), extract_tag=EXTRACT_TAGS["tivari"],
     violation_norm=lambda n: _run_violation(n, TV_OPEN, TV_MID, TV_CLOSE, None),
     lenient_norm=tivari_lenient_norm, punct_normalise=True, tag=TAGS["tivari"], prompts=PROMPTS["tivari"],
     rule_tokens=[TV_OPEN, TV_MID, TV_CLOSE]))
 register(RuleSpec(
     "tivari_b", strict_norm=lambda n: n.rlike(_run_regex(TV_OPEN, TV_MID, TV_CLOSE, 4)),
-    extract=_tagged_extract("tivari_b"),
+    extract=_tagged_extract("tivari_b"), extract_tag=EXTRACT_TAGS["tivari_b"],
     violation_norm=lambda n: _run_violation(n, TV_OPEN, TV_MID, TV_CLOSE, 4),
     prompts=PROMPTS["tivari_b"], rule_tokens=[TV_OPEN, TV_MID, TV_CLOSE]))
 
@@ -277,17 +288,23 @@ def by_rule(rule_col: Column, fn: Callable[[RuleSpec], Column], rules: list[str]
     return expr
 
 
+def _tag_col(rule_col: Column, side: int) -> Column:
+    tagged = [r for r, s in REGISTRY.items() if s.extract_tag]
+    return by_rule(rule_col, lambda s: F.lit(s.extract_tag[side]), tagged) if tagged else F.lit(None).cast("string")
+
+
 def open_tag_col(rule_col: Column) -> Column:
     """Per-row generation-time open tag (null for untagged rule sets)."""
-    return by_rule(rule_col, lambda s: F.lit(EXTRACT_TAGS[s.name][0]), [r for r in REGISTRY if r in EXTRACT_TAGS])
+    return _tag_col(rule_col, 0)
 
 
 def close_tag_col(rule_col: Column) -> Column:
-    return by_rule(rule_col, lambda s: F.lit(EXTRACT_TAGS[s.name][1]), [r for r in REGISTRY if r in EXTRACT_TAGS])
+    return _tag_col(rule_col, 1)
 
 
 @session_cached
-def _verdict_exprs(text_col: str, rule_col: str):
+def _verdict_exprs(text_col: str, rule_col: str, changes: int):
+    """``changes`` of the registry make the expressions anew."""
     r = F.col(rule_col)
     e = {}
     e["s"] = T.strip_ws(F.col(text_col))
@@ -299,11 +316,10 @@ def _verdict_exprs(text_col: str, rule_col: str):
     cut = F.expr("CASE WHEN instr(_rest, _c) > 0 THEN substring_index(_rest, _c, 1) "
                  "WHEN instr(_rest, '</') > 0 THEN substring_index(_rest, '</', 1) ELSE _rest END")
     tagged = F.when(F.col("_pos") > 0, T.strip_ws(cut)).otherwise(T.first_line_stripped(F.col("_s")))
-    untagged = by_rule(r, lambda s: s.extract_pre(F.col("_gn"), F.col("_s")),
-                       [n for n in REGISTRY if n not in EXTRACT_TAGS])
+    untagged = by_rule(r, lambda s: s.extract_pre(F.col("_gn"), F.col("_s")), [n for n, s in REGISTRY.items() if not s.extract_tag])
     e["extracted"] = F.when(F.col("_o").isNotNull(), tagged).otherwise(untagged)
     e["n"] = T.ws_norm(F.col("extracted"))
-    e["pn"] = F.when(r.isin(*PUNCT_NORMALISED), T.strip_punct_tokens(F.col("_n")))
+    e["pn"] = F.when(r.isin(*[n for n, s in REGISTRY.items() if s.punct_normalise]), T.strip_punct_tokens(F.col("_n")))
     # Each rule set's named intermediates, projected once in definition order.
     defs = []
     binds = {}
@@ -336,7 +352,7 @@ def with_verdicts(df: DataFrame, text_col: str = "generated", rule_col: str = "r
     has no lenient check). Stripping, normalising and tag positions are projected once per row and shared by
     every rule branch; tagged rule sets share one extraction expression driven by per-row tag columns.
     """
-    e = _verdict_exprs(text_col, rule_col)
+    e = _verdict_exprs(text_col, rule_col, _changes)
     cols = df.columns
     x = df.select("*", e["s"].alias("_s"), e["o"].alias("_o"), e["c"].alias("_c"))
     x = x.select("*", e["gn"].alias("_gn"), e["pos"].alias("_pos"))
@@ -349,13 +365,3 @@ def with_verdicts(df: DataFrame, text_col: str = "generated", rule_col: str = "r
     # Verdicts leave through an optimizer fence, so a later filter on them never inlines the alias chain.
     x = x.select(*cols, "extracted", e["strict"].alias("is_valid"), e["lenient"].alias("is_lenient_valid"))
     return fence(x, cols, ["extracted", "is_valid", "is_lenient_valid"])
-
-
-def rules_dim(spark) -> DataFrame:
-    """The rule dimension: one row per registered rule set (for joins, fan-out and reports)."""
-    rows = []
-    for name, s in REGISTRY.items():
-        o, c = s.tag if s.tag else (None, None)
-        rows.append((name, o, c, s.lenient_norm is not None, list(s.prompts)))
-    return spark.createDataFrame(
-        rows, "rule string, open_tag string, close_tag string, has_lenient boolean, prompts array<string>")

@@ -67,6 +67,14 @@ def examples_per_class(v: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
              .select(*keys, "class", F.col("rn").cast("int").alias("rn"), "id", "prompt", "extracted"))
 
 
+def example_arrays(v: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """(keys, examples): a map of class to its first ``k`` samples (id, prompt, extracted) in arrival order. What is gathered of
+    a key is at most ``k`` rows a class."""
+    e = examples_per_class(v, keys, k)
+    lists = e.groupBy(*keys, "class").agg(F.sort_array(F.collect_list(F.struct("rn", "id", "prompt", "extracted"))).alias("_l"))
+    return lists.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "_l")))).alias("examples"))
+
+
 def lenient_only(v: DataFrame) -> DataFrame:
     """Residue: lenient-valid but not strictly valid."""
     return (v.filter(F.coalesce(F.col("is_lenient_valid"), F.lit(False)) & ~F.col("is_valid"))

@@ -18,11 +18,13 @@ from seqlab.functions import text as T
 # --- fixed values: decision-point thresholds (mass tests) ------------------------------------------------------
 MASS_THRESHOLD_RUN = 0.1
 MASS_THRESHOLD_PAIR = 0.05
+MASS_THRESHOLD_CLOSE = 0.01
 SMOOTHING_ALPHA = 0.1
 # -------------------------------------------------------------------------------------------------------------
 
 # --- fixed values: decision-point tests per rule set: (name, kind, prefix, good tokens, bad tokens, threshold) -----
 #   prefer: p(good) > p(bad)          group: sum p(good) > sum p(bad)          mass: sum p(good) > threshold
+#   each: p(good) > p(bad) for every bad token
 DECISION_TESTS = {
     "grammar1": [
         ("start_prefer_mid", "prefer", "START", ["MID"], ["END"], None),
@@ -44,6 +46,10 @@ DECISION_TESTS = {
         ("content_continues", "mass", "<tivari3> FEP NUL", ["NUL", "TAS", "WEJ", "KOB", "GOR"], [],
          MASS_THRESHOLD_RUN),
         ("close_then_end_tag", "prefer", "<tivari3> FEP GOR", ["</tivari3>"], ["FEP"], None),
+        ("mirror_start", "each", "<tivari3> FEP NUL", ["NUL"], ["TAS", "WEJ"], None),
+        ("mirror_middle", "each", "<tivari3> FEP NUL KOB", ["KOB"], ["NUL", "TAS"], None),
+        ("mirror_closing", "each", "<tivari3> FEP NUL KOB KOB", ["NUL"], ["KOB", "TAS"], None),
+        ("close_after_pair", "mass", "<tivari3> FEP NUL NUL", ["GOR"], [], MASS_THRESHOLD_CLOSE),
     ],
     "tivari": [
         ("xaq_prefer_ziv", "prefer", "XAQ", ["ZIV"], ["BEK"], None),
@@ -166,8 +172,10 @@ def decision_results(probs: DataFrame, keys: list[str]) -> DataFrame:
     g = probs.groupBy(*keys, "test", "kind").agg(
         F.sum(F.when(F.col("side") == "good", F.col("prob")).otherwise(0.0)).alias("good_prob"),
         F.sum(F.when(F.col("side") == "bad", F.col("prob")).otherwise(0.0)).alias("bad_prob"),
+        F.coalesce(F.max(F.when(F.col("side") == "bad", F.col("prob"))), F.lit(0.0)).alias("worst"),
         F.max("threshold").alias("threshold"))
     correct = (F.when(F.col("kind") == "mass", F.col("good_prob") > F.col("threshold"))
+               .when(F.col("kind") == "each", F.col("good_prob") > F.col("worst"))
                .otherwise(F.col("good_prob") > F.col("bad_prob")))
     return g.select(*keys, "test", "kind", F.round("good_prob", 6).alias("good_prob"),
                     F.round("bad_prob", 6).alias("bad_prob"), correct.alias("correct"))

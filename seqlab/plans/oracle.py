@@ -418,10 +418,11 @@ probs AS (SELECT m.rule, m.variant, t.test, t.kind, t.token, t.side, t.threshold
           LEFT JOIN best b ON b.rule = m.rule AND b.variant = m.variant AND b.prefix = t.prefix
           LEFT JOIN after a ON a.rule = m.rule AND a.variant = m.variant AND a.ctx = b.ctx AND a.token = t.token),
 dec AS (SELECT rule, variant, test, kind, sum(CASE WHEN side = 'good' THEN prob ELSE 0.0 END) AS gp,
-               sum(CASE WHEN side = 'bad' THEN prob ELSE 0.0 END) AS bp, max(threshold) AS th
+               sum(CASE WHEN side = 'bad' THEN prob ELSE 0.0 END) AS bp, max(threshold) AS th,
+               coalesce(max(CASE WHEN side = 'bad' THEN prob END), 0.0) AS worst
         FROM probs GROUP BY rule, variant, test, kind),
 decr AS (SELECT rule, variant, test, kind, round(gp, 6) AS good_prob, round(bp, 6) AS bad_prob,
-                CASE WHEN kind = 'mass' THEN gp > th ELSE gp > bp END AS correct FROM dec),
+                CASE WHEN kind = 'mass' THEN gp > th WHEN kind = 'each' THEN gp > worst ELSE gp > bp END AS correct FROM dec),
 acc AS (SELECT rule, variant, count_if(correct)::BIGINT AS n_correct, count(*)::BIGINT AS n_total,
                round(count_if(correct) / count(*), 6) AS accuracy FROM decr GROUP BY rule, variant)"""
 
@@ -519,6 +520,7 @@ FROM (SELECT user_id, count(*)::BIGINT AS n_events, first(event_type ORDER BY ts
              count_if(event_type NOT IN ('signup', 'purchase', 'view', 'click')) AS n_other
       FROM events GROUP BY user_id)"""
     ORACLE["scan_jsonl"] = "SELECT doc_id, text FROM documents"
+    ORACLE["result_examples"] = ORACLE["examples_per_class"]
     ORACLE["results_scan"] = with_v(f"""
 SELECT model, rule, count(*)::BIGINT AS total, count_if(is_valid)::BIGINT AS valid,
        {rate('count_if(is_valid)', 'count(*)')} AS validity_rate FROM verdicts GROUP BY model, rule""")

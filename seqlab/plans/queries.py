@@ -317,7 +317,7 @@ def q_checkpoint_trend(spark, sf):
 def q_variant_metrics(spark, sf):
     per = M.validity(verdicts(spark, sf), ["rule", "variant"]).select("rule", "variant", "total", "validity_rate")
     dims = G.variants_dim(spark).select("variant", "ord")
-    return dims.join(per, "variant", "left").select("rule", "variant", "ord", "total", "validity_rate")
+    return IO.looked_up(dims, per, ["variant"]).select("rule", "variant", "ord", "total", "validity_rate")
 
 
 # ---- corpus building (X0-X13) ---------------------------------------------------------------------------------
@@ -593,6 +593,18 @@ def q_results_scan(spark, sf):
     return IO.scan_results(spark, path).select("model", "rule", "total", "valid", "validity_rate")
 
 
+@query("result_examples")
+def q_result_examples(spark, sf):
+    """Result documents with their example arrays, written as JSON, scanned and exploded again."""
+    v = verdicts(spark, sf)
+    docs = M.validity(v, RUN).join(M.example_arrays(v, RUN), RUN)
+    path = scratch_path(spark, "result-examples")
+    IO.write_results(docs.select(*RUN, F.col("total").alias("n_samples"), "valid", "validity_rate", "examples"), path)
+    back = IO.scan_results(spark, path, IO.EXAMPLES_SCHEMA)
+    rows = back.select(*RUN, F.explode("examples").alias("class", "_l")).select(*RUN, "class", F.inline("_l"))
+    return rows.select(*RUN, "class", "rn", "id", "prompt", "extracted")
+
+
 @query("report_explode")
 def q_report_explode(spark, sf):
     runs_ = M.validity(verdicts(spark, sf), ["rule", "model"])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 RESULT_SCHEMA = ("rule string, total long, valid long, validity_rate double, lenient_valid long, "
                  "lenient_validity_rate double, by_prompt map<string, struct<total: long, valid: long, "
                  "validity_rate: double>>")
+EXAMPLES_SCHEMA = ("rule string, variant string, step int, n_samples long, valid long, validity_rate double, "
+                   "examples map<string, array<struct<rn: int, id: long, prompt: string, extracted: string>>>")
 REPORT_SCHEMA = ("grammar string, models map<string, struct<validity_rate: double, generation_validity: double, "
                  "valid: long, total: long, perplexity_gap: double, completion_accuracy: double>>")
 
@@ -20,9 +22,26 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def scan_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON-lines corpus scan: blank lines are skipped by the reader, malformed lines fail the job."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+def scan_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """JSON-lines corpus scan: blank lines are skipped by the reader, malformed lines fail the job, and so does a document
+    without one of the ``required`` fields."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return needed(df, *required)
+
+
+def needed(df: DataFrame, *columns: str, says: str = "missing field") -> DataFrame:
+    """``df``; reading a row whose column is null raises."""
+    for c in columns:
+        df = df.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{says}: {c}"))).otherwise(F.col(c)))
+    return df
+
+
+def looked_up(keys: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+    """Each row of ``keys`` with its row of ``values``; a key without one raises, with its name in the message."""
+    met = keys.join(values.withColumn("_there", F.lit(True)), on, "left")
+    name = F.concat(F.lit("no entry: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on]))
+    there = F.when(F.col("_there").isNull(), F.raise_error(name)).otherwise(F.col("_there"))
+    return met.withColumn("_there", there).where("_there").drop("_there")
 
 
 def write_results(results: DataFrame, path: str, by: str = "model") -> None:

@@ -42,7 +42,8 @@ def contexts(order: int) -> list[str]:
 def sequences(texts: DataFrame, columns: list[str], order: int = ORDER, text_col: str = "text") -> DataFrame:
     """(columns, pos, next, c2 .. c_order): every token of every text with the 1 .. order - 1 tokens before it, joined by spaces;
     null where the text has not so many. Null and blank texts have no tokens."""
-    before = ", ".join(f"if(i >= {k - 1}, array_join(slice(_t, i - {k - 2}, {k - 1}), ' '), null) as c{k}" for k in range(2, order + 1))
+    ends = {k: ", ".join(f"_t[i - {j}]" for j in range(k - 1, 0, -1)) for k in range(2, order + 1)}
+    before = ", ".join(f"if(i >= {k - 1}, concat_ws(' ', {e}), null) as c{k}" for k, e in ends.items())
     more = f", {before}" if before else ""
     # one small struct a token: the array itself doesn't go through the explode
     every = F.expr(f"transform(filter(sequence(0, size(_t)), i -> i < size(_t)), i -> struct(i as pos, _t[i] as next{more}))")

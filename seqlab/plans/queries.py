@@ -149,7 +149,10 @@ def q_tokenize_ws(spark, sf):
 # ---- synthesis (G1-G13) ---------------------------------------------------------------------------------------
 
 def event_ids(spark, sf) -> DataFrame:
-    return load(spark, sf, "events", ["event_id"]).withColumnRenamed("event_id", "id")
+    """The id source, dealt evenly before sentences are made of it: a file of ids is small and one task, its sentences are
+    not. A number of partitions is not merged again."""
+    ids = load(spark, sf, "events", ["event_id"]).withColumnRenamed("event_id", "id")
+    return ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
 
 
 for _name, _rule in [("synth_run", "grammar1"), ("synth_pairs", "grammar2"), ("synth_palindrome", "grammar3"),
@@ -596,7 +599,7 @@ def q_results_scan(spark, sf):
 @query("result_examples")
 def q_result_examples(spark, sf):
     """Result documents with their example arrays, written as JSON, scanned and exploded again."""
-    v = verdicts(spark, sf)
+    v = materialize(verdicts(spark, sf).select(*RUN, "id", "prompt", "extracted", "is_valid", "is_lenient_valid"))
     docs = M.validity(v, RUN).join(M.example_arrays(v, RUN), RUN)
     path = scratch_path(spark, "result-examples")
     IO.write_results(docs.select(*RUN, F.col("total").alias("n_samples"), "valid", "validity_rate", "examples"), path)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import NONSPACE, Words, documents, only, pieces, row_key, sequence_hash, signed, sorted_by, staged, whole_groups, word_codes
+from seqlab.llm.common import NONSPACE, Words, documents, dropped, only, pieces, row_key, sequence_hash, signed, sorted_by, staged, whole_groups, word_codes
 from seqlab.llm.repeats import sliding_min, union
 
 LEAST, GRAM = 13, 4
@@ -145,12 +145,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "row")
 
 
-def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> DataFrame:
+def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> tuple[DataFrame, list[DataFrame]]:
     """(name, hash, first, spans): of passages, the smallest doc_id with it, and what of it smaller ids cover there. A passage
-    may have several rows or, if it is in one document and nothing of it is covered, none."""
+    may have several rows or, if it is in one document and nothing of it is covered, none. Besides, the tables written for it."""
     own = found.groupBy("name", "hash").agg(F.min(F.struct("doc_id", "row", "start", "length")).alias("at"), F.max("doc_id").alias("hi"))
     own = staged(own.select("name", "hash", F.col("at.doc_id").alias("first"), "at.row", "at.start", "at.length", "hi"), "passages")
     some = "array<struct<a: int, b: int>>"
+    written = [own]
     copied = own.where("first < hi").select("name", "hash", "first", F.array().cast(some).alias("spans"))
     sizes = own.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("length").cast("long")).alias("words")).where("n > 1")
     own = own.join(sizes, "name")  # the only passage of a name is covered by no other
@@ -217,10 +218,11 @@ def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> DataFr
         windows = staged(texts_with(full).mapInArrow(split, "key long, at array<int>, name long, hash long, first long"), "windows")
         # written, so that a hot window is joined by broadcast, or split as a skewed key
         shared = staged(windows.groupBy("key").agg(F.min("first").alias("id"), F.max("first").alias("hi")).where("id < hi").select("key", "id"), "keys")
+        written += [windows, shared]
         met = windows.join(shared, "key").where("id < first").groupBy("name", "hash", "first").agg(
             F.flatten(F.collect_list(F.transform("at", lambda a: F.struct(a.alias("a"), (a + least).alias("b"))))).cast(some).alias("spans"))
         done = done.unionByName(met)
-    return done
+    return done, written
 
 
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -228,7 +230,10 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard: int = SH
     every = staged(occurrences(docs, least, gram), "occurrences")
     names = every.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
     found = staged(every.join(names, "name", "left_semi"), "shared")
-    ranges = staged(covered(found, docs, least, shard), "covered")
+    dropped(docs.sparkSession, every)
+    wanted, written = covered(found, docs, least, shard)
+    ranges = staged(wanted, "covered")
+    dropped(docs.sparkSession, *written)
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("length").alias("b")))
     met = found.join(ranges, ["name", "hash"]).select("row", "start", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
     placed = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))

@@ -7,6 +7,7 @@ different words or windows collide with probability about 2**-64.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -179,6 +180,13 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark deletes them once the driver has collected its garbage, which may
+    not happen for long. What a DataFrame in use needs stays."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key() -> "F.Column":
     """One long for a document row; equal rows share it, and equal rows have equal results."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))

@@ -30,13 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import NONSPACE, Words, documents, dropped, only, pieces, row_key, sequence_hash, signed, sorted_by, staged, whole_groups, word_codes
+from seqlab.llm.common import NONSPACE, Words, documents, dropped, only, pieces, released, row_key, sequence_hash, signed, sorted_by, staged, whole_groups, word_codes
 from seqlab.llm.repeats import sliding_min, union
 
 LEAST, GRAM = 13, 4
 #: Words of passages that one automaton holds, and of the longest passage.
 SHARD, LONG = 1 << 16, 1 << 12
 SEED = 20240601
+#: A place is PLACE * start + length; passages are shorter.
+PLACE = 1 << 16
+START, LENGTH = f"int(place div {PLACE})", f"int(place % {PLACE})"
 
 
 def word_ids(words: Words) -> np.ndarray:
@@ -123,7 +126,7 @@ class Automaton:
 
 
 def occurrences(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """Every passage: name, hash (of its words), doc_id, row, start, length."""
+    """Every passage: name, hash (of its words), doc_id, row, place (start and length in one number)."""
     def emit(batches):
         for batch, texts in pieces(batches):
             words = Words(texts, NONSPACE, lower=False)
@@ -134,10 +137,10 @@ def occurrences(docs: DataFrame, least: int, gram: int) -> DataFrame:
             who = pa.array(who)
             yield pa.RecordBatch.from_pydict({
                 "name": pa.array(signed(name)), "hash": pa.array(signed(h)), "doc_id": batch.column("doc_id").take(who),
-                "row": batch.column("row").take(who), "start": pa.array(start.astype(np.int32)), "length": pa.array(length.astype(np.int32))})
+                "row": batch.column("row").take(who), "place": pa.array(start * PLACE + length)})
 
     rows = keyed(docs).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(emit, "name long, hash long, doc_id long, row long, start int, length int")
+    return rows.mapInArrow(emit, "name long, hash long, doc_id long, row long, place long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -148,8 +151,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> tuple[DataFrame, list[DataFrame]]:
     """(name, hash, first, spans): of passages, the smallest doc_id with it, and what of it smaller ids cover there. A passage
     may have several rows or, if it is in one document and nothing of it is covered, none. Besides, the tables written for it."""
-    own = found.groupBy("name", "hash").agg(F.min(F.struct("doc_id", "row", "start", "length")).alias("at"), F.max("doc_id").alias("hi"))
-    own = staged(own.select("name", "hash", F.col("at.doc_id").alias("first"), "at.row", "at.start", "at.length", "hi"), "passages")
+    own = found.groupBy("name", "hash").agg(F.min(F.struct("doc_id", "row", "place")).alias("at"), F.max("doc_id").alias("hi"))
+    own = staged(own.select("name", "hash", F.col("at.doc_id").alias("first"), "at.row", "at.place", "hi").withColumns(
+        {"start": F.expr(START), "length": F.expr(LENGTH)}).drop("place"), "passages")
     some = "array<struct<a: int, b: int>>"
     written = [own]
     copied = own.where("first < hi").select("name", "hash", "first", F.array().cast(some).alias("spans"))
@@ -231,11 +235,15 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard: int = SH
     names = every.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
     found = staged(every.join(names, "name", "left_semi"), "shared")
     dropped(docs.sparkSession, every)
+    del every, names
+    released(docs.sparkSession)
     wanted, written = covered(found, docs, least, shard)
     ranges = staged(wanted, "covered")
     dropped(docs.sparkSession, *written)
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("length").alias("b")))
-    met = found.join(ranges, ["name", "hash"]).select("row", "start", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
+    del wanted, written
+    released(docs.sparkSession)
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.expr(LENGTH).alias("b")))
+    met = found.join(ranges, ["name", "hash"]).select("row", F.expr(START).alias("start"), F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
     placed = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
     return met.where(F.size("spans") > 0).groupBy("row").agg(F.flatten(F.collect_list(placed)).alias("spans"))
 

@@ -1,22 +1,23 @@
-"""Language-model scoring by deleted interpolation.
+"""Language-model scoring by deleted interpolation of word bigrams.
 
-Tokens are lower-cased words and one end a text. Every type's count in the training texts is kept exactly, in a table
-that grows with the corpus. The model predicts a token's class from the class before it, and the token from its class:
+Tokens are lower-cased words and one end a text; the token before a text's first is an end. With counts c of the
+training texts, N tokens and V types, a token w after v has probability
 
-    P(w | v) = P(class w | class v) * (c(w) + 0.1) / (C + 0.1 * (types + 1))   with the counts of w's class,
-    P(k | j) = l2 * c(j, k) / c(j) + l1 * c(k) / N + l0 / classes.
+    P(w | v) = l2 * c(v, w) / c(v) + l1 * c(w) / N + l0 / (V + 1),
 
-The `own` most frequent types are classes of their own (their second factor is 1) and all others share `shared` classes
-by hash. The three maximum-likelihood estimates are mixed with weights by context-frequency bucket (log2 of c(j)),
-learned by expectation-maximisation on the counts of a tenth of the training texts that the other estimates did not
-see; then all training texts are counted. Class tables have (own + shared + 1)**2 cells at most, at any size of input.
+where the weights belong to v's context-frequency bucket (bit length of c(v), 0 if it was not seen; there l2 is 0). They are
+learned by expectation-maximisation on the pairs of a tenth of the training texts, with counts of the others; then all
+training texts are counted. A bucket without such pairs takes the weights of the next lower one that has some.
 
-The `head` most frequent types travel to the tasks as a table of bounded size; tokens of other types meet their counts
-in a join, where none of them can be a hot key.
+Every word and every pair of words is counted; nothing is shared, capped or dropped. Texts are tokenised once into
+chunks of about `chunk_bytes`: distinct words, and each token's place among them. A chunk sends each distinct word and pair
+once, as sorted 64-bit names dealt to `shards` by their top bits, and gets back the sums in the same order, without names.
+So a hot word is one entry a chunk, a shard holds about SHARD_KEYS entries at any size of corpus (shards grow with it),
+and the last pass has all counts of a chunk beside its tokens. Only sums (of all, and by bucket) go to the driver.
 
 Defined results: null or empty text is one end token. Texts whose crc32(doc_id as text) mod 10 is 0 are held out; a
 null doc_id counts as the empty text (held out). Repeated rows each count and each give a row. Without training texts
-N and V are 0 and the formulas hold as they stand. Further columns of any name are ignored.
+N and V are 0, and P is 1 / (V + 1). A text longer than a chunk is a chunk of its own. Further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -30,205 +31,215 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import NONSPACE, Words, documents, hash_of, only, pieces, signed, staged
+from seqlab.llm.common import (NONSPACE, Words, documents, dropped, hash_of, mix, only, pieces, released, sorted_by, staged,
+                               whole_groups)
 
-OWN, SHARED, HEAD, ROUNDS = 768, 255, 1 << 18, 20
+BLOCK_BYTES, SHARD_KEYS, ROUNDS, BUCKETS = 16 << 20, 1 << 20, 20, 64
 ADD = 0.1
-END = hash_of("\nend\n")
+END = np.uint64(hash_of("\nend\n"))
+CHUNK = "chunk long, ids array<long>, folds binary, sizes binary, types binary, codes binary, keys long"
 
 
 def fold(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10
 
 
-def tokens(batches, train: bool):
-    """(rows, folds, token hashes with each text's end, text of each token) of about 1 MB of text at a time."""
-    for batch, texts in pieces(batches):
-        folds = np.array([fold(x) for x in batch.column("doc_id").to_pylist()])
-        if train:
-            keep = np.flatnonzero(folds != 0)
-            batch, texts, folds = batch.take(pa.array(keep)), [texts[i] for i in keep], folds[keep]
-            if not texts:
-                continue
-        w = Words(texts, NONSPACE)
-        size = w.counts + 1
-        last = np.cumsum(size) - 1
-        out = np.full(int(size.sum()), np.uint64(END))
-        inner = np.ones(len(out), bool)
-        inner[last] = False
-        out[inner] = w.hashes()
-        yield batch, folds, out, np.repeat(np.arange(len(texts)), size), last
-
-
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(h, c): every type of the training texts and its count; added up in the tasks first."""
-    def task(batches):
-        def summed(parts):
-            h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            u, inverse = np.unique(h, return_inverse=True)
-            return u, np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)
+def packed(a: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes, after their number."""
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-        def out(parts):
-            h, c = summed(parts)
-            for i in range(0, len(h), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"h": pa.array(signed(h[i:i + (1 << 16)].copy())), "c": pa.array(c[i:i + (1 << 16)])})
 
-        parts, size = [], 0
-        for _, _, h, _, _ in tokens(batches, True):
-            u, c = np.unique(h, return_counts=True)
-            parts.append((u, c))
-            size += len(u)
-            if size > 1 << 20:
-                parts = [summed(parts)]
-                size = len(parts[0][0])
-                if size > 1 << 20:
-                    yield from out(parts)
-                    parts, size = [], 0
-        if parts:
-            yield from out(parts)
+def unpacked(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    planes = np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
 
-    return only(docs, "doc_id", "text").mapInArrow(task, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+def rising(a: np.ndarray) -> bytes:
+    return packed(np.diff(a, prepend=np.uint64(0)))
 
 
-class Classes:
-    """Class of every token: 0 is the end, 1 to `own` the most frequent types, the rest shared by hash."""
+def risen(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b), dtype=np.uint64)
 
-    def __init__(self, head: np.ndarray, counts: np.ndarray, own: int, shared: int):
-        by = np.argsort(head)
-        self.head, self.counts = head[by], counts[by]
-        top = [i for i in range(len(head)) if head[i] != END][:own]
-        cls = np.zeros(len(head), np.int64)
-        cls[top] = np.arange(1, len(top) + 1)
-        self.cls, self.own, self.shared = cls[by], own, shared
-        self.size = own + shared + 1
 
-    def __call__(self, h: np.ndarray):
-        """Class, and place in the head or -1."""
-        if not len(self.head):
-            return np.where(h == np.uint64(END), 0, self.own + 1 + np.mod(signed(h), self.shared)), np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        at = np.where(self.head[at] == h, at, -1)
-        cls = np.where(at >= 0, self.cls[at], 0)
-        return np.where((cls > 0) | (h == np.uint64(END)), cls, self.own + 1 + np.mod(signed(h), self.shared)), at
+class Chunk:
+    """Tokens of some texts: `codes` are places in the sorted `types`, `pair` places in the sorted names `pairs`."""
 
+    def __init__(self, types: np.ndarray, codes: np.ndarray, sizes: np.ndarray, folds: np.ndarray):
+        self.types, self.codes, self.sizes = types, codes.astype(np.int64), sizes.astype(np.int64)
+        self.folds = folds
+        self.owner = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.before = np.roll(self.codes, 1)
+        self.before[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(types, END)
+        u, inverse = np.unique(self.before * len(types) + self.codes, return_inverse=True)
+        names = mix(types[u // len(types)] * np.uint64(0xD6E8FEB86659FD93) + types[u % len(types)])
+        order = np.argsort(names, kind="stable")
+        self.pairs, place = names[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair = place[inverse]
 
-def before(cls: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Class before each token; the first of a text follows an end."""
-    out = np.concatenate([[0], cls[:-1]])
-    out[np.concatenate([[0], last[:-1] + 1])] = 0
-    return out
+    @classmethod
+    def of(cls, row: dict) -> "Chunk":
+        return cls(risen(row["types"]), unpacked(row["codes"]), unpacked(row["sizes"]), unpacked(row["folds"]))
 
+    def counts(self, places: np.ndarray, n: int, which: np.ndarray) -> np.ndarray:
+        return np.bincount(places[which[self.owner]], minlength=n)
 
-def bigrams(docs: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Class pair counts of the training texts, and of those the tenth that the weights are learned on."""
-    k = classes.size
+    def sent(self):
+        """(kind, sorted names, counts of the estimating texts, counts of the tenth that weights are learned on)."""
+        seen, held = self.folds > 1, self.folds == 1
+        for kind, names, places in ((0, self.types, self.codes), (1, self.pairs, self.pair)):
+            yield kind, names, self.counts(places, len(names), seen), self.counts(places, len(names), held)
 
+
+def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    def row(parts):
+        ids, folds, sizes, hashes = ([x for p in parts for x in p[0]], *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))
+        types, codes = np.unique(hashes, return_inverse=True)
+        keys = len(types) + len(Chunk(types, codes, sizes, folds).pairs)
+        values = (int.from_bytes(os.urandom(8), "little") >> 1, ids, packed(folds), packed(sizes), rising(types), packed(codes), keys)
+        names = ("chunk", "ids", "folds", "sizes", "types", "codes", "keys")
+        kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+    def task(batches):
+        parts, size = [], 0
+        for batch, texts in pieces(batches):
+            w = Words(texts, NONSPACE)
+            sizes = w.counts + 1
+            hashes = np.full(int(sizes.sum()), END)
+            inner = np.ones(len(hashes), bool)
+            inner[np.cumsum(sizes) - 1] = False
+            hashes[inner] = w.hashes()
+            ids = batch.column("doc_id").to_pylist()
+            parts.append((ids, np.array([fold(x) for x in ids]), sizes, hashes))
+            size += len(w.blob)
+            if size >= chunk_bytes:
+                yield row(parts)
+                parts, size = [], 0
+        if parts:
+            yield row(parts)
+
+    return staged(only(docs, "doc_id", "text").mapInArrow(task, CHUNK), "lm-chunks")
+
+
+def summed(table: DataFrame, shards: int) -> DataFrame:
+    """(chunk, part, seen, held): sums over all chunks, in the order of the chunk's own names of that part; parts of words come
+    before parts of pairs. Word totals of a shard stand on its first row."""
+    def send(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                for kind, names, seen, held in Chunk.of(r).sent():
+                    shard = (names >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+                    cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(names)]
+                    for a, b in zip(cut, cut[1:]):
+                        yield pa.RecordBatch.from_pydict({
+                            "part": pa.array([kind * shards + int(shard[a])], pa.int64()), "chunk": pa.array([r["chunk"]], pa.int64()),
+                            "names": pa.array([rising(names[a:b])], pa.binary()), "seen": pa.array([packed(seen[a:b])], pa.binary()),
+                            "held": pa.array([packed(held[a:b])], pa.binary())})
+
+    def add(batches):
+        for group in whole_groups(batches, "part"):
+            part = group.column("part").to_numpy()
+            for p in np.unique(part):
+                t = group.filter(pa.array(part == p))
+                names = [risen(x) for x in t.column("names").to_pylist()]
+                cut = np.cumsum([0, *map(len, names)])
+                u, inverse = np.unique(np.concatenate(names), return_inverse=True)
+                seen, held = (np.bincount(inverse, weights=np.concatenate([unpacked(x) for x in t.column(c).to_pylist()]), minlength=len(u))
+                              .astype(np.int64) for c in ("seen", "held"))
+                both, words = seen + held, int(p < shards)
+                total = [words * int(x) for x in (both.sum(), (both > 0).sum(), seen.sum(), (seen > 0).sum())]
+                for i, chunk in enumerate(t.column("chunk").to_pylist()):
+                    at = inverse[cut[i]:cut[i + 1]]
+                    yield pa.RecordBatch.from_pydict({
+                        "chunk": pa.array([chunk], pa.int64()), "part": pa.array([p], pa.int64()),
+                        "seen": pa.array([packed(seen[at])], pa.binary()), "held": pa.array([packed(held[at])], pa.binary()),
+                        **{c: pa.array([0 if i else x], pa.int64()) for c, x in zip(("n", "v", "n_seen", "v_seen"), total, strict=True)}})
+
+    sent = table.mapInArrow(send, "part long, chunk long, names binary, seen binary, held binary")
+    return staged(sorted_by(sent, "part").mapInArrow(
+        add, "chunk long, part long, seen binary, held binary, n long, v long, n_seen long, v_seen long"), "lm-sums")
+
+
+def counted(row: dict) -> tuple[Chunk, list[np.ndarray]]:
+    """A chunk, and the seen and held counts of its words and then of its pairs."""
+    return Chunk.of(row), [np.concatenate([unpacked(x[c]) for x in row["sums"]]).astype(np.int64) for c in ("seen", "held")]
+
+
+def held_pairs(table: DataFrame) -> DataFrame:
+    """(v, w, vw, n): n held-out pairs whose context, word and pair were seen so often."""
     def task(batches):
-        n = np.zeros((2, k * k), np.int32)
-        for _, folds, h, owner, last in tokens(batches, True):
-            cls, _ = classes(h)
-            pair = before(cls, last) * k + cls
-            own = folds[owner] == 1
-            for i, which in enumerate((pair[~own], pair[own])):
-                u, c = np.unique(which, return_counts=True)
-                n[i, u] += c.astype(np.int32)
-        cells = np.flatnonzero(n.any(0))
-        for i in range(0, len(cells), 1 << 16):
-            part = cells[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(part.astype(np.int32)), "a": pa.array(n[0, part].astype(np.int64)),
-                                              "b": pa.array(n[1, part].astype(np.int64))})
-
-    rows = (only(docs, "doc_id", "text").mapInArrow(task, "cell int, a long, b long")
-            .groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))).toArrow()  # k * k rows at most
-    out = np.zeros((2, k * k))
-    cell = rows.column("cell").to_numpy()
-    out[0, cell], out[1, cell] = rows.column("a").to_numpy(), rows.column("b").to_numpy()
-    return out[0].reshape(k, k), out[1].reshape(k, k)
-
-
-def estimates(n: np.ndarray):
-    """Maximum-likelihood estimates of order 2 (per pair) and 1 (per class), and each context's bucket."""
-    ctx = n.sum(1)
-    two = np.divide(n, ctx[:, None], out=np.zeros_like(n), where=ctx[:, None] > 0)
-    one = n.sum(0) / max(1.0, n.sum())
-    return two, one, np.where(ctx > 0, np.log2(np.maximum(ctx, 1)).astype(int) + 1, 0)
-
-
-def mixture(seen: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (bucket, order) that expectation-maximisation finds on held-out pair counts."""
-    two, one, bucket = estimates(seen)
-    j, k = np.nonzero(held)
-    n, b = held[j, k], bucket[j]
-    p = np.stack([np.full(len(j), 1 / len(one)), one[k], two[j, k]])
-    w = np.tile([0.1, 0.4, 0.5], (64, 1))
+        for batch in batches:
+            for r in batch.to_pylist():
+                c, (seen, _) = counted(r)
+                at = np.flatnonzero((c.folds == 1)[c.owner])
+                rows = np.stack([seen[c.before[at]], seen[c.codes[at]], seen[len(c.types) + c.pair[at]]], 1)
+                u, n = np.unique(rows, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(u.T)), pa.array(n)], ["v", "w", "vw", "n"])
+
+    return staged(table.mapInArrow(task, "v long, w long, vw long, n long").groupBy("v", "w", "vw").agg(F.sum("n").alias("n")), "lm-held")
+
+
+def bucket(c: np.ndarray) -> np.ndarray:
+    return np.frexp(c.astype(np.float64))[1]
+
+
+def mixture(held: DataFrame, n_seen: int, v_seen: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (bucket, order) that expectation-maximisation finds; a round is one aggregation by bucket."""
+    rows = held.select(
+        F.when(F.col("v") > 0, F.length(F.bin("v"))).otherwise(0).alias("b"), "n", F.lit(1 / (v_seen + 1)).alias("p0"),
+        (F.col("w") / F.lit(float(max(1, n_seen)))).alias("p1"), (F.col("vw") / F.greatest("v", F.lit(1))).alias("p2"))
+    w = np.tile([0.1, 0.4, 0.5], (BUCKETS, 1))
+    w[0] = (0.2, 0.8, 0)
+    used = np.zeros(BUCKETS, bool)
     for _ in range(rounds):
-        share = w[b].T * p
-        share *= n / np.maximum(share.sum(0), 1e-300)
-        total = np.stack([np.bincount(b, weights=x, minlength=64) for x in share], 1) + 1e-3  # no weight falls to 0
-        w = total / total.sum(1, keepdims=True)
-    w[0] = (1e-3, 1 - 1e-3, 0) if seen.sum() else (1, 0, 0)
+        part = [F.element_at(F.array(*map(F.lit, w[:, i].tolist())), F.col("b") + 1) * F.col(f"p{i}") for i in range(3)]
+        share = rows.select("b", "n", *[p.alias(f"s{i}") for i, p in enumerate(part)])
+        total = F.col("s0") + F.col("s1") + F.col("s2")
+        got = share.groupBy("b").agg(*[F.sum(F.col("n") * F.col(f"s{i}") / total).alias(f"t{i}") for i in range(3)]).collect()  # BUCKETS rows
+        for r in got:
+            t = np.array([r.t0, r.t1, r.t2]) + (1e-3, 1e-3, 1e-3 if r.b else 0)  # no weight falls to 0
+            w[r.b], used[r.b] = t / t.sum(), True
+    for b in range(2, BUCKETS):
+        if not used[b] and used[b - 1]:
+            w[b], used[b] = w[b - 1], True
     return w
 
 
-def scores(docs: DataFrame, own: int = OWN, shared: int = SHARED, head: int = HEAD) -> DataFrame:
-    counts = staged(unigrams(docs), "lm-types")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n_all, v_all = total.n or 0, total.v
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()  # bounded by `head`
-    heads = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    classes = Classes(heads, top.column("c").to_numpy().astype(np.int64), own, shared)
-    a, b = bigrams(docs, classes)
-    w = mixture(a, b)
-    two, one, bucket = estimates(a + b)
-    with np.errstate(divide="ignore"):
-        pair = np.log10(w[bucket][:, 2:3] * two + w[bucket][:, 1:2] * one + w[bucket][:, 0:1] / len(one)).astype(np.float32)
-    # counts and types of each shared class: all types less those with a class of their own
-    c_cls, v_cls = np.zeros(shared), np.zeros(shared)
-    for r in counts.groupBy(F.expr(f"pmod(h, {shared})").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        c_cls[r.k], v_cls[r.k] = r.c, r.v  # `shared` rows
-    single = (classes.cls > 0) | (classes.head == np.uint64(END))
-    k = np.mod(signed(classes.head[single].copy()), shared)
-    c_cls -= np.bincount(k, weights=classes.counts[single], minlength=shared)
-    v_cls -= np.bincount(k, minlength=shared)
-    below = np.log10(c_cls + ADD * (v_cls + 1))
-    base_below = math.log10(n_all + ADD * (v_all + 1))
+def scores(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     spark = docs.sparkSession
-    shared_state = spark.sparkContext.broadcast((classes, pair, below))
+    table = chunks(docs, chunk_bytes)
+    keys = table.agg(F.sum("keys")).first()[0] or 0
+    sums = summed(table, -(-keys // shard_keys) or 1)
+    released(spark)
+    total = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_seen", "v_seen")]).first()
+    back = sums.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "seen", "held"))).alias("sums"))  # of one chunk
+    both = staged(table.join(back, "chunk"), "lm-counted")
+    dropped(spark, table, sums)
+    held = held_pairs(both)
+    weights = mixture(held, total.n_seen, total.v_seen)
+    dropped(spark, held)
+    released(spark)
+    n, v = total.n, total.v
 
     def task(batches):
-        classes, pair, below = shared_state.value
-        logc = np.log10(classes.counts + ADD)
-        for batch, folds, h, owner, last in tokens(batches, False):
-            n = len(folds)
-            cls, at = classes(h)
-            add = lambda x: np.bincount(owner, weights=x, minlength=n)
-            known = at >= 0
-            own_c = np.where(known, logc[at] if len(logc) else 0.0, 0.0)
-            member = cls > classes.own
-            lm = pair[before(cls, last), cls] + np.where(member, own_c - below[np.where(member, cls - classes.own - 1, 0)], 0.0)
-            rest = ~known
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[rest], minlength=n))]).astype(np.int32)
-            uid = np.frombuffer(os.urandom(8 * n), np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(uid), batch.column("doc_id"), pa.array(folds == 0), pa.array(np.bincount(owner, minlength=n).astype(np.int64)),
-                pa.array(add(known).astype(np.int64)), pa.array(add(own_c)), pa.array(add(lm)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(h[rest].copy())))],
-                ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "lm", "rest"])
-
-    rows = staged(only(docs, "doc_id", "text").mapInArrow(
-        task, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, lm double, rest array<long>"), "lm-texts")
-    # Counts of the types beyond the head. An end that nobody trained on is one of them, and its class has no member.
-    met = (rows.select("uid", F.explode("rest").alias("h")).join(counts, "h", "left")
-           .groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("s"),
-                               F.sum(F.when(F.col("h") != signed(np.array([END], np.uint64))[0].item(),
-                                            F.log10(F.coalesce("c", F.lit(0)) + ADD)).otherwise(0.0)).alias("t"),
-                               F.count("c").alias("k")))
-    out = rows.drop("rest").join(met, "uid", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("k")).cast("long").alias("n_known"),
-                      F.lit(n_all).cast("long").alias("train_tokens"),
-                      (F.col("base") + zero("s") - F.col("n_tokens") * base_below).alias("base_score"),
-                      (F.col("lm") + zero("t")).alias("score"))
+        for batch in batches:
+            for r in batch.to_pylist():
+                c, (seen, late) = counted(r)
+                count = seen + late
+                word, context, pair = count[c.codes], count[c.before], count[len(c.types) + c.pair]
+                w = weights[bucket(context)]
+                p = w[:, 2] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 0] / (v + 1) if n else np.full(len(word), 1 / (v + 1))
+                add = lambda x: np.bincount(c.owner, weights=x, minlength=len(c.sizes))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(r["ids"], pa.int64()), pa.array(c.folds == 0), pa.array(c.sizes), pa.array(add(word > 0).astype(np.int64)),
+                    pa.array(np.full(len(c.sizes), n)), pa.array(add(np.log10(word + ADD)) - c.sizes * math.log10(n + ADD * (v + 1))),
+                    pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return both.mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -222,17 +222,53 @@ def test_decontaminate_in_parts_and_without_ids(spark, docs):
     assert got[7] == (12, 0, True) and got[3] == (2, 1, True)
 
 
-def test_lm_score(docs):
-    fold = [zlib.crc32(str(d[0]).encode() if d[0] is not None else b"") % 10 for d in DOCS]
-    tokens = [[*words(d[1]), None] for d in DOCS]
-    c = Counter(w for f, t in zip(fold, tokens, strict=True) if f for w in t)
-    n, v = sum(c.values()), len(c)
-    expected = [(d[0], f == 0, len(t), sum(c[w] > 0 for w in t), n, round(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6))
-                for d, f, t in zip(DOCS, fold, tokens, strict=True)]
-    for head in (1 << 18, 5):  # counts from the head, and from the join
-        out = lm_score.scores(docs, own=16, shared=7, head=head).withColumn("base_score", F.round("base_score", 6))
-        check(out, expected, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
-    assert out.where("score is null or score > 0 or isnan(score)").count() == 0
+def test_lm_score(spark, docs):
+    rows = [*DOCS, *[(100 + i, say(40), "en", "src0", 1, 7, "w", "s") for i in range(60)]]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    fold = [zlib.crc32(str(d[0]).encode() if d[0] is not None else b"") % 10 for d in rows]
+    tokens = [[*words(d[1]), None] for d in rows]
+
+    def model(wanted):
+        one = Counter(w for f, t in zip(fold, tokens, strict=True) if wanted(f) for w in t)
+        two = Counter(p for f, t in zip(fold, tokens, strict=True) if wanted(f) for p in zip([None, *t], t))
+        return one, two, sum(one.values()), len(one)
+
+    def parts(m, v, w):
+        one, two, n, types = m
+        return 1 / (types + 1), one[w] / n, two[v, w] / one[v] if one[v] else 0.0
+
+    seen, c = model(lambda f: f > 1), model(lambda f: f > 0)
+    pairs = [p for f, t in zip(fold, tokens, strict=True) if f == 1 for p in zip([None, *t], t)]
+    weight = {b: (0.1, 0.4, 0.5) if b else (0.2, 0.8, 0.0) for b in range(64)}
+    have = {seen[0][v].bit_length() for v, _ in pairs}
+    assert 0 in have and len(have) > 3
+    for _ in range(lm_score.ROUNDS):
+        new = {b: [1e-3, 1e-3, 1e-3 if b else 0.0] for b in have}
+        for v, w in pairs:
+            b = seen[0][v].bit_length()
+            s = [x * y for x, y in zip(weight[b], parts(seen, v, w), strict=True)]
+            for i in range(3):
+                new[b][i] += s[i] / sum(s)
+        weight.update({b: tuple(x / sum(t) for x in t) for b, t in new.items()})
+    for b in range(2, 64):
+        if b not in have and b - 1 in have:
+            weight[b] = weight[b - 1]
+            have.add(b)
+    n, types = c[2], c[3]
+    expected = []
+    for d, f, t in zip(rows, fold, tokens, strict=True):
+        lm = sum(np.log10(sum(x * y for x, y in zip(weight[c[0][v].bit_length()], parts(c, v, w), strict=True))) for v, w in zip([None, *t], t))
+        expected.append((d[0], f == 0, len(t), sum(c[0][w] > 0 for w in t), n,
+                         round(sum(np.log10((c[0][w] + 0.1) / (n + 0.1 * (types + 1))) for w in t), 5), round(lm, 5)))
+    for sizes in ({}, {"chunk_bytes": 500, "shard_keys": 300}):  # one chunk a task, and many chunks and shards
+        out = lm_score.scores(table, **sizes).withColumn("base_score", F.round("base_score", 5)).withColumn("score", F.round("score", 5))
+        check(out, expected, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def test_lm_score_without_training_texts(spark):
+    ship(spark)
+    row = lm_score.scores(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
+    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.score) == (True, 3, 0, 0, 0.0)
 
 
 def test_packing(docs):

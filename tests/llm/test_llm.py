@@ -363,6 +363,62 @@ def test_url_filter(spark):
     assert got[6].verdict == "block" and got[6].distrust > 0 and got[5].verdict == "allow" and got[5].trust > 0
 
 
+def page_rank(pages):
+    """Verdicts and ranks of (page_id, url, links), host by host."""
+    host = lambda u: re.match("[^/?#]*", u.split("://", 1)[1])[0].lower() if u and "://" in u else ""
+    path = lambda u: re.match("[^/?#]*([^?#]*)", u.split("://", 1)[1])[1] if u and "://" in u else ""
+    rules, edges, seeds, judged = dict(url_filters.RULES), set(), {"allow": Counter(), "block": Counter()}, {}
+    for i, u, to in pages:
+        h = host(u)
+        fit = [r for r in rules if (h + "/").endswith("." + r.split("/")[0] + "/") or h == r.split("/")[0]]
+        fit = [r for r in fit if path(u).startswith("/" + r.split("/", 1)[1])]
+        judged[i] = h, rules[max(fit, key=len)] if fit else None
+        if fit and h:
+            seeds[judged[i][1]][h] += 1
+        edges |= {(h, t.lower()) for t in to if h and h != t.lower()}
+    nodes = {h for h, _ in judged.values() if h} | {x for e in edges for x in e}
+    for h in list(nodes):
+        while h.count(".") > 1 and not re.fullmatch("[0-9.:]+", h):
+            up = h.split(".", 1)[1]
+            edges |= {(h, up), (up, h)}
+            nodes.add(up)
+            h = up
+
+    def spread(first, along):
+        degree, start = Counter(a for a, _ in along), {h: 10**12 * n // sum(first.values()) for h, n in first.items()}
+        now = dict(start)
+        for _ in range(url_filters.ROUNDS):
+            new = Counter({h: r * 15 // 100 for h, r in start.items()})
+            for a, b in along:
+                if a in now:
+                    new[b] += now[a] * 85 // (100 * degree[a])
+            now = dict(new)
+        return now
+
+    trust, distrust = spread(seeds["allow"], edges), spread(seeds["block"], {(b, a) for a, b in edges})
+    bad = lambda h: distrust.get(h, 0) > trust.get(h, 0) and distrust.get(h, 0) > 10**12 // len(nodes)
+    return [(i, v or ("block" if bad(h) else "allow"), trust.get(h, 0), distrust.get(h, 0)) for i, (h, v) in judged.items()]
+
+
+def test_url_filter_ranks(spark):
+    r = random.Random(5)
+    names = ["bad.net", "a.net", "fair.org", "x.fair.org", "w.example.com", "v.w.example.com", "m.example.net", "one.io", "two.io", "three.io",
+             "10.0.0.7", "plain", "a.b.c.d.info"]
+    pages = [(i, f"https://{r.choice(names)}{r.choice(['/fr/1', '/en/2', '/de/3', '', '/x?y'])}",
+              [r.choice(names) for _ in range(r.choice((0, 0, 1, 2)))]) for i in range(80)]
+    # no rule fits far.io or near.io: far links near, near links a blocked host
+    pages += [(90, "http://far.io/", ["near.io"]), (91, "HTTP://near.io/a", ["spam.net"]), *[(200 + i, "http://spam.net/", []) for i in range(60)],
+              (92, None, ["a.net"]), (93, "nothing", []), (94, "ftp://one.io/en/", ["TWO.io"])]
+    html = lambda to: "<a href='/here'>" + "".join(f'<a HREF = "{r.choice(["http:", "", "ftp:"])}//{t}/p">' for t in to)
+    rows = [(i, u, html(to), "clash", 1) for i, u, to in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, rank int").repartition(3)
+    expected = page_rank(pages)
+    got = {i: v for i, v, _, _ in expected}
+    assert got[90] == got[91] == "block" and got[93] == "allow"  # blocked through one and two links
+    for hub in (url_filters.HUB, 1):  # without and with salted hubs
+        check(url_filters.judge(df, hub=hub), expected, "page_id", "verdict", "trust", "distrust")
+
+
 def test_warc_round_trip(spark, tmp_path):
     ship(spark)
     trap = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"

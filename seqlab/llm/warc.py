@@ -30,6 +30,7 @@ from seqlab.llm.common import only, scratch, staged
 
 MAGIC = b"WARC/1.0\r\n"
 FILE_BYTES, BLOCK_BYTES, LEAST_BYTES = 64 << 20, 8 << 20, 100
+TASKS = 100_000  # a task reads one block, or several where there are more blocks than this
 HEAD = re.compile(rb"WARC/1\.0\r\n(?:[A-Za-z-]+: [^\r\n]*\r\n)+\r\n")
 
 
@@ -94,10 +95,20 @@ def load(handle, start: int, end: int, length: int, more: int = 1 << 16) -> byte
     return data
 
 
+def tasks(files: DataFrame, block_bytes: int) -> int:
+    n = files.agg(F.sum(F.ceil(F.col("length") / block_bytes))).first()[0] or 1
+    return max(1, min(int(n), TASKS))
+
+
 def blocks(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(path, length, start, stop) of every block, dealt out over the tasks."""
+    """(path, length, start, stop) of every block, a row each."""
     return (files.where("length > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block_bytes).cast("long"))))
-            .withColumn("stop", F.least(F.col("start") + block_bytes, "length")).repartition("path", "start"))
+            .withColumn("stop", F.least(F.col("start") + block_bytes, "length")))
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of blocks over n tasks: the rows are tiny but what they name is not, so their number is fixed, not their size."""
+    return rows.repartition(n, "path", "start")
 
 
 def candidates(batches):
@@ -123,7 +134,8 @@ def candidates(batches):
 
 def entries(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(path, off): where the chain of real records enters each block it enters; by pointer jumping from offset 0."""
-    jump = staged(blocks(files, block_bytes).mapInArrow(candidates, "path string, off long, exit long"), "warc-chain")
+    cut = dealt(blocks(files, block_bytes), tasks(files, block_bytes))
+    jump = staged(cut.mapInArrow(candidates, "path string, off long, exit long"), "warc-chain")
     reached = files.where("length > 0").select("path", F.lit(0).cast("long").alias("off"))
     longest = files.agg(F.max("length")).first()[0] or 0
     for _ in range(max(1, math.ceil(math.log2(max(1, longest / block_bytes) + 1)))):
@@ -168,7 +180,7 @@ def read(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     cut = blocks(files, block_bytes)
     start = (F.col("off") - F.col("off") % block_bytes)
     at = entries(files, block_bytes).withColumn("start", start)
-    return cut.join(at, ["path", "start"]).mapInArrow(
+    return dealt(cut.join(at, ["path", "start"]), tasks(files, block_bytes)).mapInArrow(
         walk, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

@@ -434,6 +434,11 @@ def test_warc_round_trip(spark, tmp_path):
         expected.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if first else "response", first))
     for block in (64, 1000, 1 << 20):
         check(warc.read(files, block), expected, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert warc.read(files, 1000).rdd.getNumPartitions() == sum(-(-r.length // 1000) for r in files.collect())
+    clash = df.selectExpr("*", "1 AS digest", "2 AS bytes", "'x' AS path", "3 AS start")
+    check(warc.read(warc.archive(clash, str(tmp_path), 3000)), expected, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    none = warc.archive(df.limit(0), str(tmp_path), 3000)
+    assert none.count() == 0 and warc.read(none).count() == 0
 
 
 def test_pipeline_stages(spark, docs, tmp_path):

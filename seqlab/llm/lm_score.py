@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from seqlab.llm.common import (NONSPACE, Words, documents, dropped, hash_of, mix, only, pieces, released, sorted_by, staged,
                                whole_groups)
 
-BLOCK_BYTES, SHARD_KEYS, ROUNDS, BUCKETS = 16 << 20, 1 << 20, 20, 64
+BLOCK_BYTES, SHARD_KEYS, ROUNDS, BUCKETS = 6 << 20, 1 << 20, 20, 64
 ADD = 0.1
 END = np.uint64(hash_of("\nend\n"))
 CHUNK = "chunk long, ids array<long>, folds binary, sizes binary, types binary, codes binary, keys long"
@@ -50,6 +50,13 @@ def packed(a: np.ndarray) -> bytes:
     return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
+def rows_of(batches):
+    """One row after the other: a row may hold the tokens of a whole chunk."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def unpacked(b: bytes) -> np.ndarray:
     n = int.from_bytes(b[:8], "little")
     planes = np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, -1)
@@ -129,16 +136,15 @@ def summed(table: DataFrame, shards: int) -> DataFrame:
     """(chunk, part, seen, held): sums over all chunks, in the order of the chunk's own names of that part; parts of words come
     before parts of pairs. Word totals of a shard stand on its first row."""
     def send(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                for kind, names, seen, held in Chunk.of(r).sent():
-                    shard = (names >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-                    cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(names)]
-                    for a, b in zip(cut, cut[1:]):
-                        yield pa.RecordBatch.from_pydict({
-                            "part": pa.array([kind * shards + int(shard[a])], pa.int64()), "chunk": pa.array([r["chunk"]], pa.int64()),
-                            "names": pa.array([rising(names[a:b])], pa.binary()), "seen": pa.array([packed(seen[a:b])], pa.binary()),
-                            "held": pa.array([packed(held[a:b])], pa.binary())})
+        for r in rows_of(batches):
+            for kind, names, seen, held in Chunk.of(r).sent():
+                shard = (names >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+                cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(names)]
+                for a, b in zip(cut, cut[1:]):
+                    yield pa.RecordBatch.from_pydict({
+                        "part": pa.array([kind * shards + int(shard[a])], pa.int64()), "chunk": pa.array([r["chunk"]], pa.int64()),
+                        "names": pa.array([rising(names[a:b])], pa.binary()), "seen": pa.array([packed(seen[a:b])], pa.binary()),
+                        "held": pa.array([packed(held[a:b])], pa.binary())})
 
     def add(batches):
         for group in whole_groups(batches, "part"):
@@ -172,13 +178,13 @@ def counted(row: dict) -> tuple[Chunk, list[np.ndarray]]:
 def held_pairs(table: DataFrame) -> DataFrame:
     """(v, w, vw, n): n held-out pairs whose context, word and pair were seen so often."""
     def task(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                c, (seen, _) = counted(r)
-                at = np.flatnonzero((c.folds == 1)[c.owner])
-                rows = np.stack([seen[c.before[at]], seen[c.codes[at]], seen[len(c.types) + c.pair[at]]], 1)
-                u, n = np.unique(rows, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(u.T)), pa.array(n)], ["v", "w", "vw", "n"])
+        for r in rows_of(batches):
+            c, (seen, _) = counted(r)
+            at = np.flatnonzero((c.folds == 1)[c.owner])
+            pair, first, n = np.unique(c.pair[at], return_index=True, return_counts=True)
+            at = at[first]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen[c.before[at]], seen[c.codes[at]], seen[len(c.types) + pair], n)],
+                                             ["v", "w", "vw", "n"])
 
     return staged(table.mapInArrow(task, "v long, w long, vw long, n long").groupBy("v", "w", "vw").agg(F.sum("n").alias("n")), "lm-held")
 
@@ -226,18 +232,17 @@ def scores(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES, shard_keys: int = SH
     n, v = total.n, total.v
 
     def task(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                c, (seen, late) = counted(r)
-                count = seen + late
-                word, context, pair = count[c.codes], count[c.before], count[len(c.types) + c.pair]
-                w = weights[bucket(context)]
-                p = w[:, 2] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 0] / (v + 1) if n else np.full(len(word), 1 / (v + 1))
-                add = lambda x: np.bincount(c.owner, weights=x, minlength=len(c.sizes))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(r["ids"], pa.int64()), pa.array(c.folds == 0), pa.array(c.sizes), pa.array(add(word > 0).astype(np.int64)),
-                    pa.array(np.full(len(c.sizes), n)), pa.array(add(np.log10(word + ADD)) - c.sizes * math.log10(n + ADD * (v + 1))),
-                    pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for r in rows_of(batches):
+            c, (seen, late) = counted(r)
+            count = seen + late
+            word, context, pair = count[c.codes], count[c.before], count[len(c.types) + c.pair]
+            w = weights[bucket(context)]
+            p = w[:, 2] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 0] / (v + 1) if n else np.full(len(word), 1 / (v + 1))
+            add = lambda x: np.bincount(c.owner, weights=x, minlength=len(c.sizes))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(r["ids"], pa.int64()), pa.array(c.folds == 0), pa.array(c.sizes), pa.array(add(word > 0).astype(np.int64)),
+                pa.array(np.full(len(c.sizes), n)), pa.array(add(np.log10(word + ADD)) - c.sizes * math.log10(n + ADD * (v + 1))),
+                pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return both.mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -220,8 +220,8 @@ def scores(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES, shard_keys: int = SH
     table = chunks(docs, chunk_bytes)
     keys = table.agg(F.sum("keys")).first()[0] or 0
     sums = summed(table, -(-keys // shard_keys) or 1)
-    released(spark)
     total = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_seen", "v_seen")]).first()
+    released(spark)  # after that query: the last one's files are still held
     back = sums.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "seen", "held"))).alias("sums"))  # of one chunk
     both = staged(table.join(back, "chunk"), "lm-counted")
     dropped(spark, table, sums)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from seqlab.llm.common import (NONSPACE, Words, documents, dropped, hash_of, mix, only, pieces, released, sorted_by, staged,
                                whole_groups)
 
-BLOCK_BYTES, SHARD_KEYS, ROUNDS, BUCKETS = 6 << 20, 1 << 20, 20, 64
+BLOCK_BYTES, SHARD_KEYS, ROUNDS, BUCKETS = 4 << 20, 1 << 19, 20, 64
 ADD = 0.1
 END = np.uint64(hash_of("\nend\n"))
 CHUNK = "chunk long, ids array<long>, folds binary, sizes binary, types binary, codes binary, keys long"

@@ -10,9 +10,11 @@ that all blocks of the node share, and at last whole, each pair of blocks in a t
 
 Links are confirmed on full sets. First three of each class's best partners are confirmed, which joins nearly all of a
 group, then three of its best in other components (in large nodes over all pairs of blocks, until that joins nothing
-more), and at last all pairs of a node that are still in different components. So a group of n variants costs a number of
-links in proportion to n once it is joined, and no link between components is left out; classes of a large node that stay
-apart cost the square of their number. Components are found by large and small stars.
+more), and at last all pairs of a node that are still in different components. The last comparison also holds the `LOW`
+smallest shingle hashes of each class against each other, which for sets of fewer shingles are the whole sets, so that
+hardly any pair but the links leaves it. So a group of n variants costs a number of links in proportion to n once it is
+joined, and no link between components is left out; classes of a large node that stay apart cost comparisons in its tasks
+by the square of their number. Components are found by large and small stars.
 
 Defined results: null or empty text, or text without words: n_shingles 0, a component of its own. Fewer than five words
 are one shingle. Repeated rows share a class. A null doc_id takes part, but is never a component_id unless all of its
@@ -26,13 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import (NONSPACE, Words, components, documents, mix, only, pieces, row_key, sequence_hash, signed,
-                               sorted_by, staged, whole_groups)
+from seqlab.llm.common import (CHUNK_BYTES, NONSPACE, Words, components, documents, dropped, mix, only, pieces, row_key, sequence_hash,
+                               signed, sorted_by, staged, texts_of, whole_groups)
 
 SHINGLE, COORDS, TREES, DEPTH, LEAF, BLOCK, PIVOTS, AGAIN = 5, 128, 12, 3, 64, 1024, 8, 2
 SHARE = (75, 100)  # intersection over union
 #: A signature's estimate of a link of 0.75 lies below it with probability 1e-5.
 MAYBE = 0.58
+#: Smallest hashes kept of a class; the share of them that a link of 0.75 falls below with probability 1e-5.
+LOW, NEAR = 512, 0.66
+#: Chance collisions of 32-bit hashes that a comparison of whole sets allows for.
+SLACK = 2
+#: Keys of texts that are broadcast (16 bytes each); more are joined by a shuffle.
+KEYS = 2_000_000
 _R = np.random.RandomState(7)
 _A = _R.randint(1, 1 << 31, COORDS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _C = _R.randint(0, 1 << 31, COORDS).astype(np.uint32)
@@ -139,16 +147,49 @@ def apart(node: int, held, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ~np.concatenate([(flags[x[i:i + step]] & flags[y[i:i + step]]).any(1) for i in cuts]) if len(x) else np.zeros(0, bool)
 
 
+def lowest(texts: DataFrame) -> DataFrame:
+    """(cls, low): the LOW smallest shingle hashes of each class, 32 bits each, ascending."""
+    def task(batches):
+        for batch, data in pieces(batches):
+            who, what = shingles(data)
+            cut = np.searchsorted(who, np.arange(len(data) + 1))
+            what = mix(what).astype(np.uint32)
+            low = [np.unique(what[a:b])[:LOW].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(low, pa.binary())], ["cls", "low"])
+
+    return texts.mapInArrow(task, "cls long, low binary")
+
+
+def close(flat: np.ndarray, cut: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (x, y) may be links: row i has the smallest hashes flat[cut[i]:cut[i + 1]]."""
+    out = np.zeros(len(x), bool)
+    by = np.argsort(x, kind="stable")
+    for group in np.split(by, np.flatnonzero(np.diff(x[by])) + 1) if len(x) else []:
+        i, other = x[group[0]], y[group]
+        a, n = flat[cut[i]:cut[i + 1]], cut[other + 1] - cut[other]
+        first = np.cumsum(n) - n
+        b = flat[np.repeat(cut[other] - first, n) + np.arange(n.sum())]
+        met = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+        both = np.add.reduceat(met.astype(np.int64), first)
+        ok = SHARE[1] * (both + SLACK) >= SHARE[0] * (len(a) + n - both - SLACK)
+        for j in np.flatnonzero((n >= LOW) | (len(a) >= LOW)).tolist():
+            part = slice(first[j], first[j] + n[j])
+            least = np.union1d(a, b[part])[:LOW]
+            ok[j] = (b[part][met[part]] <= least[-1]).sum() >= NEAR * len(least)
+        out[group] = ok
+    return out
+
+
 def pairs(members: DataFrame, best: bool) -> DataFrame:
     """Candidate pairs (a, b) within nodes, of classes with different labels, by signature.
 
     best: of each class's best partners in its nodes, the best of all and two by chance, so three pairs a class at most;
-    otherwise all pairs, each in the smallest node that the column `held` lists for both of its classes.
+    otherwise all pairs that may be links by the column `low`, each in the smallest node that `held` lists for both classes.
 
     Rows with `left` are compared with those with `right`. `whole` is the node that a cell is part of (see cells()), and
     `major` rows have the label that no left row of their cell has.
     """
-    def compare(cls, n, sig, label, left, right, major, whole, held):
+    def compare(cls, n, sig, label, left, right, major, whole, held, low):
         got = []
         rows, cols = np.flatnonzero(left), np.flatnonzero(right)
         for i in range(0, len(rows), 128):  # 128 rows against all of the node
@@ -170,8 +211,9 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
             return cls[:0], cls[:0], n[:0]
         x, y, same = (np.concatenate(v) for v in zip(*got, strict=True))
         if not best:
-            new = apart(whole, held, x, y)
-            x, y, same = x[new], y[new], same[new]
+            for test in (lambda x, y: apart(whole, held, x, y), lambda x, y: close(*low, x, y)):
+                new = test(x, y)
+                x, y, same = x[new], y[new], same[new]
         return cls[x], cls[y], same
 
     def task(batches):
@@ -183,7 +225,11 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
             if not best:
                 lists = t.column("held").chunk(0)
                 offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                lows = t.column("low").to_pylist()
+                flat = np.frombuffer(b"".join(lows), np.uint32)
+                cut = np.concatenate([[0], np.cumsum([len(v) // 4 for v in lows])]).astype(np.int64)
             held = lambda s, k: None if best else (offsets[s:s + k + 1], values)
+            low = lambda s, k: None if best else (flat, cut[s:s + k + 1])
             start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             size = np.diff(np.append(start, len(node)))
             plain = size == 2
@@ -194,11 +240,11 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
             ok &= np.minimum(n[two], n[two + 1]) * SHARE[1] >= SHARE[0] * np.maximum(n[two], n[two + 1])
             if not best:
                 zero, one = np.zeros(1, np.int64), np.ones(1, np.int64)
-                ok[ok] = [apart(whole[s], held(s, 2), zero, one)[0] for s in two[ok].tolist()]
+                ok[ok] = [apart(whole[s], held(s, 2), zero, one)[0] and close(*low(s, 2), zero, one)[0] for s in two[ok].tolist()]
             x, y, alike = cls[two[ok]], cls[two[ok] + 1], same[ok]
             out = [(x, y, alike), (y, x, alike)] if best else [(x, y, alike)]
             for s, k in zip(start[~plain].tolist(), size[~plain].tolist(), strict=True):
-                out.append(compare(*(v[s:s + k] for v in (cls, n, sig, label, left, right, major)), whole[s], held(s, k)))
+                out.append(compare(*(v[s:s + k] for v in (cls, n, sig, label, left, right, major)), whole[s], held(s, k), low(s, k)))
             x, y, same = (np.concatenate(v) for v in zip(*out, strict=True))
             yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": pa.array(y), "same": pa.array(same.astype(np.int32))})
 
@@ -212,11 +258,12 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
 
 
 def nodes_of(classes: DataFrame, leaf: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(node, cls, small) of the nodes to compare: small ones, and blocks of those that stay large; (whole, cls) of the latter.
+    """Written tables: (node, cls, small) of the nodes to compare, small ones and blocks of large ones; (whole, cls) of the latter.
 
     A class is in at most as many nodes as its trees and branches have.
     """
     met = staged(occupied(classes.select("cls", F.explode("nodes").alias("node"))), "nodes")
+    levels = [met]
     small = lambda met: met.where(F.col("size") <= leaf).select("node", "cls", F.lit(True).alias("small"))
     out = small(met)
 
@@ -229,6 +276,7 @@ def nodes_of(classes: DataFrame, leaf: int, block: int) -> tuple[DataFrame, Data
     for _ in range(AGAIN):
         large = met.where(F.col("size") > leaf).join(classes.select("cls", "sig"), "cls")
         met = staged(occupied(large.select("node", "cls", "sig").mapInArrow(deeper, "node long, cls long")), "nodes")
+        levels.append(met)
         out = out.unionByName(small(met))
     large = met.where(F.col("size") > leaf)
     cuts = F.ceil(F.col("size") / block)
@@ -237,7 +285,9 @@ def nodes_of(classes: DataFrame, leaf: int, block: int) -> tuple[DataFrame, Data
     part = F.when(shared, F.sequence(F.lit(0).cast("long"), cuts - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls", "node", F.lit(1)), cuts)))
     blocks = large.select("node", "cls", F.lit(False).alias("small"), F.explode(part).alias("part"))
     blocks = blocks.select(F.xxhash64("node", "part").alias("node"), "cls", "small")
-    return out.unionByName(blocks), large.select(F.col("node").alias("whole"), "cls")
+    found = staged(out.unionByName(blocks), "members"), staged(large.select(F.col("node").alias("whole"), "cls"), "large")
+    dropped(classes.sparkSession, *levels)
+    return found
 
 
 def cells(large: DataFrame, block: int) -> DataFrame:
@@ -262,10 +312,15 @@ def confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
     """The edges (a, b) whose full sets have the share."""
     def task(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            ta, tb = texts_of(batch.column("ta")), texts_of(batch.column("tb"))
+            total = np.cumsum([len(x) + len(y) for x, y in zip(ta, tb, strict=True)])
+            i = 0
+            while i < batch.num_rows:  # about CHUNK_BYTES of text at once
+                done = total[i - 1] if i else 0
+                m = min(64, max(1, int(np.searchsorted(total, done + CHUNK_BYTES)) - i))
+                part, texts_at, i = batch.slice(i, m), slice(i, i + m), i + m
                 m = part.num_rows
-                who, what = shingles([x or b"" for c in ("ta", "tb") for x in part.column(c).cast(pa.binary()).to_pylist()])
+                who, what = shingles(ta[texts_at] + tb[texts_at])
                 cut = np.searchsorted(who, np.arange(2 * m + 1))
                 ok = []
                 for j in range(m):
@@ -285,14 +340,15 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
     classes = staged(sets.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("n").alias("n"), F.first("sig").alias("sig"),
         F.first("nodes").alias("nodes")), "classes")
-    nodes, large = (staged(x, "members") for x in nodes_of(classes, leaf, block))
+    nodes, large = nodes_of(classes, leaf, block)
     sig = classes.select("cls", "n", "sig")
     all_rows = [F.lit(True).alias("left"), F.lit(True).alias("right"), F.lit(False).alias("major"), F.col("node").alias("whole")]
     first = staged(pairs(nodes.join(sig, "cls").select("*", F.col("cls").alias("label"), *all_rows), True), "best")
     # every class that any pair can have is an end of some best pair or in a large node: their texts are fetched once
     ends = (first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))).union(large.select("cls"))).distinct()
     wanted = staged(ends.join(classes.select("cls", "row"), "cls"), "wanted")
-    texts = only(docs, "doc_id", "text").select(row_key().alias("row"), "text").join(wanted, "row")
+    keys = F.broadcast(wanted) if wanted.count() <= KEYS else wanted
+    texts = only(docs, "doc_id", "text").select(row_key().alias("row"), "text").join(keys, "row")
     texts = staged(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")  # equal rows share a key
     roots, tried = components(staged(confirmed(first, texts), "links")), first
     any_large = large.limit(1).count() > 0
@@ -326,7 +382,9 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
         open_ = open_.unionByName(cells(staged(labelled(large), "labels"), block))
     open_ = staged(open_, "open")  # two classes of one node with different labels: both lists have the node
     held = open_.groupBy("cls").agg(F.collect_set("whole").alias("held"))
-    joined(pairs(open_.join(sig, "cls").join(held, "cls"), False))
+    low = staged(lowest(texts.join(held.select("cls"), "cls", "left_semi")), "lowest")
+    joined(pairs(open_.join(sig, "cls").join(held, "cls").join(low, "cls"), False))
+    dropped(docs.sparkSession, low, open_, texts, nodes, large)
     known = classes.select("cls", "doc_id").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = known.join(least, "root").select("cls", "component_id")

@@ -153,6 +153,26 @@ def test_pairs_appear_in_their_smallest_node():
         assert [g for g, i, j in zip(got, x, y, strict=True) if i != j] == [w for w, i, j in zip(want, x, y, strict=True) if i != j]
 
 
+def test_smallest_hashes_keep_every_link():
+    r = np.random.RandomState(5)
+    sets = []
+    for n in (1, 2, 30, 400, 511, 512, 513, 3000):
+        base = r.randint(0, 1 << 31, n).astype(np.uint32)
+        for share in (1, 0.95, 0.9, 0.86, 0.8, 0.5):  # 0.86 of the hashes kept: a similarity near 0.75
+            sets.append(np.unique(np.concatenate([base[:int(np.ceil(share * n))], r.randint(0, 1 << 31, n - int(np.ceil(share * n))).astype(np.uint32)])))
+    lows = [np.sort(s)[:near_dup.LOW] for s in sets]
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in lows])])
+    x, y = np.triu_indices(len(sets), 1)
+    got = near_dup.close(np.concatenate(lows), cut, x, y)
+    for i, j, ok in zip(x, y, got, strict=True):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        either = len(sets[i]) + len(sets[j]) - both
+        assert ok or 100 * both < 75 * either
+        if len(sets[i]) > 20 and 100 * both < 60 * either:
+            assert not ok
+    assert not len(near_dup.close(np.concatenate(lows), cut, x[:0], y[:0]))
+
+
 def test_repeats(docs):
     for least, gram in ((200, 100), (40, 20)):
         raw = [(d[1] or "").encode() for d in DOCS]

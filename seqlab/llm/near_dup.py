@@ -335,7 +335,7 @@ def confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """row (key of the document row), doc_id, n_shingles, component_id."""
+    """row (key of the document row), doc_id, n_shingles, root (a class of the component; null without words), component_id."""
     sets = staged(sketches(docs, trees, DEPTH), "sets")
     classes = staged(sets.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("n").alias("n"), F.first("sig").alias("sig"),
@@ -387,9 +387,9 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
     dropped(docs.sparkSession, low, open_, texts, nodes, large)
     known = classes.select("cls", "doc_id").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = known.join(least, "root").select("cls", "component_id")
+    component = known.join(least, "root").select("cls", "component_id", "root")
     out = sets.select("row", "doc_id", F.col("n").alias("n_shingles"), "cls").join(component, "cls", "left")
-    return out.select("row", "doc_id", "n_shingles",
+    return out.select("row", "doc_id", "n_shingles", "root",
                       F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -37,10 +37,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = near_dup.groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # of rows that share the smallest doc_id one stays
-    keep = (found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row")).alias("own"))
-            .agg(F.min("row").alias("row")).select("row"))
+    # one row of each component stays, that of the smallest doc_id; texts without words are components of their own
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    alone = F.when(F.col("root").isNull(), F.col("row"))
+    keep = near_dup.groups(docs).groupBy("root", alone.alias("own")).agg(first.alias("first")).select("first.row")
     kept = carried(docs).withColumn("row", row_key()).join(keep, "row", "left_semi").dropDuplicates(["row"])
     return restored(kept, docs)
 

@@ -1,10 +1,10 @@
 """License scans: a positional index of rare licence words, intersected by relative position.
 
 Inverse document frequency of every licence word is counted over all documents. In each file the `rare` licence words
-of highest IDF that occur in it (and the rarest word of each template that occurs) look up their postings, (template,
-position); each occurrence votes for the alignment "place in the file less position in the template". An alignment
-with votes is a match if all mandatory key phrases of the template stand at their relative positions and at least
-`least` of the template's words do. A base phrase is a template that is one key phrase, so it matches where its words
+of highest IDF that occur in it look up their postings, (template, position); so do, however many others a file has, the
+rarest words of each template, one more than `least` allows to miss, so that every match has a vote. Each occurrence votes
+for the alignment "place in the file less position in the template". An alignment with votes is a match if all mandatory
+key phrases of the template stand at their relative positions and at least `least` of the template's words do. A base phrase is a template that is one key phrase, so it matches where its words
 stand consecutively.
 
 Defined results: null or empty text has no words, no labels, score 0 and null first and last word. Overlapping places
@@ -46,7 +46,6 @@ TEMPLATES = (
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license",
      ("creative commons attribution sharealike 4 0",)),
-    ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
 
 
@@ -77,12 +76,13 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.order[at], -1)
 
-    def postings(self, df: np.ndarray):
-        """Per word: (template, position) pairs; and each template's rarest word."""
+    def postings(self, df: np.ndarray, least: float):
+        """Per word: (template, position) pairs; and each template's rarest words, of which every match holds one."""
         at: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
         anchors = np.zeros(len(df), bool)
         for t, ws in enumerate(self.words):
-            anchors[ws[np.argmin(df[ws])]] = True
+            miss = sum((len(ws) - m) / len(ws) >= least for m in range(1, len(ws)))
+            anchors[ws[np.argsort(df[ws], kind="stable")[:miss + 1]]] = True
             for i, w in enumerate(ws):
                 at[w].append((t, i))
         size = np.array([len(x) for x in at])
@@ -157,7 +157,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, rare: int = RARE, least: float =
     """Every document with its base places, labels and score."""
     index = Index(templates)
     df = frequencies(docs, index)
-    post = index.postings(df)
+    post = index.postings(df, least)
     names = np.array(index.labels)
 
     def task(batches):

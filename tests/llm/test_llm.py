@@ -74,6 +74,36 @@ def test_license_scan(docs):
     check(license_scan.scan(docs), [row(d) for d in DOCS], "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def test_license_templates_by_brute_force(spark):
+    ship(spark)
+    r, notices = random.Random(4), [t[1].split() for t in license_scan.TEMPLATES]
+    texts = []
+    for i in range(120):
+        said = []
+        for notice in r.sample(notices, r.choice((1, 2, len(notices)))):  # with all others of the index, or few
+            changed = set(r.sample(range(len(notice)), r.choice((0, 0, 1, 2, 3))))
+            said += ["zz" if j in changed else w for j, w in enumerate(notice)] + r.choices(VOCABULARY, k=r.randint(0, 3))
+        texts.append((i, " ".join(said)))
+
+    def brute(text):
+        w, tags, best = text.split(), set(), 0.0
+        for label, notice, phrases in [(x, p, (p,)) for x, p in license_scan.BASE] + list(license_scan.TEMPLATES):
+            n = notice.split()
+            must = {k + i for p in phrases for k in [next(k for k in range(len(n)) if n[k:k + len(p.split())] == p.split())] for i in range(len(p.split()))}
+            for at in range(-len(n), len(w)):
+                here = [0 <= at + i < len(w) and w[at + i] == x for i, x in enumerate(n)]
+                if all(here[i] for i in must) and sum(here) / len(n) >= license_scan.LEAST:
+                    tags.add(label)
+                    best = max(best, sum(here) / len(n))
+        return ",".join(sorted(tags)), round(best, 9)
+
+    expected = [(i, *brute(t)) for i, t in texts]
+    assert any("bsd" in x[1] for x in expected)
+    for rare in (0, license_scan.RARE):  # the rarest words of each template alone leave nothing out
+        got = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string"), rare=rare)
+        check(got.withColumn("score", F.round("score", 9)), expected, "doc_id", "labels", "score")
+
+
 def test_near_dup(docs):
     sets = [frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i:i + 5]) for i in range(len(w) - 4)]) for w in (words(d[1]) for d in DOCS)]
     root = list(range(len(DOCS)))
@@ -467,6 +497,9 @@ def test_pipeline_stages(spark, docs, tmp_path):
     kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (11, 12, 13, 14)) == [11]
+    apart = spark.createDataFrame([(7, BASE), (7, say(90)), (None, BASE), (None, "")], "doc_id long, text string")
+    left = corpus_pipeline.near_duplicates(spark, apart, str(tmp_path))  # two different texts of one doc_id both stay
+    assert sorted((r.doc_id or 0, len(r.text)) for r in left.collect()) == sorted([(7, len(BASE)), (7, len(apart.collect()[1].text)), (0, 0)])
     clean = corpus_pipeline.benchmark_passages(spark, kept, str(tmp_path))
     assert clean.columns == docs.columns and clean.where("doc_id = 15").count() == 0 and clean.count() == kept.count() - 1
     cut = corpus_pipeline.repeated_passages(spark, clean, str(tmp_path))

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from seqlab.llm.common import ALNUM, Words, documents, only, pieces, row_key, staged
 
-WINDOW, MOST = 10, 2_000_000
+#: An automaton of MOST windows takes about 150 MB in a worker, and the driver holds the windows of one at a time.
+WINDOW, MOST = 10, 50_000
 _automata: dict = {}
 
 

@@ -21,12 +21,17 @@ from seqlab.sources.tables import table_path
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str, cols: list[str],
                 max_files: int | None = None) -> DataFrame:
-    """`max_files` bounds a micro-batch; by default a batch takes all that has arrived."""
-    schema = spark.read.parquet(table_path(sf_dir, table)).select(*cols).schema
-    reader = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """`max_files` bounds a micro-batch; by default a batch takes all that has arrived. A table is one file or a folder of
+    files. A stream reads folders: of a table that is one file, the folder it lies in, without the other files there."""
+    path = table_path(sf_dir, table)
+    schema = spark.read.parquet(path).select(*cols).schema
+    reader = spark.readStream.format("parquet").schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(sf_dir).select(*cols)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.load(path).select(*cols)
+    return reader.option("pathGlobFilter", f"{table}.parquet").load(sf_dir).select(*cols)
 
 
 def run_append(df: DataFrame, name: str) -> DataFrame:

@@ -103,3 +103,20 @@ def test_stream_shuffle_is_the_batch_order(spark, tmp_path):
     order = [r.pos for r in sorted(got, key=lambda r: (r.bucket, r.shuffle_at, r.shuffle_key))]
     want = X.window_shuffle(docs(spark, 0, 300), "pos", 40).collect()
     assert order == [r.pos for r in sorted(want, key=lambda r: r.shuffled_pos)]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_a_table_of_many_files(spark, tmp_path, files):
+    """A table may be one file or a folder of files; other tables lie beside it."""
+    from seqlab.plans.queries import QUERIES
+    table = docs(spark, 0, 60).withColumnRenamed("pos", "doc_id")
+    table.repartition(files).write.parquet(f"{tmp_path}/{'documents.parquet' if files > 1 else 'one'}")
+    if files == 1:
+        (name,) = [f for f in os.listdir(f"{tmp_path}/one") if f.endswith(".parquet")]
+        os.rename(f"{tmp_path}/one/{name}", f"{tmp_path}/documents.parquet")
+    spark.range(40).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.lit("x").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {q: QUERIES[q](spark, str(tmp_path)) for q in ("stream_tokenize", "stream_mix", "stream_mix_cyclic", "stream_shuffle", "mix_ratio")}
+    assert [tuple(r) for r in got["stream_tokenize"].orderBy("doc_id").collect()] == [(i, 1, f"t{i}") for i in range(60)]
+    assert got["stream_mix"].where("source = 'canonical'").count() == got["stream_shuffle"].count() == 60
+    assert rows(got["stream_mix_cyclic"].na.fill(-1, ["syn_pos"])) == rows(got["mix_ratio"].na.fill(-1, ["syn_pos"]))
+    assert sum(r.total for r in QUERIES["stream_validity"](spark, str(tmp_path)).collect()) == 40

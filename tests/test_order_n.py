@@ -114,3 +114,18 @@ def test_a_hot_context_is_dealt_by_salt(spark):
     finally:
         for c, v in old.items():
             spark.conf.set(c, v)
+
+
+def test_tables_of_the_model_are_small_on_disk(spark):
+    """What is written of a model takes a few times the text, not a serialised row for every sequence."""
+    from pathlib import Path
+
+    from seqlab.session import scratch_path
+    r = random.Random(5)
+    texts = [("x", " ".join(f"w{r.randrange(3000)}" for _ in range(500))) for _ in range(200)]
+    base = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    size = lambda: sum(f.stat().st_size for f in base.rglob("*") if f.is_file())
+    old = size()
+    model = ON.estimate(spark.createDataFrame(texts, "lang string, text string").repartition(4), ["lang"])
+    assert model.counts.where("k = 3").count() == len({tuple(w[i:i + 3]) for _, t in texts for w in [t.split()] for i in range(len(w) - 2)})
+    assert size() - old < 4 * sum(len(t) for _, t in texts)

@@ -80,3 +80,27 @@ def test_result_scan_decodes_names(spark, tmp_path):
     IO.write_results(df, str(tmp_path / "res"))
     got = IO.scan_results(spark, str(tmp_path / "res")).select("model", "total").collect()
     assert sorted((r.model, r.total) for r in got) == sorted((n, i) for i, n in enumerate(names))
+
+
+def test_weighted_perplexities_are_those_of_all_rows(spark):
+    """A row may stand for several texts, and its loss for more rows than texts where an id repeats."""
+    some = [("a", 2.0, 4, 3, 2), ("a", 9.0, 3, 1, 1), ("b", 1.0, 2, 5, 5)]
+    row = lambda g, s, n, rows: (g, s * rows, n * rows, math.exp(s / n))
+    every = [row("a", 2.0, 4, 2), row("a", 2.0, 4, 1), row("a", 9.0, 3, 1)] + [row("b", 1.0, 2, 1)] * 5
+    n = spark.createDataFrame([("a", 4), ("b", 5)], "g string, n_samples long")
+    plain = N.ppl_corpus(spark.createDataFrame(every, "g string, loss_sum double, n_tokens long, ppl double"), ["g"], n)
+    per = spark.createDataFrame([(g, s, k, math.exp(s / k), r, t) for g, s, k, r, t in some], "g string, loss_sum double, n_tokens long, ppl double, r long, t long")
+    assert sorted(map(tuple, N.ppl_corpus(per, ["g"], n, times=("r", "t")).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_evaluation_goes_by_distinct_sentences(spark, tmp_path):
+    """Ids repeat; sentences are far fewer than ids, and each is scored once."""
+    from seqlab.plans import queries as Q
+    (spark.range(300).unionByName(spark.range(40)).withColumnRenamed("id", "event_id")
+     .selectExpr("event_id", "'view' as event_type", "'x' as props").write.parquet(f"{tmp_path}/events.parquet"))
+    s = Q.eval_sentences(Q.eval_by_id(spark, str(tmp_path)))
+    assert s.count() == s.select("rule", "label", "text").distinct().count()
+    assert {(r.n, r.m) for r in s.groupBy("rule", "label").agg({"n_rows": "sum", "n_texts": "sum"}).toDF("rule", "label", *"nm").collect()} <= {(340, 300), (300, 340)}
+    want = N.ppl_per_text(Q.losses(spark, str(tmp_path)), Q.MODEL + ["label", "id"]).selectExpr("rule", "variant", "label", "id", "n_tokens", "round(ppl, 5) ppl")
+    got = Q.QUERIES["ppl_per_text"](spark, str(tmp_path)).selectExpr("rule", "variant", "label", "id", "n_tokens", "round(ppl, 5) ppl")
+    assert {tuple(r)[:5] for r in got.collect()} == {tuple(r)[:5] for r in want.collect()}

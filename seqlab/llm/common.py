@@ -15,11 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are tokenised at once; a longer text is tokenised whole, on its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of an Arrow batch. An executor holds several batches a core at once, in Spark and in Python.
+BATCH_BYTES = 4 << 20
+#: What a session says where no size was set.
+DEFAULT_BATCH = "67108864b"
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _B = np.arange(256)
@@ -133,13 +138,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
            size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows whose texts together have about `size` bytes, with the texts."""
     for batch in batches:
-        texts = texts_of(batch.column(column))
-        at = total = 0
-        for i, t in enumerate(texts):
-            total += len(t) + 1
-            if total >= size or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at:i + 1]
-                at, total = i + 1, 0
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(sizes.astype(np.int64) + 1)
+        at = 0
+        while at < batch.num_rows:  # only a piece's texts are copied at once
+            end = min(batch.num_rows, int(np.searchsorted(total, (total[at - 1] if at else 0) + size)) + 1)
+            part = batch.slice(at, end - at)
+            yield part, texts_of(part.column(column))
+            at = end
 
 
 def hash_of(value: str) -> int:
@@ -203,11 +209,15 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package's Python files, once per application."""
+    """Give the executors this package's Python files, once per application, and Arrow batches of BATCH_BYTES unless the session
+    has a size of its own."""
     import zipfile
 
     import seqlab
 
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) == DEFAULT_BATCH:
+        spark.conf.set(size, str(BATCH_BYTES))
     root = os.path.dirname(os.path.abspath(seqlab.__file__))
     app = spark.sparkContext.applicationId
     if app in _shipped:

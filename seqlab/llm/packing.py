@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from seqlab.llm.common import RangeHash, documents, only, pieces, staged
 
 SIZE, END, DEPTH, STEPS = 2048, 1, 3, 150
-CACHE = 1 << 21
+#: Pieces of text whose ids a worker keeps, about 45 MB of them.
+CACHE = 1 << 18
 #: Anything but \t, \n, printable ASCII without ', and letters U+00C0 to U+027F.
 _OTHER = re.compile(rb"[^\t\n\x20-\x26\x28-\x7e\x80-\xbf\xc3-\xc9]|\xc3[\x97\xb7]")
 _CLS = np.full(256, 3, np.int8)

@@ -3,18 +3,20 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations as pairs_of
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqlab.llm import (decontaminate, license_scan, lm_score, near_dup, packing, quality_model, quality_rules, repeats, url_filters,
                         warc)
-from seqlab.llm.common import ship
+from seqlab.llm.common import pieces, ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, n_words string, spans string"
 _r = np.random.RandomState(3)
@@ -37,6 +39,22 @@ def docs(spark):
     return spark.createDataFrame(DOCS, SCHEMA).repartition(3)
 
 
+def test_texts_and_batches_are_small_in_memory(spark):
+    """A batch's texts are not all copied at once, and Spark sends batches of a few MB."""
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["words " * 400, None, ""] * 4000)})
+    list(pieces([batch.slice(0, 300)]))  # imports
+    tracemalloc.start()
+    sizes = [(part.num_rows, len(texts), sum(map(len, texts))) for part, texts in pieces([batch])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(x[0] for x in sizes) == sum(x[1] for x in sizes) == 12_000 and sum(x[2] for x in sizes) == 9_600_000
+    assert peak < 4e6
+    ship(spark)
+    seen = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+    got = spark.range(8000).select(F.repeat(F.lit("words "), 400).alias("text")).coalesce(1).mapInArrow(seen, "n long, size long").collect()
+    assert sum(r.n for r in got) == 8000 and max(r.size for r in got) < 6e6
+
+
 def alnum(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

@@ -1,9 +1,19 @@
 """The scorer on hand-made corpora: counts with ends, losses, perplexity of groups without a token; result scans."""
 
+import contextlib
+import hashlib
+import io
 import math
+import re
 
+from pyspark.sql import functions as F
+
+from seqlab.operators import corpus as X
+from seqlab.operators import generation as G
 from seqlab.operators import ngram as N
+from seqlab.operators import rules as R
 from seqlab.operators import synth as S
+from seqlab.plans import queries as Q
 from seqlab.sources import corpus_io as IO
 
 KEYS = ["rule", "variant"]
@@ -104,3 +114,40 @@ def test_evaluation_goes_by_distinct_sentences(spark, tmp_path):
     want = N.ppl_per_text(Q.losses(spark, str(tmp_path)), Q.MODEL + ["label", "id"]).selectExpr("rule", "variant", "label", "id", "n_tokens", "round(ppl, 5) ppl")
     got = Q.QUERIES["ppl_per_text"](spark, str(tmp_path)).selectExpr("rule", "variant", "label", "id", "n_tokens", "round(ppl, 5) ppl")
     assert {tuple(r)[:5] for r in got.collect()} == {tuple(r)[:5] for r in want.collect()}
+
+
+def largest_method(df) -> int:
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        df.explain("codegen")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", said.getvalue())))
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark):
+    """HotSpot interprets methods of over 8000 bytes unless it is told otherwise: every sentence then takes ten times as long."""
+    ids = spark.range(0, 64, 1, 2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows no code before it has run
+    try:
+        made = [S.synth_splits(ids), X.interleave_grid(ids, 64, G.VARIANT_RATIOS)]
+        made += [f(ids, r) for f in (S.synth_valid, S.synth_invalid) for r in R.RULES]
+        assert max(map(largest_method, made)) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_palindrome_sentences_token_by_token(spark):
+    """Valid and broken sentences from the digits of their keys."""
+    for label, made in (("valid", S.synth_valid), ("invalid", S.synth_invalid)):
+        for row in made(spark.range(-20, 300), "grammar3").collect():
+            m = hashlib.md5(f"42:grammar3:{label}:{row.id}".encode()).hexdigest()
+            a, n = int(m[:8], 16), lambda pos, m=m: int(m[pos - 1], 16)
+            token = lambda pos, n=n: R.G3_CONTENT[n(pos) % 4]
+            if label == "valid":
+                half = [token(9 + i) for i in range(a % 9)]
+                want = ["FEP", *half, *([R.G3_CENTRES[n(18) % 2]] if n(17) < 8 and half else []), *half[::-1], "GOR"]
+            else:
+                word, half, t0 = [n(9 + i) % 4 for i in range(2 + a % 3)], [token(17 + i) for i in range(1 + a % 2)], token(20)
+                if word == word[::-1]:
+                    word[-1] = (word[-1] + 1 + n(13) % 3) % 4
+                want = [["FEP", *[R.G3_CONTENT[i] for i in word], "GOR"], ["FEP", *half, "WEJ", *half[::-1], "GOR"], ["FEP", *half, "TAS", *half[::-1], "GOR"],
+                        ["FEP", *half, *half[::-1]], [*half, *half[::-1], "GOR"], ["FEP", t0, "BLAX", t0, "GOR"]][row.id % 6]
+            assert row.text == " ".join(want)

@@ -151,3 +151,13 @@ def test_palindrome_sentences_token_by_token(spark):
                 want = [["FEP", *[R.G3_CONTENT[i] for i in word], "GOR"], ["FEP", *half, "WEJ", *half[::-1], "GOR"], ["FEP", *half, "TAS", *half[::-1], "GOR"],
                         ["FEP", *half, *half[::-1]], [*half, *half[::-1], "GOR"], ["FEP", t0, "BLAX", t0, "GOR"]][row.id % 6]
             assert row.text == " ".join(want)
+
+
+def test_split_overlap_counts_each_split_once(spark, tmp_path):
+    spark.createDataFrame([(i % 30,) for i in range(40)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    of = {x: {(r.rule, r.text) for r in S.synth_splits(spark.range(30), splits=[x], labels=["valid"]).collect()} for x in ("train", "test")}
+    got = Q.q_split_overlap(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(r, sum(x[0] == r for x in of["train"]), sum(x[0] == r for x in of["test"]),
+                                                  sum(x[0] == r for x in of["train"] & of["test"])) for r in R.RULES}
+    made = [line for line in got._jdf.queryExecution().analyzed().toString().split("\n") if "Generate inline" in line]
+    assert len(made) == len(R.RULES)  # one branch a rule, for both splits

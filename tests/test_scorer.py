@@ -161,3 +161,13 @@ def test_split_overlap_counts_each_split_once(spark, tmp_path):
                                                   sum(x[0] == r for x in of["train"] & of["test"])) for r in R.RULES}
     made = [line for line in got._jdf.queryExecution().analyzed().toString().split("\n") if "Generate inline" in line]
     assert len(made) == len(R.RULES)  # one branch a rule, for both splits
+
+
+def test_tokens_of_few_sentences_are_not_shuffled(spark):
+    """The pairs come from the distinct sentences and are broadcast; the rows are the same."""
+    counts = N.bigram_counts(corpus(spark), KEYS, ends=True)
+    texts = spark.createDataFrame([("r", 1, "a b z"), ("r", 2, "a"), ("r", 3, "a b z"), ("r", 3, "a b z"), ("none", 4, "a b")], "rule string, id int, text string")
+    plain = N.token_loss(texts, ["rule", "id"], counts, ["rule"], KEYS)
+    got = N.token_loss(texts, ["rule", "id"], counts, ["rule"], KEYS, texts=N.distinct_texts(texts, ["rule"]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 12
+    assert "rightHint=(strategy=broadcast)" in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]

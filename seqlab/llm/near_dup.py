@@ -4,13 +4,15 @@ A document's set is its distinct shingles of five words; equal sets are one clas
 minwise values. In each of `trees` independent trees a node chooses one or two of the 128 coordinates (4/3 on average,
 one over the similarity), and a class goes on to the child (coordinate, its minwise value): two classes of similarity s
 meet in (4/3 * s)**depth nodes a tree on average, so links of 0.75 keep meeting at any depth while unrelated classes
-part. Nodes of at most `leaf` classes are compared exhaustively by their signatures; larger ones branch again, twice;
-what is still larger (many variants of one text) is compared in blocks of `block` classes together with some classes
-that all blocks of the node share, and at last whole, each pair of blocks in a task of its own.
+part. Nodes of at most `leaf` classes are compared exhaustively by their signatures; larger ones first in blocks of
+`block` / FIRST classes together with some classes that all blocks of the node share. That joins most variants of one text,
+which no branching would part. A large node that is one component by then is done; one with at most `block` classes outside
+its largest component is compared whole, these against all, each pair of blocks in a task of its own; the others branch
+again, twice, and what is still large then is compared whole too.
 
 Links are confirmed on full sets. First three of each class's best partners are confirmed, which joins nearly all of a
-group, then three of its best in other components (in large nodes over all pairs of blocks, until that joins nothing
-more), and at last all pairs of a node that are still in different components. The last comparison also holds the `LOW`
+group, then three of its best in other components (in large nodes over all pairs of blocks, until that brings no more than
+`leaf` links), and at last all pairs of a node that are still in different components. The last comparison also holds the `LOW`
 smallest shingle hashes of each class against each other, which for sets of fewer shingles are the whole sets, so that
 hardly any pair but the links leaves it. So a group of n variants costs a number of links in proportion to n once it is
 joined, and no link between components is left out; classes of a large node that stay apart cost comparisons in its tasks
@@ -23,6 +25,8 @@ component are null. Further columns of any name are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from seqlab.llm.common import (CHUNK_BYTES, NONSPACE, Words, components, documents, dropped, mix, only, pieces, row_key, sequence_hash,
                                signed, sorted_by, staged, texts_of, whole_groups)
 
-SHINGLE, COORDS, TREES, DEPTH, LEAF, BLOCK, PIVOTS, AGAIN = 5, 128, 12, 3, 64, 1024, 8, 2
+SHINGLE, COORDS, TREES, DEPTH, LEAF, BLOCK, PIVOTS, AGAIN, FIRST = 5, 128, 12, 3, 64, 1024, 8, 2, 4
 SHARE = (75, 100)  # intersection over union
 #: A signature's estimate of a link of 0.75 lies below it with probability 1e-5.
 MAYBE = 0.58
@@ -257,27 +261,11 @@ def pairs(members: DataFrame, best: bool) -> DataFrame:
     return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def nodes_of(classes: DataFrame, leaf: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables: (node, cls, small) of the nodes to compare, small ones and blocks of large ones; (whole, cls) of the latter.
+def split(met: DataFrame, leaf: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of (node, cls, size): (node, cls, small) of the small nodes and of blocks of the large ones; (whole, cls) of the latter.
 
     A class is in at most as many nodes as its trees and branches have.
     """
-    met = staged(occupied(classes.select("cls", F.explode("nodes").alias("node"))), "nodes")
-    levels = [met]
-    small = lambda met: met.where(F.col("size") <= leaf).select("node", "cls", F.lit(True).alias("small"))
-    out = small(met)
-
-    def deeper(batches):
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
-            nodes, owner = branch(batch.column("node").to_numpy().view(np.uint64), sig, np.arange(batch.num_rows), DEPTH)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(signed(nodes)), "cls": batch.column("cls").take(pa.array(owner))})
-
-    for _ in range(AGAIN):
-        large = met.where(F.col("size") > leaf).join(classes.select("cls", "sig"), "cls")
-        met = staged(occupied(large.select("node", "cls", "sig").mapInArrow(deeper, "node long, cls long")), "nodes")
-        levels.append(met)
-        out = out.unionByName(small(met))
     large = met.where(F.col("size") > leaf)
     cuts = F.ceil(F.col("size") / block)
     # every block holds the classes whose hash falls into one of PIVOTS / size parts: about PIVOTS of a node
@@ -285,9 +273,26 @@ def nodes_of(classes: DataFrame, leaf: int, block: int) -> tuple[DataFrame, Data
     part = F.when(shared, F.sequence(F.lit(0).cast("long"), cuts - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls", "node", F.lit(1)), cuts)))
     blocks = large.select("node", "cls", F.lit(False).alias("small"), F.explode(part).alias("part"))
     blocks = blocks.select(F.xxhash64("node", "part").alias("node"), "cls", "small")
-    found = staged(out.unionByName(blocks), "members"), staged(large.select(F.col("node").alias("whole"), "cls"), "large")
-    dropped(classes.sparkSession, *levels)
-    return found
+    out = met.where(F.col("size") <= leaf).select("node", "cls", F.lit(True).alias("small")).unionByName(blocks)
+    return out, large.select(F.col("node").alias("whole"), "cls")
+
+
+def branched(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, cls, size) of the nodes DEPTH levels below the nodes of (whole, cls)."""
+    def deeper(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
+            nodes, owner = branch(batch.column("node").to_numpy().view(np.uint64), sig, np.arange(batch.num_rows), DEPTH)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(signed(nodes)), "cls": batch.column("cls").take(pa.array(owner))})
+
+    rows = large.join(classes.select("cls", "sig"), "cls").select(F.col("whole").alias("node"), "cls", "sig")
+    return occupied(rows.mapInArrow(deeper, "node long, cls long"))
+
+
+def majority(large: DataFrame) -> DataFrame:
+    """Per node of (whole, cls, label) with several labels: the one that most of its classes have, most.n of `size`."""
+    count = large.groupBy("whole", "label").agg(F.count("*").alias("n"))
+    return count.groupBy("whole").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")).where("most.n < size")
 
 
 def cells(large: DataFrame, block: int) -> DataFrame:
@@ -296,9 +301,7 @@ def cells(large: DataFrame, block: int) -> DataFrame:
     Classes of the label that most of the node has need no comparison with each other. So a cell is a block of the other
     classes (`left`) with a block of all (`right`), and every pair of different labels is in a cell of its node.
     """
-    count = large.groupBy("whole", "label").agg(F.count("*").alias("n"))
-    most = count.groupBy("whole").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")).where("most.n < size")
-    rows = large.join(most, "whole").withColumn("major", F.col("label") == F.col("most.label"))
+    rows = large.join(majority(large), "whole").withColumn("major", F.col("label") == F.col("most.label"))
     high, wide = F.ceil((F.col("size") - F.col("most.n")) / block), F.ceil(F.col("size") / block)
     own = lambda salt, cuts: F.pmod(F.xxhash64("cls", "whole", F.lit(salt)), cuts)
     every = lambda cuts: F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))
@@ -340,7 +343,9 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
     classes = staged(sets.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("n").alias("n"), F.first("sig").alias("sig"),
         F.first("nodes").alias("nodes")), "classes")
-    nodes, large = nodes_of(classes, leaf, block)
+    met = staged(occupied(classes.select("cls", F.explode("nodes").alias("node"))), "nodes")
+    nodes, large = (staged(t, name) for t, name in zip(split(met, leaf, max(1, block // FIRST)), ("members", "large"), strict=True))
+    dropped(docs.sparkSession, met)
     sig = classes.select("cls", "n", "sig")
     all_rows = [F.lit(True).alias("left"), F.lit(True).alias("right"), F.lit(False).alias("major"), F.col("node").alias("whole")]
     first = staged(pairs(nodes.join(sig, "cls").select("*", F.col("cls").alias("label"), *all_rows), True), "best")
@@ -351,7 +356,6 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
     texts = only(docs, "doc_id", "text").select(row_key().alias("row"), "text").join(keys, "row")
     texts = staged(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")  # equal rows share a key
     roots, tried = components(staged(confirmed(first, texts), "links")), first
-    any_large = large.limit(1).count() > 0
 
     def labelled(members):
         return (members.join(roots.withColumnRenamed("id", "cls"), "cls", "left")
@@ -364,27 +368,44 @@ def groups(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = B
         return label.join(several, "node").select("node", "cls", "label", *all_rows)
 
     def joined(found) -> bool:
-        """Whether new pairs bring new links; adds them to the components."""
+        """Adds what new pairs bring of links to the components; whether those are more than `leaf`."""
         nonlocal roots, tried
         rest = staged(found.join(tried, ["a", "b"], "left_anti"), "rest")
         more, tried = staged(confirmed(rest, texts), "links"), tried.unionByName(rest)
-        if not more.limit(1).count():
+        if not (new := more.limit(leaf + 1).count()):
             return False
         # the components so far are stars, so only the new links need work
         roots = components(more.unionByName(roots.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))))
-        return True
-
-    joined(pairs(mixed(nodes).join(sig, "cls"), True))
-    while any_large and joined(pairs(cells(staged(labelled(large), "labels"), block).join(sig, "cls"), True)):
-        pass
-    open_ = mixed(nodes.where("small"))
-    if any_large:
-        open_ = open_.unionByName(cells(staged(labelled(large), "labels"), block))
-    open_ = staged(open_, "open")  # two classes of one node with different labels: both lists have the node
+        return new > leaf
+
+    # large nodes of one component are done; those where few classes are outside the largest one are compared whole
+    members, whole, level = [nodes.where("small")], [], large
+    for again in range(AGAIN + 1):
+        label = staged(labelled(level), "labels")
+        few = F.lit(again == AGAIN) | (F.col("size") - F.col("most.n") <= block)
+        several = staged(label.select("whole", "cls").join(majority(label).select("whole", few.alias("few")), "whole"), "large")
+        whole.append(several.where("few").drop("few"))
+        many = several.where("not few").drop("few")
+        if not many.limit(1).count():
+            break
+        met = staged(branched(many, classes), "nodes")
+        deep, level = split(met, leaf, block)
+        members.append(deep.where("small"))
+    small, large = reduce(DataFrame.unionByName, members), reduce(DataFrame.unionByName, whole)
+    any_large = large.limit(1).count() > 0
+
+    def parts():
+        """What is to be compared in nodes of several components: small nodes whole, the others in cells."""
+        return mixed(small).unionByName(cells(staged(labelled(large), "labels"), block)) if any_large else mixed(small)
+
+    if joined(pairs(parts().join(sig, "cls"), True)):
+        while any_large and joined(pairs(cells(staged(labelled(large), "labels"), block).join(sig, "cls"), True)):
+            pass
+    open_ = staged(parts(), "open")  # two classes of one node with different labels: both lists have the node
     held = open_.groupBy("cls").agg(F.collect_set("whole").alias("held"))
     low = staged(lowest(texts.join(held.select("cls"), "cls", "left_semi")), "lowest")
     joined(pairs(open_.join(sig, "cls").join(held, "cls").join(low, "cls"), False))
-    dropped(docs.sparkSession, low, open_, texts, nodes, large)
+    dropped(docs.sparkSession, low, open_, texts)
     known = classes.select("cls", "doc_id").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = known.join(least, "root").select("cls", "component_id", "root")

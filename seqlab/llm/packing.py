@@ -49,23 +49,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a character of a token is a byte
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.added = re.compile(b"|".join(map(re.escape, added)) or b"(?!)")
         self.reset()
 
     def reset(self):
         self.at: dict[int, int] = {}
         self.first, self.count, self.ids, self.used, self.kept = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
-
-    def learn(self, keys: list[int], texts: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in got])
-        flat = np.array([y for x in got for y in x], np.uint32)
+        self.met = np.zeros(1 << 16, np.int32)
+
+    def thin(self) -> None:
+        """Keep the pieces that most calls met, half of CACHE at most; what they have met counts half from then on."""
+        keys, row = np.fromiter(self.at, np.uint64, len(self.at)), np.fromiter(self.at.values(), np.int64, len(self.at))
+        row, keys = row[by := np.argsort(-self.met[row], kind="stable")[:CACHE // 2]], keys[by]
+        row, keys = row[often := self.met[row] > 1], keys[often]
+        n, first, met, ids = self.count[row], self.first[row], self.met[row] // 2, self.ids
+        self.reset()
+        begin = np.cumsum(n) - n
+        self.store(keys.tolist(), n, ids[np.repeat(first - begin, n) + np.arange(int(n.sum()))])
+        self.met[:len(row)] = met
+
+    def learn(self, keys: list[int], texts: list[bytes]) -> None:
+        """Pieces of a space and a word are encoded as one text, which the pattern cuts at those spaces; the bytes of the
+        ids say where a piece ends."""
+        joined = np.array([len(t) > 1 and t[0] == 32 and t[-1] not in b" \t\n" for t in texts], bool)
+        for some, at in ((True, np.flatnonzero(joined)), (False, np.flatnonzero(~joined))):
+            part = [texts[i] for i in at.tolist()]
+            flat = None
+            if some and part:
+                flat = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+                done, ends = np.cumsum(self.bytes[flat]), np.cumsum([len(t) for t in part])
+                last = np.searchsorted(done, ends)
+                if done[-1] == ends[-1] and (done[last] == ends).all():
+                    size = np.diff(last + 1, prepend=0)
+                else:  # not a tokenizer of whole bytes
+                    flat = None
+            if flat is None:
+                got = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in part], add_special_tokens=False)]
+                size, flat = np.array([len(x) for x in got], np.int64), np.array([y for x in got for y in x], np.uint32)
+            self.store([keys[i] for i in at.tolist()], size, flat)
+
+    def store(self, keys: list[int], size: np.ndarray, flat: np.ndarray) -> None:
         while self.kept + len(keys) > len(self.first):
-            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+            self.first, self.count, self.met = (np.resize(x, 2 * len(x)) for x in (self.first, self.count, self.met))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         span = slice(self.kept, self.kept + len(keys))
-        self.count[span], self.first[span] = size, self.used + np.cumsum(size) - size
+        self.count[span], self.first[span], self.met[span] = size, self.used + np.cumsum(size) - size, 0
         self.ids[self.used:self.used + len(flat)] = flat
         self.at.update(zip(keys, range(self.kept, self.kept + len(keys)), strict=True))
         self.kept, self.used = self.kept + len(keys), self.used + len(flat)
@@ -94,12 +126,14 @@ class Encoder:
         own = own - np.arange(len(own))
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.at) + len(u) > CACHE:
-            self.reset()
+            self.thin()
         keys = u.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.at]
         if new:
-            self.learn([keys[i] for i in new], [blob[starts[first[i]]:ends[first[i]]].decode() for i in new])
-        entry = np.fromiter((self.at[k] for k in keys), np.int64, len(keys))[inverse]
+            self.learn([keys[i] for i in new], [blob[starts[first[i]]:ends[first[i]]] for i in new])
+        entry = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        self.met[entry] += 1
+        entry = entry[inverse]
         n = self.count[entry]
         begin = np.cumsum(n) - n
         flat = self.ids[np.repeat(self.first[entry] - begin, n) + np.arange(int(n.sum()))]

@@ -232,9 +232,10 @@ def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> tuple[
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(row, spans): per document row that loses words, the covered word ranges [{a, b}], not yet joined up."""
     every = staged(occurrences(docs, least, gram), "occurrences")
-    names = every.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
+    names = staged(every.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name"), "names")
+    released(docs.sparkSession)  # the names were shuffled on their own; that goes before the occurrences are
     found = staged(every.join(names, "name", "left_semi"), "shared")
-    dropped(docs.sparkSession, every)
+    dropped(docs.sparkSession, every, names)
     del every, names
     released(docs.sparkSession)
     wanted, written = covered(found, docs, least, shard)

@@ -14,8 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqlab.llm import (decontaminate, license_scan, lm_score, near_dup, packing, quality_model, quality_rules, repeats, url_filters,
-                        warc)
+from seqlab.llm import (common, decontaminate, license_scan, lm_score, near_dup, packing, quality_model, quality_rules, repeats,
+                        url_filters, warc)
 from seqlab.llm.common import pieces, ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, n_words string, spans string"
@@ -157,6 +157,33 @@ def test_near_dup_of_many_variants(spark):
     assert got == dict(enumerate(root)) and len(set(root)) > 2
 
 
+def test_near_dup_does_not_branch_what_is_joined(spark, monkeypatch):
+    """A large group of near copies makes no rows but those of its own nodes and blocks."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(120):
+        words = [f"w{i}" for i in range(100)]
+        words[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    deeper = []
+    monkeypatch.setattr(near_dup, "branched", lambda *x: deeper.append(x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in near_dup.groups(df, leaf=8, block=32).collect()} == {0} and not deeper
+
+
+@pytest.mark.parametrize("most", [1 << 18, 7])
+def test_components_join_edges_in_tasks_first(spark, monkeypatch, most):
+    """Paths and a star by union-find in tasks of `most` edges, then by stars; few edges need one pass and no shuffle of edges."""
+    passes = []
+    old = common.staged
+    monkeypatch.setattr(common, "EDGES", most)
+    monkeypatch.setattr(common, "staged", lambda df, name: passes.append(name) or old(df, name))
+    edges = [(i, i + 1) for i in range(60) if i != 30] + [(200, 100 + i) for i in range(30)] + [(5, 4), (9, 9), (-3, 2**60)]
+    got = {r.id: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {i: 0 if i <= 30 else 31 for i in range(61)} | {i: 100 for i in [*range(100, 130), 200]} | {-3: -3, 2**60: -3}
+    assert most < 1000 or passes == ["forest", "components"]
+
+
 def test_near_dup_of_variants_linked_by_their_base_alone(spark, monkeypatch):
     """Each variant has one link, to the base, and the nodes that hold both are cut into blocks."""
     monkeypatch.setattr(near_dup, "PIVOTS", 1)
@@ -339,6 +366,23 @@ def test_lm_score_without_training_texts(spark):
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.score) == (True, 3, 0, 0, 0.0)
 
 
+def test_encoder_keeps_frequent_pieces(monkeypatch):
+    """A full cache lets go of rare pieces alone, and pieces that are encoded as one text get their own ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "CACHE", 64)
+    encode, learnt = packing.Encoder(path), []
+    learn = encode.learn
+    monkeypatch.setattr(encode, "learn", lambda keys, texts: learnt.extend(texts) or learn(keys, texts))
+    whole = Tokenizer.from_file(path)
+    for i in range(30):
+        text = f"the cat is é12 !! \t x{i} " + " ".join(f"{chr(97 + i % 26)}{w}unusual" for w in VOCABULARY[12 * i:12 * i + 12]) + "\n\n  the cat ..."
+        assert encode([text.encode()])[0].tolist() == [*whole.encode(text, add_special_tokens=False).ids, packing.END]
+    assert len(encode.at) <= 64 and Counter(learnt)[b" cat"] == 1
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -161,6 +161,17 @@ def corpus():
     return rows
 
 
+def test_shared_names_are_written_before_the_occurrences_are_shuffled(spark, monkeypatch):
+    """So the shuffles of both are not on disk at once."""
+    steps = []
+    staged, released = substring_dedup.staged, substring_dedup.released
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, name: steps.append(name) or staged(df, name))
+    monkeypatch.setattr(substring_dedup, "released", lambda s: steps.append("released") or released(s))
+    rows = [(i, " ".join(f"w{j}" for j in range(i, 40))) for i in range(3)]
+    assert substring_dedup.removed(table(spark, rows)).where("n_removed > 0").count() == 2
+    assert steps[:4] == ["occurrences", "names", "released", "shared"]
+
+
 @pytest.mark.parametrize("shard", [substring_dedup.SHARD, 300, 40])
 def test_removed_is_brute_force(spark, shard):
     """With small shards the passages of full names are taken apart into windows."""

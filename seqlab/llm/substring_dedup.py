@@ -154,15 +154,14 @@ def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> tuple[
     own = found.groupBy("name", "hash").agg(F.min(F.struct("doc_id", "row", "place")).alias("at"), F.max("doc_id").alias("hi"))
     own = staged(own.select("name", "hash", F.col("at.doc_id").alias("first"), "at.row", "at.place", "hi").withColumns(
         {"start": F.expr(START), "length": F.expr(LENGTH)}).drop("place"), "passages")
+    released(docs.sparkSession)
+    sizes = own.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("length").cast("long")).alias("words"))
+    sized = staged(own.join(sizes, "name").withColumn("full", F.col("words") > shard).drop("words"), "sized")
+    dropped(docs.sparkSession, own)
+    del own, sizes
+    released(docs.sparkSession)
     some = "array<struct<a: int, b: int>>"
-    written = [own]
-    copied = own.where("first < hi").select("name", "hash", "first", F.array().cast(some).alias("spans"))
-    sizes = own.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("length").cast("long")).alias("words")).where("n > 1")
-    own = own.join(sizes, "name")  # the only passage of a name is covered by no other
-
-    def texts_with(chosen: str) -> DataFrame:
-        wanted = own.where(chosen).groupBy("row").agg(F.collect_list(F.struct("name", "hash", "first", "start", "length")).alias("parts"))
-        return keyed(docs).join(wanted, "row").select("text", "parts").mapInArrow(cut, "name long, hash long, first long, words binary")
+    copied = sized.where("first < hi").select("name", "hash", "first", F.array().cast(some).alias("spans"))
 
     def cut(batches):
         for batch, texts in pieces(batches):
@@ -174,7 +173,7 @@ def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> tuple[
             a = words.bounds[who] + flat.field("start").to_numpy().astype(np.int64)
             b = a + flat.field("length").to_numpy()
             yield pa.RecordBatch.from_pydict({
-                **{c: flat.field(c) for c in ("name", "hash", "first")},
+                **{c: flat.field(c) for c in ("name", "hash", "first", "full")},
                 "words": pa.array([ids[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())})
 
     def stream(batches):
@@ -215,14 +214,22 @@ def covered(found: DataFrame, docs: DataFrame, least: int, shard: int) -> tuple[
                     "key": pa.array(signed(h[by[new]])), "at": pa.ListArray.from_arrays(pa.array(np.append(new, len(by)).astype(np.int32)), pa.array(by)),
                     **{c: pa.repeat(batch.column(c)[i], len(new)) for c in ("name", "hash", "first")}})
 
+    wanted = sized.where("n > 1").groupBy("row").agg(  # the only passage of a name is covered by no other
+        F.collect_list(F.struct("name", "hash", "first", "full", "start", "length")).alias("parts"))
+    # the texts are shuffled once for the passages of all names, and that goes before anything else is shuffled
+    texts = staged(keyed(docs).join(wanted, "row").select("text", "parts").mapInArrow(
+        cut, "name long, hash long, first long, full boolean, words binary"), "texts")
+    del wanted
+    released(docs.sparkSession)
+    written = [sized, texts]
     out = f"name long, hash long, first long, spans {some}"
-    done = copied.unionByName(sorted_by(texts_with(f"words <= {shard}"), "name", "first").mapInArrow(stream, out))
-    full = f"words > {shard}"
-    if own.where(full).limit(1).count():
-        windows = staged(texts_with(full).mapInArrow(split, "key long, at array<int>, name long, hash long, first long"), "windows")
+    done = copied.unionByName(sorted_by(texts.where("not full").drop("full"), "name", "first").mapInArrow(stream, out))
+    if sized.where("full").limit(1).count():
+        windows = staged(texts.where("full").drop("full").mapInArrow(split, "key long, at array<int>, name long, hash long, first long"), "windows")
         # written, so that a hot window is joined by broadcast, or split as a skewed key
         shared = staged(windows.groupBy("key").agg(F.min("first").alias("id"), F.max("first").alias("hi")).where("id < hi").select("key", "id"), "keys")
         written += [windows, shared]
+        released(docs.sparkSession)
         met = windows.join(shared, "key").where("id < first").groupBy("name", "hash", "first").agg(
             F.flatten(F.collect_list(F.transform("at", lambda a: F.struct(a.alias("a"), (a + least).alias("b"))))).cast(some).alias("spans"))
         done = done.unionByName(met)

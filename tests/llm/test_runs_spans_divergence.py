@@ -172,6 +172,18 @@ def test_shared_names_are_written_before_the_occurrences_are_shuffled(spark, mon
     assert steps[:4] == ["occurrences", "names", "released", "shared"]
 
 
+def test_texts_of_passages_are_shuffled_once_and_released(spark, monkeypatch):
+    """Also where names are taken apart: each shuffle is gone before the next table is written."""
+    steps = []
+    for name, step in (("staged", lambda df, name: name), ("released", lambda s: "released"), ("keyed", lambda docs: "read")):
+        monkeypatch.setattr(substring_dedup, name, lambda *a, f=getattr(substring_dedup, name), step=step: steps.append(step(*a)) or f(*a))
+    rows = corpus()
+    assert results(substring_dedup.removed(table(spark, rows), shard=300)) == cut(rows)
+    assert steps.count("read") == 3  # for the occurrences, the passages and the result
+    shuffled = steps[steps.index("passages"):]
+    assert shuffled == ["passages", "released", "sized", "released", "read", "texts", "released", "windows", "keys", "released", "covered", "released"]
+
+
 @pytest.mark.parametrize("shard", [substring_dedup.SHARD, 300, 40])
 def test_removed_is_brute_force(spark, shard):
     """With small shards the passages of full names are taken apart into windows."""

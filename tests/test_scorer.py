@@ -171,3 +171,15 @@ def test_tokens_of_few_sentences_are_not_shuffled(spark):
     got = N.token_loss(texts, ["rule", "id"], counts, ["rule"], KEYS, texts=N.distinct_texts(texts, ["rule"]))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 12
     assert "rightHint=(strategy=broadcast)" in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+
+
+def events(spark, path, n: int) -> str:
+    spark.range(n).selectExpr("id as event_id", "'view' as event_type", "'x' as props").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_tokens_of_written_sentences_are_not_broadcast(spark, tmp_path):
+    """The file of the sentences is small enough to look like one to broadcast; their tokens would not fit the driver."""
+    sf = events(spark, tmp_path, 200)
+    per = Q.sentence_losses(spark, sf, Q.eval_sentences(Q.eval_by_id(spark, sf)))
+    assert "rightHint=(strategy=broadcast)" in per._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]

@@ -183,3 +183,28 @@ def test_tokens_of_written_sentences_are_not_broadcast(spark, tmp_path):
     sf = events(spark, tmp_path, 200)
     per = Q.sentence_losses(spark, sf, Q.eval_sentences(Q.eval_by_id(spark, sf)))
     assert "rightHint=(strategy=broadcast)" in per._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+
+
+def test_only_frequent_keys_are_broadcast(spark):
+    """Rows meet the same keys, by broadcast for those with a tenth of the rows and by shuffle for the others."""
+    keys = ["a"] * 30 + ["b"] * 12 + [f"c{i % 20}" for i in range(58)] + [None, "none"]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+    table = rows.where("k != 'none'").groupBy("k").count().withColumn("v", F.upper("k"))
+    got = N.met_by_share(rows, table, ["k"], "count", share=10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(table, "k").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and plan.count("strategy=merge") == 1
+    few = N.met_by_share(rows, table, ["k"], "count", share=1000)
+    assert few.count() == got.count() and "strategy=merge" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert N.met_by_share(rows, table.limit(0), ["k"], "count").count() == 0
+
+
+def test_the_table_of_all_sentences_is_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N.met_by_share, "__defaults__", (20,))
+    sf = events(spark, tmp_path, 200)
+    got = Q.QUERIES["ppl_per_text"](spark, sf)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    want = N.ppl_per_text(Q.losses(spark, sf), Q.MODEL + ["label", "id"]).select(*got.columns)
+    pairs = list(zip(sorted(map(tuple, got.collect())), sorted(map(tuple, want.collect())), strict=True))
+    assert pairs and all(x[:5] == y[:5] and math.isclose(x[5], y[5], abs_tol=1e-6) for x, y in pairs)

@@ -129,3 +129,45 @@ def test_tables_of_the_model_are_small_on_disk(spark):
     model = ON.estimate(spark.createDataFrame(texts, "lang string, text string").repartition(4), ["lang"])
     assert model.counts.where("k = 3").count() == len({tuple(w[i:i + 3]) for _, t in texts for w in [t.split()] for i in range(len(w) - 2)})
     assert size() - old < 4 * sum(len(t) for _, t in texts)
+
+
+@pytest.mark.parametrize("few", [-1, 2**19])
+def test_many_and_few_sequences_are_looked_up_alike(spark, monkeypatch, few):
+    """With the sieve and without it: losses, completions and tests of all keys, the null key among them."""
+    monkeypatch.setattr(ON, "FEW", few)
+    df = spark.createDataFrame(TEXTS, "lang string, text string").repartition(3)
+    both = ON.estimate(df, ["lang"]), {k: Plain([t for x, t in TEXTS if x == k], 3) for k in {k for k, t in TEXTS if (t or "").split()}}
+    test_counts_and_links(both)
+    test_probabilities_back_off_and_add_up(spark, both)
+    test_losses_of_texts(spark, both)
+    test_completion(spark, both)
+
+
+def test_a_hot_context_of_many_sequences_is_dealt_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(ON, "FEW", -1)
+    test_a_hot_context_is_dealt_by_salt(spark)
+
+
+def looked_up(spark, monkeypatch, few: int):
+    monkeypatch.setattr(ON, "FEW", few)
+    df = spark.createDataFrame(TEXTS, "lang string, text string")
+    asked = ON.sequences(df, ["lang"]).where("pos > 0").select("lang", "next", "c2", "c3").distinct()
+    return ON.probabilities(ON.estimate(df, ["lang"]), asked)._jdf.queryExecution()
+
+
+def test_counts_are_sieved_by_few_sequences_before_a_shuffle(spark, monkeypatch):
+    """All counts were shuffled for any number of sequences."""
+    plan = looked_up(spark, monkeypatch, 2**19).optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 5 and plan.count("rightHint=(strategy=broadcast)") == 5  # counts of each order, totals of two
+
+
+def test_one_order_of_many_sequences_is_shuffled_at_a_time(spark, monkeypatch):
+    """The joins of all orders were one plan, so all their shuffles were on disk together."""
+    assert looked_up(spark, monkeypatch, -1).optimizedPlan().toString().count("Join") <= 2
+
+
+def test_completion_looks_the_counts_up_once(spark, monkeypatch):
+    calls, plain = [], ON.probabilities
+    monkeypatch.setattr(ON, "probabilities", lambda *a: calls.append(a) or plain(*a))
+    model = ON.estimate(spark.createDataFrame(TEXTS, "lang string, text string"), ["lang"])
+    assert ON.completion(model, spark.createDataFrame(HELD, "id int, lang string, text string")).count() == 3 and len(calls) == 1
